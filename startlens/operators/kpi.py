@@ -154,6 +154,6 @@ def kpi_bands(df: DataFrame) -> DataFrame:
             "capital_efficiency_band": F.when(ce > 1.0, "excellent").when(ce >= 0.5, "good").when(ce >= 0.2, "acceptable").when(ce.isNotNull(), "low"),
             "burn_multiple_band": F.when(bm < 1.0, "excellent").when(bm <= 1.5, "good").when(bm <= 3.0, "moderate").when(bm.isNotNull(), "concerning"),
             "rule_of_40_band": F.when(r40 >= 40, "excellent").when(r40 >= 30, "good").when(r40 >= 20, "acceptable").when(r40.isNotNull(), "concerning"),
-            "traction_band": F.when(tr >= 80, "exceptional").when(tr >= 60, "strong").when(tr >= 40, "moderate").when(tr >= 20, "early").when(tr.isNotNull(), "minimal"),
+            "traction_band": F.when(tr >= 60, "exceptional").when(tr >= 40, "strong").when(tr >= 20, "moderate").when(tr.isNotNull(), "early"),
         }
     )

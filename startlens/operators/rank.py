@@ -13,9 +13,11 @@ into one task (an unpartitioned ``row_number`` window would):
    offset back with a broadcast join. The offset table has exactly one row
    per shuffle partition, a size fixed by configuration, not by data.
 
-The ranked input is scanned twice (counts and rows); both branches read
-the same range exchange (``ReusedExchange`` in the plan), so partition ids
-and positions agree.
+The range-sorted rows, with their partition id and position, are written
+once with a reliable checkpoint (shared ``spark.checkpoint.dir``) and both
+the counts and the rows are read from it. Two separately planned range
+exchanges could sample different bounds; one stored copy cannot disagree
+with itself, and it survives executor loss.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from startlens.session import materialize
+
 _PID = "__rank_pid"
 _POS = "__rank_pos"
 
@@ -56,6 +60,7 @@ def rank_rows(
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_POS, F.monotonically_increasing_id() - F.shiftleft(F.col(_PID).cast("long"), 33))
     )
+    ranged = materialize(ranged)
     counts = ranged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(
         _PID,

@@ -108,3 +108,266 @@ def ranked_startups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def top_startups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(startups.top_companies(spark, sf_dir, 100))
+
+
+# ---------------------------------------------------------------------------
+# Reports -- A2-A7, A17, C6, C7
+# ---------------------------------------------------------------------------
+
+from startlens.operators import missing as M  # noqa: E402
+from startlens.operators import report as R  # noqa: E402
+from startlens.operators import score as S  # noqa: E402
+
+D = O.d
+
+
+def _grade_sql(pct: str) -> str:
+    return (f"CASE WHEN {pct} = 0 THEN 'complete' WHEN {pct} < 20 THEN 'good' "
+            f"WHEN {pct} < 50 THEN 'fair' ELSE 'poor' END")
+
+
+_QUALITY_SQL = (
+    f"WITH {O.enrich_ctes()}, q AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing, count(*) AS n FROM enr"
+        for c in R.QUALITY_COLUMNS
+    )
+    + f"), p AS (SELECT column_name, missing, CAST(missing AS DOUBLE) * {D(100.0)} / n AS missing_pct FROM q) "
+    f"SELECT column_name, CAST(missing AS BIGINT) AS missing, round(missing_pct, 6) AS missing_pct, "
+    f"{_grade_sql('missing_pct')} AS grade FROM p"
+)
+
+
+@register("quality_report", _QUALITY_SQL)
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.quality_report(startups.enriched_companies(spark, sf_dir)).withColumnRenamed("column", "column_name")
+    return tidy(out)
+
+
+_KPIS = ["estimated_revenue", "capital_efficiency", "monthly_burn", "runway_months", "burn_multiple", "traction_index", "rule_of_40"]
+
+_KPI_SUMMARY_SQL = (
+    f"WITH {O.kpi_ctes()}, s AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{k}' AS kpi, count({k}) AS count, avg({k}) AS mean, quantile_cont({k}, 0.5) AS median, "
+        f"stddev_samp({k}) AS std, min({k}) AS min, max({k}) AS max FROM kpis"
+        for k in _KPIS
+    )
+    + ") SELECT kpi, CAST(count AS BIGINT) AS count, round(mean, 3) AS mean, round(median, 3) AS median, "
+    "round(std, 3) AS std, round(min, 6) AS min, round(max, 6) AS max FROM s"
+)
+
+
+@register("kpi_summary", _KPI_SUMMARY_SQL)
+def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.kpi_summary(startups.companies_with_kpis(spark, sf_dir))
+    return tidy(out, overrides={"mean": 3, "median": 3, "std": 3})
+
+
+_SCORE_SUMMARY_SQL = (
+    f"WITH {O.score_ctes()} SELECT 'investment_score' AS metric, CAST(count(investment_score) AS BIGINT) AS count, "
+    "round(avg(investment_score), 6) AS mean, round(quantile_cont(investment_score, 0.5), 6) AS median, "
+    "round(stddev_samp(investment_score), 6) AS std, round(min(investment_score), 6) AS min, "
+    "round(quantile_cont(investment_score, 0.25), 6) AS q25, round(quantile_cont(investment_score, 0.75), 6) AS q75, "
+    "round(max(investment_score), 6) AS max FROM scored"
+)
+
+
+@register("score_summary", _SCORE_SUMMARY_SQL)
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(R.score_summary(startups.scored_companies(spark, sf_dir)))
+
+
+def _bands_sql() -> str:
+    from startlens.functions import params as P
+
+    parts = " UNION ALL ".join(
+        f"SELECT '{label}' AS band, {D(float(lo))} AS low, {D(float(hi))} AS high, "
+        f"count(*) FILTER (WHERE investment_score >= {lo} AND investment_score < {hi}) AS companies, count(*) AS n FROM scored"
+        for lo, hi, label in P.SCORE_BANDS
+    )
+    return (f"WITH {O.score_ctes()}, b AS ({parts}) SELECT band, round(low, 6) AS low, round(high, 6) AS high, "
+            f"CAST(companies AS BIGINT) AS companies, round(CAST(companies AS DOUBLE) * {D(100.0)} / n, 6) AS pct FROM b")
+
+
+@register("score_bands", _bands_sql())
+def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(R.score_bands(startups.scored_companies(spark, sf_dir)))
+
+
+@register(
+    "stage_counts",
+    f"WITH {O.enrich_ctes()} SELECT stage, CAST(count(*) AS BIGINT) AS companies FROM enr WHERE stage IS NOT NULL "
+    "GROUP BY stage ORDER BY companies DESC, stage LIMIT 10",
+)
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(R.stage_counts(startups.enriched_companies(spark, sf_dir), 10))
+
+
+@register(
+    "load_funnel",
+    f"WITH {fixtures.FIXTURE_CTES}, c AS (SELECT count(*) AS s0, count(*) FILTER (WHERE entity_type = 'Company') AS s1, "
+    "count(*) FILTER (WHERE entity_type = 'Company' AND funding_total_usd > 0) AS s2, "
+    "count(*) FILTER (WHERE entity_type = 'Company' AND funding_total_usd > 0 AND funding_total_usd >= 100000) AS s3 FROM objects) "
+    "SELECT CAST(0 AS BIGINT) AS step_no, 'raw' AS step, CAST(s0 AS BIGINT) AS rows FROM c UNION ALL "
+    "SELECT 1, 'companies', s1 FROM c UNION ALL SELECT 2, 'funded', s2 FROM c UNION ALL SELECT 3, 'min_funding', s3 FROM c",
+)
+def load_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(R.load_funnel(fixtures.objects(spark, sf_dir), min_funding=100000))
+
+
+_BREAKDOWN_KINDS = {"id": "i", "company": "s", "investment_score": "d", "stage": "s", "country": "s", "sector": "s",
+                    "funding_amount": "d", "investors_count": "i", "kpi": "s", "raw_value": "d", "norm_value": "d",
+                    "weight": "d", "contribution": "d"}
+
+
+def _breakdown_sql() -> str:
+    from startlens.functions import params as P
+
+    parts = " UNION ALL ".join(
+        f"SELECT id, company, investment_score, stage, country, sector, funding_amount, investors_count, '{k}' AS kpi, "
+        f"CAST({k} AS DOUBLE) AS raw_value, {k}_norm AS norm_value, {D(float(P.DEFAULT_WEIGHTS[k]))} AS weight, "
+        f"{k}_norm * {D(float(P.DEFAULT_WEIGHTS[k]))} AS contribution FROM scored"
+        for k in S.COMPONENTS
+    )
+    return f"WITH {O.score_ctes()}, b AS ({parts}) SELECT {_sel(_BREAKDOWN_KINDS)} FROM b"
+
+
+@register("score_breakdown", _breakdown_sql())
+def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(S.score_breakdown(startups.scored_companies(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Missing-data statistics -- D1-D6, A9-A14
+# ---------------------------------------------------------------------------
+
+_MISS_SQL = f"""WITH {O.enrich_ctes()},
+a AS (SELECT count(*) AS n_all,
+  count(*) FILTER (WHERE investors_count IS NULL) AS missing_count,
+  count(*) FILTER (WHERE investors_count IS NOT NULL) AS present_count,
+  count(funding_amount) FILTER (WHERE investors_count IS NULL) AS n_m,
+  count(funding_amount) FILTER (WHERE investors_count IS NOT NULL) AS n_p,
+  avg(funding_amount) FILTER (WHERE investors_count IS NULL) AS mean_m,
+  avg(funding_amount) FILTER (WHERE investors_count IS NOT NULL) AS mean_p,
+  var_samp(funding_amount) FILTER (WHERE investors_count IS NULL) AS var_m,
+  var_samp(funding_amount) FILTER (WHERE investors_count IS NOT NULL) AS var_p FROM enr),
+t AS (SELECT *, (mean_m - mean_p) / sqrt(((n_m - 1) * var_m + (n_p - 1) * var_p) / CAST(n_m + n_p - 2 AS DOUBLE)
+       * ({D(1.0)} / n_m + {D(1.0)} / n_p)) AS t_stat FROM a)
+SELECT CAST(missing_count AS BIGINT) AS missing_count, CAST(present_count AS BIGINT) AS present_count,
+  round(CAST(missing_count AS DOUBLE) / n_all, 6) AS missing_rate, round(mean_p / mean_m, 6) AS funding_ratio,
+  round(mean_m, 2) AS mean_missing, round(mean_p, 2) AS mean_present, round(t_stat, 6) AS t_stat,
+  CAST(n_m + n_p - 2 AS BIGINT) AS dof FROM t"""
+
+
+@register("missingness_stats", _MISS_SQL)
+def missingness_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.missingness_stats(startups.enriched_companies(spark, sf_dir))
+    return tidy(out, overrides={"mean_missing": 2, "mean_present": 2})
+
+
+@register("missingness_test")
+def missingness_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows-only: the t-test p-value needs the incomplete beta function."""
+    out = M.missingness_test(startups.enriched_companies(spark, sf_dir))
+    return tidy(out, overrides={"mean_missing": 2, "mean_present": 2})
+
+
+@register(
+    "funding_profile",
+    f"WITH {O.enrich_ctes()} SELECT investors_count IS NULL AS investors_missing, CAST(count(*) AS BIGINT) AS companies, "
+    "round(avg(funding_amount), 2) AS mean_funding, round(quantile_cont(funding_amount, 0.5), 2) AS median_funding "
+    "FROM enr GROUP BY 1",
+)
+def funding_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.group_funding_profile(startups.enriched_companies(spark, sf_dir))
+    return tidy(out, overrides={"mean_funding": 2, "median_funding": 2})
+
+
+def _by_group_sql(group: str, min_total: int | None, top: int | None) -> str:
+    having = f"WHERE total >= {min_total}" if min_total is not None else ""
+    lim = f"ORDER BY missing_pct DESC, {group} LIMIT {top}" if top is not None else ""
+    return f"""WITH {O.enrich_ctes()},
+g AS (SELECT {group}, count(investors_count) AS total, count(*) AS rows,
+        count(*) FILTER (WHERE investors_count IS NULL) AS missing, avg(funding_amount) AS mean_funding
+      FROM enr WHERE {group} IS NOT NULL GROUP BY {group}),
+h AS (SELECT {group}, total, rows, missing,
+        round_even(CAST(missing AS DOUBLE) * {D(100.0)} / rows * 100, 0) / 100 AS missing_pct,
+        round_even(mean_funding * 100, 0) / 100 AS mean_funding FROM g)
+SELECT {group}, CAST(total AS BIGINT) AS total, CAST(rows AS BIGINT) AS rows, CAST(missing AS BIGINT) AS missing,
+  round(missing_pct, 6) AS missing_pct, round(mean_funding, 2) AS mean_funding FROM h {having} {lim}"""
+
+
+@register("missing_by_stage", _by_group_sql("stage", None, None))
+def missing_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(M.missing_by_group(startups.enriched_companies(spark, sf_dir), "stage"), overrides={"mean_funding": 2})
+
+
+@register("missing_by_sector", _by_group_sql("sector", 100, 10))
+def missing_by_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.missing_by_group(startups.enriched_companies(spark, sf_dir), "sector", min_total=100, top=10)
+    return tidy(out, overrides={"mean_funding": 2})
+
+
+_KNOWN = "status IN ('acquired', 'ipo', 'closed')"
+_SUCC = "CASE WHEN status IN ('acquired', 'ipo') THEN 1 ELSE 0 END"
+
+
+@register(
+    "investor_contingency",
+    f"WITH {O.enrich_ctes()} SELECT coalesce(investors_count > 0, false) AS has_investors, "
+    f"CAST(count(*) FILTER (WHERE {_SUCC} = 0) AS BIGINT) AS failures, "
+    f"CAST(count(*) FILTER (WHERE {_SUCC} = 1) AS BIGINT) AS successes FROM enr WHERE {_KNOWN} GROUP BY 1",
+)
+def investor_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(M.contingency(startups.enriched_companies(spark, sf_dir)))
+
+
+@register(
+    "success_by_presence",
+    f"WITH {O.enrich_ctes()}, k AS (SELECT *, CASE WHEN investors_count IS NULL THEN 'missing' "
+    f"WHEN investors_count > 0 THEN 'present' END AS investors FROM enr WHERE {_KNOWN}) "
+    f"SELECT investors, CAST(count(*) AS BIGINT) AS companies, round(avg({_SUCC}), 6) AS success_rate "
+    "FROM k WHERE investors IS NOT NULL GROUP BY investors",
+)
+def success_by_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(M.success_by_presence(startups.enriched_companies(spark, sf_dir)))
+
+
+def _chi_sql() -> str:
+    cells = {"a": "NOT h AND NOT s", "b": "NOT h AND s", "c": "h AND NOT s", "d": "h AND s"}
+    cnt = ", ".join(f"CAST(count(*) FILTER (WHERE {w}) AS DOUBLE) AS {k}" for k, w in cells.items())
+    terms = []
+    for obs, r, c in (("a", "(a+b)", "(a+c)"), ("b", "(a+b)", "(b+d)"), ("c", "(c+d)", "(a+c)"), ("d", "(c+d)", "(b+d)")):
+        e = f"({r} * {c} / (a+b+c+d))"
+        corr = f"({obs} + least({D(0.5)}, abs({e} - {obs})) * sign({e} - {obs}))"
+        terms.append(f"({corr} - {e}) * ({corr} - {e}) / {e}")
+    dof = "CASE WHEN (a+b) = 0 OR (c+d) = 0 OR (a+c) = 0 OR (b+d) = 0 THEN 0 ELSE 1 END"
+    return (
+        f"WITH {O.enrich_ctes()}, k AS (SELECT coalesce(investors_count > 0, false) AS h, status IN ('acquired','ipo') AS s "
+        f"FROM enr WHERE {_KNOWN}), c AS (SELECT {cnt} FROM k) "
+        f"SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(d AS BIGINT) AS d, "
+        f"round(CASE WHEN {dof} = 0 THEN {D(0.0)} ELSE {' + '.join(terms)} END, 6) AS chi2, CAST({dof} AS BIGINT) AS dof FROM c"
+    )
+
+
+@register("chi_square_stats", _chi_sql())
+def chi_square_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(M.chi_square_stats(startups.enriched_companies(spark, sf_dir)))
+
+
+@register("chi_square_test")
+def chi_square_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows-only: the p-value needs erfc (no SQL form in either engine)."""
+    return tidy(M.chi_square_test(startups.enriched_companies(spark, sf_dir)))
+
+
+@register(
+    "ml_impact",
+    f"WITH {O.enrich_ctes()} SELECT CAST(count(*) AS BIGINT) AS total_ml, "
+    "CAST(count(*) FILTER (WHERE investors_count IS NULL) AS BIGINT) AS missing_in_ml, "
+    f"round(CAST(count(*) FILTER (WHERE investors_count IS NULL) AS DOUBLE) * {D(100.0)} / count(*), 6) AS missing_pct "
+    f"FROM enr WHERE {_KNOWN}",
+)
+def ml_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(M.ml_impact(startups.enriched_companies(spark, sf_dir)))

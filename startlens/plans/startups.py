@@ -10,6 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from startlens.operators import enrich, kpi, rank, score
+from startlens.session import materialize
 from startlens.sources import fixtures
 
 # Output column order of the scored table (id first as the row key).
@@ -33,8 +34,22 @@ def enriched_companies(spark: SparkSession, sf_dir: str, min_funding: float = 0)
     )
 
 
-def companies_with_kpis(spark: SparkSession, sf_dir: str, snapshot_year: int = fixtures.SNAPSHOT_YEAR_FIXTURE) -> DataFrame:
-    return kpi.calculate_all_kpis(enriched_companies(spark, sf_dir), snapshot_year=snapshot_year)
+def companies_with_kpis(
+    spark: SparkSession,
+    sf_dir: str,
+    snapshot_year: int = fixtures.SNAPSHOT_YEAR_FIXTURE,
+    checkpoint: bool = True,
+) -> DataFrame:
+    """KPIs need one population pass (traction bounds) and the row pass.
+
+    With ``checkpoint`` the enriched table (two aggregates + two joins) is
+    written once to the shared checkpoint folder, and both passes scan that
+    narrow table instead of recomputing the enrichment.
+    """
+    enriched = enriched_companies(spark, sf_dir)
+    if checkpoint:
+        enriched = materialize(enriched)
+    return kpi.calculate_all_kpis(enriched, snapshot_year=snapshot_year)
 
 
 def scored_companies(
