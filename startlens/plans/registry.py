@@ -371,3 +371,114 @@ def chi_square_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ml_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(M.ml_impact(startups.enriched_companies(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Prospects -- X1-X3, X5-X8
+# ---------------------------------------------------------------------------
+
+from startlens.functions import params as _P  # noqa: E402
+from startlens.operators import prospects as X  # noqa: E402
+
+
+def _pfmt(expr: str, digits: int) -> str:
+    f = 10 ** digits
+    return f"printf('%.{digits}f', round_even(({expr}) * {D(float(f))}, 0) / {D(float(f))})"
+
+
+def _prospect_sql() -> str:
+    d = _P.PROSPECT_DEFAULTS
+    pp = _P.PROSPECT_STAGE_PARAMS
+    fb = pp[_P.PROSPECT_FALLBACK_STAGE]
+
+    def par(i):
+        return O.case_map("stage", {k: v[i] for k, v in pp.items()}, fb[i], as_double=True)
+
+    stages = ", ".join(O.q(s) for s in _P.PROSPECT_STAGES)
+    lo, hi = _P.PROSPECT_VALID_YEARS
+    fund_str = " ".join(
+        f"WHEN stage = {O.q(st)} AND funding_amount > {thr} THEN concat({O.q(lab + ' ($')}, {_pfmt('funding_amount / 1e6', 1)}, 'M)')"
+        for st, thr, lab in _P.STRONG_FUNDING_BY_STAGE
+    )
+
+    def fmt(tpl, val):
+        h, t = tpl.split("{}")
+        return f"concat({O.q(h)}, {val}, {O.q(t)})"
+
+    strengths = ", ".join([
+        f"CASE {fund_str} END",
+        f"CASE WHEN investors_count >= 5 THEN {fmt(X.TXT_INVESTORS_GOOD, 'CAST(investors_count AS VARCHAR)')} END",
+        f"CASE WHEN capital_efficiency > 0.40 THEN {fmt(X.TXT_CAPEFF_STRONG, _pfmt('capital_efficiency', 2))} END",
+        f"CASE WHEN burn_multiple < 1.5 THEN {fmt(X.TXT_BURN_EFFICIENT, _pfmt('burn_multiple', 1))} END",
+        f"CASE WHEN runway_months > 15 THEN {fmt(X.TXT_RUNWAY_HEALTHY, _pfmt('runway_months', 0))} END",
+        f"CASE WHEN traction_index > 60 THEN {fmt(X.TXT_TRACTION_STRONG, _pfmt('traction_index', 0))} END",
+        f"CASE WHEN investment_score > 70 THEN {fmt(X.TXT_SCORE_HIGH, _pfmt('investment_score', 0))} END",
+    ])
+    concerns = ", ".join([
+        f"CASE WHEN investors_count < 5 AND investors_count <= 2 THEN {fmt(X.TXT_INVESTORS_LIMITED, 'CAST(investors_count AS VARCHAR)')} END",
+        f"CASE WHEN capital_efficiency <= 0.40 AND capital_efficiency < 0.20 THEN {fmt(X.TXT_CAPEFF_LOW, _pfmt('capital_efficiency', 2))} END",
+        f"CASE WHEN burn_multiple >= 1.5 AND burn_multiple > 3.0 THEN {fmt(X.TXT_BURN_HIGH, _pfmt('burn_multiple', 1))} END",
+        f"CASE WHEN runway_months <= 15 AND runway_months < 9 THEN {fmt(X.TXT_RUNWAY_LIMITED, _pfmt('runway_months', 0))} END",
+        f"CASE WHEN traction_index <= 60 AND traction_index < 30 THEN {fmt(X.TXT_TRACTION_LOW, _pfmt('traction_index', 0))} END",
+        f"CASE WHEN investment_score <= 70 AND investment_score < 40 THEN {fmt(X.TXT_SCORE_LOW, _pfmt('investment_score', 0))} END",
+    ])
+    kinds = {"prospect_id": "i", "funding_amount": "d", "stage": "s", "sector": "s", "country": "s", "investors_count": "i",
+             "founded_year": "i", "is_valid": "s", "reject_reasons": "s", "age": "i", "estimated_revenue": "d",
+             "capital_efficiency": "d", "monthly_burn": "d", "runway_months": "d", "burn_multiple": "d",
+             "traction_index": "d", "rule_of_40": "d", "investment_score": "d", "strengths": "s", "concerns": "s"}
+    return f"""WITH {fixtures.FIXTURE_CTES},
+p0 AS (SELECT prospect_id, CAST(funding_amount AS DOUBLE) AS funding_amount, coalesce(stage, {O.q(d['stage'])}) AS stage,
+  coalesce(sector, {O.q(d['sector'])}) AS sector, coalesce(country, {O.q(d['country'])}) AS country,
+  coalesce(CAST(investors_count AS INT), {d['investors_count']}) AS investors_count,
+  coalesce(CAST(founded_year AS INT), {d['founded_year']}) AS founded_year FROM prospects),
+p1 AS (SELECT prospect_id, funding_amount, trim(stage) AS stage,
+  CASE WHEN lower(trim(sector)) = '' THEN 'other' ELSE lower(trim(sector)) END AS sector,
+  CASE WHEN upper(trim(country)) = '' THEN 'USA' ELSE upper(trim(country)) END AS country, investors_count, founded_year FROM p0),
+p2 AS (SELECT *, concat_ws('; ',
+    CASE WHEN NOT coalesce(funding_amount > 0, false) THEN {O.q(X.REJECT_FUNDING)} END,
+    CASE WHEN NOT coalesce(stage IN ({stages}), false) THEN {O.q(X.REJECT_STAGE)} END,
+    CASE WHEN NOT coalesce(investors_count >= 0, false) THEN {O.q(X.REJECT_INVESTORS)} END,
+    CASE WHEN NOT coalesce(founded_year BETWEEN {lo} AND {hi}, false) THEN {O.q(X.REJECT_YEAR)} END) AS reject_reasons FROM p1),
+p3 AS (SELECT *, reject_reasons = '' AS is_valid, greatest(1, {_P.PROSPECT_CURRENT_YEAR} - founded_year) AS age,
+  funding_amount * {par(1)} AS estimated_revenue, funding_amount / {par(0)} AS monthly_burn, {par(2)} AS r40b, {par(3)} AS w FROM p2),
+p4 AS (SELECT *, least({D(1.0)}, CASE WHEN funding_amount > 0 THEN estimated_revenue / funding_amount ELSE {D(0.0)} END) AS capital_efficiency,
+  least({D(24.0)}, CASE WHEN monthly_burn > 0 THEN (funding_amount * {D(0.5)}) / monthly_burn ELSE {D(0.0)} END) AS runway_months,
+  least({D(10.0)}, greatest({D(0.3)}, CASE WHEN estimated_revenue > 0 THEN (monthly_burn * 12) / estimated_revenue ELSE {D(10.0)} END)) AS burn_multiple,
+  least({D(100.0)}, (log10(greatest({D(float(_P.PROSPECT_MIN_FUNDING_FOR_LOG))}, funding_amount)) * investors_count * w) / age) AS traction_index FROM p3),
+p5 AS (SELECT *, greatest({D(0.0)}, least({D(150.0)}, r40b + (capital_efficiency - {D(0.30)}) * 50)) AS rule_of_40 FROM p4),
+p6 AS (SELECT *, least({D(100.0)}, rule_of_40) * {D(0.25)} + traction_index * {D(0.25)} + capital_efficiency * 100 * {D(0.20)}
+  + least({D(100.0)}, CASE WHEN burn_multiple > 0 THEN ({D(1.0)} / burn_multiple) * 50 ELSE {D(0.0)} END) * {D(0.15)}
+  + (runway_months / 24) * 100 * {D(0.15)} AS investment_score FROM p5),
+p7 AS (SELECT *, concat_ws('; ', {strengths}) AS strengths, concat_ws('; ', {concerns}) AS concerns FROM p6)
+SELECT {_sel(kinds)} FROM p7"""
+
+
+@register("prospect_scores", _prospect_sql())
+def prospect_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = X.score_prospects(fixtures.prospects(spark, sf_dir))
+    out = out.withColumns({
+        "is_valid": F.col("is_valid").cast("string"),
+        "reject_reasons": F.array_join("reject_reasons", "; "),
+        "strengths": F.array_join("strengths", "; "),
+        "concerns": F.array_join("concerns", "; "),
+    })
+    return tidy(out)
+
+
+def _bands_prob_sql() -> str:
+    (h_hi, h_lo), (m_hi, m_lo) = _P.CONFIDENCE_HIGH, _P.CONFIDENCE_MEDIUM
+    rec = " ".join(f"WHEN p >= {b} THEN {O.q(t)}" for b, t in _P.RECOMMENDATIONS)
+    ctx = " ".join(f"WHEN p >= {b} THEN {O.q(t)}" for b, t in _P.PERCENTILE_CONTEXT)
+    return (
+        f"WITH {fixtures.FIXTURE_CTES}, s AS (SELECT doc_id, label, score AS p FROM predictions) "
+        f"SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(label AS BIGINT) AS label, round(p, 6) AS success_probability, "
+        f"CASE WHEN p > {h_hi} OR p < {h_lo} THEN 'HIGH' WHEN p > {m_hi} OR p < {m_lo} THEN 'MEDIUM' WHEN p IS NOT NULL THEN 'LOW' END AS confidence, "
+        f"CASE {rec} WHEN p IS NOT NULL THEN {O.q(_P.RECOMMENDATION_ELSE)} END AS recommendation, "
+        f"CASE {ctx} WHEN p IS NOT NULL THEN {O.q(_P.PERCENTILE_CONTEXT_ELSE)} END AS percentile_context FROM s"
+    )
+
+
+@register("probability_bands", _bands_prob_sql())
+def probability_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fixtures.predictions(spark, sf_dir).withColumnRenamed("score", "success_probability")
+    return tidy(X.with_probability_bands(p))
