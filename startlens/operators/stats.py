@@ -32,6 +32,48 @@ from pyspark.sql.window import Window
 from startlens.session import materialize
 
 
+def prefix_sums(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    sum_cols: Sequence[str],
+    group_cols: Sequence[str] = (),
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Running totals in (group, order) order without a one-task window.
+
+    Adds ``<c>_before`` (sum of ``c`` over the group's earlier rows) and
+    ``<c>_total`` (sum over the whole group) for every ``c`` in
+    ``sum_cols``. Rows are range-partitioned on (group, order) and stored
+    once in the checkpoint folder; each row's total is its running sum
+    inside its (partition, group) slice plus the group's sum in all earlier
+    partitions. The partition table holds at most partitions x groups rows.
+    ``order_cols`` should be unique within a group.
+    """
+    groups = list(group_cols)
+    spark = df.sparkSession
+    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(g) for g in groups] + [F.col(c) for c in order_cols]
+    ranged = materialize(
+        df.repartitionByRange(nparts, *order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
+    )
+    slice_w = Window.partitionBy("__pid", *groups).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumns({f"__{c}_loc": F.coalesce(F.sum(c).over(slice_w), F.lit(0)) for c in sum_cols})
+    part_tot = ranged.groupBy("__pid", *groups).agg(*[F.sum(c).alias(f"__{c}_pt") for c in sum_cols])
+    prior_w = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy("__pid").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    total_w = Window.partitionBy(*groups) if groups else Window.partitionBy()
+    offsets = part_tot.select(
+        "__pid",
+        *groups,
+        *[F.coalesce(F.sum(f"__{c}_pt").over(prior_w), F.lit(0)).alias(f"__{c}_off") for c in sum_cols],
+        *[F.sum(f"__{c}_pt").over(total_w).alias(f"{c}_total") for c in sum_cols],
+    )
+    out = local.join(offsets, ["__pid", *groups])
+    out = out.withColumns({f"{c}_before": F.col(f"__{c}_off") + F.col(f"__{c}_loc") for c in sum_cols})
+    return out.drop("__pid", *[f"__{c}_{s}" for c in sum_cols for s in ("loc", "off")])
+
+
 def exact_percentiles(
     df: DataFrame,
     value_col: str,
@@ -54,33 +96,10 @@ def exact_percentiles(
             *[F.percentile_approx("__v", float(p), 100000).alias(n) for p, n in zip(probs, names)]
         )
 
-    spark = df.sparkSession
-    nparts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = base.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    order = [F.col(g) for g in groups] + [F.col("__v")]
-    ranged = materialize(
-        distinct.repartitionByRange(nparts, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("__pid", F.spark_partition_id())
-    )
-    slice_w = Window.partitionBy("__pid", *groups).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("__before_local", F.coalesce(F.sum("__c").over(slice_w), F.lit(0)))
-
-    part_tot = ranged.groupBy("__pid", *groups).agg(F.sum("__c").alias("__pc"))
-    prior_w = Window.partitionBy(*groups).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1) if groups else \
-        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    total_w = Window.partitionBy(*groups) if groups else Window.partitionBy()
-    offsets = part_tot.select(
-        "__pid", *groups,
-        F.coalesce(F.sum("__pc").over(prior_w), F.lit(0)).alias("__off"),
-        F.sum("__pc").over(total_w).alias("__n"),
-    )
-    # offsets: (#partitions x #groups-in-that-partition) rows, bounded by the
-    # number of distinct pairs per partition and never larger than `ranged`;
-    # in practice tiny, so let AQE choose broadcast vs shuffle by its size.
-    pos = local.join(offsets, ["__pid", *groups])
-    pos = pos.withColumn("__start", F.col("__off") + F.col("__before_local")).withColumn(
-        "__end", F.col("__start") + F.col("__c")
+    pos = prefix_sums(distinct, ["__v"], ["__c"], groups, num_partitions)
+    pos = pos.withColumn("__start", F.col("__c_before")).withColumn("__end", F.col("__c_before") + F.col("__c")).withColumn(
+        "__n", F.col("__c_total")
     )
 
     aggs = []
