@@ -482,3 +482,235 @@ def _bands_prob_sql() -> str:
 def probability_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fixtures.predictions(spark, sf_dir).withColumnRenamed("score", "success_probability")
     return tidy(X.with_probability_bands(p))
+
+
+# ---------------------------------------------------------------------------
+# ML: labels, split, features -- M1-M6, A8, U1, U3, P14, P16
+# ---------------------------------------------------------------------------
+
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from startlens.operators import metrics as MT  # noqa: E402
+from startlens.operators import ml as ML  # noqa: E402
+
+_LAB_CTE = (f"{O.score_ctes()}, lab AS (SELECT *, CASE WHEN status IN ('acquired', 'ipo') THEN 1 WHEN status = 'closed' THEN 0 "
+            "ELSE -1 END AS success FROM scored)")
+_SPLIT_CTE = (f"{_LAB_CTE}, s AS (SELECT *, substring(md5(concat(CAST(id AS VARCHAR), ':', '42')), 1, 4) < '3333' AS is_test "
+              "FROM lab WHERE success <> -1)")
+
+
+@register(
+    "ml_label_distribution",
+    f"WITH {_LAB_CTE} SELECT CAST(success AS BIGINT) AS success, CAST(count(*) AS BIGINT) AS companies, "
+    "round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM lab), 6) AS share FROM lab GROUP BY success",
+)
+def ml_label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(ML.label_distribution(startups.scored_companies(spark, sf_dir)))
+
+
+@register(
+    "ml_split_summary",
+    f"WITH {_SPLIT_CTE} SELECT CAST(success AS BIGINT) AS success, CAST(is_test AS VARCHAR) AS is_test, "
+    "CAST(count(*) AS BIGINT) AS companies FROM s GROUP BY success, is_test",
+)
+def ml_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = ML.label_outcomes(startups.scored_companies(spark, sf_dir))
+    s = lab.withColumn("is_test", ML.split_column("id", 42, 0.2))
+    out = s.groupBy("success", "is_test").agg(F.count(F.lit(1)).alias("companies"))
+    return tidy(out.withColumn("is_test", F.col("is_test").cast("string")))
+
+
+def _features_long(spark: SparkSession, sf_dir: str, drop_first: bool) -> DataFrame:
+    lab = ML.label_outcomes(startups.scored_companies(spark, sf_dir))
+    s = lab.withColumn("is_test", ML.split_column("id", 42, 0.2))
+    fm = ML.fit_features(s.where(~F.col("is_test")), drop_first=drop_first)
+    x = fm.transform(s)
+    names = ML.feature_names(x)
+    long = x.select("id", "is_test", F.posexplode(vector_to_array("features")).alias("pos", "value"))
+    out = long.select("id", F.col("is_test").cast("string").alias("is_test"),
+                      F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos") + 1).alias("feature"), "value")
+    return tidy(out)
+
+
+def _features_sql(drop_first: bool) -> str:
+    from startlens.functions import params as P
+
+    cats = P.CATEGORICAL_FEATURES
+    vocab = " UNION ALL ".join(
+        f"SELECT DISTINCT '{c}' AS col, {c} AS v FROM s WHERE NOT is_test AND {c} IS NOT NULL" for c in cats
+    )
+    keep = "WHERE rn > 1" if drop_first else ""
+    nums = " UNION ALL ".join(
+        f"SELECT id, is_test, '{c}' AS feature, coalesce(CAST({c} AS DOUBLE), {D(0.0)}) AS value FROM s" for c in P.NUMERIC_FEATURES
+    )
+    match = " OR ".join(f"(vs.col = '{c}' AND s.{c} = vs.v)" for c in cats)
+    return (
+        f"WITH {_SPLIT_CTE}, v0 AS ({vocab}), vs AS (SELECT col, v FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY v) AS rn "
+        f"FROM v0) t {keep}), num AS ({nums}), "
+        f"cat AS (SELECT s.id, s.is_test, vs.col || '_' || vs.v AS feature, CASE WHEN {match} THEN {D(1.0)} ELSE {D(0.0)} END AS value "
+        f"FROM s CROSS JOIN vs), a AS (SELECT * FROM num UNION ALL SELECT * FROM cat) "
+        f"SELECT CAST(id AS BIGINT) AS id, CAST(is_test AS VARCHAR) AS is_test, feature, round(value, 6) AS value FROM a"
+    )
+
+
+@register("ml_features", _features_sql(False))
+def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4/M5: feature matrix (all categories kept) in long form."""
+    return _features_long(spark, sf_dir, drop_first=False)
+
+
+@register("ml_features_drop_first", _features_sql(True))
+def ml_features_drop_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3/M5: feature matrix with each first category dropped, long form."""
+    return _features_long(spark, sf_dir, drop_first=True)
+
+
+@register(
+    "majority_baseline",
+    f"WITH {_LAB_CTE}, c AS (SELECT count(*) FILTER (WHERE success = 1) AS n1, count(*) FILTER (WHERE success = 0) AS n0 FROM lab) "
+    f"SELECT CAST(CASE WHEN n1 >= n0 THEN 1 ELSE 0 END AS BIGINT) AS majority_class, "
+    f"round(CAST(greatest(n1, n0) AS DOUBLE) / (n1 + n0), 6) AS baseline_accuracy FROM c",
+)
+def majority_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Always-predict-the-majority accuracy on known outcomes."""
+    lab = ML.label_outcomes(startups.scored_companies(spark, sf_dir))
+    return tidy(MT.majority_baseline(lab, "label"))
+
+
+# ---------------------------------------------------------------------------
+# Metric operators on a stored prediction table -- M12, M13
+# ---------------------------------------------------------------------------
+
+_PRED_CTE = f"{fixtures.FIXTURE_CTES}, pr AS (SELECT doc_id, label, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM predictions)"
+
+
+def _pred_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fixtures.predictions(spark, sf_dir)
+    return p.withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+
+
+@register(
+    "prediction_metrics",
+    f"WITH {_PRED_CTE}, c AS (SELECT count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, "
+    "count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, "
+    "count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM pr) "
+    "SELECT CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp, "
+    "round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(tn + fp + fn + tp, 0), 0), 6) AS accuracy, "
+    "round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 6) AS precision, "
+    "round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 6) AS recall, "
+    "round(coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c",
+)
+def prediction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(MT.binary_metrics(_pred_df(spark, sf_dir)))
+
+
+def _report_sql() -> str:
+    z = "coalesce({a} / nullif({b}, 0), 0)"
+    c0 = {"p": z.format(a="CAST(tn AS DOUBLE)", b="tn + fn"), "r": z.format(a="CAST(tn AS DOUBLE)", b="tn + fp"),
+          "f": z.format(a="CAST(2 * tn AS DOUBLE)", b="2 * tn + fn + fp"), "s": "(tn + fp)"}
+    c1 = {"p": z.format(a="CAST(tp AS DOUBLE)", b="tp + fp"), "r": z.format(a="CAST(tp AS DOUBLE)", b="tp + fn"),
+          "f": z.format(a="CAST(2 * tp AS DOUBLE)", b="2 * tp + fp + fn"), "s": "(tp + fn)"}
+    n = "(tn + fp + fn + tp)"
+
+    def w(k):
+        return z.format(a=f"({c0[k]} * {c0['s']} + {c1[k]} * {c1['s']})", b=n)
+
+    rows = [
+        f"SELECT '0' AS class, {c0['p']} AS precision, {c0['r']} AS recall, {c0['f']} AS f1, {c0['s']} AS support FROM c",
+        f"SELECT '1', {c1['p']}, {c1['r']}, {c1['f']}, {c1['s']} FROM c",
+        f"SELECT 'macro avg', ({c0['p']} + {c1['p']}) / 2, ({c0['r']} + {c1['r']}) / 2, ({c0['f']} + {c1['f']}) / 2, {n} FROM c",
+        f"SELECT 'weighted avg', {w('p')}, {w('r')}, {w('f')}, {n} FROM c",
+    ]
+    return (
+        f"WITH {_PRED_CTE}, c AS (SELECT count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn, "
+        "count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, "
+        f"count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp FROM pr), r AS ({' UNION ALL '.join(rows)}) "
+        "SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, "
+        "CAST(support AS BIGINT) AS support FROM r"
+    )
+
+
+@register("classification_report", _report_sql())
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(MT.classification_report(_pred_df(spark, sf_dir)))
+
+
+_HIST_CTE = (f"{_PRED_CTE}, h AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg "
+             "FROM pr WHERE score IS NOT NULL GROUP BY score)")
+
+
+@register(
+    "roc_auc",
+    f"WITH {_HIST_CTE}, c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    "AS neg_before FROM h) SELECT CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg, "
+    "round(sum(pos * (neg_before + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)), 6) AS roc_auc FROM c",
+)
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(MT.roc_auc(_pred_df(spark, sf_dir)))
+
+
+@register(
+    "roc_points",
+    f"WITH {_HIST_CTE}, c AS (SELECT *, sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn, "
+    "sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp, "
+    "sum(neg) OVER () AS tn_all, sum(pos) OVER () AS tp_all FROM h) "
+    "SELECT round(score, 6) AS threshold, round(CAST(cn AS DOUBLE) / tn_all, 6) AS fpr, round(CAST(cp AS DOUBLE) / tp_all, 6) AS tpr FROM c",
+)
+def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(MT.roc_points(_pred_df(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Models -- M7-M11, M14-M19, S6, X4, X9 (rows-only: iterative learners)
+# ---------------------------------------------------------------------------
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ML.label_outcomes(startups.scored_companies(spark, sf_dir))
+
+
+@register("model_comparison")
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four models: test metrics, 5-fold CV F1, fit time (rows-only)."""
+    return ML.compare_models(_labelled(spark, sf_dir), cv_folds=5)
+
+
+@register("best_model_by_metric")
+def best_model_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best model per metric over a comparison without CV (rows-only)."""
+    return ML.best_by_metric(ML.compare_models(_labelled(spark, sf_dir), cv_folds=0))
+
+
+def _train_rf(spark: SparkSession, sf_dir: str):
+    lab = _labelled(spark, sf_dir)
+    train = lab.where(~ML.split_column("id", 42, 0.2))
+    return ML.fit_model("Random Forest", train), lab
+
+
+@register("feature_importance")
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-15 random-forest importances with cumulative share (rows-only)."""
+    fitted, lab = _train_rf(spark, sf_dir)
+    return ML.feature_importance(fitted, lab, 15)
+
+
+@register("prospect_predictions")
+def prospect_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, save and reload the forest, then score every prospect:
+    KPIs (X1), features with the trained encoders (X4), probability (M19),
+    confidence, recommendation, context (X5, X7, X8). Rows-only."""
+    import uuid
+
+    from startlens.session import ensure_checkpoint_dir
+
+    fitted, _ = _train_rf(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/rf-{uuid.uuid4().hex}"
+    ML.save_model(fitted, path)
+    loaded = ML.load_random_forest(path)
+    scored = X.score_prospects(fixtures.prospects(spark, sf_dir))
+    pred = ML.predict_success(loaded, scored)
+    out = X.with_probability_bands(pred).select(
+        "prospect_id", "stage", "sector", "country", "is_valid", "investment_score", "success_probability",
+        "confidence", "recommendation", "percentile_context",
+        F.array_join("strengths", "; ").alias("strengths"), F.array_join("concerns", "; ").alias("concerns"),
+    )
+    return tidy(out)
