@@ -714,3 +714,44 @@ def prospect_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("strengths", "; ").alias("strengths"), F.array_join("concerns", "; ").alias("concerns"),
     )
     return tidy(out)
+
+
+# ---------------------------------------------------------------------------
+# Generic loader through a CSV round trip -- S1, S4, P2-P9, F2, F3, F10
+# ---------------------------------------------------------------------------
+
+from startlens.operators import clean as CL  # noqa: E402
+from startlens.sources import tables as TB  # noqa: E402
+
+
+def _generic_sql() -> str:
+    from startlens.functions import params as P
+
+    t = "trim(stage)"
+    title = ("array_to_string(list_transform(regexp_extract_all(" + t + ", '([\\p{Lu}\\p{Ll}\\p{Lt}]+|[^\\p{Lu}\\p{Ll}\\p{Lt}]+)'), "
+             "lambda p: upper(substring(p, 1, 1)) || lower(substring(p, 2))), '')")
+    mapped = O.case_map(f"lower({t})", P.GENERIC_STAGE_MAP)
+    return (
+        f"WITH {fixtures.FIXTURE_CTES}, g AS (SELECT * FROM generic_extract WHERE entity_type = 'Company'), "
+        f"c AS (SELECT trim(name) AS company, "
+        f"CASE WHEN stage IS NULL OR {t} = '' THEN NULL ELSE coalesce({mapped}, {title}) END AS stage, "
+        "trim(country_code) AS country, trim(coalesce(category_code, industry)) AS sector, "
+        "TRY_CAST(funding_total_usd AS DOUBLE) AS funding_amount, TRY_CAST(participants AS DOUBLE) AS investors_count, "
+        "CAST(year(TRY_CAST(founded_at AS DATE)) AS DOUBLE) AS founded_year FROM g) "
+        "SELECT company, stage, country, sector, round(funding_amount, 6) AS funding_amount, round(investors_count, 6) AS investors_count, "
+        "round(founded_year, 6) AS founded_year FROM c WHERE funding_amount > 0"
+    )
+
+
+@register("generic_loader", _generic_sql())
+def generic_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the raw extract as header CSV (sink), read it back as text
+    (scan), standardise it and keep funded companies."""
+    import uuid
+
+    from startlens.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/generic-{uuid.uuid4().hex}"
+    TB.write_table(fixtures.generic_extract(spark, sf_dir), path, fmt="csv")
+    raw = TB.read_csv(spark, path)
+    return tidy(CL.standardize_startups(raw, filter_funded=True))

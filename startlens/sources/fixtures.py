@@ -112,10 +112,31 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def all_string_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The companies table as a raw, all-text extract (what a CSV read yields)."""
+_GENERIC_STAGES = ["seed", "Series A", " series b ", "SERIES C", "series e", "pre-seed", "series-g", "", "growth equity", "Angel"]
+
+
+def generic_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An all-text company extract with alternative column names (name,
+    category_code + industry, country_code, funding_total_usd text with
+    junk, participants text with blanks, founded_at) and raw stage text."""
     o = objects(spark, sf_dir)
-    return o.select([F.col(c).cast("string").alias(c) for c in o.columns])
+    k = "id"
+    stage = F.lit(None).cast("string")
+    for i in reversed(range(len(_GENERIC_STAGES))):
+        stage = F.when(_mod(k, 11) == i, F.lit(_GENERIC_STAGES[i])).otherwise(stage)
+    return o.select(
+        F.col("id").cast("string").alias("id"),
+        "entity_type",
+        "name",
+        stage.alias("stage"),
+        "category_code",
+        F.when(_mod(k, 2) == 0, F.concat(F.lit("industry_"), _mod(k, 3).cast("string"))).alias("industry"),
+        "country_code",
+        F.when(_mod(k, 37) == 5, F.lit("n/a")).otherwise(F.col("funding_total_usd").cast("string")).alias("funding_total_usd"),
+        F.when(_mod(k, 13) == 0, F.lit("")).otherwise(_mod(k, 9).cast("string")).alias("participants"),
+        "founded_at",
+        "status",
+    )
 
 
 # ---------------------------------------------------------------------------
@@ -169,10 +190,25 @@ SELECT l.doc_id, l.quality AS label, CAST(d.n_chars % 1000 AS DOUBLE) / 1000 AS
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 """
 
+GENERIC_EXTRACT_SQL = """
+SELECT CAST(id AS VARCHAR) AS id, entity_type, name,
+  CASE id % 11 WHEN 0 THEN 'seed' WHEN 1 THEN 'Series A' WHEN 2 THEN ' series b ' WHEN 3 THEN 'SERIES C'
+    WHEN 4 THEN 'series e' WHEN 5 THEN 'pre-seed' WHEN 6 THEN 'series-g' WHEN 7 THEN '' WHEN 8 THEN 'growth equity'
+    WHEN 9 THEN 'Angel' ELSE NULL END AS stage,
+  category_code,
+  CASE WHEN id % 2 = 0 THEN concat('industry_', CAST(id % 3 AS VARCHAR)) END AS industry,
+  country_code,
+  CASE WHEN id % 37 = 5 THEN 'n/a' ELSE CAST(funding_total_usd AS VARCHAR) END AS funding_total_usd,
+  CASE WHEN id % 13 = 0 THEN '' ELSE CAST(id % 9 AS VARCHAR) END AS participants,
+  founded_at, status
+FROM objects
+"""
+
 FIXTURE_CTES = (
     f"objects AS ({OBJECTS_SQL}),\n"
     f"funding_rounds AS ({FUNDING_ROUNDS_SQL}),\n"
     f"investments AS ({INVESTMENTS_SQL}),\n"
     f"prospects AS ({PROSPECTS_SQL}),\n"
-    f"predictions AS ({PREDICTIONS_SQL})"
+    f"predictions AS ({PREDICTIONS_SQL}),\n"
+    f"generic_extract AS ({GENERIC_EXTRACT_SQL})"
 )

@@ -29,6 +29,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
     )
     if schema is not None:
         r = r.schema(schema)
@@ -41,6 +43,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        (w.option("header", True).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
