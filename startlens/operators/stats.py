@@ -69,7 +69,9 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"__{c}_pt").over(prior_w), F.lit(0)).alias(f"__{c}_off") for c in sum_cols],
         *[F.sum(f"__{c}_pt").over(total_w).alias(f"{c}_total") for c in sum_cols],
     )
-    out = local.join(offsets, ["__pid", *groups])
+    # NULL is a group of its own: join null-safely on the group keys.
+    cond = [local["__pid"] == offsets["__pid"]] + [local[g].eqNullSafe(offsets[g]) for g in groups]
+    out = local.join(offsets, cond).drop(offsets["__pid"], *[offsets[g] for g in groups])
     out = out.withColumns({f"{c}_before": F.col(f"__{c}_off") + F.col(f"__{c}_loc") for c in sum_cols})
     return out.drop("__pid", *[f"__{c}_{s}" for c in sum_cols for s in ("loc", "off")])
 

@@ -386,6 +386,38 @@ def _pfmt(expr: str, digits: int) -> str:
     return f"printf('%.{digits}f', round_even(({expr}) * {D(float(f))}, 0) / {D(float(f))})"
 
 
+def _prospect_par(i: int) -> str:
+    pp = _P.PROSPECT_STAGE_PARAMS
+    fb = pp[_P.PROSPECT_FALLBACK_STAGE]
+    return O.case_map("stage", {k: v[i] for k, v in pp.items()}, fb[i], as_double=True)
+
+
+def _prospect_kpi_ctes(src: str) -> str:
+    """CTEs p3..p6 computing the prospect KPIs and score from ``src``."""
+    par = _prospect_par
+    return f"""p3 AS (SELECT *, greatest(1, {_P.PROSPECT_CURRENT_YEAR} - founded_year) AS age,
+  funding_amount * {par(1)} AS estimated_revenue, funding_amount / {par(0)} AS monthly_burn, {par(2)} AS r40b, {par(3)} AS w FROM {src}),
+p4 AS (SELECT *, least({D(1.0)}, CASE WHEN funding_amount > 0 THEN estimated_revenue / funding_amount ELSE {D(0.0)} END) AS capital_efficiency,
+  least({D(24.0)}, CASE WHEN monthly_burn > 0 THEN (funding_amount * {D(0.5)}) / monthly_burn ELSE {D(0.0)} END) AS runway_months,
+  least({D(10.0)}, greatest({D(0.3)}, CASE WHEN estimated_revenue > 0 THEN (monthly_burn * 12) / estimated_revenue ELSE {D(10.0)} END)) AS burn_multiple,
+  least({D(100.0)}, (log10(greatest({D(float(_P.PROSPECT_MIN_FUNDING_FOR_LOG))}, funding_amount)) * investors_count * w) / age) AS traction_index FROM p3),
+p5 AS (SELECT *, greatest({D(0.0)}, least({D(150.0)}, r40b + (capital_efficiency - {D(0.30)}) * 50)) AS rule_of_40 FROM p4),
+p6 AS (SELECT *, least({D(100.0)}, rule_of_40) * {D(0.25)} + traction_index * {D(0.25)} + capital_efficiency * 100 * {D(0.20)}
+  + least({D(100.0)}, CASE WHEN burn_multiple > 0 THEN ({D(1.0)} / burn_multiple) * 50 ELSE {D(0.0)} END) * {D(0.15)}
+  + (runway_months / 24) * 100 * {D(0.15)} AS investment_score FROM p5)"""
+
+
+def _prospect_input_ctes() -> str:
+    d = _P.PROSPECT_DEFAULTS
+    return f"""p0 AS (SELECT prospect_id, CAST(funding_amount AS DOUBLE) AS funding_amount, coalesce(stage, {O.q(d['stage'])}) AS stage,
+  coalesce(sector, {O.q(d['sector'])}) AS sector, coalesce(country, {O.q(d['country'])}) AS country,
+  coalesce(CAST(investors_count AS INT), {d['investors_count']}) AS investors_count,
+  coalesce(CAST(founded_year AS INT), {d['founded_year']}) AS founded_year FROM prospects),
+p1 AS (SELECT prospect_id, funding_amount, trim(stage) AS stage,
+  CASE WHEN lower(trim(sector)) = '' THEN 'other' ELSE lower(trim(sector)) END AS sector,
+  CASE WHEN upper(trim(country)) = '' THEN 'USA' ELSE upper(trim(country)) END AS country, investors_count, founded_year FROM p0)"""
+
+
 def _prospect_sql() -> str:
     d = _P.PROSPECT_DEFAULTS
     pp = _P.PROSPECT_STAGE_PARAMS
@@ -439,16 +471,8 @@ p2 AS (SELECT *, concat_ws('; ',
     CASE WHEN NOT coalesce(stage IN ({stages}), false) THEN {O.q(X.REJECT_STAGE)} END,
     CASE WHEN NOT coalesce(investors_count >= 0, false) THEN {O.q(X.REJECT_INVESTORS)} END,
     CASE WHEN NOT coalesce(founded_year BETWEEN {lo} AND {hi}, false) THEN {O.q(X.REJECT_YEAR)} END) AS reject_reasons FROM p1),
-p3 AS (SELECT *, reject_reasons = '' AS is_valid, greatest(1, {_P.PROSPECT_CURRENT_YEAR} - founded_year) AS age,
-  funding_amount * {par(1)} AS estimated_revenue, funding_amount / {par(0)} AS monthly_burn, {par(2)} AS r40b, {par(3)} AS w FROM p2),
-p4 AS (SELECT *, least({D(1.0)}, CASE WHEN funding_amount > 0 THEN estimated_revenue / funding_amount ELSE {D(0.0)} END) AS capital_efficiency,
-  least({D(24.0)}, CASE WHEN monthly_burn > 0 THEN (funding_amount * {D(0.5)}) / monthly_burn ELSE {D(0.0)} END) AS runway_months,
-  least({D(10.0)}, greatest({D(0.3)}, CASE WHEN estimated_revenue > 0 THEN (monthly_burn * 12) / estimated_revenue ELSE {D(10.0)} END)) AS burn_multiple,
-  least({D(100.0)}, (log10(greatest({D(float(_P.PROSPECT_MIN_FUNDING_FOR_LOG))}, funding_amount)) * investors_count * w) / age) AS traction_index FROM p3),
-p5 AS (SELECT *, greatest({D(0.0)}, least({D(150.0)}, r40b + (capital_efficiency - {D(0.30)}) * 50)) AS rule_of_40 FROM p4),
-p6 AS (SELECT *, least({D(100.0)}, rule_of_40) * {D(0.25)} + traction_index * {D(0.25)} + capital_efficiency * 100 * {D(0.20)}
-  + least({D(100.0)}, CASE WHEN burn_multiple > 0 THEN ({D(1.0)} / burn_multiple) * 50 ELSE {D(0.0)} END) * {D(0.15)}
-  + (runway_months / 24) * 100 * {D(0.15)} AS investment_score FROM p5),
+p2b AS (SELECT *, reject_reasons = '' AS is_valid FROM p2),
+{_prospect_kpi_ctes('p2b')},
 p7 AS (SELECT *, concat_ws('; ', {strengths}) AS strengths, concat_ws('; ', {concerns}) AS concerns FROM p6)
 SELECT {_sel(kinds)} FROM p7"""
 
@@ -755,3 +779,160 @@ def generic_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
     TB.write_table(fixtures.generic_extract(spark, sf_dir), path, fmt="csv")
     raw = TB.read_csv(spark, path)
     return tidy(CL.standardize_startups(raw, filter_funded=True))
+
+
+# ---------------------------------------------------------------------------
+# Analyses described beside the method -- D8-D11, D13-D15, D17, D18
+# ---------------------------------------------------------------------------
+
+from startlens.operators import analysis as AN  # noqa: E402
+from startlens.operators import kpi as K  # noqa: E402
+from startlens.operators import report as RP  # noqa: E402
+
+TIME_SPLIT_CUTOFF = 1995  # test companies are founded 1980-2000
+
+
+@register(
+    "stage_baseline",
+    f"WITH {_SPLIT_CTE}, tr AS (SELECT stage, avg(CAST(success AS DOUBLE)) AS r, avg(funding_amount) AS mf, count(*) AS n "
+    "FROM s WHERE NOT is_test GROUP BY stage), ov AS (SELECT avg(CAST(success AS DOUBLE)) AS o FROM s WHERE NOT is_test) "
+    "SELECT CAST(s.id AS BIGINT) AS id, s.stage, CAST(s.success AS BIGINT) AS label, round(coalesce(tr.r, ov.o), 6) AS baseline_probability, "
+    "round(tr.r, 6) AS stage_success_rate, round(tr.mf, 2) AS stage_mean_funding, CAST(tr.n AS BIGINT) AS stage_train_rows "
+    "FROM s LEFT JOIN tr ON s.stage IS NOT DISTINCT FROM tr.stage CROSS JOIN ov WHERE s.is_test",
+)
+def stage_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = ML.label_outcomes(startups.scored_companies(spark, sf_dir)).withColumn("is_test", ML.split_column("id", 42, 0.2))
+    out = AN.stage_baseline(lab.where(~F.col("is_test")), lab.where(F.col("is_test")))
+    out = out.select("id", "stage", F.col("label").cast("long").alias("label"), "baseline_probability", "stage_success_rate",
+                     "stage_mean_funding", "stage_train_rows")
+    return tidy(out, overrides={"stage_mean_funding": 2})
+
+
+@register(
+    "time_split_summary",
+    f"WITH {_LAB_CTE}, t AS (SELECT CASE WHEN founded_year < {TIME_SPLIT_CUTOFF} THEN 'train' WHEN founded_year >= {TIME_SPLIT_CUTOFF} "
+    "THEN 'test' ELSE 'unknown' END AS time_side, success FROM lab WHERE success <> -1) "
+    "SELECT time_side, CAST(success AS BIGINT) AS success, CAST(count(*) AS BIGINT) AS companies FROM t GROUP BY time_side, success",
+)
+def time_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = AN.time_split(ML.label_outcomes(startups.scored_companies(spark, sf_dir)), TIME_SPLIT_CUTOFF)
+    return tidy(lab.groupBy("time_side", "success").agg(F.count(F.lit(1)).alias("companies")))
+
+
+@register(
+    "investor_imputation",
+    f"WITH {O.enrich_ctes()}, m AS (SELECT stage, sector, quantile_cont(investors_count, 0.5) AS med FROM enr "
+    "WHERE investors_count IS NOT NULL GROUP BY stage, sector) "
+    "SELECT CAST(e.id AS BIGINT) AS id, e.stage, e.sector, CAST(e.investors_count AS BIGINT) AS investors_count, "
+    "round(coalesce(CAST(e.investors_count AS DOUBLE), m.med), 6) AS investors_count_imputed "
+    "FROM enr e LEFT JOIN m ON e.stage IS NOT DISTINCT FROM m.stage AND e.sector IS NOT DISTINCT FROM m.sector",
+)
+def investor_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = startups.enriched_companies(spark, sf_dir).select("id", "stage", "sector", "investors_count")
+    return tidy(AN.impute_group_median(e, "investors_count", ["stage", "sector"]))
+
+
+def _sensitivity_sql() -> str:
+    vals = ", ".join(f"({O.q(n)}, {D(float(f))}, {int(d)})" for n, f, d in AN.SCENARIOS)
+    kinds = {"prospect_id": "i", "scenario": "s", "funding_amount": "d", "investors_count": "i", "capital_efficiency": "d",
+             "runway_months": "d", "burn_multiple": "d", "traction_index": "d", "rule_of_40": "d", "investment_score": "d"}
+    return (
+        f"WITH {fixtures.FIXTURE_CTES}, {_prospect_input_ctes()}, "
+        f"sc(scenario, f, dlt) AS (VALUES {vals}), "
+        "px AS (SELECT p1.prospect_id, sc.scenario, p1.funding_amount * sc.f AS funding_amount, p1.stage, p1.sector, p1.country, "
+        "p1.investors_count + sc.dlt AS investors_count, p1.founded_year FROM p1 CROSS JOIN sc), "
+        f"{_prospect_kpi_ctes('px')} SELECT {_sel(kinds)} FROM p6"
+    )
+
+
+@register("prospect_sensitivity", _sensitivity_sql())
+def prospect_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = X.normalize_inputs(X.apply_defaults(fixtures.prospects(spark, sf_dir)))
+    out = AN.sensitivity(base)
+    return tidy(out.select("prospect_id", "scenario", "funding_amount", "investors_count", "capital_efficiency", "runway_months",
+                           "burn_multiple", "traction_index", "rule_of_40", "investment_score"))
+
+
+@register(
+    "sector_normalized_funding",
+    f"WITH {O.enrich_ctes()}, b AS (SELECT *, min(funding_amount) OVER (PARTITION BY sector) AS lo, "
+    "max(funding_amount) OVER (PARTITION BY sector) AS hi FROM enr) "
+    "SELECT CAST(id AS BIGINT) AS id, sector, round(funding_amount, 6) AS funding_amount, "
+    f"round(CASE WHEN hi = lo THEN CASE WHEN funding_amount IS NOT NULL THEN {D(50.0)} END "
+    "ELSE (funding_amount - lo) / (hi - lo) * 100 END, 6) AS funding_amount_sector_norm FROM b",
+)
+def sector_normalized_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = startups.enriched_companies(spark, sf_dir).select("id", "sector", "funding_amount")
+    return tidy(AN.within_group_minmax(e, "funding_amount", "sector"))
+
+
+@register(
+    "kpi_bands",
+    f"WITH {O.kpi_ctes()} SELECT CAST(id AS BIGINT) AS id, "
+    "CASE WHEN capital_efficiency > 1.0 THEN 'excellent' WHEN capital_efficiency >= 0.5 THEN 'good' WHEN capital_efficiency >= 0.2 "
+    "THEN 'acceptable' WHEN capital_efficiency IS NOT NULL THEN 'low' END AS capital_efficiency_band, "
+    "CASE WHEN burn_multiple < 1.0 THEN 'excellent' WHEN burn_multiple <= 1.5 THEN 'good' WHEN burn_multiple <= 3.0 THEN 'moderate' "
+    "WHEN burn_multiple IS NOT NULL THEN 'concerning' END AS burn_multiple_band, "
+    "CASE WHEN rule_of_40 >= 40 THEN 'excellent' WHEN rule_of_40 >= 30 THEN 'good' WHEN rule_of_40 >= 20 THEN 'acceptable' "
+    "WHEN rule_of_40 IS NOT NULL THEN 'concerning' END AS rule_of_40_band, "
+    "CASE WHEN traction_index >= 60 THEN 'exceptional' WHEN traction_index >= 40 THEN 'strong' WHEN traction_index >= 20 THEN 'moderate' "
+    "WHEN traction_index IS NOT NULL THEN 'early' END AS traction_band FROM kpis",
+)
+def kpi_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = K.kpi_bands(startups.companies_with_kpis(spark, sf_dir))
+    return tidy(k.select("id", "capital_efficiency_band", "burn_multiple_band", "rule_of_40_band", "traction_band"))
+
+
+def _dist_sql() -> str:
+    parts = [
+        ("entity_type", "objects", "entity_type"),
+        ("status", "enr", "status"),
+        ("stage", "enr", "stage"),
+        ("country", "enr", "country"),
+    ]
+    sel = " UNION ALL ".join(
+        f"SELECT '{dim}' AS dimension, CAST({col} AS VARCHAR) AS value, count(*) AS companies, "
+        f"CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM {tab}) AS share FROM {tab} GROUP BY {col}"
+        for dim, tab, col in parts
+    )
+    return (f"WITH {O.enrich_ctes()}, d AS ({sel}) SELECT dimension, value, CAST(companies AS BIGINT) AS companies, "
+            "round(share, 6) AS share FROM d")
+
+
+@register("distributions", _dist_sql())
+def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value counts and shares of entity type, status, stage, country."""
+    objs = fixtures.objects(spark, sf_dir)
+    enr = startups.enriched_companies(spark, sf_dir)
+    parts = [("entity_type", objs), ("status", enr), ("stage", enr), ("country", enr)]
+    out = None
+    for dim, df in parts:
+        d = RP.distribution(df, dim).select(F.lit(dim).alias("dimension"), F.col(dim).cast("string").alias("value"), "companies", "share")
+        out = d if out is None else out.unionByName(d)
+    return tidy(out)
+
+
+def _pivot_sql() -> str:
+    from startlens.functions import params as P
+
+    cols = ", ".join(f'CAST(count(*) FILTER (WHERE stage = {O.q(s)}) AS BIGINT) AS "{s}"' for s in P.STAGE_PARAMS)
+    return f"WITH {O.enrich_ctes()} SELECT sector, {cols} FROM enr GROUP BY sector"
+
+
+@register("sector_stage_matrix", _pivot_sql())
+def sector_stage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies per sector x stage (heat-map data)."""
+    return tidy(AN.pivot_counts(startups.enriched_companies(spark, sf_dir), "sector", "stage"))
+
+
+@register(
+    "alternative_labels",
+    f"WITH {O.enrich_ctes()} SELECT CAST(id AS BIGINT) AS id, "
+    "CAST(coalesce(stage IN ('Series B', 'Series C', 'Series D+'), false) AS VARCHAR) AS reached_series_b, "
+    "CAST(coalesce(funding_amount > 10000000, false) AS VARCHAR) AS raised_over_10m FROM enr",
+)
+def alternative_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = AN.alternative_labels(startups.enriched_companies(spark, sf_dir)).select(
+        "id", F.col("reached_series_b").cast("string").alias("reached_series_b"),
+        F.col("raised_over_10m").cast("string").alias("raised_over_10m"))
+    return tidy(out)
