@@ -9,6 +9,7 @@ missing values behaves in the published method.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -70,12 +71,27 @@ def py_title(c: str | Column) -> Column:
     return F.when(col(c).isNotNull(), F.array_join(titled, ""))
 
 
+def _sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    return repr(v)
+
+
+@functools.lru_cache(maxsize=256)
+def _map_expr(items: tuple) -> str:
+    return "map(" + ", ".join(f"{_sql_literal(k)}, {_sql_literal(v)}" for k, v in items) + ")"
+
+
 def literal_map(mapping: Mapping) -> Column:
-    """A constant ``map<k, v>`` literal (folded by Catalyst, no join)."""
-    kv = []
-    for k, v in mapping.items():
-        kv += [F.lit(k), F.lit(v)]
-    return F.create_map(*kv)
+    """A constant ``map<k, v>`` literal (folded by Catalyst, no join).
+
+    Built from one SQL literal so the driver makes a single call per use.
+    """
+    return F.expr(_map_expr(tuple(mapping.items())))
 
 
 def lookup(mapping: Mapping, key: str | Column, default=None) -> Column:

@@ -135,15 +135,26 @@ def calculate_all_kpis(
     traction_bounds_override: tuple[float, float] | None = None,
 ) -> DataFrame:
     """K8: revenue, capital efficiency, burn, runway, burn multiple,
-    traction, Rule of 40 (in that order)."""
-    out = estimate_revenue(df)
-    out = capital_efficiency(out)
-    out = burn_rate(out)
-    out = runway(out)
-    out = burn_multiple(out)
+    traction, Rule of 40 -- the same formulas as the single-KPI operators
+    above, added in three projection levels (each level only uses columns
+    of the previous ones)."""
+    f = F.col("funding_amount")
+    out = df.withColumns(
+        {
+            "estimated_revenue": f * revenue_multiple(),
+            "monthly_burn": f / burn_months(),
+        }
+    )
+    out = out.withColumns(
+        {
+            "capital_efficiency": safe_div("estimated_revenue", "funding_amount"),
+            "runway_months": safe_div(f * F.lit(P.CASH_SHARE_OF_FUNDING), "monthly_burn"),
+            "burn_multiple": clip(safe_div(F.col("monthly_burn") * 12, "estimated_revenue"), hi=P.BURN_MULTIPLE_CAP),
+        }
+    )
     out = traction_index(out, snapshot_year, traction_bounds_override)
     out = rule_of_40(out)
-    return out
+    return out.select(*df.columns, *KPI_COLUMNS)
 
 
 def kpi_bands(df: DataFrame) -> DataFrame:

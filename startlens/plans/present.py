@@ -9,7 +9,6 @@ text. The SQL oracle applies the same rules.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -17,13 +16,15 @@ def tidy(df: DataFrame, digits: int = 6, overrides: dict[str, int] | None = None
     overrides = overrides or {}
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        q = "`" + f.name.replace("`", "``") + "`"
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), overrides.get(f.name, digits))
+            e = f"round(CAST({q} AS DOUBLE), {overrides.get(f.name, digits)})"
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
-            c = c.cast("long")
+            e = f"CAST({q} AS BIGINT)"
         elif isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            c = c.cast("string")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            e = f"CAST({q} AS STRING)"
+        else:
+            e = q
+        out.append(f"{e} AS {q}")
+    return df.selectExpr(*out)

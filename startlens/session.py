@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,11 +47,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing ``df`` once as parquet in the shared
+    checkpoint folder and reading it back.
 
-    Survives executor loss (unlike local checkpoints or cache): the data is
-    written to ``spark.checkpoint.dir`` and read back from there.
+    Unlike ``Dataset.checkpoint`` (which computes an uncached plan twice:
+    once to count, once to write) this computes the plan once; the copy is
+    columnar, so later scans prune columns and push filters; and it lives
+    in the shared ``spark.checkpoint.dir``, so it survives executor loss
+    (never a local checkpoint or a machine-local folder).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

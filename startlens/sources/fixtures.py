@@ -1,208 +1,142 @@
 """Domain tables built from the provided TPC-H-style test tables.
 
 These builders only shape rows into the schemas the operators expect
-(companies, funding rounds, investments, prospects, scored predictions) and
-inject NULLs, invalid dates and unmapped values with fixed arithmetic on the
-keys, so that every null path of the operators is exercised. They do none of
-the operators' work; the operators take nothing from how the rows are made.
-
-Each builder has a Spark DataFrame form (used by the queries) and an SQL
-text form (``*_SQL``) that DuckDB runs as a CTE inside ``oracle_sql()``.
+(companies, funding rounds, investments, prospects, scored predictions, a
+raw text extract) and inject NULLs, invalid dates, padding and unmapped
+values with fixed arithmetic on the keys, so that every null path of the
+operators is exercised. They do none of the operators' work; the operators
+take nothing from how the rows are made.
+
+Each table is one list of SQL expressions, parsed by both engines: Spark
+applies it with ``selectExpr`` on the pruned parquet scans, and
+``oracle_sql()`` runs the same text in DuckDB as a CTE. One definition, so
+the stand-in input cannot drift between the two sides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from startlens.sources.tables import read_table
 
 SNAPSHOT_YEAR_FIXTURE = 2001  # test orders end 2001-08-01
 
-_ROUND_TYPES = [
-    "seed", "angel", "series-a", " Series-A+ ", "series-b", "series-b+",
-    "series-c", "series-c+", "series-d", "series-e", "series-f", "series-g",
-    "VENTURE", "private-equity", "crowdfunding",
+OBJECTS_COLS = [
+    "c_custkey AS id",
+    "CASE WHEN c_custkey % 25 = 24 THEN 'Person' ELSE 'Company' END AS entity_type",
+    "c_name AS name",
+    "CASE WHEN c_custkey % 19 = 5 THEN NULL ELSE lower(c_mktsegment) END AS category_code",
+    "CASE WHEN c_custkey % 23 = 7 THEN NULL ELSE n_name END AS country_code",
+    "CASE WHEN c_custkey % 4 = 1 THEN NULL WHEN c_custkey % 97 = 14 THEN '1999-02-30' "
+    "ELSE concat(CAST(1980 + c_custkey % 21 AS STRING), '-06-01') END AS founded_at",
+    "CASE WHEN c_custkey % 41 = 3 THEN NULL ELSE c_acctbal * 5000 END AS funding_total_usd",
+    "CASE WHEN c_custkey % 5 < 3 THEN 'operating' WHEN c_acctbal + (c_custkey % 7) * 600 > 5600 "
+    "THEN CASE WHEN c_custkey % 6 = 0 THEN 'ipo' ELSE 'acquired' END ELSE 'closed' END AS status",
+]
+
+ROUNDS_COLS = [
+    "o_orderkey AS round_id",
+    "o_custkey AS object_id",
+    "CASE o_orderkey % 16 WHEN 0 THEN 'seed' WHEN 1 THEN 'angel' WHEN 2 THEN 'series-a' WHEN 3 THEN ' Series-A+ ' "
+    "WHEN 4 THEN 'series-b' WHEN 5 THEN 'series-b+' WHEN 6 THEN 'series-c' WHEN 7 THEN 'series-c+' "
+    "WHEN 8 THEN 'series-d' WHEN 9 THEN 'series-e' WHEN 10 THEN 'series-f' WHEN 11 THEN 'series-g' "
+    "WHEN 12 THEN 'VENTURE' WHEN 13 THEN 'private-equity' WHEN 14 THEN 'crowdfunding' ELSE NULL END AS funding_round_type",
+    "CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS funded_at",
+]
+ROUNDS_WHERE = "o_custkey % 9 <> 4"
+
+INVESTMENTS_COLS = [
+    "o_custkey AS funded_object_id",
+    "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_suppkey END AS investor_object_id",
+]
+INVESTMENTS_WHERE = "o_custkey % 3 <> 0"
+
+PROSPECTS_COLS = [
+    "c_custkey AS prospect_id",
+    "c_acctbal * 2000 AS funding_amount",
+    "CASE c_custkey % 8 WHEN 0 THEN 'Seed' WHEN 1 THEN 'Angel' WHEN 2 THEN 'Series A' WHEN 3 THEN 'Series B' "
+    "WHEN 4 THEN 'Series C' WHEN 5 THEN 'Series D+' WHEN 6 THEN 'Pre-Seed' ELSE NULL END AS stage",
+    "lower(c_mktsegment) AS sector",
+    "n_name AS country",
+    "CASE WHEN c_custkey % 17 = 2 THEN NULL ELSE CAST(c_custkey % 12 - 1 AS INT) END AS investors_count",
+    "CAST(1985 + c_custkey % 45 AS INT) AS founded_year",
 ]
 
+PREDICTIONS_COLS = [
+    "doc_id",
+    "quality AS label",
+    "CAST(n_chars % 1000 AS DOUBLE) / 1000 AS score",
+]
 
-def _mod(c: str, m: int) -> Column:
-    return F.col(c) % F.lit(m)
+GENERIC_EXTRACT_COLS = [
+    "CAST(id AS STRING) AS id",
+    "entity_type",
+    "name",
+    "CASE id % 11 WHEN 0 THEN 'seed' WHEN 1 THEN 'Series A' WHEN 2 THEN ' series b ' WHEN 3 THEN 'SERIES C' "
+    "WHEN 4 THEN 'series e' WHEN 5 THEN 'pre-seed' WHEN 6 THEN 'series-g' WHEN 7 THEN '' WHEN 8 THEN 'growth equity' "
+    "WHEN 9 THEN 'Angel' ELSE NULL END AS stage",
+    "category_code",
+    "CASE WHEN id % 2 = 0 THEN concat('industry_', CAST(id % 3 AS STRING)) END AS industry",
+    "country_code",
+    "CASE WHEN id % 37 = 5 THEN 'n/a' ELSE CAST(funding_total_usd AS STRING) END AS funding_total_usd",
+    "CASE WHEN id % 13 = 0 THEN '' ELSE CAST(id % 9 AS STRING) END AS participants",
+    "founded_at",
+    "status",
+]
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
-    j = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    k = "c_custkey"
-    return j.select(
-        F.col(k).alias("id"),
-        F.when(_mod(k, 25) == 24, "Person").otherwise("Company").alias("entity_type"),
-        F.col("c_name").alias("name"),
-        F.when(_mod(k, 19) == 5, F.lit(None)).otherwise(F.lower("c_mktsegment")).alias("category_code"),
-        F.when(_mod(k, 23) == 7, F.lit(None)).otherwise(F.col("n_name")).alias("country_code"),
-        F.when(_mod(k, 4) == 1, F.lit(None))
-        .when(_mod(k, 97) == 14, F.lit("1999-02-30"))
-        .otherwise(F.concat((F.lit(1980) + _mod(k, 21)).cast("string"), F.lit("-06-01")))
-        .alias("founded_at"),
-        F.when(_mod(k, 41) == 3, F.lit(None)).otherwise(F.col("c_acctbal") * 5000).alias("funding_total_usd"),
-        F.when(_mod(k, 5) < 3, "operating")
-        .when(
-            F.col("c_acctbal") + _mod(k, 7) * 600 > 5600,
-            F.when(_mod(k, 6) == 0, "ipo").otherwise("acquired"),
-        )
-        .otherwise("closed")
-        .alias("status"),
-    )
+    return cust.join(nation, cust["c_nationkey"] == nation["n_nationkey"]).selectExpr(*OBJECTS_COLS)
 
 
 def funding_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
-    k = "o_orderkey"
-    rtype = F.lit(None).cast("string")
-    for i in reversed(range(len(_ROUND_TYPES))):
-        rtype = F.when(_mod(k, 16) == i, F.lit(_ROUND_TYPES[i])).otherwise(rtype)
-    return o.where(_mod("o_custkey", 9) != 4).select(
-        F.col(k).alias("round_id"),
-        F.col("o_custkey").alias("object_id"),
-        rtype.alias("funding_round_type"),
-        F.when(_mod(k, 53) == 0, F.lit(None).cast("date")).otherwise(F.col("o_orderdate").cast("date")).alias("funded_at"),
-    )
+    return o.where(ROUNDS_WHERE).selectExpr(*ROUNDS_COLS)
 
 
 def investments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_linenumber"])
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
-    j = li.join(o.where(_mod("o_custkey", 3) != 0), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select(
-        F.col("o_custkey").alias("funded_object_id"),
-        F.when(F.col("l_linenumber") == 7, F.lit(None)).otherwise(F.col("l_suppkey")).alias("investor_object_id"),
-    )
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"]).where(INVESTMENTS_WHERE)
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).selectExpr(*INVESTMENTS_COLS)
 
 
 def prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
-    j = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    k = "c_custkey"
-    stages = ["Seed", "Angel", "Series A", "Series B", "Series C", "Series D+", "Pre-Seed"]
-    stage = F.lit(None).cast("string")
-    for i in reversed(range(len(stages))):
-        stage = F.when(_mod(k, 8) == i, F.lit(stages[i])).otherwise(stage)
-    return j.select(
-        F.col(k).alias("prospect_id"),
-        (F.col("c_acctbal") * 2000).alias("funding_amount"),
-        stage.alias("stage"),
-        F.lower("c_mktsegment").alias("sector"),
-        F.col("n_name").alias("country"),
-        F.when(_mod(k, 17) == 2, F.lit(None).cast("int")).otherwise((_mod(k, 12) - 1).cast("int")).alias("investors_count"),
-        (F.lit(1985) + _mod(k, 45)).cast("int").alias("founded_year"),
-    )
+    return cust.join(nation, cust["c_nationkey"] == nation["n_nationkey"]).selectExpr(*PROSPECTS_COLS)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, label, score) rows for the metric operators."""
     lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
-    j = lab.join(docs, "doc_id")
-    return j.select(
-        "doc_id",
-        F.col("quality").alias("label"),
-        ((F.col("n_chars") % 1000).cast("double") / 1000).alias("score"),
-    )
-
-
-_GENERIC_STAGES = ["seed", "Series A", " series b ", "SERIES C", "series e", "pre-seed", "series-g", "", "growth equity", "Angel"]
+    return lab.join(docs, "doc_id").selectExpr(*PREDICTIONS_COLS)
 
 
 def generic_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An all-text company extract with alternative column names (name,
     category_code + industry, country_code, funding_total_usd text with
     junk, participants text with blanks, founded_at) and raw stage text."""
-    o = objects(spark, sf_dir)
-    k = "id"
-    stage = F.lit(None).cast("string")
-    for i in reversed(range(len(_GENERIC_STAGES))):
-        stage = F.when(_mod(k, 11) == i, F.lit(_GENERIC_STAGES[i])).otherwise(stage)
-    return o.select(
-        F.col("id").cast("string").alias("id"),
-        "entity_type",
-        "name",
-        stage.alias("stage"),
-        "category_code",
-        F.when(_mod(k, 2) == 0, F.concat(F.lit("industry_"), _mod(k, 3).cast("string"))).alias("industry"),
-        "country_code",
-        F.when(_mod(k, 37) == 5, F.lit("n/a")).otherwise(F.col("funding_total_usd").cast("string")).alias("funding_total_usd"),
-        F.when(_mod(k, 13) == 0, F.lit("")).otherwise(_mod(k, 9).cast("string")).alias("participants"),
-        "founded_at",
-        "status",
-    )
+    return objects(spark, sf_dir).selectExpr(*GENERIC_EXTRACT_COLS)
 
 
 # ---------------------------------------------------------------------------
-# SQL forms for the DuckDB oracle (CTE bodies).
+# The same definitions as DuckDB CTE bodies.
 # ---------------------------------------------------------------------------
 
-OBJECTS_SQL = """
-SELECT c_custkey AS id,
-  CASE WHEN c_custkey % 25 = 24 THEN 'Person' ELSE 'Company' END AS entity_type,
-  c_name AS name,
-  CASE WHEN c_custkey % 19 = 5 THEN NULL ELSE lower(c_mktsegment) END AS category_code,
-  CASE WHEN c_custkey % 23 = 7 THEN NULL ELSE n_name END AS country_code,
-  CASE WHEN c_custkey % 4 = 1 THEN NULL WHEN c_custkey % 97 = 14 THEN '1999-02-30'
-       ELSE concat(CAST(1980 + c_custkey % 21 AS VARCHAR), '-06-01') END AS founded_at,
-  CASE WHEN c_custkey % 41 = 3 THEN NULL ELSE c_acctbal * 5000 END AS funding_total_usd,
-  CASE WHEN c_custkey % 5 < 3 THEN 'operating'
-       WHEN c_acctbal + (c_custkey % 7) * 600 > 5600
-         THEN CASE WHEN c_custkey % 6 = 0 THEN 'ipo' ELSE 'acquired' END
-       ELSE 'closed' END AS status
-FROM customer JOIN nation ON c_nationkey = n_nationkey
-"""
+def _sql(cols: list[str], src: str, where: str | None = None) -> str:
+    w = f" WHERE {where}" if where else ""
+    return f"SELECT {', '.join(cols)} FROM {src}{w}"
 
-FUNDING_ROUNDS_SQL = """
-SELECT o_orderkey AS round_id, o_custkey AS object_id,
-  CASE o_orderkey % 16 WHEN 0 THEN 'seed' WHEN 1 THEN 'angel' WHEN 2 THEN 'series-a' WHEN 3 THEN ' Series-A+ '
-    WHEN 4 THEN 'series-b' WHEN 5 THEN 'series-b+' WHEN 6 THEN 'series-c' WHEN 7 THEN 'series-c+'
-    WHEN 8 THEN 'series-d' WHEN 9 THEN 'series-e' WHEN 10 THEN 'series-f' WHEN 11 THEN 'series-g'
-    WHEN 12 THEN 'VENTURE' WHEN 13 THEN 'private-equity' WHEN 14 THEN 'crowdfunding' ELSE NULL END AS funding_round_type,
-  CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS funded_at
-FROM orders WHERE o_custkey % 9 <> 4
-"""
 
-INVESTMENTS_SQL = """
-SELECT o_custkey AS funded_object_id,
-  CASE WHEN l_linenumber = 7 THEN NULL ELSE l_suppkey END AS investor_object_id
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 <> 0
-"""
-
-PROSPECTS_SQL = """
-SELECT c_custkey AS prospect_id, c_acctbal * 2000 AS funding_amount,
-  CASE c_custkey % 8 WHEN 0 THEN 'Seed' WHEN 1 THEN 'Angel' WHEN 2 THEN 'Series A' WHEN 3 THEN 'Series B'
-    WHEN 4 THEN 'Series C' WHEN 5 THEN 'Series D+' WHEN 6 THEN 'Pre-Seed' ELSE NULL END AS stage,
-  lower(c_mktsegment) AS sector, n_name AS country,
-  CASE WHEN c_custkey % 17 = 2 THEN NULL ELSE CAST(c_custkey % 12 - 1 AS INT) END AS investors_count,
-  CAST(1985 + c_custkey % 45 AS INT) AS founded_year
-FROM customer JOIN nation ON c_nationkey = n_nationkey
-"""
-
-PREDICTIONS_SQL = """
-SELECT l.doc_id, l.quality AS label, CAST(d.n_chars % 1000 AS DOUBLE) / 1000 AS score
-FROM labels l JOIN documents d ON l.doc_id = d.doc_id
-"""
-
-GENERIC_EXTRACT_SQL = """
-SELECT CAST(id AS VARCHAR) AS id, entity_type, name,
-  CASE id % 11 WHEN 0 THEN 'seed' WHEN 1 THEN 'Series A' WHEN 2 THEN ' series b ' WHEN 3 THEN 'SERIES C'
-    WHEN 4 THEN 'series e' WHEN 5 THEN 'pre-seed' WHEN 6 THEN 'series-g' WHEN 7 THEN '' WHEN 8 THEN 'growth equity'
-    WHEN 9 THEN 'Angel' ELSE NULL END AS stage,
-  category_code,
-  CASE WHEN id % 2 = 0 THEN concat('industry_', CAST(id % 3 AS VARCHAR)) END AS industry,
-  country_code,
-  CASE WHEN id % 37 = 5 THEN 'n/a' ELSE CAST(funding_total_usd AS VARCHAR) END AS funding_total_usd,
-  CASE WHEN id % 13 = 0 THEN '' ELSE CAST(id % 9 AS VARCHAR) END AS participants,
-  founded_at, status
-FROM objects
-"""
+OBJECTS_SQL = _sql(OBJECTS_COLS, "customer JOIN nation ON c_nationkey = n_nationkey")
+FUNDING_ROUNDS_SQL = _sql(ROUNDS_COLS, "orders", ROUNDS_WHERE)
+INVESTMENTS_SQL = _sql(INVESTMENTS_COLS, "lineitem JOIN orders ON l_orderkey = o_orderkey", INVESTMENTS_WHERE)
+PROSPECTS_SQL = _sql(PROSPECTS_COLS, "customer JOIN nation ON c_nationkey = n_nationkey")
+PREDICTIONS_SQL = _sql(PREDICTIONS_COLS, "labels JOIN documents USING (doc_id)")
+GENERIC_EXTRACT_SQL = _sql(GENERIC_EXTRACT_COLS, "objects")
 
 FIXTURE_CTES = (
     f"objects AS ({OBJECTS_SQL}),\n"
