@@ -110,12 +110,35 @@ def when_ladder(pairs, otherwise=None) -> Column:
     return expr
 
 
-def py_format_fixed(c: str | Column, digits: int) -> Column:
-    """Python ``f"{x:.{d}f}"`` (half-to-even on the binary value).
-
-    ``format_number``/``format_string`` round half up; we round first with
-    ``rint`` so that both agree, then print without grouping.
+def py_round_exact(c: str | Column, digits: int) -> Column:
+    """Round to ``digits`` decimals the way Python's ``f"{x:.{d}f}"`` does:
+    half-to-even on the *exact* binary value of x (2.675 -> 2.67, since the
+    stored double is 2.67499...; 0.125 -> 0.12, an exact tie).
+
+    p = fl(x * 10^d) alone can land on a half (2.675 * 100 -> 267.5), so the
+    rounding error e of that product is recovered exactly with Dekker's
+    product (Veltkamp split; doubles only, stays in codegen) and decides
+    which side of the half the exact product lies.
     """
-    f = float(10 ** digits)
-    r = F.rint(col(c) * F.lit(f)) / F.lit(f)
-    return F.format_string(f"%.{digits}f", r)
+    x = col(c)
+    b = float(10 ** digits)
+    split = x * F.lit(134217729.0)  # 2^27 + 1
+    x_hi = split - (split - x)
+    x_lo = x - x_hi
+    p = x * F.lit(b)
+    e = (x_hi * F.lit(b) - p) + x_lo * F.lit(b)
+    fl = F.floor(p).cast("double")
+    on_half = p == fl + F.lit(0.5)
+    odd = F.pmod(fl, F.lit(2.0)) == F.lit(1.0)
+    up = (e > 0) | ((e == 0) & odd)
+    r = F.when(on_half, F.when(up, fl + F.lit(1.0)).otherwise(fl)).otherwise(F.rint(p))
+    # a negative value rounding to zero keeps its sign (-0.5 -> "-0")
+    r = F.when((r == 0) & (x < 0), F.lit(-0.0)).otherwise(r)
+    return r / F.lit(b)
+
+
+def py_format_fixed(c: str | Column, digits: int) -> Column:
+    """Python ``f"{x:.{d}f}"``: exact half-to-even rounding (above), then
+    printing the already-rounded double (Java's formatter rounds half up on
+    the shortest decimal form, so it must not do the rounding)."""
+    return F.format_string(f"%.{digits}f", py_round_exact(c, digits))

@@ -382,8 +382,8 @@ from startlens.operators import prospects as X  # noqa: E402
 
 
 def _pfmt(expr: str, digits: int) -> str:
-    f = 10 ** digits
-    return f"printf('%.{digits}f', round_even(({expr}) * {D(float(f))}, 0) / {D(float(f))})"
+    # DuckDB's printf rounds the exact binary value half-to-even, as Python does
+    return f"printf('%.{digits}f', CAST({expr} AS DOUBLE))"
 
 
 def _prospect_par(i: int) -> str:
