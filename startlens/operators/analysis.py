@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from startlens.functions import params as P
+from startlens.operators.joins import join_group_table
 from startlens.operators.stats import exact_percentiles
 
 
@@ -20,8 +21,9 @@ def stage_baseline(train: DataFrame, test: DataFrame, label: str = "label", stag
     """Naive baseline -- each test company gets its stage's training
     success rate (and mean funding); unknown stages get the overall rate.
 
-    The per-stage table has one row per stage value (left join; AQE
-    broadcasts it when its measured size is small).
+    The per-stage table has one row per stage value; it is broadcast after
+    a size check (``join_group_table``), so a hot stage is never shuffled
+    into one task.
     """
     per = train.groupBy(stage).agg(
         F.avg(F.col(label).cast("double")).alias("stage_success_rate"),
@@ -29,7 +31,7 @@ def stage_baseline(train: DataFrame, test: DataFrame, label: str = "label", stag
         F.count(F.lit(1)).alias("stage_train_rows"),
     )
     overall = train.select(F.avg(F.col(label).cast("double"))).scalar()
-    j = test.join(per, test[stage].eqNullSafe(per[stage]), "left").drop(per[stage])
+    j = join_group_table(test, per, [stage])
     return j.withColumn("baseline_probability", F.coalesce(F.col("stage_success_rate"), overall))
 
 
@@ -48,10 +50,7 @@ def impute_group_median(df: DataFrame, value: str = "investors_count", groups: S
     """
     g = list(groups)
     med = exact_percentiles(df, value, [0.5], g, ["__median"])
-    cond = [df[c].eqNullSafe(med[c]) for c in g]
-    j = df.join(med, cond, "left")
-    for c in g:
-        j = j.drop(med[c])
+    j = join_group_table(df, med, g)
     return j.withColumn(f"{value}_imputed", F.coalesce(F.col(value).cast("double"), F.col("__median"))).drop("__median")
 
 
@@ -90,10 +89,11 @@ def composite_score(rules_score: str = "investment_score", probability: str = "s
 def within_group_minmax(df: DataFrame, value: str, group: str = "sector", out: str | None = None) -> DataFrame:
     """Min-max scale ``value`` to 0-100 within each group (versus the
     global bounds). Group bounds come from a keyed aggregate with map-side
-    combine, joined back on the group key; equal bounds give 50."""
+    combine, joined back on the group key after a size check; equal bounds
+    give 50."""
     out = out or f"{value}_{group}_norm"
     b = df.groupBy(group).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    j = df.join(b, df[group].eqNullSafe(b[group]), "left").drop(b[group])
+    j = join_group_table(df, b, [group])
     lo, hi, v = F.col("__lo"), F.col("__hi"), F.col(value)
     scaled = F.when(hi == lo, F.when(v.isNotNull(), F.lit(50.0))).otherwise((v - lo) / (hi - lo) * 100)
     return j.withColumn(out, scaled).drop("__lo", "__hi")
