@@ -936,3 +936,28 @@ def alternative_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", F.col("reached_series_b").cast("string").alias("reached_series_b"),
         F.col("raised_over_10m").cast("string").alias("raised_over_10m"))
     return tidy(out)
+
+
+# ---------------------------------------------------------------------------
+# Streaming prospect scoring (the interactive loop as a file stream)
+# ---------------------------------------------------------------------------
+
+@register("prospect_stream_scores", ORACLE["prospect_scores"])
+def prospect_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prospect files stream through the scorer (one file per micro-batch,
+    parquet sink, checkpointed); the sink must equal the batch result."""
+    import uuid
+
+    from startlens.session import ensure_checkpoint_dir
+    from startlens.streaming import prospects as SP
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/prospects-{uuid.uuid4().hex}"
+    src = fixtures.prospects(spark, sf_dir)
+    src.repartition(4).write.mode("overwrite").parquet(f"{base}/input")
+    q = SP.start_scoring(spark, f"{base}/input", f"{base}/output", f"{base}/_checkpoint")
+    q.awaitTermination()
+    out = spark.read.schema(SP.score_stream(src).schema).parquet(f"{base}/output")
+    cols = ["prospect_id", "funding_amount", "stage", "sector", "country", "investors_count", "founded_year", "is_valid",
+            "reject_reasons", "age", "estimated_revenue", "capital_efficiency", "monthly_burn", "runway_months", "burn_multiple",
+            "traction_index", "rule_of_40", "investment_score", "strengths", "concerns"]
+    return tidy(out.select(*cols).withColumn("is_valid", F.col("is_valid").cast("string")))
