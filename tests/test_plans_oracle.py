@@ -73,3 +73,23 @@ def test_every_query_has_oracle_or_is_iterative():
     rows_only = set(E.queries()) - set(E.oracle_sql())
     assert rows_only <= {"missingness_test", "chi_square_test", "model_comparison", "best_model_by_metric",
                          "feature_importance", "prospect_predictions"}
+
+
+def test_company_filters_reach_a_stored_table_scan(spark):
+    """On a stored companies table the entity and funding filters are pushed
+    into the parquet scan and only the used columns are read."""
+    import uuid
+
+    from startlens.operators import enrich
+    from startlens.session import ensure_checkpoint_dir
+    from startlens.sources import fixtures
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/test-tables/objects-{uuid.uuid4().hex}"
+    fixtures.objects(spark, SF_SMALL).write.parquet(path)
+    objs = spark.read.parquet(path)
+    df = enrich.enrich_startups(objs, fixtures.funding_rounds(spark, SF_SMALL), fixtures.investments(spark, SF_SMALL))
+    plan = _plan(df)
+    scan = [line for line in plan.split("\n") if "FileScan" in line and "entity_type" in line]
+    assert scan, plan
+    assert "EqualTo(entity_type,Company)" in scan[0]
+    assert "IsNotNull(funding_total_usd)" in scan[0] and "GreaterThan(" in scan[0]
