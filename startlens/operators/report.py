@@ -66,8 +66,14 @@ def kpi_summary(df: DataFrame, kpis: Sequence[str] | None = None, approximate_me
     return moments.join(med, "kpi", "left").select("kpi", "count", "mean", "median", "std", "min", "max")
 
 
-def score_summary(df: DataFrame, score_col: str = "investment_score", approximate: bool = False) -> DataFrame:
-    """A5: mean, median, std, min, q25, q75, max of the score (one row)."""
+def score_summary(df: DataFrame, score_col: str = "investment_score", approximate: bool = False, bounded_grid: bool = True) -> DataFrame:
+    """A5: mean, median, std, min, q25, q75, max of the score (one row).
+
+    The investment score is rounded to 2 decimals within [0, 100] (default
+    weights), so it takes at most 10,001 values: ``bounded_grid`` lets the
+    exact quartiles come from one single-pass aggregate. Pass False for an
+    unbounded score (custom weights, unrounded scores).
+    """
     keyed = df.select(F.lit(score_col).alias("metric"), F.col(score_col).cast("double").alias("value"))
     moments = keyed.groupBy("metric").agg(
         F.count("value").alias("count"),
@@ -76,7 +82,8 @@ def score_summary(df: DataFrame, score_col: str = "investment_score", approximat
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    q = exact_percentiles(keyed, "value", [0.25, 0.5, 0.75], ["metric"], ["q25", "median", "q75"], approximate=approximate)
+    q = exact_percentiles(keyed, "value", [0.25, 0.5, 0.75], ["metric"], ["q25", "median", "q75"], approximate=approximate,
+                          bounded_grid=bounded_grid)
     return moments.join(q, "metric", "left").select("metric", "count", "mean", "median", "std", "min", "q25", "q75", "max")
 
 

@@ -86,10 +86,16 @@ def exact_percentiles(
     names: Sequence[str] | None = None,
     approximate: bool = False,
     num_partitions: int | None = None,
+    bounded_grid: bool = False,
 ) -> DataFrame:
     """One row per group: a column per probability (``names`` or p_<x>).
 
     NULL values are ignored; a group without values gets no row.
+
+    ``bounded_grid``: the caller guarantees the values lie on a small fixed
+    grid (e.g. the investment score: 2 decimals in [0, 100], at most 10,001
+    values). Then Spark's exact single-pass ``percentile`` is safe -- its
+    value -> count map per group is bounded by the grid -- and is used.
     """
     names = list(names) if names else [f"p_{str(p).replace('.', '_')}" for p in probs]
     groups = list(group_cols)
@@ -99,6 +105,8 @@ def exact_percentiles(
         return base.groupBy(*groups).agg(
             *[F.percentile_approx("__v", float(p), 100000).alias(n) for p, n in zip(probs, names)]
         )
+    if bounded_grid:
+        return base.groupBy(*groups).agg(*[F.percentile("__v", float(p)).alias(n) for p, n in zip(probs, names)])
 
     distinct = base.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__c"))
     pos = prefix_sums(distinct, ["__v"], ["__c"], groups, num_partitions)

@@ -95,3 +95,14 @@ def test_pooled_t_and_yates_chi2_against_brute_force(spark):
     got = missing.chi_square_test(df).first()
     assert got.chi2 == pytest.approx(chi2, rel=1e-12)
     assert got.p_value == pytest.approx(chi2_1df_p(chi2))
+
+
+def test_bounded_grid_percentiles_equal_general_path(spark):
+    rnd = random.Random(9)
+    rows = [(g, round(rnd.uniform(0, 100), 2)) for g in ("x", "y") for _ in range(700)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    a = {r.g: (r.p1, r.p2) for r in exact_percentiles(df, "v", [0.25, 0.75], ["g"], ["p1", "p2"]).collect()}
+    b = {r.g: (r.p1, r.p2) for r in exact_percentiles(df, "v", [0.25, 0.75], ["g"], ["p1", "p2"], bounded_grid=True).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], rel=1e-12)
