@@ -91,9 +91,13 @@ def top_n(
     return best.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def lookup_company(df: DataFrame, company: str, company_col: str = "company", order_col: str = "rank") -> DataFrame:
-    """First row matching a company name (lowest rank)."""
-    m = df.where(F.col(company_col) == F.lit(company))
+def lookup_company(df: DataFrame, company: str | Column, company_col: str = "company", order_col: str = "rank") -> DataFrame:
+    """First row matching a company name (lowest rank).
+
+    ``company`` is a name or a column expression (e.g. a scalar subquery).
+    """
+    name = F.lit(company) if isinstance(company, str) else company
+    m = df.where(F.col(company_col) == name)
     if order_col in df.columns:
         m = m.orderBy(F.col(order_col).asc_nulls_last())
     return m.limit(1)

@@ -721,7 +721,8 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prospect_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, save and reload the forest, then score every prospect:
     KPIs (X1), features with the trained encoders (X4), probability (M19),
-    confidence, recommendation, context (X5, X7, X8). Rows-only."""
+    the 40/40/20 composite (D12), confidence, recommendation, context (X5,
+    X7, X8). Rows-only."""
     import uuid
 
     from startlens.session import ensure_checkpoint_dir
@@ -732,9 +733,9 @@ def prospect_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = ML.load_random_forest(path)
     scored = X.score_prospects(fixtures.prospects(spark, sf_dir))
     pred = ML.predict_success(loaded, scored)
-    out = X.with_probability_bands(pred).select(
+    out = X.with_probability_bands(pred).withColumn("composite_score", AN.composite_score()).select(
         "prospect_id", "stage", "sector", "country", "is_valid", "investment_score", "success_probability",
-        "confidence", "recommendation", "percentile_context",
+        "composite_score", "confidence", "recommendation", "percentile_context",
         F.array_join("strengths", "; ").alias("strengths"), F.array_join("concerns", "; ").alias("concerns"),
     )
     return tidy(out)
@@ -744,6 +745,7 @@ def prospect_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Generic loader through a CSV round trip -- S1, S4, P2-P9, F2, F3, F10
 # ---------------------------------------------------------------------------
 
+from startlens.operators import analysis as AN  # noqa: E402
 from startlens.operators import clean as CL  # noqa: E402
 from startlens.sources import tables as TB  # noqa: E402
 
@@ -785,7 +787,6 @@ def generic_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Analyses described beside the method -- D8-D11, D13-D15, D17, D18
 # ---------------------------------------------------------------------------
 
-from startlens.operators import analysis as AN  # noqa: E402
 from startlens.operators import kpi as K  # noqa: E402
 from startlens.operators import report as RP  # noqa: E402
 
@@ -961,3 +962,45 @@ def prospect_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
             "reject_reasons", "age", "estimated_revenue", "capital_efficiency", "monthly_burn", "runway_months", "burn_multiple",
             "traction_index", "rule_of_40", "investment_score", "strengths", "concerns"]
     return tidy(out.select(*cols).withColumn("is_valid", F.col("is_valid").cast("string")))
+
+
+# ---------------------------------------------------------------------------
+# Point lookup and column bounds -- P15, A16
+# ---------------------------------------------------------------------------
+
+from startlens.operators import rank as RK  # noqa: E402
+
+_LOOKUP_KINDS = dict(_RANKED_KINDS)
+
+
+@register(
+    "company_lookup",
+    f"WITH {O.score_ctes()}, r AS (SELECT *, row_number() OVER (ORDER BY investment_score DESC NULLS LAST, id) AS rank FROM scored), "
+    "n AS (SELECT company FROM r WHERE rank = 1), m AS (SELECT * FROM r WHERE company = (SELECT company FROM n) "
+    "ORDER BY rank LIMIT 1) "
+    f"SELECT {_sel(_LOOKUP_KINDS)} FROM m",
+)
+def company_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look a company up by name (the name of the top-ranked company, taken
+    with a scalar subquery): first match by rank."""
+    ranked = startups.ranked_companies(spark, sf_dir)
+    top_name = ranked.where(F.col("rank") == 1).select("company").scalar()
+    return tidy(RK.lookup_company(ranked, top_name))
+
+
+_BOUND_COLS = ["funding_amount", "investors_count", "founded_year", "investment_score", "traction_index"]
+
+
+@register(
+    "column_bounds",
+    f"WITH {O.score_ctes()} "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max, "
+        f"round(avg({c}), {2 if c == 'funding_amount' else 6}) AS mean FROM scored"
+        for c in _BOUND_COLS
+    ),
+)
+def column_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = RP.column_bounds(startups.scored_companies(spark, sf_dir), _BOUND_COLS).withColumnRenamed("column", "column_name")
+    out = out.withColumn("mean", F.when(F.col("column_name") == "funding_amount", F.round("mean", 2)).otherwise(F.round("mean", 6)))
+    return tidy(out)
