@@ -69,6 +69,45 @@ def split_column(key: str = "id", seed: int = 42, test_fraction: float = 0.2) ->
     return hash_unit(key, str(seed)) < F.lit(threshold)
 
 
+def proportional_allocation(class_counts: dict, n_draws: int) -> dict:
+    """Split ``n_draws`` over classes in proportion to their counts: the
+    floor of each share, then one more for the largest remainders (ties by
+    class order; the common stratified-split rule breaks them at random)."""
+    keys = sorted(class_counts)
+    total = sum(class_counts.values())
+    cont = {k: class_counts[k] / total * n_draws for k in keys}
+    out = {k: math.floor(cont[k]) for k in keys}
+    need = int(n_draws - sum(out.values()))
+    for k in sorted(keys, key=lambda k: (-(cont[k] - out[k]), k))[:need]:
+        out[k] += 1
+    return out
+
+
+def stratified_split(df: DataFrame, label: str = "success", key: str = "id", test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """M6 (exact mode): add ``is_test`` with exactly proportional class
+    counts.
+
+    n_test = ceil(fraction x n); the train counts per class are allocated
+    first and the test counts from what remains, as the common stratified
+    split does. Inside a class, rows are taken in md5(key:seed) order. The
+    per-class position comes from ``prefix_sums`` (range-partitioned), so a
+    class holding most rows is still spread over many tasks. Only the
+    per-class counts (one row per class) reach the driver.
+    """
+    from startlens.functions.columns import lookup
+    from startlens.operators.stats import prefix_sums
+
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    n = sum(counts.values())
+    n_test = math.ceil(test_fraction * n)
+    train_alloc = proportional_allocation(counts, n - n_test)
+    test_alloc = proportional_allocation({k: counts[k] - train_alloc[k] for k in counts}, n_test)
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), F.lit(str(seed))))
+    pos = prefix_sums(df.withColumn("__h", h).withColumn("__one", F.lit(1)), ["__h", key], ["__one"], [label])
+    is_test = F.col("__one_before") < lookup(test_alloc, label)
+    return pos.withColumn("is_test", is_test).drop("__h", "__one", "__one_before", "__one_total")
+
+
 def fold_column(key: str = "id", k: int = 5, seed: int = 42) -> Column:
     """Fold 0..k-1 from a hash of the key."""
     h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(":fold:"), F.lit(str(seed)))), 1, 8), 16, 10)
@@ -263,16 +302,21 @@ COMPARISON_SCHEMA = T.StructType([
 
 
 def compare_models(labelled: DataFrame, models: list[str] | None = None, seed: int = 42, test_fraction: float = 0.2,
-                   cv_folds: int = 5, key: str = "id", parallelism: int = 8) -> DataFrame:
+                   cv_folds: int = 5, key: str = "id", parallelism: int = 8, exact_stratified: bool = False) -> DataFrame:
     """One row per model -- test metrics, CV F1 and fit time.
 
     The labelled table is written once to the checkpoint folder and
-    hash-split on the key. The main fits run one at a time so that their
+    hash-split on the key (``exact_stratified``: exactly proportional class
+    counts, see ``stratified_split``). The main fits run one at a time so that their
     fit times are not inflated; the k x models cross-validation fits are
     independent and run as concurrent Spark jobs (``parallelism``).
     """
     names = models or MODEL_NAMES
-    split = materialize(labelled.withColumn("__test", split_column(key, seed, test_fraction)))
+    if exact_stratified:
+        marked = stratified_split(labelled, "success", key, test_fraction, seed).withColumnRenamed("is_test", "__test")
+    else:
+        marked = labelled.withColumn("__test", split_column(key, seed, test_fraction))
+    split = materialize(marked)
     train = split.where(~F.col("__test")).drop("__test")
     test = split.where(F.col("__test")).drop("__test")
     results = {}

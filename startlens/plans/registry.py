@@ -1004,3 +1004,39 @@ def column_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = RP.column_bounds(startups.scored_companies(spark, sf_dir), _BOUND_COLS).withColumnRenamed("column", "column_name")
     out = out.withColumn("mean", F.when(F.col("column_name") == "funding_amount", F.round("mean", 2)).otherwise(F.round("mean", 6)))
     return tidy(out)
+
+
+# ---------------------------------------------------------------------------
+# Exact stratified split -- M6 (exact mode)
+# ---------------------------------------------------------------------------
+
+def _alloc_sql(src: str, n_expr: str, name: str) -> str:
+    """Proportional allocation of ``n_expr`` draws over (success, cnt) rows
+    of ``src``: floor of the share, +1 for the largest remainders."""
+    return (
+        f"{name}0 AS (SELECT success, cnt, CAST(cnt AS DOUBLE) / (SELECT sum(cnt) FROM {src}) * ({n_expr}) AS cont FROM {src}), "
+        f"{name}1 AS (SELECT *, floor(cont) AS fl, row_number() OVER (ORDER BY cont - floor(cont) DESC, success) AS rk FROM {name}0), "
+        f"{name} AS (SELECT success, cnt, CAST(fl AS BIGINT) + CASE WHEN rk <= ({n_expr}) - (SELECT sum(fl) FROM {name}1) THEN 1 ELSE 0 END "
+        f"AS alloc FROM {name}1)"
+    )
+
+
+_STRAT_SQL = (
+    f"WITH {_LAB_CTE}, s AS (SELECT * FROM lab WHERE success <> -1), "
+    "c AS (SELECT success, count(*) AS cnt FROM s GROUP BY success), "
+    f"t AS (SELECT sum(cnt) AS n, CAST(ceil(CAST(sum(cnt) AS DOUBLE) * {D(0.2)}) AS BIGINT) AS n_test FROM c), "
+    + _alloc_sql("c", "(SELECT n - n_test FROM t)", "tr") + ", "
+    "rem AS (SELECT success, cnt - alloc AS cnt FROM tr), "
+    + _alloc_sql("rem", "(SELECT n_test FROM t)", "te") + ", "
+    "r AS (SELECT s.id, s.success, row_number() OVER (PARTITION BY s.success ORDER BY md5(concat(CAST(id AS VARCHAR), ':', '42')), id) - 1 "
+    "AS pos FROM s) "
+    "SELECT CAST(r.id AS BIGINT) AS id, CAST(r.success AS BIGINT) AS success, CAST(r.pos < te.alloc AS VARCHAR) AS is_test "
+    "FROM r JOIN te ON r.success = te.success"
+)
+
+
+@register("ml_stratified_split", _STRAT_SQL)
+def ml_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = ML.label_outcomes(startups.scored_companies(spark, sf_dir))
+    s = ML.stratified_split(lab.select("id", "success"), "success", "id", 0.2, 42)
+    return tidy(s.select("id", "success", F.col("is_test").cast("string").alias("is_test")))

@@ -91,3 +91,20 @@ def test_features_and_random_forest_end_to_end(spark):
     assert all(0.0 <= p <= 1.0 for p in probs)
     imp = ml.feature_importance(fitted, lab, 5).collect()
     assert len(imp) == 5 and imp[-1].cumulative <= 1.0 + 1e-9
+
+
+def test_exact_stratified_split_against_brute_force(spark):
+    import hashlib
+
+    rows = [(i, 1 if i % 5 < 3 else 0) for i in range(1, 1001)]
+    df = spark.createDataFrame(rows, "id long, success int")
+    got = {r.id: r.is_test for r in ml.stratified_split(df, "success", "id", 0.2, 42).collect()}
+    counts = {1: 600, 0: 400}
+    n_test = math.ceil(0.2 * 1000)
+    train = ml.proportional_allocation(counts, 1000 - n_test)
+    test = ml.proportional_allocation({k: counts[k] - train[k] for k in counts}, n_test)
+    for cls in (0, 1):
+        ids = sorted((hashlib.md5(f"{i}:42".encode()).hexdigest(), i) for i, c in rows if c == cls)
+        want = {i for _, i in ids[: test[cls]]}
+        assert {i for i, c in rows if c == cls and got[i]} == want
+    assert sum(got.values()) == n_test
