@@ -75,3 +75,36 @@ def test_top_n(spark):
     df = spark.createDataFrame([(i, float(i % 10)) for i in range(100)], "id long, investment_score double")
     top = rank.top_n(df, 5).collect()
     assert [(r.id, r["rank"]) for r in top] == [(9, 1), (19, 2), (29, 3), (39, 4), (49, 5)]
+
+
+def test_enrichment_golden_counts_sf001(spark):
+    """Counts of the enrichment on sf0.01 (FIXTURES.md section 4)."""
+    from startlens.plans import startups
+    from startlens.sources import fixtures
+
+    sf = "/root/testdata/sf0.01"
+    enr = startups.enriched_companies(spark, sf)
+    one = enr.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("investors_count").isNull()).alias("no_inv"),
+        F.count_if(F.col("founded_year").isNull()).alias("no_year"),
+    ).first()
+    assert (one.n, one.no_inv, one.no_year) == (1288, 427, 327)
+    typed = enrich.latest_round(fixtures.funding_rounds(spark, sf)).where(F.col("last_round_type").isNotNull())
+    no_type = enr.join(typed, enr["id"] == typed["object_id"], "left_anti").count()
+    assert no_type == 146
+    status = {r.status: r["count"] for r in enr.groupBy("status").count().collect()}
+    assert status == {"acquired": 249, "ipo": 47, "closed": 190, "operating": 802}
+
+
+def test_distinct_investors_shuffle_on_pairs_first(spark):
+    """A hot company is spread: the first shuffle is on (company, investor)."""
+    rows = [(1 if i % 3 == 0 else i, i % 500) for i in range(6000)]
+    inv = spark.createDataFrame(rows, "funded_object_id long, investor_object_id long")
+    out = enrich.investor_counts(inv)
+    got = {r[0]: r[1] for r in out.collect()}
+    assert got[1] == len({i % 500 for i in range(0, 6000, 3)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    assert re.search(r"hashpartitioning\(funded_object_id#\d+L?, investor_object_id#\d+L?", plan), plan
