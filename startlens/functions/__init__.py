@@ -9,7 +9,6 @@ from startlens.functions.columns import (
     round_half_even,
     safe_div,
     strip_ws,
-    when_ladder,
 )
 
 __all__ = [
@@ -23,5 +22,4 @@ __all__ = [
     "round_half_even",
     "safe_div",
     "strip_ws",
-    "when_ladder",
 ]

@@ -100,16 +100,6 @@ def lookup(mapping: Mapping, key: str | Column, default=None) -> Column:
     return got if default is None else F.coalesce(got, F.lit(default))
 
 
-def when_ladder(pairs, otherwise=None) -> Column:
-    """``CASE WHEN c1 THEN v1 WHEN c2 THEN v2 ... ELSE otherwise END``."""
-    expr = None
-    for cond, val in pairs:
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    if otherwise is not None:
-        expr = expr.otherwise(otherwise)
-    return expr
-
-
 def py_round_exact(c: str | Column, digits: int) -> Column:
     """Round to ``digits`` decimals the way Python's ``f"{x:.{d}f}"`` does:
     half-to-even on the *exact* binary value of x (2.675 -> 2.67, since the

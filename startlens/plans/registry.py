@@ -1040,3 +1040,13 @@ def ml_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = ML.label_outcomes(startups.scored_companies(spark, sf_dir))
     s = ML.stratified_split(lab.select("id", "success"), "success", "id", 0.2, 42)
     return tidy(s.select("id", "success", F.col("is_test").cast("string").alias("is_test")))
+
+
+@register(
+    "highest_missing_stage",
+    f"SELECT stage, missing_pct FROM ({_by_group_sql('stage', None, None)}) q ORDER BY missing_pct DESC, stage DESC LIMIT 1",
+)
+def highest_missing_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stage with the highest missing-investor rate."""
+    by = M.missing_by_group(startups.enriched_companies(spark, sf_dir), "stage")
+    return tidy(M.highest_missing_group(by, "stage"))
