@@ -132,15 +132,16 @@ def fit_features(train: DataFrame, drop_first: bool = False, numerics: list[str]
     numerics = numerics or list(P.NUMERIC_FEATURES)
     cats = categoricals or list(P.CATEGORICAL_FEATURES)
     fill = _fill_stage(numerics)
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc", handleInvalid="keep") for c in cats]
+    # one multi-column indexer: all vocabularies in a single pass
+    idx = StringIndexer(inputCols=cats, outputCols=[f"{c}__idx" for c in cats], stringOrderType="alphabetAsc", handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cats], outputCols=[f"{c}__ohe" for c in cats], dropLast=True)
-    enc = Pipeline(stages=[fill, *idx, ohe]).fit(train)
+    enc = Pipeline(stages=[fill, idx, ohe]).fit(train)
     stages = list(enc.stages)
     vec_cols = [f"{c}__ohe" for c in cats]
     if drop_first:
         sliced = []
-        for c, model in zip(cats, enc.stages[1:1 + len(cats)]):
-            n = len(model.labelsArray[0])
+        for c, labels in zip(cats, enc.stages[1].labelsArray):
+            n = len(labels)
             if n > 1:
                 stages.append(VectorSlicer(inputCol=f"{c}__ohe", outputCol=f"{c}__dfo", indices=list(range(1, n))))
                 sliced.append(f"{c}__dfo")
