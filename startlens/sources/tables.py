@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
+_SCANS: dict[tuple[str, int, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -22,7 +22,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     plan, so sharing it between queries changes nothing but driver time.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
+    # the application id changes with every new SparkContext, so a session
+    # rebuilt after stop() never sees a scan bound to the stopped context
+    key = (spark.sparkContext.applicationId, id(spark), path)
     df = _SCANS.get(key)
     if df is None:
         df = spark.read.parquet(path)
