@@ -63,6 +63,34 @@ SCENARIOS = [
 ]
 
 
+def rolling_time_splits(df: DataFrame, cutoffs: Sequence[int], year_col: str = "founded_year") -> DataFrame:
+    """D9 (rolling): walk-forward splits -- for each cutoff year Y, rows
+    founded before Y train and rows founded in Y test. Each row is
+    expanded over the cutoffs by a literal-array generator (no join); rows
+    on neither side of a cutoff are dropped for it."""
+    y = F.col(year_col)
+    arr = F.array(*[F.lit(int(c)) for c in cutoffs])
+    x = df.select("*", F.explode(arr).alias("cutoff_year"))
+    side = F.when(y < F.col("cutoff_year"), "train").when(y == F.col("cutoff_year"), "test")
+    return x.withColumn("time_side", side).where(F.col("time_side").isNotNull())
+
+
+BENCHMARK_SHIFTS = [-10, 0, 10]
+
+
+def benchmark_sensitivity(kpis: DataFrame, shifts: Sequence[float] = BENCHMARK_SHIFTS, weights=None) -> DataFrame:
+    """Re-score every company with all Rule-of-40 stage benchmarks
+    moved by each shift (points). Traction and the other KPIs do not depend
+    on the benchmark, so only Rule of 40, its norm and the score change.
+    The shifts are a literal array exploded per row (a generator)."""
+    from startlens.operators.kpi import rule_of_40
+    from startlens.operators.score import calculate_investment_score
+
+    x = kpis.drop("rule_of_40").select("*", F.explode(F.array(*[F.lit(float(v)) for v in shifts])).alias("benchmark_shift"))
+    x = rule_of_40(x, benchmark_shift=F.col("benchmark_shift"))
+    return calculate_investment_score(x, weights)
+
+
 def sensitivity(prospects: DataFrame, scenarios: Sequence[tuple[str, float, int]] = SCENARIOS) -> DataFrame:
     """Re-score each prospect under input changes (funding factor,
     investor delta). Scenarios are a fixed literal array exploded per row

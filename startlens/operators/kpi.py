@@ -120,9 +120,16 @@ def traction_index(
     return df.withColumn("traction_index", F.try_divide(raw - lo, F.nullif(hi - lo, F.lit(0.0))) * 100)
 
 
-def rule_of_40(df: DataFrame, use_capital_efficiency: bool = True) -> DataFrame:
-    """K7: stage benchmark (+ capital-efficiency adjustment, clipped)."""
+def rule_of_40(df: DataFrame, use_capital_efficiency: bool = True, benchmark_shift: float | Column = 0) -> DataFrame:
+    """K7: stage benchmark (+ capital-efficiency adjustment, clipped).
+
+    ``benchmark_shift`` moves every stage benchmark by a number of points
+    (a constant or a column), for sensitivity analysis.
+    """
+    shift = benchmark_shift if isinstance(benchmark_shift, Column) else F.lit(float(benchmark_shift))
     est = rule40_base().cast("double")
+    if not (isinstance(benchmark_shift, (int, float)) and benchmark_shift == 0):
+        est = est + shift
     if use_capital_efficiency and "capital_efficiency" in df.columns:
         adj = (F.col("capital_efficiency") - F.lit(P.RULE40_EFFICIENCY_PIVOT)) * F.lit(P.RULE40_EFFICIENCY_SLOPE)
         est = clip(est + adj, *P.RULE40_CLIP)

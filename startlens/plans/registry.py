@@ -1050,3 +1050,52 @@ def highest_missing_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage with the highest missing-investor rate."""
     by = M.missing_by_group(startups.enriched_companies(spark, sf_dir), "stage")
     return tidy(M.highest_missing_group(by, "stage"))
+
+
+# ---------------------------------------------------------------------------
+# Rolling time splits (D9) and benchmark sensitivity
+# ---------------------------------------------------------------------------
+
+ROLLING_CUTOFFS = list(range(1990, 2001))  # test companies are founded 1980-2000
+
+
+@register(
+    "rolling_time_splits",
+    f"WITH {_LAB_CTE}, c(cutoff_year) AS (VALUES {', '.join(f'({y})' for y in ROLLING_CUTOFFS)}), "
+    "x AS (SELECT c.cutoff_year, CASE WHEN founded_year < c.cutoff_year THEN 'train' WHEN founded_year = c.cutoff_year THEN 'test' END "
+    "AS time_side, success FROM lab CROSS JOIN c WHERE success <> -1) "
+    "SELECT CAST(cutoff_year AS BIGINT) AS cutoff_year, time_side, CAST(success AS BIGINT) AS success, CAST(count(*) AS BIGINT) AS companies "
+    "FROM x WHERE time_side IS NOT NULL GROUP BY 1, 2, 3",
+)
+def rolling_time_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = ML.label_outcomes(startups.scored_companies(spark, sf_dir))
+    x = AN.rolling_time_splits(lab, ROLLING_CUTOFFS)
+    return tidy(x.groupBy("cutoff_year", "time_side", "success").agg(F.count(F.lit(1)).alias("companies")))
+
+
+def _benchmark_sql() -> str:
+    from startlens.functions import params as P
+
+    vals = ", ".join(f"({D(float(v))})" for v in AN.BENCHMARK_SHIFTS)
+    base = O.case_map("stage", {k: v[3] for k, v in P.STAGE_PARAMS.items()}, P.DEFAULT_RULE40_BASE, as_double=True)
+    r40 = O.clip(f"{base} + benchmark_shift + (capital_efficiency - {D(P.RULE40_EFFICIENCY_PIVOT)}) * {D(float(P.RULE40_EFFICIENCY_SLOPE))}",
+                 *P.RULE40_CLIP)
+    sc = O.score_ctes()
+    # reuse the scored CTE chain, replacing rule_of_40 and the score
+    return (
+        f"WITH {sc}, sh(benchmark_shift) AS (VALUES {vals}), "
+        f"b AS (SELECT scored.* EXCLUDE (rule_of_40, rule_of_40_norm, investment_score), sh.benchmark_shift, {r40} AS rule_of_40 "
+        "FROM scored CROSS JOIN sh), "
+        f"b2 AS (SELECT *, {O.clip('rule_of_40', 0, 100)} AS rule_of_40_norm FROM b), "
+        f"b3 AS (SELECT *, round_even(({D(0.0)} + rule_of_40_norm * {D(0.25)} + traction_index_norm * {D(0.25)} + capital_efficiency_norm * {D(0.2)}"
+        f" + burn_multiple_norm * {D(0.15)} + runway_months_norm * {D(0.15)}) * 100, 0) / 100 AS investment_score FROM b2) "
+        "SELECT CAST(id AS BIGINT) AS id, round(benchmark_shift, 6) AS benchmark_shift, round(rule_of_40, 6) AS rule_of_40, "
+        "round(rule_of_40_norm, 6) AS rule_of_40_norm, round(investment_score, 6) AS investment_score FROM b3"
+    )
+
+
+@register("benchmark_sensitivity", _benchmark_sql())
+def benchmark_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every company with the Rule-of-40 benchmarks at -10/0/+10."""
+    out = AN.benchmark_sensitivity(startups.companies_with_kpis(spark, sf_dir))
+    return tidy(out.select("id", "benchmark_shift", "rule_of_40", "rule_of_40_norm", "investment_score"))
