@@ -750,7 +750,8 @@ from startlens.operators import clean as CL  # noqa: E402
 from startlens.sources import tables as TB  # noqa: E402
 
 
-def _generic_sql() -> str:
+def _generic_ctes() -> str:
+    """CTE chain ending in ``gstd``: the standardised, funded generic extract."""
     from startlens.functions import params as P
 
     t = "trim(stage)"
@@ -758,14 +759,20 @@ def _generic_sql() -> str:
              "lambda p: upper(substring(p, 1, 1)) || lower(substring(p, 2))), '')")
     mapped = O.case_map(f"lower({t})", P.GENERIC_STAGE_MAP)
     return (
-        f"WITH {fixtures.FIXTURE_CTES}, g AS (SELECT * FROM generic_extract WHERE entity_type = 'Company'), "
+        f"{fixtures.FIXTURE_CTES}, g AS (SELECT * FROM generic_extract WHERE entity_type = 'Company'), "
         f"c AS (SELECT trim(name) AS company, "
         f"CASE WHEN stage IS NULL OR {t} = '' THEN NULL ELSE coalesce({mapped}, {title}) END AS stage, "
         "trim(country_code) AS country, trim(coalesce(category_code, industry)) AS sector, "
         "TRY_CAST(funding_total_usd AS DOUBLE) AS funding_amount, TRY_CAST(participants AS DOUBLE) AS investors_count, "
-        "CAST(year(TRY_CAST(founded_at AS DATE)) AS DOUBLE) AS founded_year FROM g) "
-        "SELECT company, stage, country, sector, round(funding_amount, 6) AS funding_amount, round(investors_count, 6) AS investors_count, "
-        "round(founded_year, 6) AS founded_year FROM c WHERE funding_amount > 0"
+        "CAST(year(TRY_CAST(founded_at AS DATE)) AS DOUBLE) AS founded_year FROM g), "
+        "gstd AS (SELECT * FROM c WHERE funding_amount > 0)"
+    )
+
+
+def _generic_sql() -> str:
+    return (
+        f"WITH {_generic_ctes()} SELECT company, stage, country, sector, round(funding_amount, 6) AS funding_amount, "
+        "round(investors_count, 6) AS investors_count, round(founded_year, 6) AS founded_year FROM gstd"
     )
 
 
@@ -1099,3 +1106,25 @@ def benchmark_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every company with the Rule-of-40 benchmarks at -10/0/+10."""
     out = AN.benchmark_sensitivity(startups.companies_with_kpis(spark, sf_dir))
     return tidy(out.select("id", "benchmark_shift", "rule_of_40", "rule_of_40_norm", "investment_score"))
+
+
+@register(
+    "generic_quality_report",
+    f"WITH {_generic_ctes()}, q AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing, count(*) AS n FROM gstd"
+        for c in ["company", "stage", "country", "sector", "funding_amount", "investors_count", "founded_year"]
+    )
+    + f"), p AS (SELECT column_name, missing, CAST(missing AS DOUBLE) * {D(100.0)} / n AS missing_pct FROM q) "
+    f"SELECT column_name, CAST(missing AS BIGINT) AS missing, round(missing_pct, 6) AS missing_pct, {_grade_sql('missing_pct')} AS grade FROM p",
+)
+def generic_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2/A3 over every canonical column of the generic loader's output."""
+    import uuid
+
+    from startlens.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/generic-{uuid.uuid4().hex}"
+    TB.write_table(fixtures.generic_extract(spark, sf_dir), path, fmt="csv")
+    std = CL.standardize_startups(TB.read_csv(spark, path), filter_funded=True)
+    return tidy(RP.quality_report(std, std.columns).withColumnRenamed("column", "column_name"))

@@ -65,3 +65,17 @@ def test_format_fixed_random_against_python(spark):
 def test_ansi_division_is_guarded(spark):
     df = spark.createDataFrame([(0,)], "z int")
     assert df.select(safe_div(F.lit(1), "z")).first()[0] is None
+
+
+def test_empty_input_and_missing_path_errors(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from startlens.operators.clean import require_rows
+    from startlens.sources.tables import read_csv
+
+    with pytest.raises(ValueError):
+        require_rows(spark.createDataFrame([], "a int"), "companies")
+    assert require_rows(spark.range(1)).count() == 1
+    with pytest.raises(AnalysisException):
+        read_csv(spark, "/nonexistent/startlens/companies.csv").schema
