@@ -127,8 +127,28 @@ def py_round_exact(c: str | Column, digits: int) -> Column:
     return r / F.lit(b)
 
 
+def _round_exact_sql(x: str, digits: int) -> str:
+    """SQL text of :func:`py_round_exact` for a column reference ``x``
+    (same arithmetic; parsed by Spark in one call)."""
+    b = f"{float(10 ** digits)!r}D"
+    hi = f"(({x} * 134217729.0D) - (({x} * 134217729.0D) - {x}))"
+    p = f"({x} * {b})"
+    e = f"(({hi} * {b} - {p}) + ({x} - {hi}) * {b})"
+    fl = f"CAST(floor({p}) AS DOUBLE)"
+    r = (f"CASE WHEN {p} = {fl} + 0.5D THEN CASE WHEN {e} > 0 OR ({e} = 0 AND pmod({fl}, 2.0D) = 1.0D) "
+         f"THEN {fl} + 1.0D ELSE {fl} END ELSE rint({p}) END")
+    return f"(CASE WHEN ({r}) = 0 AND {x} < 0 THEN -0.0D ELSE ({r}) END / {b})"
+
+
 def py_format_fixed(c: str | Column, digits: int) -> Column:
     """Python ``f"{x:.{d}f}"``: exact half-to-even rounding (above), then
     printing the already-rounded double (Java's formatter rounds half up on
-    the shortest decimal form, so it must not do the rounding)."""
+    the shortest decimal form, so it must not do the rounding).
+
+    A column name goes through the SQL-text form (one parse on the driver);
+    any other expression through the column form.
+    """
+    if isinstance(c, str):
+        x = "`" + c.replace("`", "``") + "`"
+        return F.expr(f"format_string('%.{digits}f', {_round_exact_sql(x, digits)})")
     return F.format_string(f"%.{digits}f", py_round_exact(c, digits))

@@ -60,6 +60,8 @@ def test_format_fixed_random_against_python(spark):
     for d in (0, 1, 2):
         got = [r[0] for r in df.select(py_format_fixed("x", d)).collect()]
         assert got == [f"{v:.{d}f}" for v in vals]
+        got_col = [r[0] for r in df.select(py_format_fixed(F.col("x") * 1.0, d)).collect()]
+        assert got_col == got
 
 
 def test_ansi_division_is_guarded(spark):
