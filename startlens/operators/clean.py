@@ -51,8 +51,8 @@ def standardize_startups(df: DataFrame, filter_funded: bool = False) -> DataFram
 
     Non-company entities are dropped when ``entity_type`` exists. The
     company name comes from the first present of company / organization /
-    startup / name; sector and country coalesce their candidates row by
-    row; each numeric column takes the first present candidate (a
+    startup / name; sector and country are taken as is when present, else
+    their other candidates are coalesced row by row; each numeric column takes the first present candidate (a
     ``founded_at`` date yields its year). Text is stripped. With
     ``filter_funded`` only funding > 0 is kept.
     """
@@ -60,8 +60,10 @@ def standardize_startups(df: DataFrame, filter_funded: bool = False) -> DataFram
     name_col = first_present(df, P.COMPANY_ALIASES)
     company = F.col(name_col) if name_col else F.lit(None)
     stage = standardize_stage(F.col("stage")) if "stage" in df.columns else F.lit(None).cast("string")
-    sector = coalesce_present(df, P.SECTOR_ALIASES)
-    country = coalesce_present(df, P.COUNTRY_ALIASES)
+    # an existing canonical column is used as is; only when it is absent
+    # are the other candidates coalesced row by row
+    sector = F.col("sector") if "sector" in df.columns else coalesce_present(df, P.SECTOR_ALIASES[1:])
+    country = F.col("country") if "country" in df.columns else coalesce_present(df, P.COUNTRY_ALIASES[1:])
 
     def numeric(aliases: list[str]) -> Column:
         c = first_present(df, aliases)

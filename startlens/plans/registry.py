@@ -1128,3 +1128,26 @@ def generic_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     TB.write_table(fixtures.generic_extract(spark, sf_dir), path, fmt="csv")
     std = CL.standardize_startups(TB.read_csv(spark, path), filter_funded=True)
     return tidy(RP.quality_report(std, std.columns).withColumnRenamed("column", "column_name"))
+
+
+# ---------------------------------------------------------------------------
+# Minimum-funding threshold (P13) and custom score weights (C4)
+# ---------------------------------------------------------------------------
+
+MIN_FUNDING = 10_000_000.0
+CUSTOM_WEIGHTS = {"rule_of_40": 0.40, "traction_index": 0.30, "capital_efficiency": 0.10, "burn_multiple": 0.10, "runway_months": 0.10}
+
+
+@register(
+    "enriched_min_funding",
+    f"WITH {O.enrich_ctes()} SELECT {_sel(_ENR_KINDS)} FROM enr WHERE funding_amount >= {MIN_FUNDING!r}",
+)
+def enriched_min_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enrichment keeping companies with funding >= 10M (and > 0)."""
+    return tidy(startups.enriched_companies(spark, sf_dir, min_funding=MIN_FUNDING))
+
+
+@register("scored_custom_weights", f"WITH {O.score_ctes(CUSTOM_WEIGHTS)} SELECT {_sel(O.SCORED_KINDS)} FROM scored")
+def scored_custom_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Investment score with custom (not renormalised) component weights."""
+    return tidy(startups.scored_companies(spark, sf_dir, weights=CUSTOM_WEIGHTS))

@@ -81,3 +81,25 @@ def test_empty_input_and_missing_path_errors(spark):
     assert require_rows(spark.range(1)).count() == 1
     with pytest.raises(AnalysisException):
         read_csv(spark, "/nonexistent/startlens/companies.csv").schema
+
+
+def test_generic_loader_column_resolution(spark):
+    from startlens.operators.clean import standardize_startups
+
+    raw = spark.createDataFrame(
+        [("Company", " Acme ", None, "saas", "x", " series-g ", "1,5", "12", "2011-03-04"),
+         ("Person", "Bob", "fintech", None, "y", "seed", "5", "1", "2000-01-01"),
+         ("Company", "Zed", None, None, "z", "", "n/a", "", "2001-02-30")],
+        "entity_type string, organization string, sector string, category_code string, industry string, stage string, "
+        "funding_total_usd string, participants string, founded_at string",
+    )
+    rows = standardize_startups(raw).orderBy("company").collect()
+    assert [r.company for r in rows] == ["Acme", "Zed"]
+    acme, zed = rows
+    # an existing sector column is used as is (its NULL is not filled from category_code)
+    assert acme.sector is None and zed.sector is None
+    assert acme.stage == "Series-G" and zed.stage is None
+    assert acme.funding_amount is None and acme.investors_count == 12.0 and acme.founded_year == 2011.0
+    assert zed.founded_year is None
+    nosector = standardize_startups(raw.drop("sector")).orderBy("company").collect()
+    assert [r.sector for r in nosector] == ["saas", "z"]
