@@ -101,18 +101,28 @@ def traction_bounds(df: DataFrame, raw: Column) -> Column:
     return df.select(F.struct(F.min(raw).alias("lo"), F.max(raw).alias("hi"))).scalar()
 
 
+def population_traction_bounds(population: DataFrame, snapshot_year: int = P.SNAPSHOT_YEAR) -> Column:
+    """(lo, hi) of the raw traction of a population, as a scalar subquery
+    struct -- stored bounds for scoring new rows consistently with it."""
+    return traction_bounds(population, raw_traction(snapshot_year=snapshot_year))
+
+
 def traction_index(
     df: DataFrame,
     snapshot_year: int = P.SNAPSHOT_YEAR,
-    bounds: tuple[float, float] | None = None,
+    bounds: tuple[float, float] | Column | None = None,
 ) -> DataFrame:
     """K6: raw traction min-max scaled to 0-100 over the whole population.
 
     ``bounds`` lets a caller score new rows against stored bounds (no
-    population pass). Equal bounds give NULL (0/0), as in the method.
+    population pass): two numbers, or a struct column with fields lo/hi
+    (e.g. :func:`population_traction_bounds` of the training population).
+    Equal bounds give NULL (0/0), as in the method.
     """
     raw = raw_traction(snapshot_year=snapshot_year)
-    if bounds is not None:
+    if isinstance(bounds, Column):
+        lo, hi = bounds.getField("lo"), bounds.getField("hi")
+    elif bounds is not None:
         lo, hi = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
     else:
         b = traction_bounds(df, raw)
@@ -139,7 +149,7 @@ def rule_of_40(df: DataFrame, use_capital_efficiency: bool = True, benchmark_shi
 def calculate_all_kpis(
     df: DataFrame,
     snapshot_year: int = P.SNAPSHOT_YEAR,
-    traction_bounds_override: tuple[float, float] | None = None,
+    traction_bounds_override: tuple[float, float] | Column | None = None,
 ) -> DataFrame:
     """K8: revenue, capital efficiency, burn, runway, burn multiple,
     traction, Rule of 40 -- the same formulas as the single-KPI operators

@@ -83,30 +83,36 @@ enr AS (
   WHERE entity_type = 'Company' AND funding_total_usd > 0)"""
 
 
-def kpi_ctes(snapshot_year: int = SNAPSHOT_YEAR_FIXTURE) -> str:
+def kpi_chain(src: str, snapshot_year: int = SNAPSHOT_YEAR_FIXTURE, prefix: str = "k", out: str = "kpis",
+              bounds: tuple[str, str] | None = None) -> str:
+    """CTEs computing the population KPIs of ``src`` into ``out``.
+
+    ``bounds`` = (lo_sql, hi_sql) scales traction by given bounds (stored
+    bounds of another population); default: min/max over ``src`` itself.
+    """
     s = snapshot_year
     raw = (
         f"log10({clip('funding_amount', lo=1)}) * {clip('coalesce(CAST(investors_count AS DOUBLE), 1.0)', lo=1)}"
         f" * {_stage_param_case(0, P.DEFAULT_STAGE_WEIGHT)}"
         f" * ({d(1.0)} / {clip(f'{d(float(s))} - coalesce(CAST(founded_year AS DOUBLE), {d(float(s))})', lo=1)})"
     )
-    return f"""{enrich_ctes()},
-k1 AS (SELECT *, funding_amount * {_stage_param_case(1, P.DEFAULT_REVENUE_MULTIPLE)} AS estimated_revenue,
+    lo, hi = bounds if bounds else ("min(raw_traction) OVER ()", "max(raw_traction) OVER ()")
+    return f"""{prefix}1 AS (SELECT *, funding_amount * {_stage_param_case(1, P.DEFAULT_REVENUE_MULTIPLE)} AS estimated_revenue,
          funding_amount / {_stage_param_case(2, P.DEFAULT_BURN_MONTHS)} AS monthly_burn,
          {raw} AS raw_traction,
          {_stage_param_case(3, P.DEFAULT_RULE40_BASE)} AS r40_base
-       FROM enr),
-k2 AS (SELECT *, estimated_revenue / nullif(funding_amount, 0) AS capital_efficiency,
+       FROM {src}),
+{prefix}2 AS (SELECT *, estimated_revenue / nullif(funding_amount, 0) AS capital_efficiency,
          (funding_amount * {d(P.CASH_SHARE_OF_FUNDING)}) / nullif(monthly_burn, 0) AS runway_months,
          {clip('(monthly_burn * 12) / nullif(estimated_revenue, 0)', hi=P.BURN_MULTIPLE_CAP)} AS burn_multiple,
-         (raw_traction - min(raw_traction) OVER ()) / nullif(max(raw_traction) OVER () - min(raw_traction) OVER (), 0) * 100
-           AS traction_index
-       FROM k1),
-kpis AS (SELECT *, {clip(f'r40_base + (capital_efficiency - {d(P.RULE40_EFFICIENCY_PIVOT)}) * {d(float(P.RULE40_EFFICIENCY_SLOPE))}', *P.RULE40_CLIP)} AS rule_of_40
-       FROM k2)"""
+         (raw_traction - {lo}) / nullif({hi} - {lo}, 0) * 100 AS traction_index
+       FROM {prefix}1),
+{out} AS (SELECT *, {clip(f'r40_base + (capital_efficiency - {d(P.RULE40_EFFICIENCY_PIVOT)}) * {d(float(P.RULE40_EFFICIENCY_SLOPE))}', *P.RULE40_CLIP)} AS rule_of_40
+       FROM {prefix}2)"""
 
 
-def score_ctes(weights: dict | None = None, snapshot_year: int = SNAPSHOT_YEAR_FIXTURE) -> str:
+def score_chain(src: str, weights: dict | None = None, prefix: str = "n", out: str = "scored") -> str:
+    """CTEs computing the normalised components and the rounded score."""
     w = dict(P.DEFAULT_WEIGHTS if weights is None else weights)
     blo, bhi = P.BURN_NORM_BOUNDS
     rlo, rhi = P.RUNWAY_NORM_BOUNDS
@@ -116,14 +122,21 @@ def score_ctes(weights: dict | None = None, snapshot_year: int = SNAPSHOT_YEAR_F
     total = d(0.0)
     for comp in ("rule_of_40", "traction_index", "capital_efficiency", "burn_multiple", "runway_months"):
         total = f"({total} + {comp}_norm * {d(float(w.get(comp, 0.0)))})"
-    return f"""{kpi_ctes(snapshot_year)},
-n1 AS (SELECT *, {clip('rule_of_40', 0, 100)} AS rule_of_40_norm,
+    return f"""{prefix}1 AS (SELECT *, {clip('rule_of_40', 0, 100)} AS rule_of_40_norm,
          {clip('traction_index', 0, 100)} AS traction_index_norm,
          {clip('capital_efficiency', 0, 1.0)} * 100 AS capital_efficiency_norm,
          {burn_norm} AS burn_multiple_norm,
          {runway_norm} AS runway_months_norm
-       FROM kpis),
-scored AS (SELECT *, round_even({total} * 100, 0) / 100 AS investment_score FROM n1)"""
+       FROM {src}),
+{out} AS (SELECT *, round_even({total} * 100, 0) / 100 AS investment_score FROM {prefix}1)"""
+
+
+def kpi_ctes(snapshot_year: int = SNAPSHOT_YEAR_FIXTURE) -> str:
+    return f"{enrich_ctes()},\n{kpi_chain('enr', snapshot_year)}"
+
+
+def score_ctes(weights: dict | None = None, snapshot_year: int = SNAPSHOT_YEAR_FIXTURE) -> str:
+    return f"{kpi_ctes(snapshot_year)},\n{score_chain('kpis', weights)}"
 
 
 SCORED_KINDS = {

@@ -1151,3 +1151,30 @@ def enriched_min_funding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_custom_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Investment score with custom (not renormalised) component weights."""
     return tidy(startups.scored_companies(spark, sf_dir, weights=CUSTOM_WEIGHTS))
+
+
+# ---------------------------------------------------------------------------
+# Prospects served with the population KPI definition (no train/serve skew)
+# ---------------------------------------------------------------------------
+
+_PPOP_KINDS = {"prospect_id": "i", "stage": "s", "funding_amount": "d", "investors_count": "i", "founded_year": "i",
+               "estimated_revenue": "d", "capital_efficiency": "d", "monthly_burn": "d", "runway_months": "d",
+               "burn_multiple": "d", "traction_index": "d", "rule_of_40": "d", "rule_of_40_norm": "d",
+               "traction_index_norm": "d", "capital_efficiency_norm": "d", "burn_multiple_norm": "d",
+               "runway_months_norm": "d", "investment_score": "d"}
+
+
+@register(
+    "prospect_population_scores",
+    f"WITH {O.kpi_ctes()}, bnd AS (SELECT min(raw_traction) AS lo, max(raw_traction) AS hi FROM k1), "
+    f"{_prospect_input_ctes()}, "
+    f"{O.kpi_chain('p1', fixtures.SNAPSHOT_YEAR_FIXTURE, 'q', 'pkpis', ('(SELECT lo FROM bnd)', '(SELECT hi FROM bnd)'))}, "
+    f"{O.score_chain('pkpis', None, 'qn', 'pscored')} "
+    f"SELECT {_sel(_PPOP_KINDS)} FROM pscored",
+)
+def prospect_population_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prospects scored with the KPI definition the models train on, their
+    traction scaled by the stored bounds of the company population."""
+    population = startups.enriched_companies(spark, sf_dir)
+    out = X.score_prospects_population(fixtures.prospects(spark, sf_dir), population, fixtures.SNAPSHOT_YEAR_FIXTURE)
+    return tidy(out.select(*_PPOP_KINDS))
