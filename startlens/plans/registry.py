@@ -705,9 +705,11 @@ def best_model_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train_rf(spark: SparkSession, sf_dir: str):
+    """The single-model training path (M18): one-hot with the first
+    category of each column dropped (M3), unlike the comparison (M4)."""
     lab = _labelled(spark, sf_dir)
     train = lab.where(~ML.split_column("id", 42, 0.2))
-    return ML.fit_model("Random Forest", train), lab
+    return ML.fit_model("Random Forest", train, drop_first=True), lab
 
 
 @register("feature_importance")
