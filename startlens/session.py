@@ -41,7 +41,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local runs/tests: the cluster names a shared folder.
+        if not sc.master.startswith("local"):
+            # a machine-local folder is not readable by other executors
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (e.g. on the distributed file system)")
+        # local runs and tests only
         configured = tempfile.mkdtemp(prefix="startlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
