@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from startlens.session import app_id
+
 
 _SCANS: dict[tuple[str, int, str], DataFrame] = {}
 
@@ -24,7 +26,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     # the application id changes with every new SparkContext, so a session
     # rebuilt after stop() never sees a scan bound to the stopped context
-    key = (spark.sparkContext.applicationId, id(spark), path)
+    key = (app_id(spark), id(spark), path)
     df = _SCANS.get(key)
     if df is None:
         df = spark.read.parquet(path)
