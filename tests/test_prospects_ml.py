@@ -108,3 +108,21 @@ def test_exact_stratified_split_against_brute_force(spark):
         want = {i for _, i in ids[: test[cls]]}
         assert {i for i, c in rows if c == cls and got[i]} == want
     assert sum(got.values()) == n_test
+
+
+def test_seeded_fit_repeats_and_stream_scorer_with_model(spark):
+    from startlens.plans import startups
+    from startlens.sources import fixtures
+    from startlens.streaming import prospects as SP
+
+    lab = ml.label_outcomes(startups.scored_companies(spark, SF_SMALL))
+    train = lab.where(~ml.split_column("id"))
+    a = ml.fit_model("Random Forest", train, drop_first=True)
+    b = ml.fit_model("Random Forest", train, drop_first=True)
+    pa = [r.success_probability for r in a.transform(lab).orderBy("id").select("success_probability").collect()]
+    pb = [r.success_probability for r in b.transform(lab).orderBy("id").select("success_probability").collect()]
+    assert pa == pb
+    scored = SP.score_stream(fixtures.prospects(spark, SF_SMALL), model=a)
+    got = scored.select("success_probability", "confidence", "recommendation").collect()
+    assert len(got) == fixtures.prospects(spark, SF_SMALL).count()
+    assert all(0.0 <= r.success_probability <= 1.0 and r.confidence in ("HIGH", "MEDIUM", "LOW") for r in got)
