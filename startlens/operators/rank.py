@@ -14,8 +14,9 @@ into one task (an unpartitioned ``row_number`` window would):
    per shuffle partition, a size fixed by configuration, not by data.
 
 The range-sorted rows, with their partition id and position, are written
-once with a reliable checkpoint (shared ``spark.checkpoint.dir``) and both
-the counts and the rows are read from it. Two separately planned range
+once as a parquet table in the shared ``spark.checkpoint.dir``
+(``session.materialize``) and both the counts and the rows are read from
+it. Two separately planned range
 exchanges could sample different bounds; one stored copy cannot disagree
 with itself, and it survives executor loss.
 """
