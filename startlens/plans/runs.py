@@ -1,9 +1,11 @@
-"""End-to-end runs on real input files (Entry A, S2, S4).
+"""End-to-end runs on real input files (Entries A, B, C; S2, S4, S6).
 
 A user with the three company files -- companies (``objects``), funding
 rounds and investments -- runs the whole ranking from a folder:
 
     python -m startlens.plans.runs rank --data-dir DATA --out OUT [--format csv|parquet]
+    python -m startlens.plans.runs train --scored OUT/scored --out MODELS
+    python -m startlens.plans.runs predict --model MODELS/model --prospects prospects.csv --out PRED
 
 Files are read as text by header name (a company extract may carry many
 more columns than the few used), the used columns are selected and
@@ -102,6 +104,54 @@ def run_ranking(
     return paths
 
 
+def run_training(spark: SparkSession, scored_path: str, out_dir: str, cv_folds: int = 5, seed: int = 42,
+                 out_format: str = "parquet", models: list[str] | None = None) -> dict[str, str]:
+    """Entry B: from a scored table (parquet, e.g. ``run_ranking``'s output)
+    train and compare the four models, then train the single forest (first
+    category dropped), save it with its feature pipeline and write its top
+    feature importances. Returns the written paths."""
+    from startlens.operators import ml
+
+    scored = spark.read.parquet(scored_path)
+    labelled = ml.label_outcomes(scored)
+    paths = {k: os.path.join(out_dir, k) for k in ("model_comparison", "feature_importance", "model")}
+    write_table(ml.compare_models(labelled, models, seed=seed, cv_folds=cv_folds), paths["model_comparison"], fmt=out_format)
+    train = labelled.where(~ml.split_column("id", seed, 0.2))
+    forest = ml.fit_model("Random Forest", train, seed, drop_first=True)
+    ml.save_model(forest, paths["model"])
+    write_table(ml.feature_importance(forest, labelled, 15), paths["feature_importance"], fmt=out_format)
+    return paths
+
+
+def run_prospect_scoring(spark: SparkSession, model_dir: str, prospects_path: str, out_dir: str, fmt: str = "csv",
+                         out_format: str = "parquet") -> str:
+    """Entry C: score a prospects file with a saved forest -- defaults,
+    validation, prospect KPIs, probability, bands and explanations."""
+    from startlens.operators import ml
+    from startlens.operators import prospects as X
+
+    raw = read_csv(spark, prospects_path) if fmt == "csv" else spark.read.parquet(prospects_path)
+    typed = raw.select(
+        *[F.col(c) for c in raw.columns if c not in ("funding_amount", "investors_count", "founded_year", "stage", "sector", "country")],
+        F.col("funding_amount").cast("string").try_cast("double").alias("funding_amount"),
+        *[F.col(c).cast("string").alias(c) for c in ("stage", "sector", "country") if c in raw.columns],
+        F.col("investors_count").cast("string").try_cast("int").alias("investors_count"),
+        F.col("founded_year").cast("string").try_cast("int").alias("founded_year"),
+    )
+    model = ml.load_random_forest(model_dir)
+    out = X.with_probability_bands(ml.predict_success(model, X.score_prospects(typed)))
+    keep = [c for c in typed.columns] + ["is_valid", "reject_reasons", "estimated_revenue", "capital_efficiency", "monthly_burn",
+                                         "runway_months", "burn_multiple", "traction_index", "rule_of_40", "investment_score",
+                                         "success_probability", "confidence", "recommendation", "percentile_context",
+                                         "strengths", "concerns"]
+    out = out.select(*dict.fromkeys(keep))
+    if out_format == "csv":
+        out = out.withColumns({c: F.array_join(c, "; ") for c in ("reject_reasons", "strengths", "concerns")})
+    path = os.path.join(out_dir, "prospect_predictions")
+    write_table(out, path, fmt=out_format)
+    return path
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="python -m startlens.plans.runs")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -113,10 +163,23 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--top", type=int, default=100)
     r.add_argument("--snapshot-year", type=int, default=P.SNAPSHOT_YEAR)
     r.add_argument("--min-funding", type=float, default=0.0)
+    t = sub.add_parser("train", help="compare models and save the forest from a scored table")
+    t.add_argument("--scored", required=True)
+    t.add_argument("--out", required=True)
+    t.add_argument("--cv-folds", type=int, default=5)
+    p = sub.add_parser("predict", help="score a prospects file with a saved forest")
+    p.add_argument("--model", required=True)
+    p.add_argument("--prospects", required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--format", default="csv", choices=["csv", "parquet"])
     a = ap.parse_args(argv)
     spark = get_spark()
-    paths = run_ranking(spark, a.data_dir, a.out, a.format, a.out_format, a.top, a.snapshot_year, a.min_funding)
-    print(paths)
+    if a.cmd == "rank":
+        print(run_ranking(spark, a.data_dir, a.out, a.format, a.out_format, a.top, a.snapshot_year, a.min_funding))
+    elif a.cmd == "train":
+        print(run_training(spark, a.scored, a.out, a.cv_folds))
+    else:
+        print(run_prospect_scoring(spark, a.model, a.prospects, a.out, a.format))
 
 
 if __name__ == "__main__":

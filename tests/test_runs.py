@@ -28,3 +28,21 @@ def test_run_ranking_from_csv_files(spark):
     assert ranks == list(range(1, len(w) + 1))
     top = spark.read.parquet(paths["top"])
     assert top.count() == 10 and top.agg(F.max("rank")).first()[0] == 10
+
+
+def test_train_then_predict_prospects_from_files(spark):
+    from startlens.plans import runs, startups
+    from startlens.session import ensure_checkpoint_dir
+    from startlens.sources import fixtures
+    from startlens.sources.tables import write_table
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/test-runs/{uuid.uuid4().hex}"
+    startups.scored_companies(spark, SF_SMALL).write.parquet(f"{base}/scored")
+    paths = runs.run_training(spark, f"{base}/scored", f"{base}/models", cv_folds=0, models=["Random Forest"])
+    cmp = spark.read.parquet(paths["model_comparison"]).collect()
+    assert [r.Model for r in cmp] == ["Random Forest"]
+    write_table(fixtures.prospects(spark, SF_SMALL), f"{base}/prospects.csv", fmt="csv")
+    out = runs.run_prospect_scoring(spark, paths["model"], f"{base}/prospects.csv", f"{base}/pred", fmt="csv")
+    pred = spark.read.parquet(out)
+    assert pred.count() == fixtures.prospects(spark, SF_SMALL).count()
+    assert pred.where(F.col("success_probability").isNull() | (F.col("success_probability") < 0) | (F.col("success_probability") > 1)).count() == 0
