@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from startlens.functions import params as P
 from startlens.operators import enrich, kpi, rank, score
-from startlens.session import get_spark, materialize
+from startlens.session import get_spark, materialize, scratch_tables
 from startlens.sources.tables import read_csv, write_table
 
 OBJECT_COLUMNS = ["id", "entity_type", "name", "category_code", "country_code", "founded_at", "funding_total_usd", "status"]
@@ -95,12 +95,13 @@ def run_ranking(
     """Read the three tables, rank every company, write ``scored`` and
     ``top_<n>`` under ``out_dir``; returns the written paths."""
     objs, rounds, inv = load_company_tables(spark, data_dir, fmt)
-    # rank_rows already reads from its own materialized copy, so the two
-    # writes below reuse it instead of recomputing the enrichment
-    ranked = rank_companies(objs, rounds, inv, snapshot_year, min_funding)
     paths = {"scored": os.path.join(out_dir, "scored"), "top": os.path.join(out_dir, f"top_{top}")}
-    write_table(ranked, paths["scored"], fmt=out_format)
-    write_table(ranked.where(F.col("rank") <= top).orderBy("rank").coalesce(1), paths["top"], fmt=out_format)
+    with scratch_tables(spark):  # intermediate tables are deleted once the outputs are written
+        # rank_rows already reads from its own materialized copy, so the two
+        # writes below reuse it instead of recomputing the enrichment
+        ranked = rank_companies(objs, rounds, inv, snapshot_year, min_funding)
+        write_table(ranked, paths["scored"], fmt=out_format)
+        write_table(ranked.where(F.col("rank") <= top).orderBy("rank").coalesce(1), paths["top"], fmt=out_format)
     return paths
 
 
@@ -115,11 +116,12 @@ def run_training(spark: SparkSession, scored_path: str, out_dir: str, cv_folds:
     scored = spark.read.parquet(scored_path)
     labelled = ml.label_outcomes(scored)
     paths = {k: os.path.join(out_dir, k) for k in ("model_comparison", "feature_importance", "model")}
-    write_table(ml.compare_models(labelled, models, seed=seed, cv_folds=cv_folds), paths["model_comparison"], fmt=out_format)
-    train = labelled.where(~ml.split_column("id", seed, 0.2))
-    forest = ml.fit_model("Random Forest", train, seed, drop_first=True)
-    ml.save_model(forest, paths["model"])
-    write_table(ml.feature_importance(forest, labelled, 15), paths["feature_importance"], fmt=out_format)
+    with scratch_tables(spark):
+        write_table(ml.compare_models(labelled, models, seed=seed, cv_folds=cv_folds), paths["model_comparison"], fmt=out_format)
+        train = labelled.where(~ml.split_column("id", seed, 0.2))
+        forest = ml.fit_model("Random Forest", train, seed, drop_first=True)
+        ml.save_model(forest, paths["model"])
+        write_table(ml.feature_importance(forest, labelled, 15), paths["feature_importance"], fmt=out_format)
     return paths
 
 

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,4 +84,44 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    with _SCOPES_LOCK:
+        for scope in _SCOPES:
+            scope.append(path)
     return spark.read.parquet(path)
+
+
+_SCOPES: list[list[str]] = []
+_SCOPES_LOCK = threading.Lock()
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete folders through the Hadoop FileSystem of each path (works for
+    any shared store Spark can write to). Returns how many were deleted."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:  # no JVM gateway (Spark Connect): leave them
+        return 0
+    n = 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        if hp.getFileSystem(conf).delete(hp, True):
+            n += 1
+    return n
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete every table materialized inside the block when it ends.
+
+    For jobs that write their outputs inside the block (the file-based runs);
+    a DataFrame returned out of the block must not depend on them.
+    """
+    paths: list[str] = []
+    with _SCOPES_LOCK:
+        _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        with _SCOPES_LOCK:
+            _SCOPES.remove(paths)
+        delete_paths(spark, paths)

@@ -46,3 +46,18 @@ def test_train_then_predict_prospects_from_files(spark):
     pred = spark.read.parquet(out)
     assert pred.count() == fixtures.prospects(spark, SF_SMALL).count()
     assert pred.where(F.col("success_probability").isNull() | (F.col("success_probability") < 0) | (F.col("success_probability") > 1)).count() == 0
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from startlens.session import materialize, scratch_tables
+
+    with scratch_tables(spark) as made:
+        df = materialize(spark.range(100), "scratch-test")
+        assert df.count() == 100
+    assert len(made) == 1
+    local = made[0].replace("file:", "")
+    assert not os.path.exists(local)
+    kept = materialize(spark.range(3), "kept-test")  # outside a scope: kept
+    assert kept.count() == 3
