@@ -93,3 +93,13 @@ def test_company_filters_reach_a_stored_table_scan(spark):
     assert scan, plan
     assert "EqualTo(entity_type,Company)" in scan[0]
     assert "IsNotNull(funding_total_usd)" in scan[0] and "GreaterThan(" in scan[0]
+
+
+def test_flagship_static_plan_stays_small(spark):
+    """Regression guard: after the enriched table is materialized, the
+    flagship needs at most one shuffle (plus the tiny bound aggregate)."""
+    import __spark_entry__ as E
+    from startlens.plans.explain import summarize
+
+    s = summarize(E.queries()["top_startups"](spark, SF_SMALL))
+    assert s["shuffles"] <= 2 and s["sort_merge_joins"] == 0 and s["python"] == 0
