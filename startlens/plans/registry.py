@@ -1180,3 +1180,20 @@ def prospect_population_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     population = startups.enriched_companies(spark, sf_dir)
     out = X.score_prospects_population(fixtures.prospects(spark, sf_dir), population, fixtures.SNAPSHOT_YEAR_FIXTURE)
     return tidy(out.select(*_PPOP_KINDS))
+
+
+@register(
+    "generic_loader_unfiltered",
+    f"WITH {_generic_ctes()} SELECT company, stage, country, sector, round(funding_amount, 6) AS funding_amount, "
+    "round(investors_count, 6) AS investors_count, round(founded_year, 6) AS founded_year FROM c",
+)
+def generic_loader_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generic loader with its documented default: no funding filter
+    (companies with missing, zero or junk funding are kept)."""
+    import uuid
+
+    from startlens.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/generic-{uuid.uuid4().hex}"
+    TB.write_table(fixtures.generic_extract(spark, sf_dir), path, fmt="csv")
+    return tidy(CL.standardize_startups(TB.read_csv(spark, path), filter_funded=False))

@@ -108,3 +108,21 @@ def test_distinct_investors_shuffle_on_pairs_first(spark):
     import re
 
     assert re.search(r"hashpartitioning\(funded_object_id#\d+L?, investor_object_id#\d+L?", plan), plan
+
+
+def test_latest_round_combines_before_the_shuffle(spark):
+    """A company holding a third of all rounds is pre-combined in every map
+    task: the plan has a partial aggregate below the exchange."""
+    import datetime as dt
+
+    rows = [(i, 1 if i % 3 == 0 else i, "seed" if i % 2 else "series-b", dt.date(2000, 1, 1) + dt.timedelta(days=i % 900))
+            for i in range(3000)]
+    rounds = spark.createDataFrame(rows, "round_id long, object_id long, funding_round_type string, funded_at date")
+    out = enrich.latest_round(rounds)
+    got = {r.object_id: r.last_round_type for r in out.collect()}
+    hot = max((r for r in rows if r[1] == 1), key=lambda r: (r[3], r[0]))
+    assert got[1] == hot[2]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    assert re.search(r"(Sort|Hash|ObjectHash)Aggregate\(keys?=\[object_id#\d+L?\], functions=\[partial_max_by", plan), plan
