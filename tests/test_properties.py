@@ -33,3 +33,44 @@ def test_fixed_point_format_matches_python(spark, values, digits):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     got = [r[0] for r in df.select(py_format_fixed("x", digits)).collect()]
     assert got == [f"{float(v):.{digits}f}" for v in values]
+
+
+SCORES = st.lists(st.one_of(st.none(), st.sampled_from([0.0, 12.5, 42.0, 99.99]), st.floats(0, 100, allow_nan=False)),
+                  min_size=1, max_size=400)
+FEW = settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+@FEW
+@given(SCORES, st.integers(min_value=1, max_value=9))
+def test_rank_rows_equals_naive_rank(spark, scores, parts):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from startlens.operators.rank import rank_rows
+
+    df = spark.createDataFrame(list(enumerate(scores)), "id long, investment_score double")
+    got = {r.id: r["rank"] for r in rank_rows(df, num_partitions=parts).collect()}
+    w = Window.orderBy(F.col("investment_score").desc_nulls_last(), F.col("id"))
+    want = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == want
+
+
+@FEW
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-50, 50).map(float))),
+                min_size=1, max_size=400),
+       st.lists(st.floats(0, 1), min_size=1, max_size=3, unique=True))
+def test_exact_percentiles_equal_numpy(spark, rows, probs):
+    import numpy as np
+    import pytest
+
+    from startlens.operators.stats import exact_percentiles
+
+    df = spark.createDataFrame(rows, "g string, v double")
+    names = [f"q{i}" for i in range(len(probs))]
+    got = {r.g: tuple(r[n] for n in names) for r in exact_percentiles(df, "v", probs, ["g"], names, num_partitions=4).collect()}
+    for g in {g for g, _ in rows}:
+        vals = [v for gg, v in rows if gg == g and v is not None]
+        if not vals:
+            assert g not in got
+            continue
+        assert got[g] == pytest.approx(tuple(np.percentile(vals, [p * 100 for p in probs])), abs=1e-9)
