@@ -74,3 +74,23 @@ def test_exact_percentiles_equal_numpy(spark, rows, probs):
             assert g not in got
             continue
         assert got[g] == pytest.approx(tuple(np.percentile(vals, [p * 100 for p in probs])), abs=1e-9)
+
+
+@FEW
+@given(st.lists(st.tuples(st.integers(0, 1), st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 1.0])), min_size=2, max_size=300))
+def test_roc_auc_equals_pairwise_definition(spark, rows):
+    import itertools
+
+    import pytest
+
+    from startlens.operators.metrics import roc_auc
+
+    pos = [s for y, s in rows if y == 1]
+    neg = [s for y, s in rows if y == 0]
+    df = spark.createDataFrame(rows, "label int, score double")
+    got = roc_auc(df).first().roc_auc
+    if not pos or not neg:
+        assert got is None
+        return
+    pair = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p, n in itertools.product(pos, neg)) / (len(pos) * len(neg))
+    assert got == pytest.approx(pair)
