@@ -53,6 +53,16 @@ def label_distribution(df: DataFrame, status_col: str = "status") -> DataFrame:
     return lab.groupBy("success").agg(F.count(F.lit(1)).alias("companies")).withColumn("share", F.col("companies") / total)
 
 
+def success_rate(df: DataFrame, status_col: str = "status") -> DataFrame:
+    """Known outcomes, successes and the success rate among them (one row)."""
+    lab = label_outcomes(df, include_operating=False, status_col=status_col)
+    return lab.agg(
+        F.count(F.lit(1)).alias("known_outcomes"),
+        F.count_if(F.col("success") == 1).alias("successes"),
+        F.avg(F.col("success").cast("double")).alias("success_rate"),
+    )
+
+
 def hash_unit(key: str | Column, salt: str) -> Column:
     """First 16 bits of md5(key:salt) as a hex prefix (same in DuckDB)."""
     k = F.col(key) if isinstance(key, str) else key

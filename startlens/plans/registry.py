@@ -1197,3 +1197,12 @@ def generic_loader_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/generic-{uuid.uuid4().hex}"
     TB.write_table(fixtures.generic_extract(spark, sf_dir), path, fmt="csv")
     return tidy(CL.standardize_startups(TB.read_csv(spark, path), filter_funded=False))
+
+
+@register(
+    "ml_success_rate",
+    f"WITH {_LAB_CTE} SELECT CAST(count(*) AS BIGINT) AS known_outcomes, CAST(count(*) FILTER (WHERE success = 1) AS BIGINT) AS successes, "
+    "round(avg(CAST(success AS DOUBLE)), 6) AS success_rate FROM lab WHERE success <> -1",
+)
+def ml_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(ML.success_rate(startups.scored_companies(spark, sf_dir)))
