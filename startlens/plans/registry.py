@@ -1206,3 +1206,20 @@ def generic_loader_unfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ml_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(ML.success_rate(startups.scored_companies(spark, sf_dir)))
+
+
+@register("forest_evaluation")
+def forest_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12/M13 on the single forest's held-out side: per-class precision,
+    recall, F1 and support with macro and weighted averages; the confusion
+    counts, accuracy and ROC-AUC are attached to every row as scalar
+    subqueries (rows-only: a trained model)."""
+    fitted, lab = _train_rf(spark, sf_dir)
+    test = lab.where(ML.split_column("id", 42, 0.2))
+    pred = fitted.transform(test).select(F.col("label").cast("int").alias("label"),
+                                         F.col("prediction").cast("int").alias("prediction"), "success_probability")
+    counts = MT.binary_metrics(pred)
+    auc = MT.roc_auc(pred, "label", "success_probability")
+    extra = {c: counts.select(c).scalar() for c in ("tn", "fp", "fn", "tp", "accuracy")}
+    extra["roc_auc"] = auc.select("roc_auc").scalar()
+    return tidy(MT.classification_report(pred).withColumns(extra))

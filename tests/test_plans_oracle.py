@@ -72,7 +72,7 @@ def test_every_query_has_oracle_or_is_iterative():
 
     rows_only = set(E.queries()) - set(E.oracle_sql())
     assert rows_only <= {"missingness_test", "chi_square_test", "model_comparison", "best_model_by_metric",
-                         "feature_importance", "prospect_predictions"}
+                         "feature_importance", "prospect_predictions", "forest_evaluation"}
 
 
 def test_company_filters_reach_a_stored_table_scan(spark):
