@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm import langid, line_dedup, mixing
+from startlens.llm import langid, line_dedup, mixing, suffix_decon
 from startlens.llm.text import doc_bucket
 
 
@@ -25,6 +25,45 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(5, 0), F.col("r.lang_pred").alias("lang_pred"), F.col("r.score").alias("score"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside verbatim matches with the benchmark."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    out = suffix_decon.find_matches(spark, docs, _table(spark, sf_dir, "benchmark", "item_id", "text"), "c")
+    c = F.col("c")
+    return out.select(
+        "doc_id",
+        c["n_words"].alias("n_words"),
+        c["n_hit"].alias("n_hit"),
+        F.size(c["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(c["items"], ",").cast("binary"), 256).alias("items_sha256"),
+        (c["n_hit"] > 0).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform(c["matches"], lambda m: m["n_words"])), F.lit(0)).cast("long").alias("longest"),
+    )
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id::VARCHAR AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL
+  SELECT 'b', coalesce(item_id::VARCHAR, ''), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+i AS (SELECT id, ws, least(len(ws), 10) AS n FROM w WHERE kind = 'b' AND len(ws) > 0),
+iw AS (SELECT id AS item, n, j, array_to_string(ws[j : j + n - 1], ' ') AS win
+  FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS j FROM i)),
+dw AS (SELECT id, n, p, array_to_string(ws[p : p + n - 1], ' ') AS win
+  FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM w, (SELECT DISTINCT n FROM i) WHERE kind = 'd' AND len(ws) >= n)),
+hit AS (SELECT dw.id, p, iw.item, iw.j, n FROM dw JOIN iw USING (n, win)),
+cov AS (SELECT id, count(DISTINCT q) AS n_hit FROM (SELECT id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY id),
+its AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM hit) GROUP BY id),
+run AS (SELECT id, n, j - row_number() OVER (PARTITION BY id, item, p - j ORDER BY p) AS r, item, p - j AS diag FROM (SELECT DISTINCT * FROM hit)),
+lon AS (SELECT id, max(c) AS longest FROM (SELECT id, count(*) + any_value(n) - 1 AS c FROM run GROUP BY id, item, diag, r) GROUP BY id)
+SELECT w.id::BIGINT AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest
+FROM w LEFT JOIN cov USING (id) LEFT JOIN its USING (id) LEFT JOIN lon USING (id) WHERE kind = 'd'
+"""
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150% of all words takes of every document."""
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -81,11 +120,13 @@ FROM m GROUP BY doc_id
 
 QUERIES = {
     "op5_language_id": op5_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLE = {
+    "op7_decontamination": OP7_SQL,
     "op8_source_mix": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
 }
