@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm import langid, line_dedup, mixing, suffix_decon
+from startlens.llm import langid, line_dedup, minhash, mixing, suffix_decon
 from startlens.llm.text import doc_bucket
 
 
@@ -17,6 +17,29 @@ def _held_out(n: int, k: int):
     return F.coalesce(doc_bucket("doc_id", n) == k, F.lit(False)).alias("held_out")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents over 2-word shingles."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ 	-]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 80 * (u.n + v.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, seen) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node AND r.seen < e.b),
+c AS (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY node)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those not held out."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -119,6 +142,7 @@ FROM m GROUP BY doc_id
 
 
 QUERIES = {
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_language_id": op5_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_source_mix": op8_source_mix,
@@ -126,6 +150,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_minhash_dedup": OP4_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_source_mix": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
