@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm import langid, line_dedup, minhash, mixing, suffix_decon
+from startlens.llm import langid, line_dedup, metric_join, minhash, mixing, suffix_decon
 from startlens.llm.text import doc_bucket
 
 
@@ -17,6 +17,25 @@ def _held_out(n: int, k: int):
     return F.coalesce(doc_bucket("doc_id", n) == k, F.lit(False)).alias("held_out")
 
 
+def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the same label with cosine 0.93 or more, and their components."""
+    return metric_join.range_join(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node AND r.seen < l.b),
+c AS (SELECT node AS vec_id, min(seen) AS component_id FROM r GROUP BY node),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents over 2-word shingles."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -25,7 +44,8 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ 	-]+') AS ws FROM documents),
+    '[^ 	-
+]+') AS ws FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
     ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
@@ -142,6 +162,7 @@ FROM m GROUP BY doc_id
 
 
 QUERIES = {
+    "op3_embedding_links": op3_embedding_links,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_language_id": op5_language_id,
     "op7_decontamination": op7_decontamination,
@@ -150,6 +171,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_embedding_links": OP3_SQL,
     "op4_minhash_dedup": OP4_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_source_mix": OP8_SQL,
