@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm import langid, line_dedup, metric_join, minhash, mixing, suffix_decon
+from startlens.llm import langid, line_dedup, metric_join, minhash, mixing, pst, suffix_decon
 from startlens.llm.text import doc_bucket
 
 
@@ -68,6 +68,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _held_out(5, 0), F.col("r.lang_pred").alias("lang_pred"), F.col("r.score").alias("score"))
 
 
+def op6_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a suffix tree of those not held out."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    out = pst.score_texts(docs, doc_bucket("doc_id", 5) != 1)
+    return out.select("doc_id", _held_out(5, 1), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside verbatim matches with the benchmark."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
@@ -165,6 +172,7 @@ QUERIES = {
     "op3_embedding_links": op3_embedding_links,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_language_id": op5_language_id,
+    "op6_suffix_tree_score": op6_suffix_tree_score,
     "op7_decontamination": op7_decontamination,
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
