@@ -264,7 +264,7 @@ def near_duplicates(
             F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "doc", "n", "comp", "lists", "set",
         )
 
-        def compare(key, table: pa.Table) -> pa.Table:
+        def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             found = block_links(table, key[0].as_py(), min_percent)
             return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
