@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from startlens.llm.text import slices
+from startlens.session import materialize
 
 ORDERS = (1, 2, 3)
 SLICE = 1 << 20
@@ -134,6 +135,7 @@ def train(
 
     labelled = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(F.col("label").isNotNull())
     counts = labelled.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "gram_counts")
     n_labels = counts.where("bucket = -1").count()
     if n_labels * buckets * 8 > MAX_MATRIX_BYTES:
         raise ValueError(f"{n_labels} labels x {buckets} buckets are too large to broadcast; lower buckets or merge labels")
