@@ -275,9 +275,10 @@ def score_texts(
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         model: Tree = shared.value
-        place = {w.encode(): k for k, w in enumerate(known["word"].to_pylist(), 1)}
+        asked_words = [w.encode() for w in known["word"].to_pylist()]  # a word may come twice
+        place = {w: k for k, w in enumerate(asked_words, 1)}
         c = np.concatenate([[0], known["c"].to_numpy()]).astype(float)
-        symbol = np.array([0, *(model.symbols.get(w, 0) for w in place)], np.int64)
+        symbol = np.array([0, *(model.symbols.get(w, 0) for w in asked_words)], np.int64)
         root = (c + 0.5) / (model.total + 0.5 * (model.distinct + 1))
         out: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
         for part in slices(texts["text"].to_pylist(), SLICE):
