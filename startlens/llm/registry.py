@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm import langid, line_dedup, metric_join, minhash, mixing, pst, suffix_decon
+from startlens.llm import langid, line_dedup, metric_join, minhash, mixing, pii, pst, suffix_decon
 from startlens.llm.text import doc_bucket
 
 
@@ -168,6 +168,18 @@ FROM m GROUP BY doc_id
 """
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    out = pii.find_spans(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    return out.select(
+        "doc_id",
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.joined(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op3_embedding_links": op3_embedding_links,
     "op4_minhash_dedup": op4_minhash_dedup,
@@ -176,6 +188,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE = {
