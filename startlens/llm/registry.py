@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm import langid, line_dedup, metric_join, minhash, mixing, pii, pst, suffix_decon
+from startlens.llm import langid, line_dedup, metric_join, minhash, mixing, pii, pst, quality, suffix_decon, token_counts
 from startlens.llm.text import doc_bucket
 
 
+#: A public rank file of byte pieces; every query that needs one takes its path.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
@@ -17,6 +21,22 @@ def _held_out(n: int, k: int):
     return F.coalesce(doc_bucket("doc_id", n) == k, F.lit(False)).alias("held_out")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels of those not held out."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "quality").where(doc_bucket("doc_id", 4) != 2)
+    voter = quality.train(docs, labels)
+    out = docs.withColumn("score", quality.predict(spark, voter, F.col("text")))
+    return out.select("doc_id", _held_out(4, 2), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Unigram tokens and pre-tokens of every document."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    out = docs.withColumn("r", token_counts.token_counts(spark, F.col("text"), vocabulary))
+    return out.select("doc_id", F.col("r.n_tokens").alias("n_tokens"), F.col("r.n_pretokens").alias("n_pretokens"))
+
+
 def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the same label with cosine 0.93 or more, and their components."""
     return metric_join.range_join(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
@@ -181,6 +201,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_token_counts": op2_token_counts,
     "op3_embedding_links": op3_embedding_links,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_language_id": op5_language_id,
