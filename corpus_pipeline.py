@@ -1,12 +1,89 @@
-"""Corpus pipeline: five stages from raw documents to a weighted mix."""
+"""Corpus pipeline: from raw documents to a weighted mix, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on every document that the
+stage before kept, and returns the columns of ``documents``; only the last
+adds columns. Between stages the documents are written as Parquet in the
+shared checkpoint folder and read again, so a lost executor costs one stage's
+tasks and never an earlier stage.
+
+1. ``language`` learns from the labelled rows that are not held out and drops
+   documents without a letter and those whose best language has a posterior
+   under 0.5. If no row is labelled it drops nothing.
+2. ``lines`` rewrites texts without the lines that a smaller doc_id holds
+   (n_chars follows the text) and drops documents that lose all their lines.
+   Documents that were empty before stay.
+3. ``near_duplicates`` keeps the least doc_id of each class of 2-word
+   shingle sets at a similarity of 0.8; empty documents link with nothing.
+4. ``decontaminate`` drops documents that hold a benchmark window.
+5. ``mix`` allots copies per source and returns documents with at least one.
+
+Rows without a doc_id pass the stages that compare documents. Extra columns
+pass through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from startlens.llm import langid, line_dedup, minhash, mixing, suffix_decon
+from startlens.llm.text import doc_bucket
+from startlens.session import materialize
+
+MIN_POSTERIOR = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs.where(doc_bucket("doc_id", 5) != 0))
+    if not model.labels:
+        return docs
+    found = docs.withColumn("__language", langid.predict(spark, model, F.col("text")))
+    kept = found.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_POSTERIOR))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(docs, prefix="__")
+    out = out.where(F.col("__n_dropped") < F.col("__n_lines"))
+    changed = F.col("__n_dropped") > 0
+    new = {
+        "text": F.col("__kept_text"),
+        "n_chars": F.when(changed, F.length("__kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType),
+    }
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct().hint("shuffle_hash")
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = suffix_decon.find_matches(spark, docs, benchmark, "__matches")
+    return found.where(F.col("__matches.n_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs, keep_rows=True).where("copies > 0")
+
+
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+]
 
-STAGES: list = []
+#: Stage 1 is a trained classifier, which SQL cannot express; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

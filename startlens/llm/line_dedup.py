@@ -181,9 +181,9 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, sh
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 100_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, shard_keys: int = 100_000, prefix: str = ""
 ) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``.
+    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` (after ``prefix``).
 
     A key found in two documents or more stays only in the least doc_id that
     holds it (with all its lines there). ``kept_text`` is null for a null
@@ -209,14 +209,13 @@ def dedup_lines(
                 [pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["kept", "n_lines", "n_dropped"]
             )
 
-    own = docs.drop("kept_text", "n_lines", "n_dropped")
+    names = [prefix + c for c in ("kept_text", "n_lines", "n_dropped")]
+    own = docs.drop(*names)
     drops = drops.select(F.col("doc").alias("__doc"), F.col("drop").alias("__drop")).hint("shuffle_hash")
     joined = own.join(drops, F.col(id_col) == F.col("__doc"), "left").withColumn("__r", rewrite(F.col(text_col), F.col("__drop")))
     return joined.select(
         *[F.col(f"`{c}`") for c in own.columns],
-        F.col("__r.kept").alias("kept_text"),
-        F.col("__r.n_lines").alias("n_lines"),
-        F.col("__r.n_dropped").alias("n_dropped"),
+        *[F.col(f"__r.{c}").alias(name) for c, name in zip(("kept", "n_lines", "n_dropped"), names)],
     )
 
 

@@ -76,14 +76,19 @@ def mix_sources(
     seed: str = "mix",
     big_share: float = 0.05,
     bins: int = 65536,
+    keep_rows: bool = False,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) per row of ``docs``."""
+    """(doc_id, source, size, source_size, target, copies, taken) per row of
+    ``docs``; with ``keep_rows`` all columns of ``docs`` in front of size,
+    source_size, target, copies and taken, which replace columns so named."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if keep_rows else []
     rows = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(text_col).alias("size"),
             uniform(id_col, seed).alias("__u"),
+            *row,
         ),
         "mix_rows",
     )
@@ -93,7 +98,7 @@ def mix_sources(
     targets = materialize(targets.withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size")), "mix_targets")
 
     big = F.col("size") > F.lit(big_share) * F.col("__rest")
-    rows = rows.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    rows = rows.join(_small(targets.withColumnRenamed("source", "__s"), "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     rows = rows.withColumn("__big", big & (F.col("__rest") > 0))
     # long documents first, for their own share of the rest; short ones fill what is then missing
     words = rows.where("__big").groupBy("source", "__rest", "source_size").agg(F.sum("size").alias("__w"))
@@ -106,7 +111,18 @@ def mix_sources(
     short_rest = got.select("source", F.greatest(F.lit(0.0), F.least(missing, room.cast("double"))).alias("__goal"))
     out = first.unionByName(_take(rows.where(~F.col("__big")), short_rest, bins))
     copies = F.col("__whole") + F.col("__more")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    added = ["size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")]
+    if keep_rows:
+        names = ("size", "source_size", "target", "copies", "taken")
+        return out.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in names], *added)
+    return out.select("doc_id", "source", *added)
+
+
+def _small(table: DataFrame, name: str, max_bytes: int = 8 << 20) -> DataFrame:
+    """``table`` (stored, a row per source) marked for broadcast if its rows are
+    measured to fit; beyond that it joins by shuffle."""
+    used = table.agg(F.sum(F.coalesce(F.octet_length(name), F.lit(0)) + 128)).first()[0] or 0
+    return F.broadcast(table) if used <= max_bytes else table
 
 
 def _take(rows: DataFrame, goals: DataFrame, bins: int) -> DataFrame:
@@ -122,9 +138,9 @@ def _take(rows: DataFrame, goals: DataFrame, bins: int) -> DataFrame:
     # the bin in which the goal is reached; none if the goal is 0 or all words
     edges = binned.join(goals, F.col("source").eqNullSafe(F.col("__s"))).where(reached)
     edges = edges.select(F.col("source").alias("__e"), F.col("__bin").alias("__edge"), "__before", "__all")
-    goals = goals.join(edges, F.col("__s").eqNullSafe(F.col("__e")), "left").drop("__e")
+    goals = materialize(goals.join(edges, F.col("__s").eqNullSafe(F.col("__e")), "left").drop("__e"), "mix_goals")
     cols = rows.drop("__bin").columns
-    rows = rows.join(goals, F.col("source").eqNullSafe(F.col("__s")))
+    rows = rows.join(_small(goals, "__s"), F.col("source").eqNullSafe(F.col("__s")))
     at_edge = F.coalesce(F.col("__bin") == F.col("__edge"), F.lit(False))
     # Pareto order: random odds over inclusion odds
     p = F.col("__goal") / F.col("__all")
