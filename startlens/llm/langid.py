@@ -39,17 +39,13 @@ def letter_table() -> np.ndarray:
 
 def gram_buckets(texts: list[str | None], letters: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of every n-gram of the texts."""
-    low = [(t or "").lower() for t in texts]
+    low = [f" {t.lower()} " if t else " " for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
     doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
     is_letter = letters[points]
-    # one space before each run of letters and one after the text's last
-    start = np.empty(len(points), bool)
-    if len(points):
-        start[0] = True
-        start[1:] = doc[1:] != doc[:-1]
-    before = np.concatenate(([False], is_letter[:-1])) & ~start if len(points) else start
-    keep = is_letter | before | start
+    # a text begins with its first space and keeps one after each run of letters
+    start = np.concatenate((np.ones(len(points[:1]), bool), doc[1:] != doc[:-1]))
+    keep = start | is_letter | np.concatenate((np.zeros(len(points[:1]), bool), is_letter[:-1]))
     points = np.where(is_letter, points, np.uint32(32))[keep].astype(np.uint32)
     doc = doc[keep]
     docs, grams = [], []
