@@ -175,7 +175,7 @@ class Tree:
         size = len(keys)
         listed = np.bincount(context, n, size)
         kinds = np.bincount(context, minlength=size)
-        inner = np.bincount(context, n / counts[context] * np.log(n / counts[context] / parent), size)
+        inner = np.bincount(context, n / counts[context] * np.log(n / counts[context] / parent), size).astype(float)
         left, left_parent = 1 - listed / counts, np.maximum(1 - np.bincount(context, parent, size), 1e-300)
         with np.errstate(divide="ignore", invalid="ignore"):
             inner += np.where(left > 1e-12, left * np.log(left / left_parent), 0.0)
