@@ -260,7 +260,7 @@ def score_texts(
             own.clear()
 
         for b in batches:
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 mine = own.setdefault(k, {END})
                 size -= len(mine)
                 mine.update(words(text))
@@ -270,7 +270,8 @@ def score_texts(
                     size = 0
         yield from flush()
 
-    asked = dealt.select("shard", "text").mapInArrow(ask, "shard int, word string")
+    # all columns, so that Spark deals the texts once and reads that exchange twice
+    asked = dealt.mapInArrow(ask, "shard int, word string")
     answers = asked.join(counts, "word").select("shard", "word", "c")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
