@@ -2,9 +2,8 @@
 
 Spark SQL has no incomplete beta or erfc, so the p-values are computed by
 a vectorised pandas UDF applied to the (single-row) aggregated test
-statistics. The numerics follow the standard published recipes:
-regularised incomplete beta by Lentz's continued fraction (Press et al.,
-*Numerical Recipes*, 6.4) for Student's t, and ``erfc`` for the
+statistics: the regularised incomplete beta function by its continued
+fraction (DLMF 8.17.22) for Student's t, and ``erfc`` for the
 one-degree-of-freedom chi-square.
 """
 
@@ -16,35 +15,27 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EPS = 1e-300
+_TINY = 1e-300
 _TOL = 1e-15
 
 
-def _betacf(a: float, b: float, x: float, max_iter: int = 100000) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _EPS else _EPS)
-    h = d
-    for m in range(1, max_iter + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = _EPS if abs(d) < _EPS else d
-        c = 1.0 + aa / c
-        c = _EPS if abs(c) < _EPS else c
-        d = 1.0 / d
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = _EPS if abs(d) < _EPS else d
-        c = 1.0 + aa / c
-        c = _EPS if abs(c) < _EPS else c
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _TOL:
+def _fraction(a: float, b: float, x: float, terms: int = 100_000) -> float:
+    """The continued fraction of DLMF 8.17.22, 1 / (1 + d1 / (1 + d2 / ...)),
+    summed front to back as a product of ratios of successive convergents."""
+    value, numer, denom = 1.0, 1.0, 0.0
+    for k in range(1, terms):
+        m = k // 2
+        if k % 2:
+            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        numer = 1.0 + d / (numer or _TINY)
+        denom = 1.0 / ((1.0 + d * denom) or _TINY)
+        ratio = (numer or _TINY) * denom
+        value *= ratio
+        if abs(ratio - 1.0) < _TOL:
             break
-    return h
+    return 1.0 / value
 
 
 def betainc_regularized(a: float, b: float, x: float) -> float:
@@ -55,8 +46,8 @@ def betainc_regularized(a: float, b: float, x: float) -> float:
         return 1.0
     ln_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
     if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(ln_front) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(ln_front) * _betacf(b, a, 1.0 - x) / b
+        return math.exp(ln_front) * _fraction(a, b, x) / a
+    return 1.0 - math.exp(ln_front) * _fraction(b, a, 1.0 - x) / b
 
 
 def t_two_sided_p(t: float | None, dof: float | None) -> float | None:

@@ -21,9 +21,7 @@ def stage_baseline(train: DataFrame, test: DataFrame, label: str = "label", stag
     """Naive baseline -- each test company gets its stage's training
     success rate (and mean funding); unknown stages get the overall rate.
 
-    The per-stage table has one row per stage value; it is broadcast after
-    a size check (``join_group_table``), so a hot stage is never shuffled
-    into one task.
+    The per-stage table has one row per stage value (``join_group_table``).
     """
     per = train.groupBy(stage).agg(
         F.avg(F.col(label).cast("double")).alias("stage_success_rate"),

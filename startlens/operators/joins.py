@@ -1,24 +1,14 @@
 """Joining a per-group table back onto its rows.
 
 Several operators aggregate per group (stage, sector, partition id) and
-join the result back. The per-group side has one row per group, but the
-number of groups depends on the data, so it is broadcast only after its
-size is checked: ``count()`` of the aggregated side (a cheap action over
-already-aggregated rows) must stay under ``max_rows``. Beyond that the
-join is a regular shuffle join, where AQE's skew-join handling splits a
-hot group's partition on the row side.
-
-Broadcasting the group side also removes the skew problem entirely: the
-row side is not shuffled, so a group holding a third of all rows never
-lands in one task.
+join the result back. The group side has one row per group; how many there
+are depends on the data, so the join carries no hint: AQE broadcasts it if
+its measured bytes are small, and splits a hot group's partition otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
 def join_group_table(
@@ -27,15 +17,13 @@ def join_group_table(
     on: list[str],
     how: str = "left",
     null_safe: bool = True,
-    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """``rows`` joined with the per-group table ``groups`` on ``on``.
 
     ``null_safe`` matches NULL keys with NULL keys (a NULL group is a
     group). The join columns appear once, from ``rows``.
     """
-    small = groups.count() <= max_rows
-    right = F.broadcast(groups) if small else groups
+    right = groups
     if null_safe:
         cond: Column | None = None
         for c in on:

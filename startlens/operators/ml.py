@@ -14,21 +14,31 @@ import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LinearSVC,
+    LinearSVCModel,
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StandardScalerModel, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from startlens.functions import params as P
 from startlens.operators import metrics as MT
-from startlens.session import materialize
+from startlens.session import in_scope, materialize
 
 LABEL = "label"
 
@@ -64,9 +74,10 @@ def success_rate(df: DataFrame, status_col: str = "status") -> DataFrame:
 
 
 def hash_unit(key: str | Column, salt: str) -> Column:
-    """First 16 bits of md5(key:salt) as a hex prefix (same in DuckDB)."""
+    """32 bits of md5(key:salt) as a number in [0, 1) (same in DuckDB)."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.substring(F.md5(F.concat(k.cast("string"), F.lit(":"), F.lit(salt))), 1, 4)
+    h = F.substring(F.md5(F.concat(k.cast("string"), F.lit(":"), F.lit(salt))), 1, 8)
+    return F.conv(h, 16, 10).cast("double") / F.lit(float(2**32))
 
 
 def split_column(key: str = "id", seed: int = 42, test_fraction: float = 0.2) -> Column:
@@ -75,8 +86,9 @@ def split_column(key: str = "id", seed: int = 42, test_fraction: float = 0.2) ->
     A row's side depends only on its key, so the split is reproducible,
     needs no shuffle and is stratified in expectation.
     """
-    threshold = format(int(round(test_fraction * 65536)), "04x")
-    return hash_unit(key, str(seed)) < F.lit(threshold)
+    if not 0.0 <= test_fraction <= 1.0:
+        raise ValueError(f"test_fraction must be within 0 and 1, not {test_fraction}")
+    return hash_unit(key, str(seed)) < F.lit(float(test_fraction))
 
 
 def proportional_allocation(class_counts: dict, n_draws: int) -> dict:
@@ -163,18 +175,23 @@ def fit_features(train: DataFrame, drop_first: bool = False, numerics: list[str]
 def feature_names(df: DataFrame, col: str = "features") -> list[str]:
     meta = df.schema[col].metadata.get("ml_attr", {}).get("attrs", {})
     named = [(a["idx"], a.get("name", str(a["idx"]))) for group in meta.values() for a in group]
-    return [n.replace("__f", "").replace("__ohe_", "_").replace("__dfo_", "_") for _, n in sorted(named)]
+    out = []
+    for _, n in sorted(named):
+        for c in P.CATEGORICAL_FEATURES:
+            for mark in ("__ohe_", "__dfo_"):
+                if n.startswith(c + mark):
+                    n = f"{c}_{n[len(c + mark):]}"
+        out.append(n.removesuffix("__f") if n.removesuffix("__f") in P.NUMERIC_FEATURES else n)
+    return out
 
 
 # --- the four models -------------------------------------------------------
 
-def _class_weights(train: DataFrame) -> DataFrame:
-    """Balanced weights n / (2 n_class) attached with a scalar subquery."""
-    n1 = train.select(F.count_if(F.col(LABEL) == 1)).scalar()
-    n0 = train.select(F.count_if(F.col(LABEL) == 0)).scalar()
+def class_weights(train: DataFrame, label: str = LABEL) -> tuple[dict[int, float], int]:
+    """Balanced weights n / (2 n_class) per class, and n, in one aggregate."""
+    n1, n0 = train.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
     n = n1 + n0
-    w = F.when(F.col(LABEL) == 1, n / (2.0 * n1)).otherwise(n / (2.0 * n0))
-    return train.withColumn("class_weight", w.cast("double"))
+    return {1: n / (2.0 * n1) if n1 else 0.0, 0: n / (2.0 * n0) if n0 else 0.0}, n
 
 
 class RandomFourierFeatures(Transformer):
@@ -210,6 +227,7 @@ class FittedModel:
     model: object
     rff: RandomFourierFeatures | None = None
     platt: object | None = None
+    fit_seconds: float = 0.0
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` (0/1) and ``success_probability``."""
@@ -222,33 +240,57 @@ class FittedModel:
             out = self.rff.transform(out)
             out = self.model.transform(out)
             out = out.withColumn("margin", vector_to_array("rawPrediction")[1])
+            if self.platt is None:
+                return out.drop("rawPrediction")
             out = self.platt.transform(out.drop("probability", "rawPrediction").withColumn("platt_in", array_to_vector(F.array("margin"))))
             return out.withColumn("success_probability", vector_to_array("probability")[1])
         out = self.model.transform(out)
         return out.withColumn("success_probability", vector_to_array("probability")[1])
 
 
+CALIBRATION_FOLDS = 3
 MODEL_NAMES = ["Logistic Regression", "Random Forest", "Gradient Boosting", "Support Vector Machine"]
 
 
-def fit_model(name: str, train: DataFrame, seed: int = 42, drop_first: bool = False, rff_components: int = 300) -> FittedModel:
-    """Fit one of the four models on a labelled table."""
+def _timed(estimator, table: DataFrame) -> tuple[object, float]:
+    t0 = time.time()
+    model = estimator.fit(table)
+    return model, time.time() - t0
+
+
+def _margin(model, table: DataFrame) -> DataFrame:
+    out = model.transform(table).withColumn("platt_in", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
+    return out.drop("probability", "rawPrediction", "prediction")
+
+
+def fit_model(name: str, train: DataFrame, seed: int = 42, drop_first: bool = False, rff_components: int = 300,
+              calibrate: bool = True, key: str = "id") -> FittedModel:
+    """Fit one of the four models on a labelled table.
+
+    ``fit_seconds`` is the time of the estimator's own fit. The SVM's
+    probabilities are calibrated on the margins of held-out folds
+    (``calibrate=False`` leaves them out where only labels are needed).
+    """
     feats = fit_features(train, drop_first)
     x = feats.transform(train)
     if name == "Random Forest":
         rf = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=100, maxDepth=10, minInstancesPerNode=10,
                                     featureSubsetStrategy="sqrt", seed=seed)
-        return FittedModel(name, feats, None, rf.fit(x))
+        model, sec = _timed(rf, x)
+        return FittedModel(name, feats, None, model, fit_seconds=sec)
     if name == "Gradient Boosting":
         gbt = GBTClassifier(labelCol=LABEL, featuresCol="features", maxIter=100, stepSize=0.1, maxDepth=5, minInstancesPerNode=10, seed=seed)
-        return FittedModel(name, feats, None, gbt.fit(x))
+        model, sec = _timed(gbt, x)
+        return FittedModel(name, feats, None, model, fit_seconds=sec)
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(x)
-    xs = _class_weights(scaler.transform(x))
-    n = xs.count()
+    weights, n = class_weights(x)
+    weight = F.when(F.col(LABEL) == 1, weights[1]).otherwise(weights[0]).cast("double")
+    xs = scaler.transform(x).withColumn("class_weight", weight)
     if name == "Logistic Regression":
         lr = LogisticRegression(labelCol=LABEL, featuresCol="scaled", weightCol="class_weight", maxIter=1000, regParam=1.0 / n,
                                 elasticNetParam=0.0, standardization=False)
-        return FittedModel(name, feats, scaler, lr.fit(xs))
+        model, sec = _timed(lr, xs)
+        return FittedModel(name, feats, scaler, model, fit_seconds=sec)
     if name == "Support Vector Machine":
         stats = xs.select(Summarizer.metrics("mean", "variance").summary(F.col("scaled")).alias("s")).first()["s"]
         mean, var = np.asarray(stats["mean"].toArray()), np.asarray(stats["variance"].toArray())
@@ -258,13 +300,18 @@ def fit_model(name: str, train: DataFrame, seed: int = 42, drop_first: bool = Fa
         gamma = 1.0 / (d * total_var) if total_var > 0 else 1.0 / d
         rff = RandomFourierFeatures("scaled", "rff", d, rff_components, gamma, seed)
         z = rff.transform(xs)
-        svc = LinearSVC(labelCol=LABEL, featuresCol="rff", weightCol="class_weight", regParam=1.0 / n, maxIter=200).fit(z)
-        margins = svc.transform(z).withColumn("platt_in", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
-        platt = LogisticRegression(labelCol=LABEL, featuresCol="platt_in", regParam=0.0, maxIter=100,
-                                   predictionCol="platt_prediction", rawPredictionCol="platt_raw").fit(
-            margins.drop("probability", "rawPrediction")
-        )
-        return FittedModel(name, feats, scaler, svc, rff, platt)
+        # the penalty applies to the map's own features, which share one scale
+        svc = LinearSVC(labelCol=LABEL, featuresCol="rff", weightCol="class_weight", regParam=1.0 / n, maxIter=200, standardization=False)
+        model, sec = _timed(svc, z)
+        platt = None
+        if calibrate:
+            fold = fold_column(key, CALIBRATION_FOLDS, seed + 1)
+            held = [_margin(svc.fit(z.where(fold != f)), z.where(fold == f)) for f in range(CALIBRATION_FOLDS)]
+            platt = LogisticRegression(labelCol=LABEL, featuresCol="platt_in", regParam=0.0, maxIter=100,
+                                       predictionCol="platt_prediction", rawPredictionCol="platt_raw").fit(
+                reduce(DataFrame.unionByName, held)
+            )
+        return FittedModel(name, feats, scaler, model, rff, platt, sec)
     raise ValueError(f"unknown model {name}")
 
 
@@ -279,7 +326,7 @@ def evaluate(fitted: FittedModel, test: DataFrame) -> dict:
 
 
 def _fold_f1(name: str, folded: DataFrame, f: int, seed: int) -> float:
-    fit = fit_model(name, folded.where(F.col("__fold") != f), seed)
+    fit = fit_model(name, folded.where(F.col("__fold") != f), seed, calibrate=False)
     pred = fit.transform(folded.where(F.col("__fold") == f))
     return MT.binary_metrics(pred, LABEL, "prediction").first()["f1"]
 
@@ -293,7 +340,7 @@ def cross_val_f1(name: str, train: DataFrame, k: int = 5, seed: int = 42, key: s
     folded = train.withColumn("__fold", fold_column(key, k, seed))
     if parallelism > 1:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            scores = list(pool.map(lambda f: _fold_f1(name, folded, f, seed), range(k)))
+            scores = list(pool.map(in_scope(lambda f: _fold_f1(name, folded, f, seed)), range(k)))
     else:
         scores = [_fold_f1(name, folded, f, seed) for f in range(k)]
     return float(np.mean(scores)), float(np.std(scores))
@@ -332,15 +379,14 @@ def compare_models(labelled: DataFrame, models: list[str] | None = None, seed: i
     test = split.where(F.col("__test")).drop("__test")
     results = {}
     for name in names:
-        t0 = time.time()
-        fitted = fit_model(name, train, seed)
-        results[name] = (evaluate(fitted, test), time.time() - t0)
+        fitted = fit_model(name, train, seed, calibrate=False, key=key)
+        results[name] = (evaluate(fitted, test), fitted.fit_seconds)
     cv = {}
     if cv_folds and cv_folds > 1:
         folded = train.withColumn("__fold", fold_column(key, cv_folds, seed))
         jobs = [(n, f) for n in names for f in range(cv_folds)]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            f1s = list(pool.map(lambda nf: _fold_f1(nf[0], folded, nf[1], seed), jobs))
+            f1s = list(pool.map(in_scope(lambda nf: _fold_f1(nf[0], folded, nf[1], seed)), jobs))
         for (n, _f), v in zip(jobs, f1s):
             cv.setdefault(n, []).append(v)
     rows = []
@@ -352,14 +398,17 @@ def compare_models(labelled: DataFrame, models: list[str] | None = None, seed: i
     return labelled.sparkSession.createDataFrame(rows, COMPARISON_SCHEMA)
 
 
-def best_by_metric(comparison: DataFrame, metrics: list[str] | None = None) -> DataFrame:
-    """The best model per metric (ties: the later name alphabetically)."""
+def best_by_metric(comparison: DataFrame, metrics: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
+    """The best model per metric; of equal ones the first in the
+    order of ``models`` (unlisted names after them, by name)."""
+    order = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in (models or MODEL_NAMES)]), F.col("Model")), F.lit(0))
+    place = F.struct(F.when(order > 0, order).otherwise(1 << 30).alias("at"), F.col("Model").alias("name"))
     metrics = metrics or ["Accuracy", "Precision", "Recall", "F1-Score", "ROC-AUC"]
     long = comparison.select(
-        "Model", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("value")) for m in metrics]))
+        "Model", place.alias("place"), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("value")) for m in metrics]))
     )
     return long.groupBy("metric").agg(
-        F.max_by("Model", F.struct(F.col("value"), F.col("Model"))).alias("best_model"), F.max("value").alias("value")
+        F.min_by("Model", F.struct(-F.col("value"), F.col("place"))).alias("best_model"), F.max("value").alias("value")
     )
 
 
@@ -386,14 +435,30 @@ def predict_success(fitted: FittedModel, df: DataFrame) -> DataFrame:
 
 
 def save_model(fitted: FittedModel, path: str) -> None:
-    """Native MLlib persistence of the feature pipeline and model."""
-    fitted.features.write().overwrite().save(f"{path}/features")
-    fitted.model.write().overwrite().save(f"{path}/model")
-    if fitted.scaler is not None:
-        fitted.scaler.write().overwrite().save(f"{path}/scaler")
-
-
-def load_random_forest(path: str) -> FittedModel:
-    from pyspark.ml.classification import RandomForestClassificationModel
-
-    return FittedModel("Random Forest", PipelineModel.load(f"{path}/features"), None, RandomForestClassificationModel.load(f"{path}/model"))
+    """The feature pipeline, scaler, model and calibrator in MLlib's own
+    format, and the model's name and random map as a one-row table."""
+    parts = {"features": fitted.features, "model": fitted.model, "scaler": fitted.scaler, "calibrator": fitted.platt}
+    for name, part in parts.items():
+        if part is not None:
+            part.write().overwrite().save(f"{path}/{name}")
+    m = fitted.rff
+    row = (fitted.name, fitted.scaler is not None, fitted.platt is not None,
+           m.w.shape[0] if m else None, m.w.ravel().tolist() if m else None, m.b.tolist() if m else None)
+    spark = SparkSession.active()
+    schema = "name string, scaled boolean, calibrated boolean, dim_in int, w array<double>, b array<double>"
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_model(path: str) -> FittedModel:
+    """A model saved by ``save_model``, whichever of the four it is."""
+    about = SparkSession.active().read.parquet(f"{path}/about").first()
+    kinds = {"Random Forest": RandomForestClassificationModel, "Gradient Boosting": GBTClassificationModel,
+             "Logistic Regression": LogisticRegressionModel, "Support Vector Machine": LinearSVCModel}
+    rff = None
+    if about["w"] is not None:
+        rff = RandomFourierFeatures("scaled", "rff", about["dim_in"], len(about["b"]), 1.0)
+        rff.w, rff.b = np.array(about["w"]).reshape(about["dim_in"], -1), np.array(about["b"])
+    return FittedModel(
+        about["name"], PipelineModel.load(f"{path}/features"), StandardScalerModel.load(f"{path}/scaler") if about["scaled"] else None,
+        kinds[about["name"]].load(f"{path}/model"), rff, LogisticRegressionModel.load(f"{path}/calibrator") if about["calibrated"] else None,
+    )

@@ -66,13 +66,13 @@ def kpi_summary(df: DataFrame, kpis: Sequence[str] | None = None, approximate_me
     return moments.join(med, "kpi", "left").select("kpi", "count", "mean", "median", "std", "min", "max")
 
 
-def score_summary(df: DataFrame, score_col: str = "investment_score", approximate: bool = False, bounded_grid: bool = True) -> DataFrame:
+def score_summary(df: DataFrame, score_col: str = "investment_score", approximate: bool = False, bounded_grid: bool = False) -> DataFrame:
     """A5: mean, median, std, min, q25, q75, max of the score (one row).
 
     The investment score is rounded to 2 decimals within [0, 100] (default
-    weights), so it takes at most 10,001 values: ``bounded_grid`` lets the
-    exact quartiles come from one single-pass aggregate. Pass False for an
-    unbounded score (custom weights, unrounded scores).
+    weights), so it takes at most 10,001 values: a caller who knows that may
+    pass ``bounded_grid``, and the exact quartiles come from one single-pass
+    aggregate. Other scores (custom weights, unrounded) need the default.
     """
     keyed = df.select(F.lit(score_col).alias("metric"), F.col(score_col).cast("double").alias("value"))
     moments = keyed.groupBy("metric").agg(

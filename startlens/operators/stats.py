@@ -70,10 +70,9 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"__{c}_pt").over(prior_w), F.lit(0)).alias(f"__{c}_off") for c in sum_cols],
         *[F.sum(f"__{c}_pt").over(total_w).alias(f"{c}_total") for c in sum_cols],
     )
-    # NULL is a group of its own: join null-safely on the group keys. The
-    # offset table has at most partitions x groups rows; it is broadcast
-    # after a size check.
-    out = join_group_table(local, offsets, ["__pid", *groups], how="inner")
+    # NULL is a group of its own: join null-safely on the group keys. Without
+    # groups the offset table has a row per partition, a size set by configuration.
+    out = join_group_table(local, offsets if groups else F.broadcast(offsets), ["__pid", *groups], how="inner")
     out = out.withColumns({f"{c}_before": F.col(f"__{c}_off") + F.col(f"__{c}_loc") for c in sum_cols})
     return out.drop("__pid", *[f"__{c}_{s}" for c in sum_cols for s in ("loc", "off")])
 

@@ -175,7 +175,8 @@ _SCORE_SUMMARY_SQL = (
 
 @register("score_summary", _SCORE_SUMMARY_SQL)
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(R.score_summary(startups.scored_companies(spark, sf_dir)))
+    # default weights sum to 1 and the score is rounded: at most 10,001 values
+    return tidy(R.score_summary(startups.scored_companies(spark, sf_dir), bounded_grid=True))
 
 
 def _bands_sql() -> str:
@@ -519,7 +520,7 @@ from startlens.operators import ml as ML  # noqa: E402
 
 _LAB_CTE = (f"{O.score_ctes()}, lab AS (SELECT *, CASE WHEN status IN ('acquired', 'ipo') THEN 1 WHEN status = 'closed' THEN 0 "
             "ELSE -1 END AS success FROM scored)")
-_SPLIT_CTE = (f"{_LAB_CTE}, s AS (SELECT *, substring(md5(concat(CAST(id AS VARCHAR), ':', '42')), 1, 4) < '3333' AS is_test "
+_SPLIT_CTE = (f"{_LAB_CTE}, s AS (SELECT *, CAST(CAST('0x' || substring(md5(concat(CAST(id AS VARCHAR), ':', '42')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 < CAST(0.2 AS DOUBLE) AS is_test "
               "FROM lab WHERE success <> -1)")
 
 
@@ -732,7 +733,7 @@ def prospect_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted, _ = _train_rf(spark, sf_dir)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/rf-{uuid.uuid4().hex}"
     ML.save_model(fitted, path)
-    loaded = ML.load_random_forest(path)
+    loaded = ML.load_model(path)
     scored = X.score_prospects(fixtures.prospects(spark, sf_dir))
     pred = ML.predict_success(loaded, scored)
     out = X.with_probability_bands(pred).withColumn("composite_score", AN.composite_score()).select(
@@ -954,8 +955,8 @@ def alternative_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("prospect_stream_scores", ORACLE["prospect_scores"])
 def prospect_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prospect files stream through the scorer (one file per micro-batch,
-    parquet sink, checkpointed); the sink must equal the batch result."""
+    """Prospect files stream through the scorer (parquet sink,
+    checkpointed); the sink must equal the batch result."""
     import uuid
 
     from startlens.session import ensure_checkpoint_dir
@@ -963,7 +964,7 @@ def prospect_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/prospects-{uuid.uuid4().hex}"
     src = fixtures.prospects(spark, sf_dir)
-    src.repartition(4).write.mode("overwrite").parquet(f"{base}/input")
+    src.write.mode("overwrite").parquet(f"{base}/input")
     q = SP.start_scoring(spark, f"{base}/input", f"{base}/output", f"{base}/_checkpoint")
     q.awaitTermination()
     out = spark.read.schema(SP.score_stream(src).schema).parquet(f"{base}/output")

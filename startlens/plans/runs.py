@@ -133,16 +133,10 @@ def run_prospect_scoring(spark: SparkSession, model_dir: str, prospects_path: st
     from startlens.operators import prospects as X
 
     raw = read_csv(spark, prospects_path) if fmt == "csv" else spark.read.parquet(prospects_path)
-    typed = raw.select(
-        *[F.col(c) for c in raw.columns if c not in ("funding_amount", "investors_count", "founded_year", "stage", "sector", "country")],
-        F.col("funding_amount").cast("string").try_cast("double").alias("funding_amount"),
-        *[F.col(c).cast("string").alias(c) for c in ("stage", "sector", "country") if c in raw.columns],
-        F.col("investors_count").cast("string").try_cast("int").alias("investors_count"),
-        F.col("founded_year").cast("string").try_cast("int").alias("founded_year"),
-    )
-    model = ml.load_random_forest(model_dir)
+    typed = X.read_inputs(raw)
+    model = ml.load_model(model_dir)
     out = X.with_probability_bands(ml.predict_success(model, X.score_prospects(typed)))
-    keep = [c for c in typed.columns] + ["is_valid", "reject_reasons", "estimated_revenue", "capital_efficiency", "monthly_burn",
+    keep = [c for c in typed.columns if c != "unreadable"] + ["is_valid", "reject_reasons", "estimated_revenue", "capital_efficiency", "monthly_burn",
                                          "runway_months", "burn_multiple", "traction_index", "rule_of_40", "investment_score",
                                          "success_probability", "confidence", "recommendation", "percentile_context",
                                          "strengths", "concerns"]

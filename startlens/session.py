@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
-import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,11 +44,6 @@ def _context(spark: SparkSession):
         return None
 
 
-def app_id(spark: SparkSession) -> str:
-    sc = _context(spark)
-    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting one only if unset."""
     sc = _context(spark)
@@ -84,14 +79,28 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    with _SCOPES_LOCK:
-        for scope in _SCOPES:
-            scope.append(path)
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     return spark.read.parquet(path)
 
 
-_SCOPES: list[list[str]] = []
-_SCOPES_LOCK = threading.Lock()
+#: The tables of the innermost open ``scratch_tables`` block of this context.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch_tables", default=None)
+
+
+def in_scope(fn):
+    """``fn`` for a worker thread, with the scratch scope of the calling one."""
+    scope = _SCOPE.get()
+
+    def run(*args):
+        token = _SCOPE.set(scope)
+        try:
+            return fn(*args)
+        finally:
+            _SCOPE.reset(token)
+
+    return run
 
 
 def delete_paths(spark: SparkSession, paths: list[str]) -> int:
@@ -113,15 +122,16 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> int:
 def scratch_tables(spark: SparkSession) -> Iterator[list[str]]:
     """Delete every table materialized inside the block when it ends.
 
+    A table belongs to the innermost block of the context that wrote it, so
+    runs in other threads never delete each other's tables.
+
     For jobs that write their outputs inside the block (the file-based runs);
     a DataFrame returned out of the block must not depend on them.
     """
     paths: list[str] = []
-    with _SCOPES_LOCK:
-        _SCOPES.append(paths)
+    token = _SCOPE.set(paths)
     try:
         yield paths
     finally:
-        with _SCOPES_LOCK:
-            _SCOPES.remove(paths)
+        _SCOPE.reset(token)
         delete_paths(spark, paths)

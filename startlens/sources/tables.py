@@ -10,32 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from startlens.session import app_id
-
-
-_SCANS: dict[tuple[str, int, str], DataFrame] = {}
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet scan of one table, projected to ``columns``.
-
-    The base scan (file listing + footer/schema resolution) is resolved
-    once per session and path and reused: a DataFrame is an immutable lazy
-    plan, so sharing it between queries changes nothing but driver time.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    # the application id changes with every new SparkContext, so a session
-    # rebuilt after stop() never sees a scan bound to the stopped context
-    key = (app_id(spark), id(spark), path)
-    df = _SCANS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _SCANS[key] = df
+    """Parquet scan of one table, projected to ``columns``; the files are
+    listed anew on every call, so rows added since are read."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Header CSV; quoted fields may hold commas, quotes and newlines.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False) -> DataFrame:
+    """Header CSV; quoted fields may hold commas and quotes.
+
+    A file is split over many tasks. ``multi_line`` also lets quoted fields
+    hold newlines, but then each file is read by one task.
 
     Without a schema every column is read as text (cast later with
     ``try_cast``), the safe choice for untrusted extracts; schema inference
@@ -43,7 +30,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     """
     r = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")

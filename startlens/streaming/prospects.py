@@ -24,9 +24,13 @@ PROSPECT_SCHEMA = (
 )
 
 
-def read_prospect_stream(spark: SparkSession, source_dir: str, schema: str = PROSPECT_SCHEMA, max_files_per_trigger: int = 1) -> DataFrame:
-    """A file-stream of prospects (parquet); the schema is fixed up front."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+def read_prospect_stream(spark: SparkSession, source_dir: str, schema: str = PROSPECT_SCHEMA, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A file-stream of prospects (parquet); the schema is fixed up front. A
+    batch takes all new files unless ``max_files_per_trigger`` is given."""
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(source_dir)
 
 
 def score_stream(stream: DataFrame, model=None) -> DataFrame:
@@ -51,13 +55,14 @@ def start_scoring(
     model=None,
     available_now: bool = True,
     processing_time: str | None = None,
+    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Start the scoring stream: append to parquet at ``sink_dir``.
 
     ``available_now`` processes everything present and stops (batch-like
     catch-up); otherwise the query runs on a ``processing_time`` trigger.
     """
-    scored = score_stream(read_prospect_stream(spark, source_dir), model)
+    scored = score_stream(read_prospect_stream(spark, source_dir, max_files_per_trigger=max_files_per_trigger), model)
     w = scored.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "30 seconds")
     return w.start(sink_dir)
