@@ -92,6 +92,18 @@ def top_n(
     return best.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def rank_of_company(df: DataFrame, company: str | Column, score: str = "investment_score", key: str = "id",
+                    company_col: str = "company", rank_col: str = "rank") -> DataFrame:
+    """P15 without ranking the table: the best row of a name, ranked as one
+    more than the rows that come before it in (score descending, NULLs last, key) order."""
+    name = F.lit(company) if isinstance(company, str) else company
+    place = F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("down"), F.col(key).alias("key"))
+    best = df.where(F.col(company_col) == name).orderBy(*_order(score, key, False)).limit(1)
+    first = best.select(place.alias("p")).scalar()
+    before = df.where(place < first).select(F.count(F.lit(1))).scalar()
+    return best.withColumn(rank_col, (before + 1).cast("long"))
+
+
 def lookup_company(df: DataFrame, company: str | Column, company_col: str = "company", order_col: str = "rank") -> DataFrame:
     """First row matching a company name (lowest rank).
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from startlens.functions import params as P
 from startlens.operators.kpi import KPI_COLUMNS
@@ -125,6 +126,15 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
     return counts.withColumn("share", F.col("companies") / total)
 
 
+def distributions(df: DataFrame, cols: list[str]) -> DataFrame:
+    """D15 for several columns in one pass: (dimension, value, companies,
+    share), NULL kept as its own value."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in cols])
+    counts = df.select(F.inline(pairs)).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("companies"))
+    total = F.sum("companies").over(Window.partitionBy("dimension"))
+    return counts.withColumn("share", F.col("companies") / total)
+
+
 def load_funnel(objects: DataFrame, min_funding: float = 0, entity_col: str = "entity_type", funding_col: str = "funding_total_usd") -> DataFrame:
     """Rows kept after each loader step, computed in one pass."""
     is_co = F.col(entity_col) == "Company" if entity_col in objects.columns else F.lit(True)

@@ -14,9 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from startlens.functions import params as _P
 from startlens.plans import oracle as O
 from startlens.plans import startups
 from startlens.plans.present import tidy
+from startlens.session import materialize
 from startlens.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,9 +269,26 @@ def missingness_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out, overrides={"mean_missing": 2, "mean_present": 2})
 
 
-@register("missingness_test")
+def _half_area(z: str, density: str, source: str) -> str:
+    """CTE ``h``: the area of a density from 0 to ``z``, by Simpson's rule."""
+    steps = 20000
+    u = f"({z} * k / {steps}.0)"
+    w = f"CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"h AS (SELECT coalesce(sum({w} * {density.format(u=u)} * {z} / {steps * 3}), 0) AS half FROM {source}, range({steps + 1}) r(k))"
+
+
+def _miss_test_sql() -> str:
+    ctes, select = _MISS_SQL.split("\nSELECT ", 1)
+    density = "exp(lgamma((v + 1) / 2) - lgamma(v / 2) - (v + 1) / 2 * ln(1 + {u} * {u} / v)) / sqrt(v * pi())"
+    return (
+        f"{ctes}, z AS (SELECT abs(t_stat) AS z, CAST(n_m + n_p - 2 AS DOUBLE) AS v FROM t), {_half_area('z', density, 'z')} "
+        f"SELECT {select}, h".replace(" AS dof FROM t", f" AS dof, round(1 - 2 * half, 6) AS p_value, 1 - 2 * half < {_P.SIGNIFICANCE_LEVEL} AS significant FROM t")
+    )
+
+
+@register("missingness_test", _miss_test_sql())
 def missingness_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows-only: the t-test p-value needs the incomplete beta function."""
+    """T statistic, p-value and significance flag."""
     out = M.missingness_test(startups.enriched_companies(spark, sf_dir))
     return tidy(out, overrides={"mean_missing": 2, "mean_present": 2})
 
@@ -281,7 +300,7 @@ def missingness_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM enr GROUP BY 1",
 )
 def funding_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.group_funding_profile(startups.enriched_companies(spark, sf_dir))
+    out = M.group_funding_profile(materialize(startups.enriched_companies(spark, sf_dir).select("investors_count", "funding_amount")))
     return tidy(out, overrides={"mean_funding": 2, "median_funding": 2})
 
 
@@ -357,9 +376,19 @@ def chi_square_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(M.chi_square_stats(startups.enriched_companies(spark, sf_dir)))
 
 
-@register("chi_square_test")
+def _chi_test_sql() -> str:
+    """The statistic is taken before rounding; with no degree of freedom p is 1."""
+    ctes, select = _chi_sql().rsplit(" SELECT CAST(a AS BIGINT)", 1)
+    chi2 = select.split("round(", 1)[1].split(", 6) AS chi2", 1)[0]
+    density = "exp(-{u} * {u} / 2) / sqrt(2 * pi())"
+    return (
+        f"{ctes}, z AS (SELECT sqrt({chi2}) AS z FROM c), {_half_area('z', density, 'z')} SELECT CAST(a AS BIGINT){select}, h"
+    ).replace(" AS dof FROM c, h", f" AS dof, round(1 - 2 * half, 6) AS p_value, 1 - 2 * half < {_P.SIGNIFICANCE_LEVEL} AS significant FROM c, h")
+
+
+@register("chi_square_test", _chi_test_sql())
 def chi_square_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows-only: the p-value needs erfc (no SQL form in either engine)."""
+    """Yates-corrected chi-square, p-value and significance flag."""
     return tidy(M.chi_square_test(startups.enriched_companies(spark, sf_dir)))
 
 
@@ -378,7 +407,6 @@ def ml_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Prospects -- X1-X3, X5-X8
 # ---------------------------------------------------------------------------
 
-from startlens.functions import params as _P  # noqa: E402
 from startlens.operators import prospects as X  # noqa: E402
 
 
@@ -513,7 +541,6 @@ def probability_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ML: labels, split, features -- M1-M6, A8, U1, U3, P14, P16
 # ---------------------------------------------------------------------------
 
-from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from startlens.operators import metrics as MT  # noqa: E402
 from startlens.operators import ml as ML  # noqa: E402
@@ -551,7 +578,12 @@ def _features_long(spark: SparkSession, sf_dir: str, drop_first: bool) -> DataFr
     fm = ML.fit_features(s.where(~F.col("is_test")), drop_first=drop_first)
     x = fm.transform(s)
     names = ML.feature_names(x)
-    long = x.select("id", "is_test", F.posexplode(vector_to_array("features")).alias("pos", "value"))
+    # only the entries that are not zero: rows x filled features, not rows x vocabulary
+    v = F.unwrap_udt("features")
+    entries = F.when(v["type"] == 0, F.arrays_zip(v["indices"].alias("pos"), v["values"].alias("value"))).otherwise(
+        F.transform(v["values"], lambda e, i: F.struct(i.alias("pos"), e.alias("value")))
+    )
+    long = x.select("id", "is_test", F.inline(entries).alias("pos", "value")).where("value <> 0")
     out = long.select("id", F.col("is_test").cast("string").alias("is_test"),
                       F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos") + 1).alias("feature"), "value")
     return tidy(out)
@@ -574,7 +606,7 @@ def _features_sql(drop_first: bool) -> str:
         f"FROM v0) t {keep}), num AS ({nums}), "
         f"cat AS (SELECT s.id, s.is_test, vs.col || '_' || vs.v AS feature, CASE WHEN {match} THEN {D(1.0)} ELSE {D(0.0)} END AS value "
         f"FROM s CROSS JOIN vs), a AS (SELECT * FROM num UNION ALL SELECT * FROM cat) "
-        f"SELECT CAST(id AS BIGINT) AS id, CAST(is_test AS VARCHAR) AS is_test, feature, round(value, 6) AS value FROM a"
+        f"SELECT CAST(id AS BIGINT) AS id, CAST(is_test AS VARCHAR) AS is_test, feature, round(value, 6) AS value FROM a WHERE value <> 0"
     )
 
 
@@ -839,7 +871,7 @@ def time_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM enr e LEFT JOIN m ON e.stage IS NOT DISTINCT FROM m.stage AND e.sector IS NOT DISTINCT FROM m.sector",
 )
 def investor_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = startups.enriched_companies(spark, sf_dir).select("id", "stage", "sector", "investors_count")
+    e = materialize(startups.enriched_companies(spark, sf_dir).select("id", "stage", "sector", "investors_count"))
     return tidy(AN.impute_group_median(e, "investors_count", ["stage", "sector"]))
 
 
@@ -913,14 +945,8 @@ def _dist_sql() -> str:
 @register("distributions", _dist_sql())
 def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value counts and shares of entity type, status, stage, country."""
-    objs = fixtures.objects(spark, sf_dir)
-    enr = startups.enriched_companies(spark, sf_dir)
-    parts = [("entity_type", objs), ("status", enr), ("stage", enr), ("country", enr)]
-    out = None
-    for dim, df in parts:
-        d = RP.distribution(df, dim).select(F.lit(dim).alias("dimension"), F.col(dim).cast("string").alias("value"), "companies", "share")
-        out = d if out is None else out.unionByName(d)
-    return tidy(out)
+    all_kinds = RP.distributions(fixtures.objects(spark, sf_dir), ["entity_type"])
+    return tidy(all_kinds.unionByName(RP.distributions(startups.enriched_companies(spark, sf_dir), ["status", "stage", "country"])))
 
 
 def _pivot_sql() -> str:
@@ -993,9 +1019,9 @@ _LOOKUP_KINDS = dict(_RANKED_KINDS)
 def company_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look a company up by name (the name of the top-ranked company, taken
     with a scalar subquery): first match by rank."""
-    ranked = startups.ranked_companies(spark, sf_dir)
-    top_name = ranked.where(F.col("rank") == 1).select("company").scalar()
-    return tidy(RK.lookup_company(ranked, top_name))
+    scored = startups.scored_companies(spark, sf_dir)
+    top_name = RK.top_n(scored, 1).select("company").scalar()
+    return tidy(RK.rank_of_company(scored, top_name))
 
 
 _BOUND_COLS = ["funding_amount", "investors_count", "founded_year", "investment_score", "traction_index"]
@@ -1224,3 +1250,95 @@ def forest_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = {c: counts.select(c).scalar() for c in ("tn", "fp", "fn", "tp", "accuracy")}
     extra["roc_auc"] = auc.select("roc_auc").scalar()
     return tidy(MT.classification_report(pred).withColumns(extra))
+
+
+# ---------------------------------------------------------------------------
+# Prospect files, folds, weights, composite and best-of tables
+# -- X3, M15, M8, D12, M17
+# ---------------------------------------------------------------------------
+
+def _file_scores_sql() -> str:
+    """The file has no sector and no country column: defaults apply to all."""
+    return _prospect_sql().replace("coalesce(sector, ", "coalesce(CAST(NULL AS VARCHAR), ").replace("coalesce(country, ", "coalesce(CAST(NULL AS VARCHAR), ")
+
+
+@register("prospect_file_scores", _file_scores_sql())
+def prospect_file_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prospects from a text CSV that lacks two columns and writes whole
+    numbers as decimals, read, typed and scored."""
+    import uuid
+
+    from startlens.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/extracts/prospects-{uuid.uuid4().hex}"
+    src = fixtures.prospects(spark, sf_dir).drop("sector", "country")
+    TB.write_table(src.withColumns({c: F.col(c).cast("double").cast("string") for c in ("investors_count", "founded_year")}), path, fmt="csv")
+    out = X.score_prospects(X.read_inputs(TB.read_csv(spark, path))).drop("unreadable")
+    flat = {c: F.array_join(c, "; ") for c in ("reject_reasons", "strengths", "concerns")}
+    return tidy(out.withColumns({"is_valid": F.col("is_valid").cast("string"), "prospect_id": F.col("prospect_id").cast("long"), **flat}))
+
+
+@register(
+    "ml_fold_summary",
+    f"WITH {_SPLIT_CTE} SELECT CAST(CAST('0x' || substring(md5(concat(CAST(id AS VARCHAR), ':fold:42')), 1, 8) AS BIGINT) % 5 AS BIGINT) AS fold, "
+    "CAST(success AS BIGINT) AS success, CAST(count(*) AS BIGINT) AS companies FROM s WHERE NOT is_test GROUP BY 1, 2",
+)
+def ml_fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies per cross-validation fold and class of the training side."""
+    train = ML.label_outcomes(startups.scored_companies(spark, sf_dir)).where(~ML.split_column("id", 42, 0.2))
+    return tidy(train.withColumn("fold", ML.fold_column("id", 5, 42)).groupBy("fold", "success").agg(F.count(F.lit(1)).alias("companies")))
+
+
+@register(
+    "ml_class_weights",
+    f"WITH {_SPLIT_CTE} SELECT CAST(success AS BIGINT) AS success, "
+    "round((SELECT count(*) FROM s WHERE NOT is_test) / (2.0 * count(*)), 6) AS class_weight FROM s WHERE NOT is_test GROUP BY success",
+)
+def ml_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: balanced weights of the classes of the training side."""
+    weights, _ = ML.class_weights(_labelled(spark, sf_dir).where(~ML.split_column("id", 42, 0.2)))
+    return tidy(spark.createDataFrame(sorted(weights.items()), "success long, class_weight double"))
+
+
+@register(
+    "composite_scores",
+    _prospect_sql().rsplit("\nSELECT ", 1)[0] + " SELECT CAST(prospect_id AS BIGINT) AS prospect_id, "
+    f"round(investment_score * {D(0.4)} + score * 100 * {D(0.4)} + traction_index * {D(0.2)}, 6) AS composite_score "
+    "FROM p7 JOIN predictions ON doc_id = prospect_id",
+)
+def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40/40/20 composite of prospects that have a stored probability."""
+    scored = X.score_prospects(fixtures.prospects(spark, sf_dir))
+    stored = fixtures.predictions(spark, sf_dir).select(F.col("doc_id").alias("prospect_id"), F.col("score").alias("success_probability"))
+    return tidy(scored.join(stored, "prospect_id").select("prospect_id", AN.composite_score().alias("composite_score")))
+
+
+def _best_sql() -> str:
+    metrics = {
+        "Accuracy": "CAST(tp + tn AS DOUBLE) / nullif(tp + tn + fp + fn, 0)",
+        "Precision": "CAST(tp AS DOUBLE) / nullif(tp + fp, 0)",
+        "Recall": "CAST(tp AS DOUBLE) / nullif(tp + fn, 0)",
+        "F1-Score": "CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0)",
+    }
+    names = "[" + ", ".join(O.q(m) for m in ML.MODEL_NAMES) + "]"
+    long = " UNION ALL ".join(f"SELECT i, model, {O.q(m)} AS metric, coalesce({e}, 0) AS value FROM c" for m, e in metrics.items())
+    count = ", ".join(f"count(*) FILTER (WHERE label = {a} AND prediction = {b}) AS {n}" for a, b, n in ((1, 1, "tp"), (0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn")))
+    return (
+        f"WITH {_PRED_CTE}, c AS (SELECT doc_id % 4 AS i, {names}[doc_id % 4 + 1] AS model, {count} FROM pr GROUP BY 1, 2), l AS ({long}), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, i) AS k FROM l) "
+        "SELECT metric, model AS best_model, round(value, 6) AS value FROM r WHERE k = 1"
+    )
+
+
+@register("best_of_stored_predictions", _best_sql())
+def best_of_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best model per metric, over stored predictions of four models."""
+    pred = _pred_df(spark, sf_dir)
+    names = ML.MODEL_NAMES
+    table = None
+    for k, name in enumerate(names):
+        m = MT.binary_metrics(pred.where(F.col("doc_id") % 4 == k))
+        m = m.select(F.lit(name).alias("Model"), F.col("accuracy").alias("Accuracy"), F.col("precision").alias("Precision"),
+                     F.col("recall").alias("Recall"), F.col("f1").alias("F1-Score"))
+        table = m if table is None else table.unionByName(m)
+    return tidy(ML.best_by_metric(table, ["Accuracy", "Precision", "Recall", "F1-Score"]))
