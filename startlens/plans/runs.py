@@ -4,14 +4,16 @@ A user with the three company files -- companies (``objects``), funding
 rounds and investments -- runs the whole ranking from a folder:
 
     python -m startlens.plans.runs rank --data-dir DATA --out OUT [--format csv|parquet]
-    python -m startlens.plans.runs train --scored OUT/scored --out MODELS
+    python -m startlens.plans.runs train --scored OUT/scored --out MODELS [--format csv]
+    python -m startlens.plans.runs missing --data-dir DATA --out OUT
+    python -m startlens.plans.runs load --input any_extract.csv --out OUT
     python -m startlens.plans.runs predict --model MODELS/model --prospects prospects.csv --out PRED
 
 Files are read as text by header name (a company extract may carry many
 more columns than the few used), the used columns are selected and
 converted with ``try_cast``/``try_to_date``, then the lazy plan of
-:mod:`startlens.plans.startups` runs and two tables are written: every
-company with KPIs, score and rank, and the top N.
+:mod:`startlens.plans.startups` runs and the tables are written: every
+company with KPIs, score and rank, the top N, and the summaries.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from startlens.functions import params as P
-from startlens.operators import enrich, kpi, rank, score
+from startlens.operators import clean, enrich, kpi, missing, rank, report, score
 from startlens.session import get_spark, materialize, scratch_tables
 from startlens.sources.tables import read_csv, write_table
 
@@ -92,8 +94,10 @@ def run_ranking(
     snapshot_year: int = P.SNAPSHOT_YEAR,
     min_funding: float = 0,
 ) -> dict[str, str]:
-    """Read the three tables, rank every company, write ``scored`` and
-    ``top_<n>`` under ``out_dir``; returns the written paths."""
+    """Read the three tables, rank every company, and write ``scored``,
+    ``top_<n>``, ``kpi_summary``, ``score_summary``, ``score_bands``,
+    ``stage_counts`` and ``top_breakdown`` (the best company's score by
+    component) under ``out_dir``; returns the written paths."""
     objs, rounds, inv = load_company_tables(spark, data_dir, fmt)
     paths = {"scored": os.path.join(out_dir, "scored"), "top": os.path.join(out_dir, f"top_{top}")}
     with scratch_tables(spark):  # intermediate tables are deleted once the outputs are written
@@ -101,27 +105,87 @@ def run_ranking(
         # writes below reuse it instead of recomputing the enrichment
         ranked = rank_companies(objs, rounds, inv, snapshot_year, min_funding)
         write_table(ranked, paths["scored"], fmt=out_format)
-        write_table(ranked.where(F.col("rank") <= top).orderBy("rank").coalesce(1), paths["top"], fmt=out_format)
+        write_table(ranked.where(F.col("rank") <= top).orderBy("rank"), paths["top"], fmt=out_format)
+        summaries = {
+            "kpi_summary": report.kpi_summary(ranked),
+            "score_summary": report.score_summary(ranked),
+            "score_bands": report.score_bands(ranked),
+            "stage_counts": report.stage_counts(ranked),
+            "top_breakdown": score.score_breakdown(ranked.where(F.col("rank") == 1)),
+        }
+        for name, table in summaries.items():
+            paths[name] = os.path.join(out_dir, name)
+            write_table(table, paths[name], fmt=out_format)
     return paths
 
 
+def run_missing(spark: SparkSession, data_dir: str, out_dir: str, fmt: str = "csv", out_format: str = "parquet") -> dict[str, str]:
+    """The missing-data analysis of the three tables: the overall test, the
+    funding profile, the breakdowns by stage and sector, the contingency
+    test and what it means for training. Returns the written paths."""
+    objs, rounds, inv = load_company_tables(spark, data_dir, fmt)
+    tiebreak = "round_id" if "round_id" in rounds.columns else None
+    paths = {}
+    with scratch_tables(spark):
+        df = materialize(enrich.enrich_startups(objs, rounds, inv, filter_funded=True, round_tiebreak=tiebreak), "enriched")
+        tables = {
+            "missingness_test": missing.missingness_test(df),
+            "funding_profile": missing.group_funding_profile(df),
+            "missing_by_stage": missing.missing_by_group(df, "stage"),
+            "missing_by_sector": missing.missing_by_group(df, "sector"),
+            "chi_square_test": missing.chi_square_test(df),
+            "success_by_presence": missing.success_by_presence(df),
+            "ml_impact": missing.ml_impact(df),
+        }
+        for name, table in tables.items():
+            paths[name] = os.path.join(out_dir, name)
+            write_table(table, paths[name], fmt=out_format)
+    return paths
+
+
+def run_load(spark: SparkSession, input_path: str, out_dir: str, filter_funded: bool = True, out_format: str = "csv") -> str:
+    """Any company CSV in, the canonical columns out."""
+    table = clean.standardize_startups(clean.require_rows(read_csv(spark, input_path)), filter_funded=filter_funded)
+    path = os.path.join(out_dir, "startups")
+    write_table(table, path, fmt=out_format)
+    return path
+
+
+def read_scored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A scored table as ``run_ranking`` writes it, from parquet or CSV (the
+    model's numeric columns and the score become numbers again)."""
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    raw = read_csv(spark, path)
+    numeric = set(P.NUMERIC_FEATURES) | {"investment_score"}
+    return raw.select(*[F.col(c).try_cast("double").alias(c) if c in numeric else F.col(c) for c in raw.columns])
+
+
 def run_training(spark: SparkSession, scored_path: str, out_dir: str, cv_folds: int = 5, seed: int = 42,
-                 out_format: str = "parquet", models: list[str] | None = None) -> dict[str, str]:
-    """Entry B: from a scored table (parquet, e.g. ``run_ranking``'s output)
-    train and compare the four models, then train the single forest (first
-    category dropped), save it with its feature pipeline and write its top
-    feature importances. Returns the written paths."""
+                 out_format: str = "parquet", models: list[str] | None = None, fmt: str = "parquet", test_size: float = 0.2) -> dict[str, str]:
+    """Entry B: from a scored table (parquet or CSV, e.g. ``run_ranking``'s
+    output) train and compare the four models, then train the single forest
+    (first category dropped), save it with its feature pipeline, and write its
+    top feature importances, its per-class report and its confusion counts with
+    accuracy and AUC on the ``test_size`` share held out. Returns the written paths."""
+    from startlens.operators import metrics
     from startlens.operators import ml
 
-    scored = spark.read.parquet(scored_path)
-    labelled = ml.label_outcomes(scored)
-    paths = {k: os.path.join(out_dir, k) for k in ("model_comparison", "feature_importance", "model")}
+    paths = {k: os.path.join(out_dir, k) for k in ("model_comparison", "feature_importance", "model", "classification_report", "evaluation")}
     with scratch_tables(spark):
-        write_table(ml.compare_models(labelled, models, seed=seed, cv_folds=cv_folds), paths["model_comparison"], fmt=out_format)
-        train = labelled.where(~ml.split_column("id", seed, 0.2))
+        labelled = materialize(ml.label_outcomes(read_scored(spark, scored_path, fmt)), "labelled")
+        write_table(ml.compare_models(labelled, models, seed=seed, cv_folds=cv_folds, test_fraction=test_size), paths["model_comparison"], fmt=out_format)
+        train = labelled.where(~ml.split_column("id", seed, test_size))
         forest = ml.fit_model("Random Forest", train, seed, drop_first=True)
         ml.save_model(forest, paths["model"])
         write_table(ml.feature_importance(forest, labelled, 15), paths["feature_importance"], fmt=out_format)
+        test = forest.transform(labelled.where(ml.split_column("id", seed, test_size))).select(
+            F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "success_probability"
+        )
+        test = materialize(test, "evaluation")
+        write_table(metrics.classification_report(test), paths["classification_report"], fmt=out_format)
+        auc = metrics.roc_auc(test, "label", "success_probability").select("roc_auc").scalar()
+        write_table(metrics.binary_metrics(test).withColumn("roc_auc", auc), paths["evaluation"], fmt=out_format)
     return paths
 
 
@@ -163,6 +227,18 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--scored", required=True)
     t.add_argument("--out", required=True)
     t.add_argument("--cv-folds", type=int, default=5)
+    t.add_argument("--format", default="parquet", choices=["csv", "parquet"], help="input format")
+    t.add_argument("--test-size", type=float, default=0.2)
+    t.add_argument("--seed", type=int, default=42)
+    m = sub.add_parser("missing", help="missing-data analysis of objects / funding_rounds / investments")
+    m.add_argument("--data-dir", required=True)
+    m.add_argument("--out", required=True)
+    m.add_argument("--format", default="csv", choices=["csv", "parquet"])
+    m.add_argument("--out-format", default="csv", choices=["csv", "parquet"])
+    ld = sub.add_parser("load", help="standardise one company CSV")
+    ld.add_argument("--input", required=True)
+    ld.add_argument("--out", required=True)
+    ld.add_argument("--keep-unfunded", action="store_true")
     p = sub.add_parser("predict", help="score a prospects file with a saved forest")
     p.add_argument("--model", required=True)
     p.add_argument("--prospects", required=True)
@@ -173,7 +249,11 @@ def main(argv: list[str] | None = None) -> None:
     if a.cmd == "rank":
         print(run_ranking(spark, a.data_dir, a.out, a.format, a.out_format, a.top, a.snapshot_year, a.min_funding))
     elif a.cmd == "train":
-        print(run_training(spark, a.scored, a.out, a.cv_folds))
+        print(run_training(spark, a.scored, a.out, a.cv_folds, a.seed, fmt=a.format, test_size=a.test_size))
+    elif a.cmd == "missing":
+        print(run_missing(spark, a.data_dir, a.out, a.format, a.out_format))
+    elif a.cmd == "load":
+        print(run_load(spark, a.input, a.out, not a.keep_unfunded))
     else:
         print(run_prospect_scoring(spark, a.model, a.prospects, a.out, a.format))
 

@@ -28,6 +28,32 @@ def test_run_ranking_from_csv_files(spark):
     assert ranks == list(range(1, len(w) + 1))
     top = spark.read.parquet(paths["top"])
     assert top.count() == 10 and top.agg(F.max("rank")).first()[0] == 10
+    assert spark.read.parquet(paths["kpi_summary"]).count() == 7 and spark.read.parquet(paths["score_bands"]).count() == 5
+    one = spark.read.parquet(paths["score_summary"]).first()
+    assert one["count"] == len(w) and one["max"] == max(w.values())
+    best = spark.read.parquet(paths["top_breakdown"])
+    assert best.select("id").distinct().count() == 1 and abs(best.agg(F.sum("contribution")).first()[0] - max(w.values())) < 0.01
+    # the missing-data run on the same files
+    missing = runs.run_missing(spark, f"{base}/in", f"{base}/missing")
+    test = spark.read.parquet(missing["missingness_test"]).first()
+    known = want.where("investors_count is null").count()
+    assert (test["missing_count"], test["present_count"]) == (known, len(w) - known) and 0 <= test["p_value"] <= 1
+    assert spark.read.parquet(missing["missing_by_stage"]).count() > 1
+
+
+def test_load_run_writes_canonical_columns(spark, tmp_path):
+    import pytest
+
+    from startlens.plans import runs
+    from startlens.sources import fixtures
+    from startlens.sources.tables import read_csv, write_table
+
+    write_table(fixtures.generic_extract(spark, SF_SMALL), str(tmp_path / "in.csv"), fmt="csv")
+    out = read_csv(spark, runs.run_load(spark, str(tmp_path / "in.csv"), str(tmp_path / "out")))
+    assert {"company", "stage", "country", "sector", "funding_amount"} <= set(out.columns) and out.count() > 0
+    write_table(fixtures.generic_extract(spark, SF_SMALL).limit(0), str(tmp_path / "none.csv"), fmt="csv")
+    with pytest.raises(Exception):
+        runs.run_load(spark, str(tmp_path / "none.csv"), str(tmp_path / "out2"))
 
 
 def test_train_then_predict_prospects_from_files(spark):
@@ -37,8 +63,12 @@ def test_train_then_predict_prospects_from_files(spark):
     from startlens.sources.tables import write_table
 
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/test-runs/{uuid.uuid4().hex}"
-    startups.scored_companies(spark, SF_SMALL).write.parquet(f"{base}/scored")
-    paths = runs.run_training(spark, f"{base}/scored", f"{base}/models", cv_folds=0, models=["Random Forest"])
+    write_table(startups.scored_companies(spark, SF_SMALL), f"{base}/scored", fmt="csv")
+    paths = runs.run_training(spark, f"{base}/scored", f"{base}/models", cv_folds=0, models=["Random Forest"], fmt="csv", test_size=0.3)
+    counts = spark.read.parquet(paths["evaluation"]).first()
+    share = sum(counts[c] for c in ("tn", "fp", "fn", "tp")) / startups.scored_companies(spark, SF_SMALL).where("status in ('acquired', 'ipo', 'closed')").count()
+    assert 0.1 < share < 0.5 and 0 <= counts["roc_auc"] <= 1
+    assert spark.read.parquet(paths["classification_report"]).count() >= 4
     cmp = spark.read.parquet(paths["model_comparison"]).collect()
     assert [r.Model for r in cmp] == ["Random Forest"]
     write_table(fixtures.prospects(spark, SF_SMALL), f"{base}/prospects.csv", fmt="csv")
