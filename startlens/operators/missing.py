@@ -124,9 +124,8 @@ def missing_by_group(
     )
     if min_total is not None:
         g = g.where(F.col("total") >= min_total)
-    if top is not None:
-        return g.orderBy(F.desc("missing_pct"), F.asc(group_col)).limit(top)
-    return g
+    g = g.orderBy(F.desc("missing_pct"), F.asc(group_col))
+    return g if top is None else g.limit(top)
 
 
 def highest_missing_group(by_group: DataFrame, group_col: str = "stage") -> DataFrame:

@@ -37,7 +37,7 @@ OBJECTS_COLS = [
 ROUNDS_COLS = [
     "o_orderkey AS round_id",
     # a negative id is no company: those companies have no rounds, and the join meets keys without a partner
-    "CASE WHEN o_custkey % 9 = 4 THEN -o_custkey ELSE o_custkey END AS object_id",
+    "CASE WHEN o_custkey % 9 = 4 THEN -1 - o_custkey ELSE o_custkey END AS object_id",
     "CASE o_orderkey % 16 WHEN 0 THEN 'seed' WHEN 1 THEN 'angel' WHEN 2 THEN 'series-a' WHEN 3 THEN ' Series-A+ ' "
     "WHEN 4 THEN 'series-b' WHEN 5 THEN 'series-b+' WHEN 6 THEN 'series-c' WHEN 7 THEN 'series-c+' "
     "WHEN 8 THEN 'series-d' WHEN 9 THEN 'series-e' WHEN 10 THEN 'series-f' WHEN 11 THEN 'series-g' "
@@ -46,7 +46,7 @@ ROUNDS_COLS = [
 ]
 
 INVESTMENTS_COLS = [
-    "CASE WHEN o_custkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS funded_object_id",
+    "CASE WHEN o_custkey % 3 = 0 THEN -1 - o_custkey ELSE o_custkey END AS funded_object_id",
     "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_suppkey END AS investor_object_id",
 ]
 
