@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm.text import slices
+from startlens.llm.text import slices, small_batches
 from startlens.session import materialize
 
 ORDERS = (1, 2, 3)
-SLICE = 1 << 20
+SLICE = 1 << 18
 MAX_MATRIX_BYTES = 256 << 20
 _MULT = np.uint32(0x9E3779B1)
 
@@ -129,6 +129,7 @@ def train(
                 ["label", "bucket", "n"],
             )
 
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(F.col("label").isNotNull())
     counts = labelled.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "gram_counts")
@@ -150,6 +151,7 @@ def train(
 
 def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     """struct(lang_pred, score) of a text column."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from startlens.llm.text import LOWER
+from startlens.llm.text import LOWER, small_batches
 from startlens.session import materialize
 
 _STRIP = b" \t\n\x0b\x0c\r"
@@ -125,6 +125,7 @@ def shared_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, sh
                 ids += [doc] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.binary())], ["doc", "h"])
 
+    small_batches(docs.sparkSession)
     lines = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     lines = materialize(lines.where(F.col("doc").isNotNull()).mapInArrow(hashes, "doc long, h binary"), "lines")
     distinct = materialize(

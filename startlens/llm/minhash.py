@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from startlens.llm.graph import connected_components
-from startlens.llm.text import words
+from startlens.llm.text import small_batches, words
 from startlens.session import materialize
 
 _MUL = np.uint64(0xFF51AFD7ED558CCD)
@@ -201,6 +201,7 @@ def near_duplicates(
     block: int = 1024,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
+    small_batches(docs.sparkSession)
     mul, mask = hash_family(coords)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     base = materialize(_sets(texts, width, mul, mask), "signatures")

@@ -40,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from startlens.llm.text import slices, words
+from startlens.llm.text import slices, small_batches, words
 from startlens.session import materialize
 
 END = b""  # no word is empty
 SHIFT = 32
 FLUSH_WORDS = 400_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -242,6 +242,7 @@ def score_texts(
     """Learn from the rows where ``learn`` is true and score all rows:
     (doc_id, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
+    small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where(learn).select(F.col(text_col).alias("text"))
     counts = materialize(word_counts(texts), "word_counts")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm.text import LOWER
+from startlens.llm.text import LOWER, small_batches
 
 CLASS_BUCKETS, GRAM_BUCKETS, SHARES, STEPS = 1024, 1024, 3, 16
 N_FEATURES = CLASS_BUCKETS + GRAM_BUCKETS + SHARES * STEPS
@@ -168,6 +168,7 @@ def train(
 
 def predict(spark: SparkSession, voter: Voter, text: Column) -> Column:
     """Score of a text column, 0 to 1."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(voter)
 
     @F.arrow_udf("double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm.text import alnum_words
+from startlens.llm.text import alnum_words, small_batches
 
 MATCH = "struct<item:string,item_pos:int,doc_pos:int,n_words:int>"
 RESULT = f"struct<n_words:long,n_hit:long,items:array<string>,matches:array<{MATCH}>>"
@@ -215,6 +215,7 @@ def find_matches(
 
         return search
 
+    small_batches(spark)
     earlier = F.lit(None).cast(f"array<{MATCH}>")
     for block in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):
         docs = docs.withColumn(out_col, searcher(spark.sparkContext.broadcast(block))(F.col(text_col), earlier))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -46,6 +46,17 @@ def doc_bucket(doc_id: str, n: int) -> Column:
     return F.when(c.isNotNull(), F.crc32(c.cast("string").cast("binary")) % n)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Hand texts to Python in batches of at most ``rows`` rows and about
+    ``size`` bytes, unless the session asks for fewer rows: Spark's default of
+    10,000 whole documents is more than a task should hold. The setting holds
+    for the session, since a plan reads it when it runs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def slices(texts, max_bytes: int) -> Iterator[list]:
     """Cut a list of texts into runs of about ``max_bytes`` characters, so the
     arrays that numpy makes of a run stay small whatever the batch holds."""

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from startlens.llm.text import small_batches
+
 PRE_TOKEN = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+?(?= [^ \t-\r])|[ \t-\r]+")
 CACHE = 400_000
 
@@ -80,6 +82,7 @@ class PieceTrie:
 def token_counts(spark: SparkSession, text: Column, vocabulary: str) -> Column:
     """struct(n_tokens, n_pretokens) of a text column. ``vocabulary`` is the path
     of the rank file, read on the driver and broadcast (under 1 MB)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(load_pieces(vocabulary))
 
     @F.arrow_udf("struct<n_tokens:long,n_pretokens:long>")
