@@ -139,7 +139,8 @@ def train(
     some = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"), order.alias("__h")
     )
-    some = some.dropDuplicates(["__id"]).orderBy("__h", "__id").limit(max_labelled)
+    # of rows that repeat an id the least label counts
+    some = some.groupBy("__id", "__h").agg(F.min("__label").alias("__label")).orderBy("__h", "__id").limit(max_labelled)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = byte_classes()
