@@ -282,7 +282,9 @@ def fit_model(name: str, train: DataFrame, seed: int = 42, drop_first: bool = Fa
         gbt = GBTClassifier(labelCol=LABEL, featuresCol="features", maxIter=100, stepSize=0.1, maxDepth=5, minInstancesPerNode=10, seed=seed)
         model, sec = _timed(gbt, x)
         return FittedModel(name, feats, None, model, fit_seconds=sec)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(x)
+    # Not centred, so one-hot vectors stay sparse: the intercept takes up the
+    # means in the logistic model, and distances in the kernel have none.
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True).fit(x)
     weights, n = class_weights(x)
     weight = F.when(F.col(LABEL) == 1, weights[1]).otherwise(weights[0]).cast("double")
     xs = scaler.transform(x).withColumn("class_weight", weight)
@@ -292,11 +294,11 @@ def fit_model(name: str, train: DataFrame, seed: int = 42, drop_first: bool = Fa
         model, sec = _timed(lr, xs)
         return FittedModel(name, feats, scaler, model, fit_seconds=sec)
     if name == "Support Vector Machine":
-        stats = xs.select(Summarizer.metrics("mean", "variance").summary(F.col("scaled")).alias("s")).first()["s"]
-        mean, var = np.asarray(stats["mean"].toArray()), np.asarray(stats["variance"].toArray())
-        d = len(mean)
-        # variance of all matrix entries (population), as the 'scale' rule uses
-        total_var = float(np.mean(var * (n - 1) / n + mean ** 2) - np.mean(mean) ** 2)
+        stats = xs.select(Summarizer.metrics("variance").summary(F.col("scaled")).alias("s")).first()["s"]
+        var = np.asarray(stats["variance"].toArray())
+        d = len(var)
+        # variance of all entries of the centred matrix (population), as the 'scale' rule uses
+        total_var = float(np.mean(var * (n - 1) / n))
         gamma = 1.0 / (d * total_var) if total_var > 0 else 1.0 / d
         rff = RandomFourierFeatures("scaled", "rff", d, rff_components, gamma, seed)
         z = rff.transform(xs)
