@@ -33,6 +33,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from startlens.llm.text import least_by_hash
+from startlens.session import materialize
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -207,9 +210,8 @@ def fit(docs: DataFrame, text_col: str, id_col: str, max_fit: int, trees: int, d
     """None if the corpus has no accepted or no refused proposals to learn from."""
     found = proposals(docs.select(id_col, text_col), text_col, "__p").select(id_col, F.explode("__p").alias("p")).where("p.checked")
     order = F.xxhash64(F.col(id_col), "p.start", "p.kind")
-    # the least by hash, a bounded sample; AQE keeps it in one partition
-    sample = found.select("p.f", F.col("p.base").cast("double").alias("label"), "p.kind", order.alias("h")).orderBy("h", "kind", "label").limit(max_fit)
-    rows = sample.collect()
+    found = materialize(found.select("p.f", F.col("p.base").cast("double").alias("label"), "p.kind", order.alias("h")), "proposals")
+    rows = sorted(least_by_hash(found, F.col("h"), max_fit).drop("__u").collect())  # at most max_fit rows
     spark = docs.sparkSession
     if len({r["label"] for r in rows}) < 2:
         return None

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -57,6 +57,21 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def least_by_hash(table: DataFrame, hashed: Column, limit: int) -> DataFrame:
+    """The ``limit`` rows of a stored table that come first by a hash (or all,
+    if there are no more), as a table with the hash in ``__u``.
+
+    A count sets a bound of the hash that about twice ``limit`` rows are under,
+    so that what is sorted has no more rows when the table has more partitions.
+    """
+    top = 1 << 40
+    out = table.withColumn("__u", F.pmod(hashed, F.lit(top)))
+    n = table.count()
+    if n > 2 * limit:
+        out = out.where(F.col("__u") < F.lit(int(top * 2 * limit / n)))
+    return out.orderBy("__u").limit(limit)
+
+
 def slices(texts, max_bytes: int) -> Iterator[list]:
     """Cut a list of texts into runs of about ``max_bytes`` characters, so the
     arrays that numpy makes of a run stay small whatever the batch holds."""
