@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm.text import LOWER, small_batches
+from startlens.llm.text import LOWER, least_by_hash, small_batches
+from startlens.session import materialize
 
 CLASS_BUCKETS, GRAM_BUCKETS, SHARES, STEPS = 1024, 1024, 3, 16
 N_FEATURES = CLASS_BUCKETS + GRAM_BUCKETS + SHARES * STEPS
@@ -140,7 +141,8 @@ def train(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"), order.alias("__h")
     )
     # of rows that repeat an id the least label counts
-    some = some.groupBy("__id", "__h").agg(F.min("__label").alias("__label")).orderBy("__h", "__id").limit(max_labelled)
+    some = materialize(some.groupBy("__id", "__h").agg(F.min("__label").alias("__label")), "labelled")
+    some = least_by_hash(some, F.col("__h"), max_labelled).select("__id", "__h", "__label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = byte_classes()
