@@ -2,16 +2,17 @@
 
 Tokens are the lower-cased words of a text and one end token. The tree's root is
 the add-half unigram distribution of the training tokens. Its other states
-are contexts of one or two preceding words (Ron, Singer and Tishby, 1996):
+are contexts of preceding words (Ron, Singer and Tishby, 1996):
 
-* a context is considered if it makes up at least ``min_context`` of the
-  training tokens, and a next symbol is listed under it if the whole string
-  makes up at least ``min_string`` of them and occurs twice. Both bounds are
-  shares, so a level of the tree has at most ``1 / min_string`` entries at
-  any corpus size, which is what may be collected and broadcast;
+* a next symbol is listed under a context if the whole string occurs twice, at
+  any corpus size. ``min_context`` and ``min_string`` can ask for a share of
+  the training tokens besides; they are 0 unless a caller sets them;
 * a context is retained if its next-symbol distribution diverges from that
   of its longest retained suffix: count times Kullback-Leibler divergence of
   at least ``cutoff * ln(training tokens)``;
+* all contexts of one and two words are tested. A longer one is tested if its
+  suffix, one word shorter, is retained, and the tree ends at the depth where
+  none is;
 * distributions are smoothed: under a context of count C whose d listed
   symbols have count L, ``P(x) = (n(x) + (C - L + d + 1) * P'(x)) / (C + d +
   1)``, with n(x) = 0 for an unlisted symbol and P' that of the longest
@@ -20,10 +21,14 @@ are contexts of one or two preceding words (Ron, Singer and Tishby, 1996):
 A text's score is the sum of log10 P of its tokens, each under the longest
 retained suffix of the words before it.
 
-All counts cover all training rows. Unigram counts have no bound, so they are
-never broadcast: documents are dealt to shards by doc_id, each shard asks for
-the counts of its own distinct words by a keyed join, and texts and counts
-of a shard meet in one task. Popular words cost one row per shard.
+All counts cover all training rows. Words, contexts and strings go by 64-bit
+hashes. Counts, strings and retained states are stored tables and are never
+collected or broadcast: documents are dealt to shards by doc_id, each shard
+asks for the entries of its own distinct words, contexts and strings by a
+keyed join, and texts and entries of a shard meet in one task. Popular entries
+cost one row per shard. What is broadcast is a bitmap of ``BITS`` bits per
+table, which only spares asking for keys that the table cannot hold; a fuller
+bitmap lets more through and changes no result.
 
 A null text is empty and scores as its end token. Rows without a doc_id are
 not learned from and are scored. Rows that repeat are scored each.
@@ -31,12 +36,11 @@ not learned from and are scored. Rows that repeat are scored each.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,189 +48,234 @@ from startlens.llm.text import slices, small_batches, words
 from startlens.session import materialize
 
 END = b""  # no word is empty
-SHIFT = 32
-FLUSH_WORDS = 400_000
+BITS = 27
+FLUSH_KEYS = 400_000
+CACHE_WORDS = 300_000
 SLICE = 1 << 18
 
+_MUL = np.uint64(0xFF51AFD7ED558CCD)
+_BACK = np.uint64(0x9E3779B97F4A7C15)
+_NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
+_REST = np.uint64(0x165667B19E3779F9)
+#: In the place of a symbol: the row counts the context itself.
+WHOLE = 0
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, c) over the tokens of the texts; the end token is the empty word."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MUL
+    return h ^ (h >> np.uint64(29))
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in sums], pa.string()), pa.array(sums.values(), pa.int64())], ["word", "c"])
-            sums.clear()
-            return out
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                sums.update(words(text))
-                sums[END] += 1
-                if len(sums) > FLUSH_WORDS:
-                    yield flush()
-        yield flush()
+def longer(context: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Key of a context with one more word before it; a one-word context has its word's hash."""
+    return _mix(context * _BACK + before)
 
-    return train.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def string_key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return _mix(context * _NEXT + symbol)
 
-def string_counts(train: DataFrame, symbols, contexts) -> DataFrame:
-    """(context, symbol, n): how often each listed context is followed by each
-    listed symbol. ``symbols`` (broadcast) numbers words from 1; ``contexts``
-    (broadcast) has the sorted keys of one- or two-word contexts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, keys = symbols.value, contexts.value
-        sums = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        for b in batches:
-            for part in slices(b.column(0).to_pylist(), 4 * SLICE):
-                ids, starts = number_tokens(part, number)
-                context = context_index(ids, starts, keys)
-                seen = (context >= 0) & (ids > 0)
-                key, n = np.unique((context[seen] << SHIFT) | ids[seen], return_counts=True)
-                sums = merge_counts(sums, (key, n))
-        for lo in range(0, len(sums[0]), 1 << 16):
-            key, n = sums[0][lo : lo + (1 << 16)], sums[1][lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(key >> SHIFT), pa.array(key & ((1 << SHIFT) - 1)), pa.array(n)], ["context", "symbol", "n"])
+def rest_key(context: np.ndarray) -> np.ndarray:
+    return _mix(context ^ _REST)
 
-    found = train.mapInArrow(count, "context long, symbol long, n long")
-    return found.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
 
+class WordHashes(dict):
+    """64-bit hashes of words, computed once each."""
 
-def merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    return key, np.bincount(at, np.concatenate([a[1], b[1]]), len(key)).astype(np.int64)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word) or 1
+        return h
 
 
-def number_tokens(texts: list[str | None], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol numbers of all tokens (0: none) and where each text starts."""
+def hash_tokens(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens and where each text starts."""
+    if len(cache) > CACHE_WORDS:
+        cache.clear()
     parts, sizes = [], []
     for t in texts:
         ws = words(t)
         ws.append(END)
         sizes.append(len(ws))
-        parts.append(np.fromiter(map(number.get, ws, repeat(0)), np.int64, len(ws)))
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        parts.append(np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws)))
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return ids, np.cumsum([0, *sizes])[:-1]
 
 
-def _before(ids: np.ndarray, starts: np.ndarray, back: int) -> np.ndarray:
-    """The symbol ``back`` places before each token in the same text, else 0."""
-    out = np.zeros_like(ids)
-    out[back:] = ids[:-back]
-    for k in range(back):
-        at = starts + k
-        out[at[at < len(ids)]] = 0
-    return out
-
-
-def context_index(ids: np.ndarray, starts: np.ndarray, keys: dict) -> np.ndarray:
-    """Index of the context of each token among the sorted ``keys["keys"]``
-    of ``keys["depth"]`` words, -1 if it is none of them."""
-    one = _before(ids, starts, 1)
-    key = one if keys["depth"] == 1 else (_before(ids, starts, 2) << SHIFT) | one
-    whole = (one > 0) if keys["depth"] == 1 else (one > 0) & (key >> SHIFT > 0)
-    if keys["depth"] == 2:
-        # the second word of a text has no two words before it; short texts may overlap the next
-        whole &= ~np.isin(np.arange(len(ids)), np.concatenate([starts, starts + 1]))
-    return np.where(whole, find(keys["keys"], key), -1)
-
-
-def find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Places of ``asked`` in the sorted ``keys``, -1 where missing."""
-    if not len(keys):
-        return np.full(len(asked), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, at, -1)
-
-
-class Tree:
-    """States of the suffix tree over numbered symbols."""
-
-    def __init__(self, symbols: dict[bytes, int], symbol_counts: np.ndarray, total: int, distinct: int):
-        self.symbols, self.total, self.distinct = symbols, total, distinct
-        self.root = (symbol_counts + 0.5) / (total + 0.5 * (distinct + 1))  # by symbol number
-        self.levels: list[dict] = []
-
-    def parent_prob(self, words_: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """P of symbols under the tree so far, after the last word of a context (0: none)."""
-        p = self.root[symbol]
-        return self.step(self.levels[0], words_, symbol, p) if self.levels else p
-
-    @staticmethod
-    def step(level: dict, context: np.ndarray, symbol: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """One level down: p under the retained contexts, unchanged elsewhere."""
-        at = find(level["keys"], context)
-        inside = at >= 0
-        if not inside.any():
-            return p
-        entry = find(level["entries"], (at << SHIFT) | symbol)
-        listed = np.where(inside & (entry >= 0) & (symbol > 0), level["prob"][np.maximum(entry, 0)] if len(level["prob"]) else 0.0, 0.0)
-        return np.where(inside, listed + level["rest"][np.maximum(at, 0)] * p, p)
-
-    def grow(self, keys: np.ndarray, counts: np.ndarray, table: pa.Table, cutoff: float) -> None:
-        """Add a level from candidate contexts and their listed strings."""
-        context, symbol, n = (table[c].to_numpy() for c in ("context", "symbol", "n"))
-        by = np.lexsort((symbol, context))
-        context, symbol, n = context[by], symbol[by], n[by].astype(float)
-        last = keys & ((1 << SHIFT) - 1)
-        parent = self.parent_prob(last[context] if len(self.levels) else np.zeros_like(context), symbol)
-        size = len(keys)
-        listed = np.bincount(context, n, size)
-        kinds = np.bincount(context, minlength=size)
-        inner = np.bincount(context, n / counts[context] * np.log(n / counts[context] / parent), size).astype(float)
-        left, left_parent = 1 - listed / counts, np.maximum(1 - np.bincount(context, parent, size), 1e-300)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            inner += np.where(left > 1e-12, left * np.log(left / left_parent), 0.0)
-        keep = (kinds > 0) & (counts * inner >= cutoff * np.log(max(self.total, 2)))
-        place = np.cumsum(keep) - 1
-        kept = keep[context]
-        weight = counts + kinds + 1
-        self.levels.append(
-            {
-                "keys": keys[keep],
-                "rest": ((counts - listed + kinds + 1) / weight)[keep],
-                "entries": (place[context[kept]] << SHIFT) | symbol[kept],
-                "prob": (n / weight[context])[kept],
-            }
-        )
+def contexts(ids: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``depth`` words: the tokens that have so many words before them, and the keys of these."""
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    at, key = np.flatnonzero(place >= 1), None
+    for d in range(1, depth + 1):
+        if d == 1:
+            key = ids[at - 1]
+        else:
+            inside = place[at] >= d
+            at, key = at[inside], key[inside]
+            key = longer(key, ids[at - d])
+        yield at, key
+
+
+def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bitmap can hold each key."""
+    slot = keys & np.uint64((1 << BITS) - 1)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bitmap of a long column ``key``: 16 MB, whatever the table's size."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))
+    parts = keys.select(F.shiftright(slot, 15).alias("part"), slot.bitwiseAND(F.lit(32767)).alias("bit"))
+    out = np.zeros((1 << (BITS - 15), 4096), np.uint8)
+    for part, b in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("b")).toLocalIterator():
+        out[part] = np.frombuffer(b, np.uint8)
+    return out.ravel()
+
+
+def _longs(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys.view(np.int64))
+
+
+def word_counts(train: DataFrame) -> DataFrame:
+    """(key, c) over the tokens of the texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, sums = WordHashes(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for b in batches:
+            for part in slices(b.column(0).to_pylist(), 4 * SLICE):
+                sums = merge_counts(sums, np.unique(hash_tokens(part, cache)[0], return_counts=True))
+                if len(sums[0]) > FLUSH_KEYS:
+                    yield pa.RecordBatch.from_arrays([_longs(sums[0]), pa.array(sums[1])], ["key", "c"])
+                    sums = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([_longs(sums[0]), pa.array(sums[1])], ["key", "c"])
+
+    return train.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
 
-    def log_probs(self, ids: np.ndarray, starts: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 P of tokens; ``root`` has the unigram P of each."""
-        p, one = root, _before(ids, starts, 1)
-        if self.levels:
-            p = self.step(self.levels[0], one, ids, p)
-        if len(self.levels) > 1:
-            two = (_before(ids, starts, 2) << SHIFT) | one
-            whole = (one > 0) & (two >> SHIFT > 0) & ~np.isin(np.arange(len(ids)), np.concatenate([starts, starts + 1]))
-            p = self.step(self.levels[1], np.where(whole, two, -1), ids, p)
-        return np.log10(p)
+def merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([a[1], b[1]]), len(key)).astype(np.int64)
 
 
-def train(texts: DataFrame, counts: DataFrame, min_context: float, min_string: float, cutoff: float) -> Tree:
-    """Fit on the ``text`` column of ``texts``, whose word counts are ``counts``."""
+def string_counts(train: DataFrame, depth: int, open_bits) -> DataFrame:
+    """(context, suffix, symbol, n): how often each context of ``depth`` words
+    is followed by each symbol and, from depth 3 on, by any (symbol ``WHOLE``).
+    ``open_bits`` (broadcast) holds the words seen twice (depth 1), the two-word
+    strings seen twice (depth 2) or the retained contexts one word shorter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            for part in slices(b.column(0).to_pylist(), 4 * SLICE):
+                ids, starts = hash_tokens(part, cache)
+                suffixes = np.zeros(len(ids), np.uint64)
+                for d, (at, context) in enumerate(contexts(ids, starts, depth), 1):
+                    if d == depth - 1:
+                        suffixes[at] = context
+                suffix, symbol = suffixes[at], ids[at]
+                # a string seen twice consists of strings seen twice
+                if depth == 1:
+                    listed = has(open_bits.value, context) & has(open_bits.value, symbol)
+                elif depth == 2:
+                    listed = has(open_bits.value, context) & has(open_bits.value, longer(symbol, suffix))
+                else:
+                    listed = has(open_bits.value, suffix)
+                some = listed if depth > 2 else np.zeros(len(at), bool)
+                both = [
+                    np.concatenate([x[listed], y[some]])
+                    for x, y in ((context, context), (suffix, suffix), (symbol, np.full(len(at), WHOLE, np.uint64)))
+                ]
+                _, first, n = np.unique(string_key(both[0], both[2]), return_index=True, return_counts=True)
+                for lo in range(0, len(first), 1 << 16):
+                    own = first[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([*(_longs(x[own]) for x in both), pa.array(n[lo : lo + (1 << 16)])], ["context", "suffix", "symbol", "n"])
+
+    found = train.mapInArrow(count, "context long, suffix long, symbol long, n long")
+    # slices are counted already; most strings are rare, so counting a whole task's before the exchange would merge few
+    return found.repartition("context", "suffix", "symbol").groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n"))
+
+
+def open_texts(train: DataFrame, depth: int, open_bits) -> DataFrame:
+    """The texts that can hold a retained context of ``depth`` words; no other holds a longer one to test."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            keep = []
+            for text in b.column(0).to_pylist():
+                ids, starts = hash_tokens([text], cache)
+                *_, (_, context) = contexts(ids, starts, depth)
+                keep.append(bool(has(open_bits.value, context).any()))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return train.mapInArrow(pick, "text string")
+
+
+def _keys(table: DataFrame, make, *cols: str) -> DataFrame:
+    """``table`` with ``key`` made by numpy of the long columns ``cols``, which come first."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = make(*(b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(len(cols))))
+            yield pa.RecordBatch.from_arrays([*b.columns, _longs(key)], [*b.schema.names, "key"])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return table.mapInArrow(add, f"{kind}, key long")
+
+
+def train(texts: DataFrame, counts: DataFrame, total: int, distinct: int, min_context: float, min_string: float, cutoff: float) -> tuple[DataFrame | None, int]:
+    """Fit on the ``text`` column of ``texts``, whose word counts are
+    ``counts``: the table (key, value) of the retained contexts' weights of P'
+    and of their strings' own parts of P, and the tree's depth."""
     spark = texts.sparkSession
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    often = counts.where(F.col("c") >= max(2.0, min_string * total)).toArrow()  # at most 1 / min_string words
-    often = sorted(zip((w.encode() for w in often["word"].to_pylist()), often["c"].to_pylist()))
-    symbols = {w: k + 1 for k, (w, _) in enumerate(often)}
-    symbol_counts = np.array([0, *(c for _, c in often)], float)
-    tree = Tree(symbols, symbol_counts, total, distinct)
-    shared = spark.sparkContext.broadcast(symbols)
-    keys = np.array([k for w, k in symbols.items() if w != END and symbol_counts[k] >= min_context * total], np.int64)
-    n = symbol_counts[keys]
-    for depth in (1, 2):
-        found = string_counts(texts, shared, spark.sparkContext.broadcast({"depth": depth, "keys": keys}))
-        table = found.where(F.col("n") >= max(2.0, min_string * total)).toArrow()  # at most 1 / min_string strings
-        tree.grow(keys, n, table, cutoff)
+    entries, depth = None, 0
+    open_bits = spark.sparkContext.broadcast(bitmap(counts.where("c > 1").select("key")))
+    wholes = counts.select(F.col("key").alias("w"), "c")
+    # P of the strings one word shorter, under the tree so far
+    shorter = counts.select(F.lit(0).cast("long").alias("suffix"), F.col("key").alias("symbol"), ((F.col("c") + 0.5) / (total + 0.5 * (distinct + 1))).alias("parent"))
+    while total:
+        depth += 1
+        least = F.when(F.col("symbol") == WHOLE, 2.0).otherwise(max(2.0, min_string * total))
+        found = string_counts(texts, depth, open_bits).where(F.col("n") >= least)
+        if depth > 2:
+            found = materialize(found, f"strings_{depth}")
+            wholes = found.where(F.col("symbol") == WHOLE).select(F.col("context").alias("w"), F.col("n").alias("c"))
+        strings = found.where(F.col("symbol") != WHOLE)
+        strings = materialize(strings.join(shorter, ["symbol"] if depth == 1 else ["suffix", "symbol"]).select("context", "symbol", "n", "parent"), "parents")
+        n, c = F.col("n").cast("double"), F.col("c").cast("double")
+        sums = strings.groupBy("context").agg(
+            F.sum("n").alias("l"), F.count(F.lit(1)).alias("d"), F.sum(n * F.log(n / F.col("parent"))).alias("a"), F.sum("parent").alias("b")
+        )
+        left, left_parent = 1 - F.col("l") / c, F.greatest(1 - F.col("b"), F.lit(1e-300))
+        inner = (F.col("a") - F.col("l") * F.log(c)) / c + F.when(left > 1e-12, left * F.log(left / left_parent)).otherwise(0.0)
+        wholes = wholes.where(F.col("c") >= max(2.0, min_context * total))
+        kept = sums.join(wholes, F.col("context") == F.col("w")).where(c * inner >= cutoff * float(np.log(max(total, 2))))
+        weight = c + F.col("d") + 1
+        kept = materialize(kept.select(F.col("context").alias("w"), ((c - F.col("l") + F.col("d") + 1) / weight).alias("rest"), weight.alias("weight")), "retained")
+        if kept.isEmpty():
+            if depth > 1:
+                break  # nothing extends a context that is not retained
+            own = strings.select("context", "symbol", F.col("parent").alias("p"))
+        else:
+            own = strings.join(kept, F.col("context") == F.col("w"), "left" if depth == 1 else "inner")
+            listed = F.col("n") / F.col("weight")
+            own = own.select("context", "symbol", listed.alias("value"), F.coalesce(listed + F.col("rest") * F.col("parent"), F.col("parent")).alias("p"))
+            own = materialize(own, f"level_{depth}")
+            states = _keys(kept.select(F.col("w").alias("context"), F.col("rest").alias("value")), rest_key, "context").select("key", "value")
+            listed = own.where(F.col("value").isNotNull()).select("context", "symbol", "value")
+            level = materialize(states.unionByName(_keys(listed, string_key, "context", "symbol").select("key", "value")), f"entries_{depth}")
+            entries = level if entries is None else entries.unionByName(level)
         if depth == 1:
-            context, symbol, count = (table[c].to_numpy() for c in ("context", "symbol", "n"))
-            next_ = (count >= min_context * total) & (symbol != symbols.get(END, -1))
-            pair = (keys[context[next_]] << SHIFT) | symbol[next_]
-            by = np.argsort(pair)
-            keys, n = pair[by], count[next_][by].astype(float)
-    return tree
+            # the two-word contexts are the strings of one word and its symbol
+            pairs = _keys(strings.select("context", "symbol", "n"), lambda word, symbol: longer(symbol, word), "context", "symbol")
+            bits, wholes = bitmap(pairs.select("key")), pairs.select(F.col("key").alias("w"), F.col("n").alias("c"))
+        else:
+            bits = bitmap(kept.select(F.col("w").alias("key")))
+        open_bits.unpersist()
+        open_bits = spark.sparkContext.broadcast(bits)
+        if depth > 2:
+            texts = materialize(open_texts(texts, depth, open_bits), f"open_texts_{depth}")
+        shorter = own.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("parent"))
+    return entries, depth
 
 
 def score_texts(
@@ -234,8 +283,8 @@ def score_texts(
     learn: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_context: float = 1e-5,
-    min_string: float = 5e-6,
+    min_context: float = 0.0,
+    min_string: float = 0.0,
     cutoff: float = 2.0,
     shards: int | None = None,
 ) -> DataFrame:
@@ -246,56 +295,86 @@ def score_texts(
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where(learn).select(F.col(text_col).alias("text"))
     counts = materialize(word_counts(texts), "word_counts")
-    tree = train(texts, counts, min_context, min_string, cutoff)
-    shared = spark.sparkContext.broadcast(tree)
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    entries, depth = train(texts, counts, total, distinct, min_context, min_string, cutoff)
+    table = counts.select("key", F.col("c").cast("double").alias("value"))
+    if entries is None:
+        depth = 0
+    else:
+        table = table.unionByName(entries)
+    bits = spark.sparkContext.broadcast(bitmap(entries.select("key")) if depth else None)
     shard = F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).cast("int").alias("shard")
     dealt = docs.select(shard, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition(shards, "shard")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, set] = {}
-        size = 0
+        cache, own, size = WordHashes(), {}, 0
 
         def flush():
-            for k, ws in own.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(ws), pa.int32()), pa.array([w.decode() for w in ws], pa.string())], ["shard", "word"])
+            for k, keys in own.items():
+                keys = np.unique(np.concatenate(keys))
+                for lo in range(0, len(keys), 1 << 16):
+                    part = keys[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), _longs(part)], ["shard", "key"])
             own.clear()
 
         for b in batches:
+            by: dict[int, list] = {}
             for k, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                mine = own.setdefault(k, {END})
-                size -= len(mine)
-                mine.update(words(text))
-                size += len(mine)
-                if size > FLUSH_WORDS:
-                    yield from flush()
-                    size = 0
+                by.setdefault(k, []).append(text)
+            for k, texts in by.items():
+                for part in slices(texts, SLICE):
+                    ids, starts = hash_tokens(part, cache)
+                    asked = [ids]
+                    for at, context in contexts(ids, starts, depth):
+                        rest = rest_key(context)
+                        there = has(bits.value, rest)
+                        string = string_key(context[there], ids[at[there]])
+                        asked += [rest[there], string[has(bits.value, string)]]
+                    keys = np.unique(np.concatenate(asked))
+                    own.setdefault(k, []).append(keys)
+                    size += len(keys)
+                    if size > 4 * FLUSH_KEYS:
+                        yield from flush()
+                        size = 0
         yield from flush()
 
     # all columns, so that Spark deals the texts once and reads that exchange twice
-    asked = dealt.mapInArrow(ask, "shard int, word string")
-    answers = asked.join(counts, "word").select("shard", "word", "c")
+    asked = dealt.mapInArrow(ask, "shard int, key long")
+    answers = asked.join(table, "key").select("shard", "key", "value")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        model: Tree = shared.value
-        asked_words = [w.encode() for w in known["word"].to_pylist()]  # a word may come twice
-        place = {w: k for k, w in enumerate(asked_words, 1)}
-        c = np.concatenate([[0], known["c"].to_numpy()]).astype(float)
-        symbol = np.array([0, *(model.symbols.get(w, 0) for w in asked_words)], np.int64)
-        root = (c + 0.5) / (model.total + 0.5 * (model.distinct + 1))
+        cache = WordHashes()
+        # a key may come twice
+        keys, first = np.unique(known["key"].to_numpy().view(np.uint64), return_index=True)
+        values = known["value"].to_numpy()[first]
+
+        def value(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Whether the answers hold the keys, and their values or 0."""
+            if not len(keys):
+                return np.zeros(len(asked), bool), np.zeros(len(asked))
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            there = keys[at] == asked
+            return there, np.where(there, values[at], 0.0)
+
         out: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
         for part in slices(texts["text"].to_pylist(), SLICE):
-            at, starts = number_tokens(part, place)
-            p = root[at]
-            full = model.log_probs(symbol[at], starts, p)
-            out[0].append(np.diff(np.append(starts, len(at))))
-            out[1].append(np.add.reduceat((c[at] > 0).astype(np.int64), starts))
-            out[2].append(np.add.reduceat(np.log10(p), starts))
-            out[3].append(np.add.reduceat(full, starts))
+            ids, starts = hash_tokens(part, cache)
+            seen, c = value(ids)
+            root = (c + 0.5) / (total + 0.5 * (distinct + 1))
+            p = root.copy()
+            for at, context in contexts(ids, starts, depth):
+                there, rest = value(rest_key(context))
+                at = at[there]
+                p[at] = value(string_key(context[there], ids[at]))[1] + rest[there] * p[at]
+            out[0].append(np.diff(np.append(starts, len(ids))))
+            out[1].append(np.add.reduceat(seen.astype(np.int64), starts))
+            out[2].append(np.add.reduceat(np.log10(root), starts))
+            out[3].append(np.add.reduceat(np.log10(p), starts))
         n, seen, base, full = (np.concatenate(x) for x in out)
         return pa.table(
             {
                 "doc_id": texts["doc_id"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen, pa.int64()),
-                "train_tokens": pa.array(np.full(len(n), model.total, np.int64)), "base_score": pa.array(base), "score": pa.array(full),
+                "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": pa.array(base), "score": pa.array(full),
             }
         )
 

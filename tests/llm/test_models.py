@@ -241,3 +241,23 @@ def test_tree_edge_rows_and_nothing_to_learn(spark):
     nothing = pst.score_texts(docs, F.lit(False)).collect()
     assert {(r["train_tokens"], r["n_known"], r["base_score"], r["score"]) for r in nothing} == {(0, 0, 0.0, 0.0)}
     assert pst.score_texts(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_tree_keeps_rare_and_deep_strings(spark):
+    """Strings of five occurrences among many tokens, and one that three words decide."""
+    rng = random.Random(4)
+    vocab = [f"v{k}" for k in range(40)]
+    hot = [" ".join(rng.choice(vocab) for _ in range(1000)) for _ in range(1200)]
+    rare = ["quick zebra jumps"] * 5
+    deep = [f"{a} {b} {c} {a}{b}" for a in "pq" for b in "rs" for c in "tu" for _ in range(100)]
+    rows = [(i, x, None, None, 0) for i, x in enumerate(hot + rare + deep)]
+    got = pst.score_texts(data.docs_frame(spark, rows), F.lit(True), shards=3).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows) and by[0]["train_tokens"] > 1_200_000
+    zebra = by[len(hot)]  # five of over a million tokens were under both shares
+    assert zebra["score"] > zebra["base_score"] + 9
+    for k in (0, len(deep) - 1):
+        r = by[len(hot) + len(rare) + k]
+        first = math.log10(400.5 / r["train_tokens"])
+        # the fourth word has four values after one word, two after two and one after three
+        assert r["score"] > first + math.log10(0.5 * 0.5) - 0.1
