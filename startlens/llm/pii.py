@@ -11,10 +11,13 @@ All work on texts is DataFrame expressions; no Python runs on executors.
    base spans, which always stay.
 3. Gradient-boosted trees (MLlib) learn from proposals of those generators
    that have a strict check, accepted against refused, over features of the
-   span's body and of its context. They see at most ``max_fit`` proposals,
-   the least by a hash, of which a fifth is kept out to calibrate: each
-   kind's threshold is the least score from which the kept-out proposals
-   reach ``min_precision``; a kind where none do adds nothing.
+   span's body and of its context. They see at most ``max_fit`` proposals, as
+   many of each stratum (a generator's accepted or refused ones), the least by
+   a hash, without a fifth of them. All other proposals of the corpus
+   calibrate: each kind's threshold is the least score from which they reach
+   ``min_precision``, every stratum weighted to its size in the corpus; a kind
+   where none do adds nothing. A stratum so small that no proposal was left
+   out calibrates with those learned from.
 4. The trees become one column expression. Other proposals that reach their
    kind's threshold and overlap no base span are added.
 
@@ -30,10 +33,9 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from startlens.llm.text import least_by_hash
 from startlens.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -163,6 +165,7 @@ def _proposals(text: Column) -> Column:
             lambda s: F.struct(
                 s["start"].alias("start"),
                 F.lit(kind).alias("kind"),
+                F.lit(list(GENERATORS).index(generator)).alias("generator"),
                 s["end"].alias("end"),
                 _strict(generator, s["value"]).alias("base"),
                 # plain numbers teach what is no telephone number
@@ -210,30 +213,51 @@ def fit(docs: DataFrame, text_col: str, id_col: str, max_fit: int, trees: int, d
     """None if the corpus has no accepted or no refused proposals to learn from."""
     found = proposals(docs.select(id_col, text_col), text_col, "__p").select(id_col, F.explode("__p").alias("p")).where("p.checked")
     order = F.xxhash64(F.col(id_col), "p.start", "p.kind")
-    found = materialize(found.select("p.f", F.col("p.base").cast("double").alias("label"), "p.kind", order.alias("h")), "proposals")
-    rows = sorted(least_by_hash(found, F.col("h"), max_fit).drop("__u").collect())  # at most max_fit rows
-    spark = docs.sparkSession
-    if len({r["label"] for r in rows}) < 2:
+    found = materialize(found.select("p.f", F.col("p.base").cast("double").alias("label"), "p.kind", "p.generator", order.alias("h")), "proposals")
+    sizes = {(r["generator"], r["label"]): r["count"] for r in found.groupBy("generator", "label").count().collect()}
+    if len({label for _, label in sizes}) < 2:
         return None
+    quota = max_fit if sum(sizes.values()) <= max_fit else max(max_fit // len(sizes), 1)
+
+    def of_stratum(values: dict) -> Column:
+        return reduce(lambda c, k: c.when((F.col("generator") == k[0]) & (F.col("label") == k[1]), F.lit(values[k])), values, F.when(F.lit(False), F.lit(None)))
+
+    # a bound of the hash leaves about twice the quota of each stratum to sort
+    top = 1 << 40
+    found = found.withColumn("u", F.pmod("h", F.lit(top)))
+    least = found.where(F.col("u") < of_stratum({k: top if n <= 2 * quota else top * 2 * quota // n for k, n in sizes.items()}))
+    least = least.withColumn("place", F.row_number().over(Window.partitionBy("generator", "label").orderBy("u"))).where(F.col("place") <= quota)
+    rows = sorted(least.select("f", "label", "kind", "generator", "h", "u").collect())  # at most max_fit rows
+    last = {k: max((r["u"] for r in rows if (r["generator"], r["label"]) == k), default=-1) for k in sizes}
+    learned = (F.col("u") <= of_stratum(last)) & (F.pmod("h", F.lit(5)) != 0)
+    spark = docs.sparkSession
     sample = spark.createDataFrame(
-        [(float(r["label"]), r["kind"], r["h"] % 5 == 0, *r["f"]) for r in rows],
-        "label double, kind int, out boolean, " + ", ".join(f"x_{f} double" for f in FEATURES),
+        [(float(r["label"]), *r["f"]) for r in rows if r["h"] % 5 != 0], "label double, " + ", ".join(f"x_{f} double" for f in FEATURES)
     ).coalesce(1)
-    vector = VectorAssembler(inputCols=[f"x_{f}" for f in FEATURES], outputCol="features").transform(sample)
-    learn = vector.where("not out").select("label", "features")
+    learn = VectorAssembler(inputCols=[f"x_{f}" for f in FEATURES], outputCol="features").transform(sample).select("label", "features")
     if learn.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, subsamplingRate=1.0).fit(learn)
     fitted = SpanModel(list(zip(model.treeWeights, [t.toDebugString for t in model.trees])), [])
-    own = F.struct(*[F.col(f"x_{f}").alias(f) for f in FEATURES])
-    kept = vector.where("out").select("kind", "label", fitted.score(own).alias("score")).collect()
+    # trees of bounded depth have a bounded number of scores
+    scored = found.select("kind", "generator", "label", learned.alias("learned"), fitted.score(F.col("f")).alias("score"))
+    counts = scored.groupBy("kind", "generator", "label", "learned", "score").count().collect()
+    out: dict = {}
+    for r in counts:
+        if not r["learned"]:
+            out[r["generator"], r["label"]] = out.get((r["generator"], r["label"]), 0) + r["count"]
     for kind in range(len(KINDS)):
-        ranked, hits, least = sorted(((r["score"], r["label"]) for r in kept if r["kind"] == kind), reverse=True), 0.0, None
-        for n, (score, label) in enumerate(ranked, 1):
-            hits += label
-            if hits / n >= min_precision and (n == len(ranked) or ranked[n][0] < score):
-                least = score
-        fitted.thresholds.append(least)
+        by_score: dict = {}
+        for r in counts:
+            k = r["generator"], r["label"]
+            if r["kind"] == kind and (k not in out or not r["learned"]):
+                by_score.setdefault(r["score"], [0.0, 0.0])[int(r["label"])] += r["count"] * sizes[k] / out.get(k, sizes[k])
+        hits, n, least_score = 0.0, 0.0, None
+        for score in sorted(by_score, reverse=True):
+            hits, n = hits + by_score[score][1], n + sum(by_score[score])
+            if hits / n >= min_precision:
+                least_score = score
+        fitted.thresholds.append(least_score)
     return fitted
 
 

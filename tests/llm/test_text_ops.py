@@ -244,3 +244,12 @@ def test_personal_data_edge_rows(spark):
     got = pii.find_spans(docs)
     assert got.columns == [*docs.columns, "base_spans", "spans"] and got.where("size(spans) = 0").count() == len(data.edge_rows())
     assert pii.find_spans(docs.limit(0)).count() == 0
+
+
+def test_rare_kind_among_many_numbers_keeps_its_threshold(spark):
+    """15 addresses among 20,000 plain numbers, with a sample of 200 proposals."""
+    rows = [(i, " ".join(f"{i}.{k} x" for k in range(10))) for i in range(2000)]
+    rows += [(5000 + i, f"mail me{i}@host{i}.org now") for i in range(15)] + [(6000, "write to ann [at] mail [dot] org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.find_spans(df, max_fit=200).where("doc_id = 6000").select(pii.joined(F.col("spans")).alias("s")).first()
+    assert got["s"] == "email:9:32"
