@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from startlens.llm import langid, line_dedup, metric_join, minhash, mixing, pii, pst, quality, suffix_decon, token_counts
+from startlens.llm import (
+    conversations,
+    divergence,
+    langid,
+    line_dedup,
+    metric_join,
+    minhash,
+    mixing,
+    periodic,
+    pii,
+    pst,
+    quality,
+    suffix_decon,
+    token_counts,
+)
 from startlens.llm.text import doc_bucket
 
 
@@ -200,6 +214,219 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _crc_sql(text: str) -> str:
+    """crc32 of an ASCII string, bit by bit, as DuckDB SQL: a number of 0 or
+    more is a byte to add, -1 one of the eight shifts that follow it."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), {step}), 4294967295)"
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, one in ten of which gets a repeated end."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # only the words of documents to be looped are laid out
+    docs = docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("w"), F.floor(h / 10)
+    docs = docs.withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    docs = docs.withColumn("p", F.when(n > 0, (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")))
+    a, p = F.col("a"), F.col("p")
+    looped = F.transform("w", lambda x, i: F.when(i >= a, F.get("w", a + (i - a) % p)).otherwise(x))
+    text = F.when(n > 0, F.array_join(looped, " ")).otherwise(F.col("text"))
+    out = docs.select("doc_id", text.alias("text")).withColumn("r", periodic.find_runs(spark, F.col("text")))
+    out = out.select("doc_id", F.col("r.runs").alias("runs"), F.col("r.collapsed").alias("collapsed"))
+    # the first of the runs (by start, then period) with the greatest length / period
+    first = F.get("runs", F.lit(0))
+    longer = lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b)
+    out = out.withColumn("best", F.aggregate("runs", first, longer))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(F.expr("1000 * best.length div best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+OP11_SQL = (
+    r"""
+WITH h AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws, """
+    + _crc_sql("doc_id::VARCHAR")
+    + r""" AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g, h % 10 = 0 AND len(ws) > 0 AS loops FROM h),
+a AS (SELECT *, CASE WHEN loops THEN g % n END AS a FROM g),
+p AS (SELECT *, CASE WHEN loops THEN 1 + (n - a) // (3 + g % 8) END AS p FROM a),
+x AS (SELECT doc_id, n, i, CASE WHEN loops AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+m AS (SELECT u.doc_id, v.i - u.i AS q, v.i AS i FROM x u JOIN x v ON u.doc_id = v.doc_id AND u.w = v.w AND v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+s AS (SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (FROM s t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+b AS (SELECT doc_id, start, length, q AS period, (1000 * length) // q AS exponent_milli,
+    row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / q DESC, start, q) AS k FROM r),
+l AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS runs FROM r GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+k AS (SELECT x.doc_id, string_agg(w, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN dropped ON dropped.doc_id = x.doc_id AND dropped.i = x.i GROUP BY x.doc_id)
+SELECT h.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+  b.exponent_milli::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM h LEFT JOIN b ON b.doc_id = h.doc_id AND b.k = 1 LEFT JOIN l ON l.doc_id = h.doc_id LEFT JOIN k ON k.doc_id = h.doc_id
+"""
+)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with faults dealt out by the hash of conv_id and turn."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    out = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"))
+    h = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    out = out.withColumn("h", h).where("h <> 0")
+    out = out.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("h") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return out.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    rows = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    summary, edits = conversations.repair(conversations.numbered(damaged(rows)))
+    kept = edits.where("edit <> 'D'").groupBy(F.col("conv").alias("k"))
+    lines = F.array_sort(F.collect_list(F.struct("row", "place", F.concat("role", F.lit(":"), "text").alias("line"))))
+    repaired = kept.agg(F.array_join(lines["line"], "\n").alias("repaired"))
+    out = rows.select("conv_id").distinct().join(summary, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    out = out.join(repaired, F.col("conv_id").eqNullSafe(F.col("k")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id",
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce("repaired", F.lit("")).cast("binary"), 256).alias("repaired_sha256"),
+    )
+
+
+def _op12_sql() -> str:
+    """Dynamic programming over rows from the last, with the least (cost,
+    audit) and its repaired lines per state."""
+
+    def step(v: str, cost: str, label: str, line: str = "''") -> str:
+        return f"{{'c': {v}.c + {cost}, 'a': '{label}' || {v}.a, 't': {line} || {v}.t}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def insert(v: str, role: str) -> str:
+        return step(v, "5", "I", f"'{role}:' || chr(10)")
+
+    def closed(x: list[str]) -> str:
+        both = f"{{'c': {x[3]}.c + 10, 'a': 'II' || {x[3]}.a, 't': 'user:' || chr(10) || 'assistant:' || chr(10) || {x[3]}.t}}"
+        return ", ".join([
+            f"{least(x[0], insert(x[2], 'user'), both)} AS v0",
+            f"{least(x[1], insert(x[2], 'user'), both)} AS v1",
+            f"{least(x[2], insert(x[3], 'assistant'))} AS v2",
+            f"{least(x[3], insert(x[2], 'user'))} AS v3",
+        ])
+
+    def keep(v: str, initial: str) -> str:
+        ok = f"fault IS DISTINCT FROM 'blank' AND fault IS DISTINCT FROM 'duplicate' AND left(role, 1) = '{initial}'"
+        return step(v, f"CASE WHEN {ok} THEN cut ELSE 1000000 END", "K", "role || ':' || text || chr(10)")
+
+    def rerole(v: str, role: str) -> str:
+        ok = "fault IS DISTINCT FROM 'blank' AND fault IS DISTINCT FROM 'duplicate'"
+        return step(v, f"CASE WHEN {ok} THEN 1 + cut ELSE 1000000 END", "R", f"'{role}:' || text || chr(10)")
+
+    end = ["{'c': 0, 'a': '', 't': ''}", "{'c': 1000000, 'a': '', 't': ''}"]
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    return f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql(key)} % 20 AS h FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE h <> 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k, right(rtrim(text, {white}), 1) AS e FROM d),
+f AS (SELECT *, CASE WHEN e = '' THEN 'blank' WHEN min(k) OVER (PARTITION BY conv_id, role, text) < k THEN 'duplicate'
+    WHEN e NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, CASE WHEN e NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS cut,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM k),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+s AS (SELECT conv_id, n + 1 AS k, {closed([end[0], end[1], end[1], end[0]])} FROM n
+  UNION ALL
+  SELECT conv_id, k, {closed(["x0", "x1", "x2", "x3"])} FROM (
+    SELECT s.conv_id, f.k, {least(step("v0", "2", "D"), keep("v1", "s"), keep("v2", "u"), rerole("v2", "user"))} AS x0,
+      {least(step("v1", "2", "D"), keep("v2", "u"), rerole("v2", "user"))} AS x1,
+      {least(step("v2", "2", "D"), keep("v3", "a"), rerole("v3", "assistant"))} AS x2,
+      {least(step("v3", "2", "D"), keep("v2", "u"), rerole("v2", "user"))} AS x3
+    FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.k = s.k - 1)),
+o AS (SELECT conv_id, v0 FROM s WHERE k = 1)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit,
+  sha256(coalesce(left(v0.t, length(v0.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and distances to the language references of every document."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    references = divergence.learn(docs)
+    out = docs.select("doc_id", divergence.assess(spark, references, F.col("text")).alias("r"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in names])
+
+
+def _op13_sql() -> str:
+    kinds = list(divergence.CLASSES.items())
+    counts = ", ".join(f"length(regexp_replace(text, '[^{m}]', '', 'g')) AS {k}" for k, m in kinds)
+    names = [k for k, _ in kinds]
+    other = f"word_chars - {' - '.join(names)} AS other"
+    shares = ", ".join(f"avg({k} / word_chars::DOUBLE) AS r_{k}" for k in [*names, "other"])
+
+    def half(p: str, r: str) -> str:
+        term = lambda a: f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({p} + {r}) / 2)) ELSE 0 END"
+        return f"({term(p)} + {term(r)}) / 2"
+
+    chars = " + ".join(half(f"{k} / word_chars::DOUBLE", f"r_{k}") for k in [*names, "other"])
+    return rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    {counts}, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM t),
+x AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS q
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM x) WHERE c >= 2) GROUP BY doc_id),
+b AS (SELECT w.*, {other}, len(ws) AS n_words, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    len(ws) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(ws) AS base_failed FROM w LEFT JOIN rep USING (doc_id)),
+rc AS (SELECT lang, {shares}, count(*) AS texts FROM b WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang),
+v AS (SELECT doc_id, lang, n_words, base_failed, translate(unnest(ws), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM b),
+vc AS (SELECT doc_id, lang, n_words, base_failed, word, count(*) AS c FROM v GROUP BY ALL),
+rl AS (SELECT lang, word, sum(c) AS n, sum(c / n_words::DOUBLE) AS x FROM vc WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang, word),
+rw AS (SELECT rl.lang, word, x / texts AS r FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM rl) rl JOIN rc USING (lang) WHERE 200 * n >= total),
+dl AS (SELECT b.doc_id, b.n_words, rc.*, sqrt(greatest(0, {chars})) AS d_chars FROM b, rc WHERE n_words > 0),
+dw AS (SELECT dl.doc_id, dl.lang, sum(coalesce(c, 0)) / any_value(dl.n_words)::DOUBLE AS p, sum(r) AS r,
+    sum({half("coalesce(c, 0) / dl.n_words::DOUBLE", "r")}) AS known
+  FROM dl JOIN rw ON rw.lang = dl.lang LEFT JOIN vc ON vc.doc_id = dl.doc_id AND vc.word = rw.word GROUP BY dl.doc_id, dl.lang),
+do_ AS (SELECT doc_id, lang, sqrt(greatest(0, known + {half("(1 - p)", "greatest(0, 1 - r)")})) AS d_words FROM dw),
+near AS (SELECT doc_id, min(d_chars) AS d_chars, min(coalesce(d_words, 0)) AS d_words FROM dl LEFT JOIN do_ USING (doc_id, lang) GROUP BY doc_id)
+SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(n_words >= 50 AND d_chars > 0.32, false) AND NOT coalesce(n_words >= 80 AND d_words > 0.3, false) AS kept
+FROM b LEFT JOIN near USING (doc_id)
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
@@ -211,6 +438,9 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
     "op10_personal_data": op10_personal_data,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE = {
@@ -219,4 +449,7 @@ ORACLE = {
     "op7_decontamination": OP7_SQL,
     "op8_source_mix": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
+    "op13_quality_rules": OP13_SQL,
 }
