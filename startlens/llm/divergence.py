@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,64 +54,97 @@ CLASSES = {
     "letter": "\\x{80}-\\x{10FFFF}",
 }
 
-SLICE = 1 << 19
+SLICE = 1 << 17
 BUCKETS = 1 << 16
 MAX_REFERENCE_BYTES = 64 << 20
 MEASURES = "n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long,base_failed boolean"
 
 
-def _byte_classes() -> np.ndarray:
-    """Class number of each byte of UTF-8; white space and bytes that go on a character: none (-1)."""
-    out = np.full(256, len(CLASSES), np.int64)
+def _byte_classes() -> bytes:
+    """Class number of each byte of UTF-8; the last is for white space and bytes that go on a character."""
+    out = bytearray([len(CLASSES)]) * 256
     members = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", SYMBOLS, ".,", "!?;:"]
     for k, m in enumerate(members):
-        out[list(m.encode())] = k
-    out[0xC0:] = len(members)  # a character beyond ASCII begins
-    out[0x80:0xC0] = -1
-    out[[9, 10, 11, 12, 13, 32]] = -1
-    return out
+        for b in m.encode():
+            out[b] = k
+    out[0xC0:] = bytes([len(members)]) * 64  # a character beyond ASCII begins
+    out[0x80:0xC0] = bytes([len(CLASSES) + 1]) * 64
+    for b in (9, 10, 11, 12, 13, 32):
+        out[b] = len(CLASSES) + 1
+    return bytes(out)
+
+
+_BYTE_CLASSES = _byte_classes()
+
+
+def _repeated_windows(code: np.ndarray, doc: np.ndarray, n_ids: int, n_docs: int) -> np.ndarray:
+    """First positions of the 3-word windows that their text holds more than once."""
+    at = np.flatnonzero(doc[2:] == doc[:-2])
+    if not len(at):
+        return at
+    wide, most = max(1, int(n_ids).bit_length()), max(1, int(n_docs).bit_length())
+    first, rest, width = code[at], code[at + 2], wide
+    if 3 * wide + most > 64:  # a long text of many words: number its word pairs first
+        pair = np.unique(code[:-1] * (n_ids + 1) + code[1:], return_inverse=True)[1]
+        first, width = pair[at], 0
+    one = np.uint64
+    key = first.astype(one)
+    if width:
+        key = (key << one(wide)) | code[at + 1].astype(one)
+    key = (((key << one(wide)) | rest.astype(one)) << one(most)) | doc[at].astype(one)
+    # windows alone in a bucket of their hash are no repeats; the others are compared in full
+    bits = one(64 - min(30, len(at).bit_length() + 2))
+    bucket = ((key * one(0x9E3779B97F4A7C15)) >> bits).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+    order = maybe[np.argsort(key[maybe], kind="stable")]
+    same = key[order[1:]] == key[order[:-1]]
+    return at[order[np.concatenate((same, [False])) | np.concatenate(([False], same))]] if len(order) else order
+
+
+def _numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Each word's number among the distinct words, and these."""
+    distinct = list(dict.fromkeys(words))
+    number = dict(zip(distinct, range(len(distinct))))
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words)), distinct
+
+
+def _buckets(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
 
 
 class Counted:
-    """Words, lines and characters of a slice of texts (UTF-8 bytes or None)."""
+    """Words and repeated windows of a slice of texts (UTF-8 bytes or None),
+    with ``chars`` also characters by class, with ``lines`` repeated lines."""
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], chars: bool = True, lines: bool = False):
         texts = [t or b"" for t in texts]
         n = len(texts)
         split = [t.split() for t in texts]
-        ids: dict[bytes, int] = {}
-        code = np.array([ids.setdefault(w, len(ids)) for ws in split for w in ws], np.int64)
+        code, ids = _numbered([w for ws in split for w in ws])
         self.n_words = np.array([len(ws) for ws in split], np.int64)
         doc = np.repeat(np.arange(n), self.n_words)
-        points = np.frombuffer(b"".join(texts), np.uint8)
-        kind = _byte_classes()[points]
-        owner = np.repeat(np.arange(n), [len(t) for t in texts])
-        size = len(CLASSES) + 1
-        known = kind >= 0
-        self.classes = np.bincount(owner[known] * size + kind[known], minlength=n * size).reshape(n, size)
-        self.word_chars = self.classes.sum(axis=1)
-        self.n_symbols = self.classes[:, list(CLASSES).index("symbol")]
-        self.n_dup_lines = np.zeros(n, np.int64)
-        for k, t in enumerate(texts):
-            if b"\n" in t:
-                lines = [x for x in t.split(b"\n") if x.strip()]
-                self.n_dup_lines[k] = len(lines) - len(set(lines))
-        # windows of three words, as numbers that are equal only for equal windows of one text
-        inside = doc[2:] == doc[:-2]
-        at = np.flatnonzero(inside)
-        pair = np.unique(code[:-1] * (len(ids) + 1) + code[1:], return_inverse=True)[1] if len(code) > 1 else code[:0]
-        triple = np.unique(pair[at] * (len(ids) + 1) + code[at + 2], return_inverse=True)[1] if len(at) else at
-        which, times = np.unique(triple * n + doc[at], return_inverse=True, return_counts=True)[1:] if len(at) else (at, at)
-        again = at[times[which] > 1] if len(at) else at
+        if chars:
+            size = len(CLASSES) + 1
+            self.classes = np.zeros((n, size), np.int64)
+            for k, t in enumerate(texts):
+                self.classes[k] = np.bincount(np.frombuffer(t.translate(_BYTE_CLASSES), np.uint8), minlength=size + 1)[:size]
+            self.word_chars = self.classes.sum(axis=1)
+            self.n_symbols = self.classes[:, list(CLASSES).index("symbol")]
+        if lines:
+            self.n_dup_lines = np.zeros(n, np.int64)
+            for k, t in enumerate(texts):
+                if b"\n" in t:
+                    own = [x for x in t.split(b"\n") if x.strip()]
+                    self.n_dup_lines[k] = len(own) - len(set(own))
+        again = _repeated_windows(code, doc, len(ids), n)
         covered = np.zeros(len(code) + 2, bool)
         for k in range(3):
             covered[again + k] = True
         self.n_repeat_words = np.bincount(doc[covered[: len(code)]], minlength=n)
         self.base_failed = (self.n_words < 50) | (100 * self.n_repeat_words > 50 * self.n_words)
         # lower-cased words for the common-word histograms
-        low: dict[bytes, int] = {}
-        to_low = np.array([low.setdefault(w.translate(LOWER), len(low)) for w in ids], np.int64)
-        self.vocabulary, self.doc, self.word = list(low), doc, to_low[code] if len(code) else code
+        to_low, self.vocabulary = _numbered(b" ".join(ids).translate(LOWER).split())
+        self.doc, self.word = doc, to_low[code] if len(code) else code
 
 
 class Reference:
@@ -141,13 +175,13 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rarit
     small_batches(spark)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Counted, np.ndarray]]:
+    def parts(batches: Iterator[pa.RecordBatch], chars: bool) -> Iterator[tuple[str, Counted, np.ndarray]]:
         for b in batches:
             texts, langs = b.column(0).cast(pa.binary()).to_pylist(), np.array(b.column(1).to_pylist(), object)
             at = 0
             for part in slices(texts, SLICE):
                 own, at = langs[at : at + len(part)], at + len(part)
-                counted = Counted(part)
+                counted = Counted(part, chars)
                 for lang in sorted(set(own)):
                     yield lang, counted, (own == lang) & ~counted.base_failed
 
@@ -157,10 +191,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rarit
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words per bucket; below 0, summed class histograms and at last the number of texts."""
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for lang, counted, own in parts(batches):
+        for lang, counted, own in parts(batches, True):
             words, classes = sums.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(size + 1)))
-            bucket = np.array([zlib.crc32(w) % BUCKETS for w in counted.vocabulary], np.int64)
-            words += np.bincount(bucket[counted.word[own[counted.doc]]], minlength=BUCKETS)[:BUCKETS]
+            words += np.bincount(_buckets(counted.vocabulary)[counted.word[own[counted.doc]]], minlength=BUCKETS)
             classes[:size] += (counted.classes[own] / counted.word_chars[own, None]).sum(axis=0)
             classes[size] += own.sum()
         for lang, (words, classes) in sums.items():
@@ -177,18 +210,19 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rarit
         raise ValueError(f"{languages} languages of {rarity} common words are too many to broadcast; lower rarity or merge languages")
     heavy = buckets.where("bucket >= 0").join(totals, "lang").where(F.col("n") * rarity >= F.col("total")).where("total > 0")
     # at most `rarity` buckets a language
-    mine: dict[str, set[int]] = {}
+    mine: dict[str, list[int]] = {}
     for r in heavy.select("lang", "bucket").toArrow().to_pylist():
-        mine.setdefault(r["lang"], set()).add(r["bucket"])
+        mine.setdefault(r["lang"], []).append(r["bucket"])
     shared = spark.sparkContext.broadcast(mine)
     word_kinds = {"lang": pa.string(), "word": pa.binary(), "n": pa.int64(), "x": pa.float64()}
 
     def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts and summed shares of the words in a heavy bucket, per slice."""
-        for lang, counted, own in parts(batches):
-            there = shared.value.get(lang, ())
-            wanted = np.array([zlib.crc32(w) % BUCKETS in there for w in counted.vocabulary], bool)
-            use = own[counted.doc] & wanted[counted.word] if len(counted.word) else np.zeros(0, bool)
+        for lang, counted, own in parts(batches, False):
+            there = np.zeros(BUCKETS, bool)
+            there[shared.value.get(lang, [])] = True
+            wanted = there[_buckets(counted.vocabulary)]
+            use = own[counted.doc] & wanted[counted.word]
             word = counted.word[use]
             n = np.bincount(word, minlength=len(wanted))
             x = np.bincount(word, 1.0 / counted.n_words[counted.doc[use]], minlength=len(wanted))
@@ -222,16 +256,16 @@ def _distances(counted: Counted, references: dict[str, Reference]) -> tuple[np.n
     near = np.full((2, n), np.inf)
     has = counted.n_words > 0
     chars = counted.classes[has] / counted.word_chars[has, None]
-    place = {w: k for k, w in enumerate(counted.vocabulary)}
+    common = {w: k for k, w in enumerate(sorted({w for r in references.values() for w in r.words}))}
+    which = np.fromiter(map(common.get, counted.vocabulary, repeat(len(common))), np.int64, len(counted.vocabulary))
+    which = which[counted.word]
     for lang in references:
         ref = references[lang]
         near[0, has] = np.minimum(near[0, has], distances(chars, ref.classes))
-        column = np.full(len(place) + 1, len(ref.words), np.int64)
-        for k, w in enumerate(ref.words):
-            column[place.get(w, len(place))] = k
-        column[len(place)] = len(ref.words)
         width = len(ref.words) + 1
-        found = np.bincount(counted.doc * width + column[counted.word], minlength=n * width).reshape(n, width)
+        column = np.full(len(common) + 1, width - 1, np.int64)
+        column[[common[w] for w in ref.words]] = range(width - 1)
+        found = np.bincount(counted.doc * width + column[which], minlength=n * width).reshape(n, width)
         own = np.append(ref.shares, max(0.0, 1.0 - ref.shares.sum()))
         near[1, has] = np.minimum(near[1, has], distances(found[has] / counted.n_words[has, None], own))
     near[np.isinf(near)] = np.nan
@@ -255,7 +289,7 @@ def assess(
     @F.arrow_udf(f"struct<{MEASURES.replace(' ', ':')},char_distance:double,word_distance:double,kept:boolean>")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def one(part: list) -> pa.StructArray:
-            c = Counted(part)
+            c = Counted(part, lines=True)
             chars, words = _distances(c, shared.value)
             far = (c.n_words >= min_words) & (chars > max_chars) | (c.n_words >= min_common) & (words > max_words)
             cols = [pa.array(getattr(c, name)) for name in names]
