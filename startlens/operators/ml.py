@@ -35,6 +35,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from startlens.functions import params as P
 from startlens.operators import metrics as MT
@@ -130,6 +131,31 @@ def stratified_split(df: DataFrame, label: str = "success", key: str = "id", tes
     return pos.withColumn("is_test", is_test).drop("__h", "__one", "__one_before", "__one_total")
 
 
+def stratified_folds(df: DataFrame, label: str = "success", key: str = "id", k: int = 5, seed: int = 42, fold_col: str = "fold") -> DataFrame:
+    """M15 (exact mode): folds 0..k-1 whose sizes differ by at most one, also
+    within each class.
+
+    Each class is laid in md5(key:folds:seed) order, the classes one after the other,
+    and rows are dealt to the folds in turn, so a class begins where the one
+    before it stopped. Positions come from ``prefix_sums`` (range-partitioned),
+    so a class with most rows is spread over many tasks; a row per class
+    is joined back. Rows without a label form a class of their own, the last.
+    """
+    from startlens.operators.joins import join_group_table
+    from startlens.operators.stats import prefix_sums
+
+    if k < 1:
+        raise ValueError(f"k must be at least 1, not {k}")
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit("folds"), F.lit(str(seed))))
+    pos = prefix_sums(df.withColumn("__h", h).withColumn("__one", F.lit(1)), ["__h", key], ["__one"], [label])
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy(F.col(label).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(label, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))  # a row per class
+    out = join_group_table(pos, starts, [label], how="inner")
+    fold = F.pmod(F.col("__start") + F.col("__one_before"), F.lit(k)).cast("int")
+    return out.withColumn(fold_col, fold).drop("__h", "__one", "__one_before", "__one_total", "__start")
+
+
 def fold_column(key: str = "id", k: int = 5, seed: int = 42) -> Column:
     """Fold 0..k-1 from a hash of the key."""
     h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(":fold:"), F.lit(str(seed)))), 1, 8), 16, 10)
@@ -333,13 +359,20 @@ def _fold_f1(name: str, folded: DataFrame, f: int, seed: int) -> float:
     return MT.binary_metrics(pred, LABEL, "prediction").first()["f1"]
 
 
-def cross_val_f1(name: str, train: DataFrame, k: int = 5, seed: int = 42, key: str = "id", parallelism: int = 1) -> tuple[float, float]:
+def _with_folds(train: DataFrame, key: str, k: int, seed: int, exact: bool) -> DataFrame:
+    if exact:
+        return materialize(stratified_folds(train, "success", key, k, seed, "__fold"), "folds")
+    return train.withColumn("__fold", fold_column(key, k, seed))
+
+
+def cross_val_f1(name: str, train: DataFrame, k: int = 5, seed: int = 42, key: str = "id", parallelism: int = 1,
+                 exact_stratified: bool = False) -> tuple[float, float]:
     """K-fold F1 on the training table; mean and population std.
 
     Folds are independent Spark jobs; ``parallelism`` > 1 submits them
     concurrently from driver threads (as ``CrossValidator`` does).
     """
-    folded = train.withColumn("__fold", fold_column(key, k, seed))
+    folded = _with_folds(train, key, k, seed, exact_stratified)
     if parallelism > 1:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             scores = list(pool.map(in_scope(lambda f: _fold_f1(name, folded, f, seed)), range(k)))
@@ -367,7 +400,7 @@ def compare_models(labelled: DataFrame, models: list[str] | None = None, seed: i
 
     The labelled table is written once to the checkpoint folder and
     hash-split on the key (``exact_stratified``: exactly proportional class
-    counts, see ``stratified_split``). The main fits run one at a time so that their
+    counts in the split and the folds, see ``stratified_split`` and ``stratified_folds``). The main fits run one at a time so that their
     fit times are not inflated; the k x models cross-validation fits are
     independent and run as concurrent Spark jobs (``parallelism``).
     """
@@ -385,7 +418,7 @@ def compare_models(labelled: DataFrame, models: list[str] | None = None, seed: i
         results[name] = (evaluate(fitted, test), fitted.fit_seconds)
     cv = {}
     if cv_folds and cv_folds > 1:
-        folded = train.withColumn("__fold", fold_column(key, cv_folds, seed))
+        folded = _with_folds(train, key, cv_folds, seed, exact_stratified)
         jobs = [(n, f) for n in names for f in range(cv_folds)]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             f1s = list(pool.map(in_scope(lambda nf: _fold_f1(nf[0], folded, nf[1], seed)), jobs))
@@ -421,8 +454,6 @@ def feature_importance(fitted: FittedModel, sample: DataFrame, top_n: int = 15)
     imp = fitted.model.featureImportances.toArray().tolist()
     rows = sorted(zip(names, imp), key=lambda r: -r[1])
     spark = sample.sparkSession
-    from pyspark.sql.window import Window
-
     df = spark.createDataFrame(rows, "feature string, importance double")
     w = Window.orderBy(F.desc("importance"), F.asc("feature"))
     out = df.withColumn("rank", F.row_number().over(w)).withColumn(

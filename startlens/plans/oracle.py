@@ -147,3 +147,78 @@ SCORED_KINDS = {
     "rule_of_40_norm": "d", "traction_index_norm": "d", "capital_efficiency_norm": "d",
     "burn_multiple_norm": "d", "runway_months_norm": "d", "investment_score": "d",
 }
+
+
+# --- random forest as tables -------------------------------------------------
+
+def forest_ctes(src: str, drop_first: bool = True, trees: int = 100, max_depth: int = 10, min_leaf: int = 10, min_split: int = 20,
+                bins: int = 32, seed: int = 42) -> str:
+    """CTEs (after WITH RECURSIVE) that train the table forest on the rows of
+    ``src`` (id, success, is_test, ...) that aren't test rows: ``fe``
+    (features), ``xl`` (feature values of all rows), ``grown`` (every training row in
+    every node it reaches) and ``nodes``."""
+    from startlens.operators.forest import POISSON_LIMITS
+
+    nums = " UNION ALL ".join(f"SELECT {i} AS f, {q(c)} AS name, {q(c)} AS col, CAST(NULL AS VARCHAR) AS v" for i, c in enumerate(P.NUMERIC_FEATURES))
+    vocab = " UNION ALL ".join(f"SELECT DISTINCT {i} AS k, {q(c)} AS col, {c} AS v FROM {src} WHERE NOT is_test AND {c} IS NOT NULL"
+                               for i, c in enumerate(P.CATEGORICAL_FEATURES))
+    keep = "WHERE rn > 1" if drop_first else ""
+    draws = " + ".join(f"(h >= {x})::INT" for x in POISSON_LIMITS)
+    pure = lambda n, y: f"(({y} * {y} + ({n} - {y}) * ({n} - {y}))::DOUBLE / {n}::DOUBLE)"
+
+    def best(rows: str) -> str:
+        """The best split per node of ``rows`` (tree, node, id, w, y)."""
+        return f"""
+  SELECT tree, node, f, b, "limit", gain, nl, yl FROM (
+    SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY score DESC, f, b) AS pick FROM (
+      SELECT *, {pure("nl", "yl")} + {pure("(nt - nl)", "(yt - yl)")} AS score, {pure("nl", "yl")} + {pure("(nt - nl)", "(yt - yl)")} - {pure("nt", "yt")} AS gain FROM (
+        SELECT tree, node, f, b, sum(sum(w)) OVER l AS nl, sum(sum(w * y)) OVER l AS yl, sum(sum(w)) OVER a AS nt, sum(sum(w * y)) OVER a AS yt
+        FROM {rows} JOIN (
+          SELECT tree, node, f FROM (SELECT tree, node, f, row_number() OVER (PARTITION BY tree, node
+              ORDER BY md5(tree || ':' || node || ':' || f || ':{seed}')) AS k FROM (SELECT DISTINCT tree, node FROM {rows}), fe)
+          WHERE k <= greatest(1, (SELECT floor(sqrt(count(*))) FROM fe))) USING (tree, node) JOIN bl USING (id, f)
+        GROUP BY tree, node, f, b
+        WINDOW l AS (PARTITION BY tree, node, f ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY tree, node, f))
+      WHERE nl >= {min_leaf} AND nt - nl >= {min_leaf} AND nt >= {min_split} AND yt > 0 AND yt < nt) WHERE gain > 0)
+  JOIN th USING (f, b) WHERE pick = 1"""
+
+    return f"""v0 AS ({vocab}),
+fe AS ({nums} UNION ALL SELECT {len(P.NUMERIC_FEATURES) - 1} + row_number() OVER (ORDER BY k, v), col || '_' || v, col, v
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v) AS rn FROM v0) {keep}),
+xl AS ({feature_long(src, "id, is_test")}),
+dv AS (SELECT f, x, sum(count(*)) OVER (PARTITION BY f ORDER BY x) AS upto, sum(count(*)) OVER (PARTITION BY f) AS n, count(*) AS c
+  FROM xl JOIN fe USING (f) WHERE NOT is_test AND v IS NULL GROUP BY f, x),
+th AS (SELECT f, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS b, x AS "limit" FROM dv
+    WHERE (upto * {bins} // n) * n > (upto - c) * {bins} AND upto < n
+  UNION ALL SELECT f, 0, 0.0 FROM fe WHERE v IS NOT NULL),
+bl AS (SELECT id, f, (SELECT count(*) FROM th WHERE th.f = xl.f AND xl.x > th."limit") AS b FROM xl WHERE NOT is_test),
+dr AS (SELECT tree, id, {draws} AS w, success AS y FROM (
+  SELECT id, success, tree, ('0x' || substr(md5(id || ':' || tree || ':{seed}'), 1, 8))::BIGINT AS h
+  FROM (SELECT id, success FROM {src} WHERE NOT is_test), (SELECT unnest(range({trees})) AS tree))),
+grown AS (SELECT 0 AS depth, tree, CAST(1 AS BIGINT) AS node, id, w, y FROM dr WHERE w > 0
+  UNION ALL
+  SELECT r.depth + 1, r.tree, 2 * r.node + CASE WHEN bl.b > s.b THEN 1 ELSE 0 END, r.id, r.w, r.y
+  FROM grown r JOIN ({best("grown")}) s ON s.tree = r.tree AND s.node = r.node JOIN bl ON bl.id = r.id AND bl.f = s.f
+  WHERE r.depth < {max_depth}),
+nodes AS (SELECT tree, node, depth, sum(w) AS weight, sum(w * y) AS positives, sum(w * y)::DOUBLE / sum(w)::DOUBLE AS prediction FROM grown GROUP BY tree, node, depth),
+inner_ AS (SELECT * FROM grown WHERE depth < {max_depth}),
+splits AS ({best("inner_")})"""
+
+
+def feature_long(src: str, keys: str) -> str:
+    """(keys, f, x): every feature of ``fe`` for every row of ``src``."""
+    from startlens.operators.forest import DIGITS
+
+    value = "CASE " + " ".join(f"WHEN col = {q(c)} AND v IS NULL THEN round(coalesce({c}::DOUBLE, 0), {DIGITS})" for c in P.NUMERIC_FEATURES)
+    value += " " + " ".join(f"WHEN col = {q(c)} THEN coalesce({c} = v, false)::INT" for c in P.CATEGORICAL_FEATURES) + " END"
+    return f"SELECT {keys}, f, ({value})::DOUBLE AS x FROM {src}, fe"
+
+
+def forest_scores(keys: str, long: str) -> str:
+    """CTEs that walk ``long`` (keys, f, x) down the trees: ``scores`` (keys, p)."""
+    return f"""walk AS (SELECT {keys}, tree, node FROM (SELECT DISTINCT {keys} FROM {long}), (SELECT tree, node FROM nodes WHERE node = 1)
+  UNION ALL
+  SELECT {", ".join("walk." + k for k in keys.split(", "))}, walk.tree, 2 * walk.node + CASE WHEN l.x > s."limit" THEN 1 ELSE 0 END
+  FROM walk JOIN splits s ON s.tree = walk.tree AND s.node = walk.node JOIN {long} l ON l.f = s.f AND {" AND ".join(f"l.{k} = walk.{k}" for k in keys.split(", "))}),
+scores AS (SELECT {keys}, round(avg(prediction), 9) AS p FROM walk JOIN nodes USING (tree, node)
+  WHERE NOT EXISTS (FROM splits s WHERE s.tree = walk.tree AND s.node = walk.node) GROUP BY {keys})"""

@@ -737,40 +737,76 @@ def best_model_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ML.best_by_metric(ML.compare_models(_labelled(spark, sf_dir), cv_folds=0))
 
 
-def _train_rf(spark: SparkSession, sf_dir: str):
+from startlens.operators import forest as FO  # noqa: E402
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> tuple[FO.TableForest, DataFrame]:
     """The single-model training path (M18): one-hot with the first
     category of each column dropped (M3), unlike the comparison (M4)."""
-    lab = _labelled(spark, sf_dir)
-    train = lab.where(~ML.split_column("id", 42, 0.2))
-    return ML.fit_model("Random Forest", train, drop_first=True), lab
+    lab = materialize(_labelled(spark, sf_dir), "labelled")
+    return FO.grow_forest(lab.where(~ML.split_column("id", 42, 0.2))), lab
+
+
+_FOREST_CTE = f"{_SPLIT_CTE}, {O.forest_ctes('s')}"
+
+
+@register(
+    "forest_nodes",
+    f"WITH RECURSIVE {_FOREST_CTE} SELECT CAST(n.tree AS BIGINT) AS tree, n.node, CAST(n.depth AS BIGINT) AS depth, fe.name AS feature, "
+    'round(s."limit", 6) AS "limit", CASE WHEN s.f IS NOT NULL THEN 2 * n.node END AS "left", CASE WHEN s.f IS NOT NULL THEN 2 * n.node + 1 END AS "right", '
+    "round(coalesce(gain, 0), 6) AS gain, round(prediction, 6) AS prediction, CAST(weight AS BIGINT) AS weight, CAST(positives AS BIGINT) AS positives "
+    "FROM nodes n LEFT JOIN splits s ON s.tree = n.tree AND s.node = n.node LEFT JOIN fe ON fe.f = s.f",
+)
+def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trained forest as one table, a row per node."""
+    forest, _ = _forest(spark, sf_dir)
+    names = forest.features.select("feature", "name")
+    out = forest.nodes.join(F.broadcast(names), "feature", "left")
+    return tidy(out.select("tree", "node", "depth", F.col("name").alias("feature"), *[c for c in forest.nodes.columns[4:]]))
 
 
-@register("feature_importance")
+@register(
+    "feature_importance",
+    f"WITH RECURSIVE {_FOREST_CTE}, pt AS (SELECT tree, f, sum(gain) / sum(sum(gain)) OVER (PARTITION BY tree) AS share FROM splits GROUP BY tree, f), "
+    "pf AS (SELECT name AS feature, coalesce(sum(share), 0) / (SELECT sum(share) FROM pt) AS importance FROM fe LEFT JOIN pt USING (f) GROUP BY name), "
+    "r AS (SELECT *, row_number() OVER (ORDER BY round(importance, 9) DESC, feature) AS rank FROM pf) "
+    "SELECT feature, round(importance, 6) AS importance, rank, round(sum(importance) OVER (ORDER BY rank), 6) AS cumulative FROM r QUALIFY rank <= 15",
+)
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-15 random-forest importances with cumulative share (rows-only)."""
-    fitted, lab = _train_rf(spark, sf_dir)
-    return ML.feature_importance(fitted, lab, 15)
+    """Top-15 importances of the forest with cumulative share."""
+    forest, _ = _forest(spark, sf_dir)
+    return tidy(FO.top_importance(forest, 15))
+
+
+def _prospect_predictions_sql() -> str:
+    chain = _prospect_sql().rsplit("\nSELECT ", 1)[0].split("\np0 AS", 1)[1]
+    bands = _bands_prob_sql().split("AS success_probability, ", 1)[1].removesuffix(" FROM s")
+    return (
+        f"WITH RECURSIVE {_FOREST_CTE}, p0 AS{chain}, pl AS ({O.feature_long('p7', 'prospect_id')}), {O.forest_scores('prospect_id', 'pl')}, "
+        "pp AS (SELECT p7.*, CASE WHEN is_valid THEN scores.p END AS p FROM p7 JOIN scores USING (prospect_id)) "
+        "SELECT CAST(prospect_id AS BIGINT) AS prospect_id, stage, sector, country, CAST(is_valid AS VARCHAR) AS is_valid, "
+        "round(investment_score, 6) AS investment_score, round(p, 6) AS success_probability, "
+        f"round(investment_score * {D(0.4)} + p * 100 * {D(0.4)} + traction_index * {D(0.2)}, 6) AS composite_score, {bands}, strengths, concerns FROM pp"
+    )
 
 
-@register("prospect_predictions")
+@register("prospect_predictions", _prospect_predictions_sql())
 def prospect_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train, save and reload the forest, then score every prospect:
-    KPIs (X1), features with the trained encoders (X4), probability (M19),
+    """Train, write and read back the forest's tables, then score every
+    prospect: KPIs (X1), features with the trained categories (X4), probability (M19),
     the 40/40/20 composite (D12), confidence, recommendation, context (X5,
-    X7, X8). Rows-only."""
+    X7, X8). Rejected prospects (X2) get no probability and nothing drawn from it."""
     import uuid
 
     from startlens.session import ensure_checkpoint_dir
 
-    fitted, _ = _train_rf(spark, sf_dir)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/rf-{uuid.uuid4().hex}"
-    ML.save_model(fitted, path)
-    loaded = ML.load_model(path)
-    scored = X.score_prospects(fixtures.prospects(spark, sf_dir))
-    pred = ML.predict_success(loaded, scored)
-    out = X.with_probability_bands(pred).withColumn("composite_score", AN.composite_score()).select(
-        "prospect_id", "stage", "sector", "country", "is_valid", "investment_score", "success_probability",
-        "composite_score", "confidence", "recommendation", "percentile_context",
+    forest, _ = _forest(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/forest-{uuid.uuid4().hex}"
+    forest.write(path)
+    pred = X.predict_prospects(FO.read_forest(spark, path), fixtures.prospects(spark, sf_dir))
+    out = pred.withColumn("composite_score", AN.composite_score()).select(
+        "prospect_id", "stage", "sector", "country", F.col("is_valid").cast("string").alias("is_valid"), "investment_score",
+        "success_probability", "composite_score", "confidence", "recommendation", "percentile_context",
         F.array_join("strengths", "; ").alias("strengths"), F.array_join("concerns", "; ").alias("concerns"),
     )
     return tidy(out)
@@ -1235,16 +1271,27 @@ def ml_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(ML.success_rate(startups.scored_companies(spark, sf_dir)))
 
 
-@register("forest_evaluation")
+def _forest_evaluation_sql() -> str:
+    report = _report_sql().removeprefix(f"WITH {_PRED_CTE}, ").replace(" FROM r", "")
+    auc = "(SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)), 6) FROM h)"
+    return (
+        f"WITH RECURSIVE {_FOREST_CTE}, tl AS (SELECT id, f, x FROM xl WHERE is_test), {O.forest_scores('id', 'tl')}, "
+        "pr AS (SELECT success AS label, (p > 0.5)::INT AS prediction, p FROM scores JOIN s USING (id)), "
+        "h AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM "
+        "(SELECT p, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM pr GROUP BY p)), "
+        f"{report}, tn, fp, fn, tp, round((tn + tp) / (tn + fp + fn + tp), 6) AS accuracy, {auc} AS roc_auc FROM r, c"
+    )
+
+
+@register("forest_evaluation", _forest_evaluation_sql())
 def forest_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M12/M13 on the single forest's held-out side: per-class precision,
     recall, F1 and support with macro and weighted averages; the confusion
     counts, accuracy and ROC-AUC are attached to every row as scalar
-    subqueries (rows-only: a trained model)."""
-    fitted, lab = _train_rf(spark, sf_dir)
-    test = lab.where(ML.split_column("id", 42, 0.2))
-    pred = fitted.transform(test).select(F.col("label").cast("int").alias("label"),
-                                         F.col("prediction").cast("int").alias("prediction"), "success_probability")
+    subqueries."""
+    forest, lab = _forest(spark, sf_dir)
+    pred = FO.score(forest, lab.where(ML.split_column("id", 42, 0.2)))
+    pred = materialize(pred.select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "success_probability"), "evaluation")
     counts = MT.binary_metrics(pred)
     auc = MT.roc_auc(pred, "label", "success_probability")
     extra = {c: counts.select(c).scalar() for c in ("tn", "fp", "fn", "tp", "accuracy")}
@@ -1289,6 +1336,17 @@ def ml_fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(train.withColumn("fold", ML.fold_column("id", 5, 42)).groupBy("fold", "success").agg(F.count(F.lit(1)).alias("companies")))
 
 
+@register(
+    "ml_stratified_folds",
+    f"WITH {_LAB_CTE} SELECT CAST(id AS BIGINT) AS id, CAST(success AS BIGINT) AS success, "
+    "CAST((row_number() OVER (ORDER BY success, md5(concat_ws(':', id, 'folds', '42')), id) - 1) % 5 AS BIGINT) AS fold FROM lab WHERE success <> -1",
+)
+def ml_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every known outcome's fold, dealt in turn within its class."""
+    lab = ML.label_outcomes(startups.scored_companies(spark, sf_dir))
+    return tidy(ML.stratified_folds(lab.select("id", "success"), "success", "id", 5, 42).select("id", "success", "fold"))
+
+
 @register(
     "ml_class_weights",
     f"WITH {_SPLIT_CTE} SELECT CAST(success AS BIGINT) AS success, "

@@ -162,24 +162,30 @@ def read_scored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 def run_training(spark: SparkSession, scored_path: str, out_dir: str, cv_folds: int = 5, seed: int = 42,
-                 out_format: str = "parquet", models: list[str] | None = None, fmt: str = "parquet", test_size: float = 0.2) -> dict[str, str]:
+                 out_format: str = "parquet", models: list[str] | None = None, fmt: str = "parquet", test_size: float = 0.2,
+                 exact_stratified: bool = False) -> dict[str, str]:
     """Entry B: from a scored table (parquet or CSV, e.g. ``run_ranking``'s
     output) train and compare the four models, then train the single forest
-    (first category dropped), save it with its feature pipeline, and write its
+    (first category dropped), write its tables, its
     top feature importances, its per-class report and its confusion counts with
-    accuracy and AUC on the ``test_size`` share held out. Returns the written paths."""
-    from startlens.operators import metrics
-    from startlens.operators import ml
+    accuracy and AUC on the ``test_size`` share held out. ``exact_stratified``:
+    that share holds each class in exact proportion, and so do the folds.
+    Returns the written paths."""
+    from startlens.operators import forest, metrics, ml
 
     paths = {k: os.path.join(out_dir, k) for k in ("model_comparison", "feature_importance", "model", "classification_report", "evaluation")}
     with scratch_tables(spark):
         labelled = materialize(ml.label_outcomes(read_scored(spark, scored_path, fmt)), "labelled")
-        write_table(ml.compare_models(labelled, models, seed=seed, cv_folds=cv_folds, test_fraction=test_size), paths["model_comparison"], fmt=out_format)
-        train = labelled.where(~ml.split_column("id", seed, test_size))
-        forest = ml.fit_model("Random Forest", train, seed, drop_first=True)
-        ml.save_model(forest, paths["model"])
-        write_table(ml.feature_importance(forest, labelled, 15), paths["feature_importance"], fmt=out_format)
-        test = forest.transform(labelled.where(ml.split_column("id", seed, test_size))).select(
+        comparison = ml.compare_models(labelled, models, seed=seed, cv_folds=cv_folds, test_fraction=test_size, exact_stratified=exact_stratified)
+        write_table(comparison, paths["model_comparison"], fmt=out_format)
+        if exact_stratified:
+            labelled = materialize(ml.stratified_split(labelled, "success", "id", test_size, seed), "split")
+        else:
+            labelled = labelled.withColumn("is_test", ml.split_column("id", seed, test_size))
+        model = forest.grow_forest(labelled.where(~F.col("is_test")), seed=seed)
+        model.write(paths["model"])
+        write_table(forest.top_importance(model, 15), paths["feature_importance"], fmt=out_format)
+        test = forest.score(model, labelled.where("is_test")).select(
             F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "success_probability"
         )
         test = materialize(test, "evaluation")
@@ -192,14 +198,14 @@ def run_training(spark: SparkSession, scored_path: str, out_dir: str, cv_folds:
 def run_prospect_scoring(spark: SparkSession, model_dir: str, prospects_path: str, out_dir: str, fmt: str = "csv",
                          out_format: str = "parquet") -> str:
     """Entry C: score a prospects file with a saved forest -- defaults,
-    validation, prospect KPIs, probability, bands and explanations."""
-    from startlens.operators import ml
+    validation, prospect KPIs, probability, bands and explanations. Rejected
+    prospects have their reasons and no probability."""
+    from startlens.operators import forest
     from startlens.operators import prospects as X
 
     raw = read_csv(spark, prospects_path) if fmt == "csv" else spark.read.parquet(prospects_path)
     typed = X.read_inputs(raw)
-    model = ml.load_model(model_dir)
-    out = X.with_probability_bands(ml.predict_success(model, X.score_prospects(typed)))
+    out = X.predict_prospects(forest.read_forest(spark, model_dir), typed)
     keep = [c for c in typed.columns if c != "unreadable"] + ["is_valid", "reject_reasons", "estimated_revenue", "capital_efficiency", "monthly_burn",
                                          "runway_months", "burn_multiple", "traction_index", "rule_of_40", "investment_score",
                                          "success_probability", "confidence", "recommendation", "percentile_context",
@@ -230,6 +236,7 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--format", default="parquet", choices=["csv", "parquet"], help="input format")
     t.add_argument("--test-size", type=float, default=0.2)
     t.add_argument("--seed", type=int, default=42)
+    t.add_argument("--exact-stratified", action="store_true", help="exact class shares in the held-out side and the folds")
     m = sub.add_parser("missing", help="missing-data analysis of objects / funding_rounds / investments")
     m.add_argument("--data-dir", required=True)
     m.add_argument("--out", required=True)
@@ -249,7 +256,8 @@ def main(argv: list[str] | None = None) -> None:
     if a.cmd == "rank":
         print(run_ranking(spark, a.data_dir, a.out, a.format, a.out_format, a.top, a.snapshot_year, a.min_funding))
     elif a.cmd == "train":
-        print(run_training(spark, a.scored, a.out, a.cv_folds, a.seed, fmt=a.format, test_size=a.test_size))
+        print(run_training(spark, a.scored, a.out, a.cv_folds, a.seed, fmt=a.format, test_size=a.test_size,
+                           exact_stratified=a.exact_stratified))
     elif a.cmd == "missing":
         print(run_missing(spark, a.data_dir, a.out, a.format, a.out_format))
     elif a.cmd == "load":

@@ -75,7 +75,14 @@ def test_train_then_predict_prospects_from_files(spark):
     out = runs.run_prospect_scoring(spark, paths["model"], f"{base}/prospects.csv", f"{base}/pred", fmt="csv")
     pred = spark.read.parquet(out)
     assert pred.count() == fixtures.prospects(spark, SF_SMALL).count()
-    assert pred.where(F.col("success_probability").isNull() | (F.col("success_probability") < 0) | (F.col("success_probability") > 1)).count() == 0
+    # accepted prospects, and only these, have a probability
+    assert pred.where(F.col("is_valid") & ~F.coalesce(F.col("success_probability").between(0, 1), F.lit(False))).count() == 0
+    assert pred.where(~F.col("is_valid") & (F.col("success_probability").isNotNull() | F.col("recommendation").isNotNull())).count() == 0
+    assert pred.where("is_valid").count() > 0
+    exact = runs.run_training(spark, f"{base}/scored", f"{base}/exact", cv_folds=2, models=["Random Forest"], fmt="csv", exact_stratified=True)
+    counts = spark.read.parquet(exact["evaluation"]).first()
+    known = startups.scored_companies(spark, SF_SMALL).where("status in ('acquired', 'ipo', 'closed')").count()
+    assert sum(counts[c] for c in ("tn", "fp", "fn", "tp")) == -(-known // 5)
 
 
 def test_scratch_tables_are_deleted(spark):
