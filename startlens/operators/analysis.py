@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from startlens.functions import params as P
 from startlens.operators.joins import join_group_table
@@ -73,6 +74,42 @@ def rolling_time_splits(df: DataFrame, cutoffs: Sequence[int], year_col: str = "
     return x.withColumn("time_side", side).where(F.col("time_side").isNotNull())
 
 
+def walk_forward(df: DataFrame, label: str = "label", year_col: str = "founded_year", group: str = "stage") -> DataFrame:
+    """D8 + D9: every cut-off year at once -- rows founded before it train,
+    rows founded in it test -- with the group baseline's accuracy there.
+
+    One aggregate gives rows and successes per (year, group). Running
+    totals over years give each cut-off's training counts, and a group's
+    running totals its success rate before the cut-off; the baseline
+    predicts success where that rate (or, for a group not seen before, the
+    overall rate) is at least one half. No row is copied per cut-off: after the aggregate
+    there are years x groups rows, and the windows run over these alone.
+
+    Columns: cutoff_year, train_rows, train_successes, test_rows,
+    test_successes, correct, accuracy; a cut-off without training rows is
+    left out. Rows without a year, or whose label isn't 0 or 1, take no part.
+    """
+    y = F.col(label).cast("int")
+    known = df.where(F.col(year_col).isNotNull() & y.isin(0, 1))
+    cells = known.groupBy(F.col(year_col).alias("cutoff_year"), F.col(group).alias("__g")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos")
+    )
+    earlier = Window.orderBy("cutoff_year").rangeBetween(Window.unboundedPreceding, -1)
+    in_group = Window.partitionBy("__g").orderBy("cutoff_year").rangeBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    cells = cells.withColumns({
+        "gn": F.coalesce(F.sum("n").over(in_group), none), "gpos": F.coalesce(F.sum("pos").over(in_group), none),
+        "tn": F.coalesce(F.sum("n").over(earlier), none), "tpos": F.coalesce(F.sum("pos").over(earlier), none),
+    })
+    says = F.when(F.col("gn") > 0, 2 * F.col("gpos") >= F.col("gn")).otherwise(2 * F.col("tpos") >= F.col("tn"))
+    correct = F.when(says, F.col("pos")).otherwise(F.col("n") - F.col("pos"))
+    out = cells.where("tn > 0").groupBy("cutoff_year").agg(
+        F.max("tn").alias("train_rows"), F.max("tpos").alias("train_successes"),
+        F.sum("n").alias("test_rows"), F.sum("pos").alias("test_successes"), F.sum(correct).alias("correct"),
+    )
+    return out.withColumn("accuracy", F.col("correct") / F.col("test_rows"))
+
+
 BENCHMARK_SHIFTS = [-10, 0, 10]
 
 

@@ -1400,3 +1400,143 @@ def best_of_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("recall").alias("Recall"), F.col("f1").alias("F1-Score"))
         table = m if table is None else table.unionByName(m)
     return tidy(ML.best_by_metric(table, ["Accuracy", "Precision", "Recall", "F1-Score"]))
+
+
+# ---------------------------------------------------------------------------
+# Stored and checked inputs, sketches, walk-forward, thinned ROC curve
+# -- J1-J3, S1, S3, S5, A1, A4, A5, D8, D9, M13, P15
+# ---------------------------------------------------------------------------
+
+from startlens.sources import company_store as CS  # noqa: E402
+from startlens.sources import quarantine as QU  # noqa: E402
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from startlens.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stores/{name}-{uuid.uuid4().hex}"
+
+
+@register("enriched_from_store", ORACLE["enriched_startups"])
+def enriched_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1-J3 on tables stored in buckets of company ids: joins and aggregates
+    without an exchange."""
+    from startlens.operators import enrich
+
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = CS.write_company_store(
+        fixtures.objects(spark, sf_dir), fixtures.funding_rounds(spark, sf_dir), fixtures.investments(spark, sf_dir), _scratch(spark, "companies"), buckets
+    )
+    return tidy(enrich.enrich_startups(*CS.open_company_store(spark, path), filter_funded=True))
+
+
+_BAD_LINES = "CASE WHEN id % 17 = 3 THEN 1 WHEN id % 19 = 4 THEN 2 ELSE 0 END"
+
+
+def _quarantine_sql() -> str:
+    return (
+        f"WITH {fixtures.FIXTURE_CTES}, g AS (SELECT *, {_BAD_LINES} AS bad, lpad(CAST(id AS VARCHAR), 12, '0') AS code, id % 37 = 5 AS n, "
+        "coalesce(founded_at = '1999-02-30', false) AS d, id % 13 = 0 AS m FROM (SELECT CAST(e.id AS BIGINT) AS id, founded_at FROM generic_extract e)) "
+        "SELECT id, CAST(bad = 0 AND NOT n AND NOT d AND NOT m AS VARCHAR) AS accepted, CASE WHEN bad > 0 THEN 'fields' ELSE "
+        "concat_ws('; ', CASE WHEN n THEN 'number:funding_total_usd' END, CASE WHEN d THEN 'date:founded_at' END, "
+        "CASE WHEN m THEN 'missing:participants' END) END AS reasons FROM g"
+    )
+
+
+@register("quarantined_rows", _quarantine_sql())
+def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV extract of which some lines lack a field, have one too
+    many, or hold unreadable numbers and dates: all its rows, accepted or
+    rejected with reasons."""
+    raw = fixtures.generic_extract(spark, sf_dir)
+    cols = ["id", *[c for c in raw.columns if c != "id"]]
+    line = F.to_csv(F.struct(*cols), {"emptyValue": ""})
+    bad = F.expr(_BAD_LINES.replace("id", "CAST(id AS BIGINT)"))
+    # a line without its last field, or with one more
+    line = F.when(bad == 1, F.regexp_replace(line, ",[^,]*$", "")).when(bad == 2, F.concat(line, F.lit(",more"))).otherwise(line)
+    path = _scratch(spark, "extract")
+    raw.select(line.alias("value")).write.text(path)
+    accepted, rejected = QU.read_csv_checked(spark, path, ["funding_total_usd"], ["founded_at"], ["participants"], columns=cols)
+    out = accepted.select(F.col("id").cast("long").alias("id"), F.lit("true").alias("accepted"), F.lit("").alias("reasons"))
+    first = F.split("line", ",")[0].cast("long")
+    return tidy(out.unionByName(rejected.select(first.alias("id"), F.lit("false").alias("accepted"), F.array_join("reasons", "; ").alias("reasons"))))
+
+
+_SKETCH_CTE = (f"{O.enrich_ctes()}, iv AS (SELECT stage, sector, funding_amount, investor_object_id AS investor FROM enr "
+               "LEFT JOIN investments ON funded_object_id = id)")
+
+
+@register(
+    "sketch_errors",
+    f"WITH {_SKETCH_CTE}, x AS (SELECT sector AS grp, * FROM iv UNION ALL SELECT 'all' AS grp, * FROM iv) "
+    "SELECT grp, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT investor) AS BIGINT) AS investors, 'true' AS distinct_in_bound, "
+    "'true' AS median_in_bound FROM x GROUP BY grp",
+)
+def sketch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A4, A5: sketches per (stage, sector), merged to sectors and to all,
+    against exact values: the exact distinct count, whether the estimate is
+    within four standard errors of it, and whether the estimated median's
+    true rank is within the sketch's rank error of one half."""
+    from startlens.operators import sketches as SK
+
+    inv = fixtures.investments(spark, sf_dir).withColumnRenamed("investor_object_id", "investor")
+    enr = startups.enriched_companies(spark, sf_dir)
+    rows = materialize(enr.join(inv, F.col("id") == F.col("funded_object_id"), "left").select("stage", "sector", "funding_amount", "investor"), "investor_rows")
+    fine = materialize(SK.sketch_groups(rows, ["stage", "sector"], ["investor"], ["funding_amount"]), "sketches")
+    merged = SK.merge_sketches(fine, ["sector"]).withColumnRenamed("sector", "grp")
+    merged = merged.unionByName(SK.merge_sketches(fine).withColumn("grp", F.lit("all")))
+    est = materialize(SK.read_sketches(merged, [0.5]), "estimates")
+    each = rows.withColumn("grp", F.explode(F.array(F.col("sector"), F.lit("all"))))
+    at = each.join(F.broadcast(est.select(F.col("grp").alias("g"), "funding_amount_p50")), F.col("grp").eqNullSafe(F.col("g")))
+    exact = at.groupBy("grp").agg(
+        F.count_distinct("investor").alias("investors"), F.avg((F.col("funding_amount") < F.col("funding_amount_p50")).cast("double")).alias("lo"),
+        F.avg((F.col("funding_amount") <= F.col("funding_amount_p50")).cast("double")).alias("hi"),
+    ).withColumnRenamed("grp", "h")
+    out = est.join(exact, F.col("grp").eqNullSafe(F.col("h")))
+    off = F.abs(F.col("investor_distinct") - F.col("investors")) <= 4 * 1.04 / 2 ** (SK.LG_K / 2) * F.col("investors") + 0.5
+    near = (F.col("lo") <= 0.5 + 1.7 / SK.KLL_K) & (F.col("hi") >= 0.5 - 1.7 / SK.KLL_K)
+    return tidy(out.select("grp", "rows", "investors", off.cast("string").alias("distinct_in_bound"), near.cast("string").alias("median_in_bound")))
+
+
+@register(
+    "walk_forward_baseline",
+    f"WITH {_LAB_CTE}, k AS (SELECT founded_year AS y, stage, success FROM lab WHERE success <> -1 AND founded_year IS NOT NULL), "
+    "c AS (SELECT DISTINCT y AS cutoff FROM k), tr AS (SELECT cutoff, count(*) AS n, sum(success) AS pos FROM c JOIN k ON y < cutoff GROUP BY cutoff), "
+    "g AS (SELECT cutoff, stage, avg(success) AS rate FROM c JOIN k ON y < cutoff GROUP BY cutoff, stage), "
+    "te AS (SELECT tr.cutoff, tr.n, tr.pos, k.success, CASE WHEN coalesce(g.rate, tr.pos / tr.n) >= 0.5 THEN 1 ELSE 0 END AS says FROM tr JOIN k ON k.y = tr.cutoff "
+    "LEFT JOIN g ON g.cutoff = tr.cutoff AND g.stage IS NOT DISTINCT FROM k.stage) "
+    "SELECT CAST(cutoff AS BIGINT) AS cutoff_year, CAST(any_value(n) AS BIGINT) AS train_rows, CAST(any_value(pos) AS BIGINT) AS train_successes, "
+    "CAST(count(*) AS BIGINT) AS test_rows, CAST(sum(success) AS BIGINT) AS test_successes, CAST(sum((says = success)::INT) AS BIGINT) AS correct, "
+    "round(sum((says = success)::INT) / count(*), 6) AS accuracy FROM te GROUP BY cutoff",
+)
+def walk_forward_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train and test counts and the stage baseline's accuracy at
+    every cut-off year, by running totals."""
+    return tidy(AN.walk_forward(ML.label_outcomes(startups.scored_companies(spark, sf_dir))))
+
+
+@register(
+    "roc_curve",
+    f"WITH {_HIST_CTE}, c AS (SELECT *, sum(neg) OVER w AS cn, sum(pos) OVER w AS cp, sum(neg) OVER () AS tn_all, sum(pos) OVER () AS tp_all, "
+    "lead(pos) OVER (ORDER BY score DESC) AS np, lead(neg) OVER (ORDER BY score DESC) AS nn FROM h "
+    "WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+    "SELECT round(score, 6) AS threshold, round(CAST(cn AS DOUBLE) / tn_all, 6) AS fpr, round(CAST(cp AS DOUBLE) / tp_all, 6) AS tpr "
+    "FROM c WHERE np IS NULL OR pos * nn <> np * neg",
+)
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ROC curve without collinear points."""
+    return tidy(MT.roc_curve(_pred_df(spark, sf_dir)))
+
+
+@register("company_lookup_from_store", f"WITH {O.score_ctes()}, r AS (SELECT *, row_number() OVER (ORDER BY investment_score DESC NULLS LAST, id) AS rank FROM scored), "
+          "m AS (SELECT * FROM r WHERE company = (SELECT company FROM r WHERE rank = 1) ORDER BY rank LIMIT 1) "
+          f"SELECT {_sel(_LOOKUP_KINDS)} FROM m")
+def company_lookup_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P15 on a table clustered by name: the ranked companies stored once, the
+    name of the best one looked up in them."""
+    ranked = startups.ranked_companies(spark, sf_dir)
+    stored = spark.read.parquet(CS.write_lookup_store(ranked, _scratch(spark, "by_name")))
+    name = stored.where("rank = 1").select("company").first()["company"]
+    return tidy(RK.lookup_company(stored, name))
