@@ -223,12 +223,19 @@ def class_weights(train: DataFrame, label: str = LABEL) -> tuple[dict[int, float
 class RandomFourierFeatures(Transformer):
     """z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi)
     (Rahimi & Recht, 2007): an explicit map whose inner products
-    approximate the RBF kernel exp(-gamma |x - y|^2)."""
+    approximate the RBF kernel exp(-gamma |x - y|^2). The directions of W are
+    orthogonal in blocks of the input's width, with the lengths of Gaussian
+    rows (Yu et al., 2016), which lowers the error at equal size."""
 
     def __init__(self, input_col: str, output_col: str, dim_in: int, n_components: int, gamma: float, seed: int = 42):
         super().__init__()
         rng = np.random.default_rng(seed)
-        self.w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(dim_in, n_components))
+        blocks = []
+        for at in range(0, n_components, dim_in):
+            q, r = np.linalg.qr(rng.normal(size=(dim_in, dim_in)))
+            lengths = np.sqrt(rng.chisquare(dim_in, size=dim_in))
+            blocks.append((q * np.sign(np.diag(r))) * lengths)  # columns are directions
+        self.w = math.sqrt(2.0 * gamma) * np.concatenate(blocks, axis=1)[:, :n_components]
         self.b = rng.uniform(0.0, 2.0 * math.pi, size=n_components)
         self.input_col, self.output_col = input_col, output_col
 
@@ -245,6 +252,48 @@ class RandomFourierFeatures(Transformer):
         return df.withColumn(self.output_col, array_to_vector(rff(vector_to_array(self.input_col))))
 
 
+def kernel_error(rff: RandomFourierFeatures, table: DataFrame, gamma: float, rows: int = 300, key: str = "id", seed: int = 42) -> float:
+    """The largest error of the map's inner products against the exact
+    kernel, over all pairs of the ``rows`` rows of ``table`` with the least md5(key:kernel:seed)."""
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit("kernel"), F.lit(str(seed))))
+    got = rff.transform(table.orderBy(h).limit(rows)).select(vector_to_array(rff.input_col).alias("x"), vector_to_array(rff.output_col).alias("z")).toArrow()
+    if not len(got):
+        return 0.0
+    x, z = np.array(got["x"].to_pylist()), np.array(got["z"].to_pylist())
+    square = (x * x).sum(axis=1)
+    exact = np.exp(-gamma * np.maximum(0.0, square[:, None] + square[None, :] - 2.0 * x @ x.T))
+    return float(np.abs(z @ z.T - exact).max())
+
+
+def logistic_gradient(fitted: "FittedModel", train: DataFrame) -> DataFrame:
+    """M8: (feature, coefficient, gradient): the gradient of the fitted logistic
+    model's objective at its coefficients, over all training rows, in one
+    aggregate. The objective is the weighted mean loss plus |beta|^2 / (2 n); it is
+    strictly convex in beta, so a gradient near 0 certifies the optimum.
+
+    A row contributes weight * (probability - label) * value for its
+    entries that are not zero; sums are combined before the shuffle.
+    """
+    weights, n = class_weights(train)
+    x = fitted.scaler.transform(fitted.features.transform(train))
+    names = feature_names(x)
+    scored = fitted.model.transform(x).withColumn("__p", vector_to_array("probability")[1])
+    weight = F.when(F.col(LABEL) == 1, weights[1]).otherwise(weights[0]).cast("double")
+    v = F.unwrap_udt("scaled")
+    entries = F.when(v["type"] == 0, F.arrays_zip(v["indices"].alias("pos"), v["values"].alias("value"))).otherwise(
+        F.transform(v["values"], lambda e, i: F.struct(i.alias("pos"), e.alias("value")))
+    )
+    entries = F.array_append(entries, F.struct(F.lit(len(names)).alias("pos"), F.lit(1.0).alias("value")))
+    long = scored.select(weight.alias("w"), (weight * (F.col("__p") - F.col(LABEL))).alias("r"), F.inline(entries).alias("pos", "value"))
+    sums = long.groupBy("pos").agg(F.sum(F.col("r") * F.col("value")).alias("s"))
+    beta = [*zip(names, fitted.model.coefficients.toArray().tolist()), ("intercept", float(fitted.model.intercept))]
+    known = train.sparkSession.createDataFrame([(i, f, c) for i, (f, c) in enumerate(beta)], "pos int, feature string, coefficient double")
+    ridge = F.when(F.col("pos") < len(names), F.col("coefficient") / float(n)).otherwise(0.0)
+    out = known.join(sums, "pos", "left")
+    # the weights of a balanced fit sum to n
+    return out.select("feature", "coefficient", (F.coalesce("s", F.lit(0.0)) / float(n) + ridge).alias("gradient"))
+
+
 @dataclass
 class FittedModel:
     name: str
@@ -316,7 +365,7 @@ def fit_model(name: str, train: DataFrame, seed: int = 42, drop_first: bool = Fa
     xs = scaler.transform(x).withColumn("class_weight", weight)
     if name == "Logistic Regression":
         lr = LogisticRegression(labelCol=LABEL, featuresCol="scaled", weightCol="class_weight", maxIter=1000, regParam=1.0 / n,
-                                elasticNetParam=0.0, standardization=False)
+                                elasticNetParam=0.0, standardization=False, tol=1e-10)
         model, sec = _timed(lr, xs)
         return FittedModel(name, feats, scaler, model, fit_seconds=sec)
     if name == "Support Vector Machine":

@@ -1540,3 +1540,21 @@ def company_lookup_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spark.read.parquet(CS.write_lookup_store(ranked, _scratch(spark, "by_name")))
     name = stored.where("rank = 1").select("company").first()["company"]
     return tidy(RK.lookup_company(stored, name))
+
+
+#: A gradient entry of the logistic fit is the optimum's if it is no larger than this.
+OPTIMALITY = 1e-5
+
+
+@register(
+    "logistic_optimality",
+    f"WITH {_SPLIT_CTE}, f AS (" + " UNION ALL ".join([f"SELECT {O.q(c)} AS feature" for c in [*_P.NUMERIC_FEATURES, "intercept"]]
+    + [f"SELECT DISTINCT '{c}_' || {c} FROM s WHERE NOT is_test AND {c} IS NOT NULL" for c in _P.CATEGORICAL_FEATURES])
+    + ") SELECT feature, 'true' AS optimal FROM f",
+)
+def logistic_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: per coefficient of the balanced logistic model, whether the
+    training objective's gradient vanishes there (all do at the optimum)."""
+    train = materialize(_labelled(spark, sf_dir).where(~ML.split_column("id", 42, 0.2)), "train")
+    gradient = ML.logistic_gradient(ML.fit_model("Logistic Regression", train), train)
+    return gradient.select("feature", (F.abs("gradient") <= OPTIMALITY).cast("string").alias("optimal"))

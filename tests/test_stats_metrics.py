@@ -2,12 +2,15 @@
 against brute force."""
 
 import itertools
+import math
 import random
 
 import numpy as np
 import pytest
 
-from startlens.functions.distributions import betainc_regularized, chi2_1df_p, t_two_sided_p
+from pyspark.sql import functions as F
+
+from startlens.functions.distributions import chi2_p_value, log_gamma_half_ratio, t_test_p_value
 from startlens.operators import metrics, missing
 from startlens.operators.stats import exact_percentiles, prefix_sums
 
@@ -59,13 +62,37 @@ def test_binary_metrics_zero_division(spark):
     assert r.accuracy == pytest.approx(2 / 3)
 
 
-def test_t_tail_and_chi2_tail():
-    # published t statistic and degrees of freedom of the missing-investor test
-    assert t_two_sided_p(-14.398, 27872) == pytest.approx(7.85e-47, rel=0.01)
-    assert t_two_sided_p(2.0, 10) == pytest.approx(0.07338803477074045, rel=1e-9)
-    assert t_two_sided_p(0.0, 5) == pytest.approx(1.0)
-    assert chi2_1df_p(3.841458820694124) == pytest.approx(0.05, rel=1e-9)
-    assert betainc_regularized(2.0, 3.0, 0.4) == pytest.approx(0.5248, abs=1e-12)
+def simpson(f, lo, hi, n=4000):
+    h = (hi - lo) / n
+    return h / 3 * sum((1 if k in (0, n) else 4 if k % 2 else 2) * f(lo + k * h) for k in range(n + 1))
+
+
+def t_tail(t, dof):
+    """Two-sided tail by quadrature of the density."""
+    c = math.exp(math.lgamma((dof + 1) / 2) - math.lgamma(dof / 2)) / math.sqrt(dof * math.pi)
+    return 1.0 - 2.0 * simpson(lambda u: c * (1 + u * u / dof) ** (-(dof + 1) / 2), 0.0, abs(t))
+
+
+def test_t_tail_and_chi2_tail(spark):
+    cases = [(t, dof) for t in (0.0, 0.01, 0.5, 1.0, 1.96, -3.5, 6.0) for dof in (1.0, 2.0, 3.5, 10.0, 97.0, 1200.0)]
+    # published t statistic and degrees of freedom of the missing-investor test; limits; no test
+    cases += [(-14.398, 27872.0), (float("inf"), 5.0), (None, 5.0), (2.0, 0.0), (2.0, None), (float("nan"), 4.0), (1.96, 1e9)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t double, dof double")
+    got = {r["i"]: r["p"] for r in df.select("i", t_test_p_value(F.col("t"), F.col("dof")).alias("p")).collect()}
+    for i, (t, dof) in enumerate(cases[:42]):
+        assert got[i] == pytest.approx(t_tail(t, dof), rel=1e-6, abs=1e-9), (t, dof)
+    assert got[42] == pytest.approx(7.85e-47, rel=0.01) and got[43] == 0.0
+    assert [got[i] for i in range(44, 48)] == [None] * 4
+    assert got[48] == pytest.approx(math.erfc(1.96 / math.sqrt(2)), rel=1e-7)  # the normal limit
+    xs = [0.0, 1e-9, 0.1, 1.0, 3.841458820694124, 3.999, 4.001, 10.0, 100.0, 1000.0, float("inf")]
+    df = spark.createDataFrame([(x, k) for x in xs for k in (0, 1, None)], "x double, k int")
+    for r in df.select("*", chi2_p_value(F.col("x"), F.col("k")).alias("p")).collect():
+        want = None if r["k"] is None else 1.0 if r["k"] == 0 else math.erfc(math.sqrt(r["x"] / 2))
+        assert r["p"] == (None if want is None else pytest.approx(want, rel=1e-11)), r
+    df = spark.createDataFrame([(0.5,), (1.0,), (7.25,), (500.0,)], "a double")
+    for r in df.select("a", log_gamma_half_ratio(F.col("a")).alias("g")).collect():
+        assert r["g"] == pytest.approx(math.lgamma(r["a"] + 0.5) - math.lgamma(r["a"]), rel=1e-11, abs=1e-13)
+    assert "Python" not in df.select(t_test_p_value(F.col("a"), F.col("a")), chi2_p_value(F.col("a"), F.col("a")))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_pooled_t_and_yates_chi2_against_brute_force(spark):
@@ -94,7 +121,7 @@ def test_pooled_t_and_yates_chi2_against_brute_force(spark):
     chi2 = ((corr - exp) ** 2 / exp).sum()
     got = missing.chi_square_test(df).first()
     assert got.chi2 == pytest.approx(chi2, rel=1e-12)
-    assert got.p_value == pytest.approx(chi2_1df_p(chi2))
+    assert got.p_value == pytest.approx(math.erfc(math.sqrt(chi2 / 2)))
 
 
 def test_bounded_grid_percentiles_equal_general_path(spark):
@@ -106,3 +133,23 @@ def test_bounded_grid_percentiles_equal_general_path(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert a[k] == pytest.approx(b[k], rel=1e-12)
+
+
+def test_roc_curve_keeps_the_area_and_every_bend(spark):
+    rnd = random.Random(6)
+    rows = [(int(rnd.random() < s / 40), s / 40) for s in (rnd.randrange(41) for _ in range(600))] + [(1, 1.5)] * 3 + [(1, 1.6), (0, -1.0), (0, -2.0), (0, None)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    every = sorted((r["fpr"], r["tpr"]) for r in metrics.roc_points(df).collect())
+    few = sorted((r["fpr"], r["tpr"]) for r in metrics.roc_curve(df).collect())
+
+    def area(points):
+        points = [(0.0, 0.0), *points]
+        return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+
+    assert set(few) < set(every) and few[-1] == (1.0, 1.0)
+    assert area(few) == pytest.approx(area(every)) == pytest.approx(metrics.roc_auc(df).first()["roc_auc"])
+    n1, n0 = sum(r[0] for r in rows if r[1] is not None), sum(1 - r[0] for r in rows if r[1] is not None)
+    whole = [(0, 0)] + [(round(a * n0), round(b * n1)) for a, b in few]
+    for a, b, c in zip(whole, whole[1:], whole[2:]):
+        assert (b[0] - a[0]) * (c[1] - b[1]) != (c[0] - b[0]) * (b[1] - a[1])
+    assert metrics.roc_curve(df.where("false")).collect() == []
