@@ -42,3 +42,17 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         seen = tuple(now)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def same_id_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join the nodes of each id; members: (id, node)."""
+    spans = members.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
+    return members.join(spans, "id").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+
+
+def least_ids(members: DataFrame, components: DataFrame) -> DataFrame:
+    """(id, component_id): the least id of each id's component; a node without
+    links is a component of its own. All nodes of an id must be in one component."""
+    of = members.join(components, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min("id").alias("component_id"))
+    return of.join(least, "component").groupBy("id").agg(F.min("component_id").alias("component_id"))

@@ -22,7 +22,8 @@ r``. Equal vectors of a label form one class with a multiplicity.
 A vector links with nothing if its label or vector is null, empty, zero or
 holds a null or a non-finite component; vectors of different lengths never
 link. Rows that share a vec_id are one node of the components; each is
-counted as a vector of its own. A row without a vec_id links with nothing.
+counted as a vector of its own, with the links of its own vector. A row without a
+vec_id (or with one that is no whole number) links with nothing.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from startlens.llm.graph import connected_components
+from startlens.llm.graph import connected_components, least_ids, same_id_links
 from startlens.session import materialize
 
 #: Added to bounds, so that rounding of distances never loses a copy.
@@ -112,10 +113,12 @@ def range_join(
     rows = rows.withColumn("v", F.when(F.col("usable"), F.transform("v", lambda x: x + F.lit(0.0))))
     rows = materialize(rows.withColumn("key", F.when(F.col("usable"), F.sha2(F.to_json(F.struct("label", "v")).cast("binary"), 256))), "vectors")
     classes = rows.where("usable").groupBy("key").agg(
-        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")
+        F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")
     )
-    # vectors of another length are another space
-    classes = classes.select("key", "id", "copies", F.struct("label", F.size("v").alias("size")).alias("space"), "v")
+    # vectors of another length are another space; ids can repeat on other vectors, so a class goes by
+    # a number, which storing the table fixes
+    number = F.monotonically_increasing_id().alias("id")
+    classes = classes.select("key", number, "copies", F.struct("label", F.size("v").alias("size")).alias("space"), "v")
     classes = materialize(classes, "vector_classes")
 
     spaces = classes.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
@@ -185,11 +188,12 @@ def range_join(
 
     found = materialize(tasks.groupBy("space", "cell", "i", "j").applyInArrow(compare, "a long, n long, b long"), "vector_links")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
-    comps = connected_components(found).withColumnRenamed("node", "rep")
-    named = classes.select(F.col("key").alias("k"), F.col("id").alias("rep"), "copies")
-    named = named.join(counts, "rep", "left").join(comps, "rep", "left").drop_duplicates(["k"])
-    out = rows.select("id", "key").join(named, F.col("key") == F.col("k"), "left")
-    component = F.coalesce("component", "rep", "id")
+    named = classes.select(F.col("key").alias("k"), F.col("id").alias("rep"), "copies").join(counts, "rep", "left")
+    out = materialize(rows.select("id", "key").join(named, F.col("key") == F.col("k"), "left"), "counted")
+    members = out.where("rep is not null").select("id", F.col("rep").alias("node")).distinct()
+    comps = connected_components(found.select("a", "b").unionByName(same_id_links(members)))
+    out = out.join(least_ids(members, comps).withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left")
+    component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias("vec_id"),
         (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),

@@ -2,7 +2,7 @@
 
 1. Each text's set of distinct ``width``-word shingles gets a signature of
    ``coords`` minima under independent 64-bit hashes. Rows with the same word
-   sequence form one class, stood for by its least doc_id.
+   sequence form one class, which has a number of its own.
 2. Classes are posted under each (coordinate, value) pair; a keyed count
    with map-side combine gives every pair's frequency. Two sets that agree
    in ``threshold`` of the coordinates share one of the ``coords -
@@ -28,8 +28,9 @@ the method's only chance of losing a link, and no list or group is capped.
 Sets are compared by 64-bit shingle hashes.
 
 A null or empty text, or one without words, has an empty set and links with
-nothing. Rows that share a doc_id are one node. A row without a doc_id links
-with nothing and is kept.
+nothing. Rows that share a doc_id are one document: all links of their texts
+are its own, and they get one component. A row without a doc_id (or with one
+that is no whole number) links with nothing and is kept.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from startlens.llm.graph import connected_components
+from startlens.llm.graph import connected_components, least_ids, same_id_links
 from startlens.llm.text import small_batches, words
 from startlens.session import materialize
 
@@ -193,7 +194,7 @@ def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    width: int = 2,
+    width: int = 5,
     min_percent: int = 80,
     coords: int = 64,
     threshold: int = 32,
@@ -207,9 +208,12 @@ def near_duplicates(
     base = materialize(_sets(texts, width, mul, mask), "signatures")
     linkable = base.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     classes = linkable.groupBy("key").agg(F.min("doc").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = linkable.join(classes.select(F.col("key").alias("k"), "rep"), (F.col("key") == F.col("k")) & (F.col("doc") == F.col("rep")))
-    reps = materialize(reps.select("doc", "n", "key", "data").dropDuplicates(["doc"]), "representatives")
+    # ids can repeat on other texts, so a class goes by a number; the table is stored, which fixes the numbers
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = linkable.withColumnRenamed("doc", "own").join(classes.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("own") == F.col("rep")))
+    reps = materialize(reps.select(F.col("node").alias("doc"), "rep", "n", "key", "data").dropDuplicates(["doc"]), "representatives")
+    members = linkable.select(F.col("doc").alias("id"), F.col("key").alias("k")).join(classes.select("key", "node"), F.col("k") == F.col("key"))
+    members = materialize(members.select("id", "node").distinct(), "members")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,12 +247,12 @@ def near_duplicates(
     pairs = materialize(pairs.where(F.col("same") >= threshold).select("a", "b", "na", "nb"), "candidates")
 
     asked = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).unionByName(long_.select(F.col("doc").alias("w")))
-    asked = asked.distinct().join(reps.select(F.col("doc").alias("w"), F.col("key").alias("k")), "w").hint("shuffle_hash")
-    wanted = texts.join(asked, F.col("doc") == F.col("w"))
-    sets = _sets(wanted.select("doc", "text"), width, None, None).select("doc", "key", F.col("data").alias("set"))
-    sets = sets.join(reps.select(F.col("doc").alias("w"), F.col("key").alias("k")), (F.col("doc") == F.col("w")) & (F.col("key") == F.col("k")))
+    asked = asked.distinct().join(reps.select(F.col("doc").alias("w"), "rep"), "w").select("rep").distinct().hint("shuffle_hash")
+    wanted = texts.join(asked, F.col("doc") == F.col("rep"))
+    sets = _sets(wanted.select("doc", "text"), width, None, None).select(F.col("doc").alias("own"), F.col("key").alias("k"), F.col("data").alias("set"))
+    sets = sets.join(reps.select("doc", "rep", "key"), (F.col("own") == F.col("rep")) & (F.col("k") == F.col("key")))
     sets = materialize(sets.select("doc", "set").dropDuplicates(["doc"]), "sets")
-    links = materialize(_confirmed(pairs, sets, min_percent), "links")
+    links = materialize(_confirmed(pairs, sets, min_percent).unionByName(same_id_links(members)), "links")
     comps = connected_components(links)
 
     if not long_.isEmpty():
@@ -273,12 +277,8 @@ def near_duplicates(
         if not more.isEmpty():
             comps = connected_components(links.unionByName(more))
 
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("key").alias("k"), F.coalesce("component", "rep").alias("component")
-    )
-    usable = F.col("doc").isNotNull() & (F.col("n") > 0)
-    out = base.select("doc", "n", "key").join(named, usable & (F.col("key") == F.col("k")), "left")
-    component = F.coalesce("component", "doc")
+    out = base.select("doc", "n").join(least_ids(members, comps), F.col("doc") == F.col("id"), "left")
+    component = F.coalesce("component_id", "doc")
     return out.select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),

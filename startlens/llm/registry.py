@@ -72,7 +72,7 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents over 2-word shingles."""
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), width=2)
 
 
 OP4_SQL = r"""

@@ -63,12 +63,14 @@ def test_minimal_perfect_hash_refuses_equal_keys():
         line_dedup.build_mph(np.ones((2, 2), np.uint64))
 
 
-def near_reference(rows):
+def near_reference(rows, width=2):
+    def shingles(text):
+        w = data.words(text)
+        return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
     sets = {}
     for r in rows:
-        w = data.words(r[1])
-        s = set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
-        sets.setdefault(r[0], []).append(s)
+        sets.setdefault(r[0], []).append(shingles(r[1]))
     links = []
     ids = [i for i in sets if i is not None]
     for a in ids:
@@ -81,16 +83,26 @@ def near_reference(rows):
     comp = data.components(ids, links)
     out = []
     for r in rows:
-        w = data.words(r[1])
         c = comp.get(r[0])
-        out.append((r[0], len(set(zip(w, w[1:]))) if len(w) > 1 else len(w), c, c == r[0]))
+        out.append((r[0], len(shingles(r[1])), c, c == r[0] or r[0] is None))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rows", [data.edge_rows(), data.documents(3), []], ids=["edge", "random", "none"])
-def test_near_duplicates_equal_plain_version(spark, rows):
-    got = minhash.near_duplicates(data.docs_frame(spark, rows)).collect()
-    assert sorted([tuple(r) for r in got], key=str) == near_reference(rows)
+def repeated_ids():
+    """Ids that stand on several texts: (1, A) and (1, B), with a near copy of each under its own id."""
+    rng = random.Random(12)
+    a, b, c = (data.sentence(rng, 40) for _ in range(3))
+    rows = [(1, a, "en", "a", 1), (1, b, "en", "a", 1), (2, a + " x", "en", "a", 1), (3, b + " y", "en", "a", 1), (4, "", "en", "a", 1), (4, c, "en", "a", 1)]
+    return rows + [(0, c + " z", "en", "a", 1), (5, c + " q", "en", "a", 1), (5, "alone", "en", "a", 1), (6, a, "en", "a", 1), (7, None, "en", "a", 1)]
+
+
+@pytest.mark.parametrize("width", [2, 5])
+@pytest.mark.parametrize("rows", [data.edge_rows(), data.documents(3), repeated_ids(), []], ids=["edge", "random", "repeated", "none"])
+def test_near_duplicates_equal_plain_version(spark, rows, width):
+    got = minhash.near_duplicates(data.docs_frame(spark, rows), width=width).collect()
+    assert sorted([tuple(r) for r in got], key=str) == near_reference(rows, width)
+    if len(rows) == len(repeated_ids()):
+        assert {r["component_id"] for r in got} == {0, 1, 7}
 
 
 def test_near_duplicates_long_lists(spark):
@@ -104,7 +116,7 @@ def test_near_duplicates_long_lists(spark):
             w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
         rows.append((i, " ".join(w), "en", "a", 1))
     rows += [(1000 + i, passage + " " + data.sentence(rng, rng.randrange(5, 40)), "en", "a", 1) for i in range(60)]
-    got = minhash.near_duplicates(data.docs_frame(spark, rows), long_list=8, block=16).collect()
+    got = minhash.near_duplicates(data.docs_frame(spark, rows), width=2, long_list=8, block=16).collect()
     assert sorted([tuple(r) for r in got], key=str) == near_reference(rows)
 
 
@@ -172,6 +184,13 @@ def test_vectors_edge_cases(spark):
     assert {r[0]: r[2:] for r in want} == {k: v[2:] for k, v in by.items() if k not in (13, 14)}
 
 
+def test_vectors_of_one_id_keep_their_own_links(spark):
+    rows = [(5, [1.0, 0.0], 1, None), (5, [0.0, 1.0], 1, None), (6, [1.0, 0.01], 1, None), (7, [0.01, 1.0], 1, None), (8, [-1.0, 0.0], 1, None), (8, [-1.0, 0.01], 1, None)]
+    got = sorted(tuple(r) for r in metric_join.range_join(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == sorted(vector_reference(rows))
+    assert [r[1] for r in got] == [1, 1, 1, 1, 1, 1] and {r[2] for r in got} == {5, 8}
+
+
 def test_vectors_equal_plain_version(spark):
     rng = random.Random(4)
     rows, centre = [], [rng.gauss(0, 1) for _ in range(8)]
@@ -179,6 +198,8 @@ def test_vectors_equal_plain_version(spark):
         spread = 0.15 if i % 3 else 1.0
         rows.append((i, [c + rng.gauss(0, spread) for c in centre], i % 2, None))
     rows += [(200 + i, rows[0][1], 0, None) for i in range(5)]
+    # ids that stand on several vectors, equal, near and far
+    rows += [(3, rows[40][1], 0, None), (3, rows[3][1], 1, None), (7, [-x for x in centre], 0, None), (7, [1.01 * x for x in centre], 0, None)]
     frame = spark.createDataFrame(rows, VECTORS)
     got = metric_join.range_join(frame, cell=10, block=7).collect()
     assert sorted([tuple(r) for r in got], key=str) == vector_reference(rows)
