@@ -12,6 +12,15 @@ checked. A batch is scored as sparse counts times that matrix in numpy.
 A text that is null or has no letter is ``und`` with score 0; so is every
 text if nothing could be learned. Ties go to the first label in code-point
 order.
+
+The posterior only says which label is best. ``fit`` says whether the text is
+like that label at all: its mean log-probability per n-gram, less that of the
+label's training n-grams, in standard deviations of these (both moments follow from the
+training counts of all labelled rows). It is near 0 for a text of the
+language and falls far below for other languages or random letters; null for ``und``.
+
+Every label's log-probabilities are broadcast; labels that need more than
+``MAX_MATRIX_BYTES`` (2,048 at the default width) raise a ValueError.
 """
 
 from __future__ import annotations
@@ -71,12 +80,20 @@ class LanguageModel:
 
     def __init__(self, labels: list[str], log_prob: np.ndarray, log_prior: np.ndarray):
         self.labels, self.log_prob, self.log_prior = labels, log_prob, log_prior
+        # moments of a label's log-probability over its own n-grams
+        share = np.exp(log_prob)
+        self.mean = (share * log_prob).sum(axis=1)
+        self.spread = np.sqrt(np.maximum((share * log_prob**2).sum(axis=1) - self.mean**2, 1e-12))
 
     def score(self, texts: list[str | None], letters: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Best label and its posterior per text."""
+        return self.score_and_fit(texts, letters)[:2]
+
+    def score_and_fit(self, texts: list[str | None], letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Best label, its posterior and its fit (NaN without one) per text."""
         best, score = ["und"] * len(texts), np.zeros(len(texts))
         if not self.labels:
-            return best, score
+            return best, score, np.full(len(texts), np.nan)
         buckets = self.log_prob.shape[1]
         doc, gram = gram_buckets(texts, letters, buckets)
         total = np.tile(self.log_prior, (len(texts), 1))
@@ -93,10 +110,13 @@ class LanguageModel:
             part = counts[cells][:, None] * self.log_prob.T[col]
             first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
             total[lo + row[first]] += np.add.reduceat(part, first, axis=0)
-        has = np.bincount(doc, minlength=len(texts)) > 0
+        grams = np.bincount(doc, minlength=len(texts))
+        has = grams > 0
         top = total.argmax(axis=1)
         post = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.labels[k] if ok else "und" for k, ok in zip(top, has)], np.where(has, post, 0.0)
+        own = total[np.arange(len(texts)), top] - self.log_prior[top]
+        fit = np.where(has, (own / np.maximum(grams, 1) - self.mean[top]) / self.spread[top], np.nan)
+        return [self.labels[k] if ok else "und" for k, ok in zip(top, has)], np.where(has, post, 0.0), fit
 
 
 def train(
@@ -150,19 +170,22 @@ def train(
 
 
 def predict(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
-    """struct(lang_pred, score) of a text column."""
+    """struct(lang_pred, score, fit) of a text column."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,fit:double>")
     def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters, own = letter_table(), shared.value
         for b in batches:
-            langs, scores = [], [np.zeros(0)]
+            langs, scores, fits = [], [np.zeros(0)], [np.zeros(0)]
             for part in slices(b.to_pylist(), SLICE):
-                lang, score = own.score(part, letters)
+                lang, score, fit = own.score_and_fit(part, letters)
                 langs += lang
                 scores.append(score)
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
+                fits.append(fit)
+            fit = np.concatenate(fits)
+            columns = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores)), pa.array(fit, mask=np.isnan(fit))]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "fit"])
 
     return identify(text)

@@ -188,8 +188,8 @@ def dedup_lines(
 
     A key found in two documents or more stays only in the least doc_id that
     holds it (with all its lines there). ``kept_text`` is null for a null
-    text and empty if every line goes. Other columns pass through; columns of
-    ``docs`` by these three names are replaced.
+    text and empty if every line goes. Other columns pass through, whatever
+    their names; columns of ``docs`` by these three names are replaced.
     """
     drops = shared_lines(docs, id_col, text_col, min_chars, shard_keys)
 
@@ -211,12 +211,14 @@ def dedup_lines(
             )
 
     names = [prefix + c for c in ("kept_text", "n_lines", "n_dropped")]
-    own = docs.drop(*names)
-    drops = drops.select(F.col("doc").alias("__doc"), F.col("drop").alias("__drop")).hint("shuffle_hash")
-    joined = own.join(drops, F.col(id_col) == F.col("__doc"), "left").withColumn("__r", rewrite(F.col(text_col), F.col("__drop")))
+    # the user's columns go as one struct, so that none has the name of one made here
+    kept = [c for c in docs.columns if c.lower() not in [n.lower() for n in names] or c in (id_col, text_col)]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    joined = own.join(drops.hint("shuffle_hash"), F.col("id") == F.col("doc"), "left")
+    joined = joined.select("row", rewrite(F.col("row").getField(text_col), F.col("drop")).alias("r"))
     return joined.select(
-        *[F.col(f"`{c}`") for c in own.columns],
-        *[F.col(f"__r.{c}").alias(name) for c, name in zip(("kept", "n_lines", "n_dropped"), names)],
+        *[F.col("row").getField(c).alias(c) for c in kept if c not in names],
+        *[F.col(f"r.{c}").alias(name) for c, name in zip(("kept", "n_lines", "n_dropped"), names)],
     )
 
 

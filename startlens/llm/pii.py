@@ -271,9 +271,18 @@ def find_spans(
     min_precision: float = 0.99,
 ) -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans``: array<struct<start, kind,
-    end>> in order, kind a place in ``KINDS``, offsets in code points."""
-    model = fit(docs, text_col, id_col, max_fit, trees, depth, min_precision)
-    out = proposals(docs, text_col, "__p")
+    end>> in order, kind a place in ``KINDS``, offsets in code points. Other
+    columns pass through, whatever their names; columns by these two names are
+    replaced. Added spans overlap no base span; two added ones of different
+    kinds may overlap each other, and both stay."""
+    kept = [c for c in docs.columns if c.lower() not in ("base_spans", "spans")]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = _found_spans(docs, fit(docs, "text", "id", max_fit, trees, depth, min_precision))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], "base_spans", "spans")
+
+
+def _found_spans(docs: DataFrame, model: SpanModel | None) -> DataFrame:
+    out = proposals(docs, "text", "__p")
     plain = lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))
     out = out.withColumn("base_spans", F.array_sort(F.transform(F.filter("__p", lambda p: p["base"]), plain)))
     if model is None:
