@@ -8,7 +8,11 @@ All work on texts is DataFrame expressions; no Python runs on executors.
    with other separators, national telephone forms and plain numbers.
    Offsets come from splitting a text at the matches and summing lengths.
 2. Strict checks (octets up to 255, the Luhn sum, digit counts) accept the
-   base spans, which always stay.
+   base spans, which always stay. All e-mail addresses are base spans; as
+   examples they count as accepted if their ending (the last part, letters only)
+   is one that at least 1 % of the corpus's addresses have, else as refused.
+   Handles (``name@word``) and spelled-out addresses with another ending are refused
+   too, and never added.
 3. Gradient-boosted trees (MLlib) learn from proposals of those generators
    that have a strict check, accepted against refused, over features of the
    span's body and of its context. They see at most ``max_fit`` proposals, as
@@ -59,13 +63,14 @@ GENERATORS = {
         r"[\[(]at[\])]",
         False,
     ),
+    "handle": (0, rf"(?<!{_LOCAL}){_LOCAL}*+@{_HOST}++(?!\.{_HOST})", "@", True),
     "parted_card": (2, r"(?<![0-9./_])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9./_])", "[0-9]", False),
     "national_phone": (3, r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", "[0-9]", False),
     "number": (3, r"(?<![0-9A-Za-z.+])[0-9]++(?:[.,:/-][0-9]++)++(?![0-9A-Za-z])", "[0-9]", False),
 }
 FEATURES = (
     "kind", "chars", "digits", "groups", "longest", "spaces", "dots", "dashes", "parens", "luhn", "low_octets", "letters",
-    "letter_before", "letter_after", "cue",
+    "letter_before", "letter_after", "cue", "ending",
 )
 CUES = r"(?i)(?:mail|contact|phone|tel|call|mobile|fax|card|visa|pay|account|server|host|address|ip)[^A-Za-z0-9]{0,4}(?:is|no|at)?[^A-Za-z0-9]{0,3}$"
 
@@ -129,7 +134,23 @@ def _count(value: Column, chars: str) -> Column:
     return F.length(value) - F.length(F.regexp_replace(value, chars, ""))
 
 
-def _features(generator: str, s: Column) -> Column:
+def common_endings(docs: DataFrame, text_col: str) -> list[str]:
+    """Lower-case last parts that at least 1 % of all addresses end in, of two
+    letters or more: at most 100, whatever the corpus."""
+    found = F.regexp_extract_all(F.col(text_col), F.lit(GENERATORS["email"][1]), F.lit(0))
+    ends = docs.where(F.contains(F.col(text_col), F.lit("@"))).select(F.explode(found).alias("a"))
+    ends = ends.groupBy(_last_part(F.col("a")).alias("end")).agg(F.count(F.lit(1)).alias("n"))
+    ends = materialize(ends, "endings")
+    total = ends.agg(F.sum("n")).scalar()
+    common = ends.where((F.col("n") * 100 >= total) & F.col("end").rlike("^[a-z]{2,24}$"))
+    return sorted(r["end"] for r in common.select("end").collect())
+
+
+def _last_part(value: Column) -> Column:
+    return F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
+
+
+def _features(generator: str, s: Column, endings: list[str]) -> Column:
     """Features of a span's body (without a leading +) and its context."""
     body = F.ltrim(s["value"], F.lit("+"))
     digits = F.length(_digits(body))
@@ -151,15 +172,32 @@ def _features(generator: str, s: Column) -> Column:
         "letter_before": flag(s["left"].rlike(r"\p{L}$")),
         "letter_after": flag(s["right"].rlike(r"\p{L}")),
         "cue": flag(s["left"].rlike(CUES)),
+        "ending": flag(_plausible(generator, s["value"], endings)),
     }
     return F.struct(*[values[f].cast("double").alias(f) for f in FEATURES])
 
 
-def _proposals(text: Column) -> Column:
+def _plausible(generator: str, value: Column, endings: list[str]) -> Column:
+    return _last_part(value).isin(*endings) if GENERATORS[generator][0] == 0 and generator != "handle" and endings else F.lit(False)
+
+
+def _proposals(endings: list[str]) -> Column:
     """All proposals of all generators, with kind, strict result and features."""
 
     def of(generator: str) -> Column:
         kind, _, _, checked = GENERATORS[generator]
+
+        def label(s: Column) -> Column:
+            """What the proposal teaches: accepted or refused."""
+            return _plausible(generator, s["value"], endings) if kind == 0 else _strict(generator, s["value"])
+
+        def teaches(s: Column) -> Column:
+            # plain numbers teach what is no telephone number
+            return ~label(s) if generator == "spelled_email" else F.lit(checked or generator == "number")
+
+        def offered(s: Column) -> Column:
+            return label(s) if generator == "spelled_email" else F.lit(generator not in ("number", "handle"))
+
         return F.transform(
             F.col(f"__{generator}"),
             lambda s: F.struct(
@@ -168,20 +206,20 @@ def _proposals(text: Column) -> Column:
                 F.lit(list(GENERATORS).index(generator)).alias("generator"),
                 s["end"].alias("end"),
                 _strict(generator, s["value"]).alias("base"),
-                # plain numbers teach what is no telephone number
-                F.lit(checked or generator == "number").alias("checked"),
-                F.lit(generator != "number").alias("offered"),
-                _features(generator, s).alias("f"),
+                label(s).alias("label"),
+                teaches(s).alias("checked"),
+                offered(s).alias("offered"),
+                _features(generator, s, endings).alias("f"),
             ),
         )
 
     return F.concat(*[of(g) for g in GENERATORS])
 
 
-def proposals(docs: DataFrame, text_col: str, out_col: str) -> DataFrame:
+def proposals(docs: DataFrame, text_col: str, out_col: str, endings: list[str]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.withColumns({f"__{g}": _spans(text, g) for g in GENERATORS})
-    return docs.withColumn(out_col, _proposals(text)).drop(*[f"__{g}" for g in GENERATORS])
+    return docs.withColumn(out_col, _proposals(endings)).drop(*[f"__{g}" for g in GENERATORS])
 
 
 # ---- boosted trees --------------------------------------------------------
@@ -199,10 +237,10 @@ def _tree(lines: list[str], f: Column) -> Column:
 
 
 class SpanModel:
-    """Trees as text, their weights and the kinds' thresholds."""
+    """Trees as text, their weights, the kinds' thresholds and the common endings."""
 
-    def __init__(self, trees: list[tuple[float, str]], thresholds: list[float | None]):
-        self.trees, self.thresholds = trees, thresholds
+    def __init__(self, trees: list[tuple[float, str]], thresholds: list[float | None], endings: list[str]):
+        self.trees, self.thresholds, self.endings = trees, thresholds, endings
 
     def score(self, f: Column) -> Column:
         sums = [F.lit(w) * _tree([x for x in t.splitlines() if x.strip()][1:], f) for w, t in self.trees]
@@ -211,9 +249,10 @@ class SpanModel:
 
 def fit(docs: DataFrame, text_col: str, id_col: str, max_fit: int, trees: int, depth: int, min_precision: float) -> SpanModel | None:
     """None if the corpus has no accepted or no refused proposals to learn from."""
-    found = proposals(docs.select(id_col, text_col), text_col, "__p").select(id_col, F.explode("__p").alias("p")).where("p.checked")
+    endings = common_endings(docs, text_col)
+    found = proposals(docs.select(id_col, text_col), text_col, "__p", endings).select(id_col, F.explode("__p").alias("p")).where("p.checked")
     order = F.xxhash64(F.col(id_col), "p.start", "p.kind")
-    found = materialize(found.select("p.f", F.col("p.base").cast("double").alias("label"), "p.kind", "p.generator", order.alias("h")), "proposals")
+    found = materialize(found.select("p.f", F.col("p.label").cast("double").alias("label"), "p.kind", "p.generator", order.alias("h")), "proposals")
     sizes = {(r["generator"], r["label"]): r["count"] for r in found.groupBy("generator", "label").count().collect()}
     if len({label for _, label in sizes}) < 2:
         return None
@@ -238,7 +277,7 @@ def fit(docs: DataFrame, text_col: str, id_col: str, max_fit: int, trees: int, d
     if learn.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, subsamplingRate=1.0).fit(learn)
-    fitted = SpanModel(list(zip(model.treeWeights, [t.toDebugString for t in model.trees])), [])
+    fitted = SpanModel(list(zip(model.treeWeights, [t.toDebugString for t in model.trees])), [], endings)
     # trees of bounded depth have a bounded number of scores
     scored = found.select("kind", "generator", "label", learned.alias("learned"), fitted.score(F.col("f")).alias("score"))
     counts = scored.groupBy("kind", "generator", "label", "learned", "score").count().collect()
@@ -282,7 +321,7 @@ def find_spans(
 
 
 def _found_spans(docs: DataFrame, model: SpanModel | None) -> DataFrame:
-    out = proposals(docs, "text", "__p")
+    out = proposals(docs, "text", "__p", model.endings if model else [])
     plain = lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))
     out = out.withColumn("base_spans", F.array_sort(F.transform(F.filter("__p", lambda p: p["base"]), plain)))
     if model is None:

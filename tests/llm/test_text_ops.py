@@ -1,6 +1,7 @@
 """Decontamination (7), source mixing (8), personal data (10)."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -253,3 +254,89 @@ def test_rare_kind_among_many_numbers_keeps_its_threshold(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = pii.find_spans(df, max_fit=200).where("doc_id = 6000").select(pii.joined(F.col("spans")).alias("s")).first()
     assert got["s"] == "email:9:32"
+
+
+def ordinary_texts():
+    rng = random.Random(5)
+    rows = [(i, f"{data.sentence(rng, 20)} mail me{i}@x{i}.org or you@y{i}.com {data.sentence(rng, 5)}") for i in range(300)]
+    rows += [(400 + i, f"ask @anna{i} or user{i}@localhost and 3@{i}") for i in range(30)]
+    negatives = ["meet [at] noon.today", "rate (at) 3.5", "sold [at] 12.50 each", "look [at] this.thing", "we met (at) night. ok"]
+    rows += [(500 + i, t) for i, t in enumerate(negatives)]
+    rows += [(600, "write to ann [at] mail [dot] org"), (601, "or bob.b (at) site.com now")]
+    return rows
+
+
+def test_spelled_addresses_need_a_plausible_ending(spark):
+    for rows in (ordinary_texts(), [r for r in ordinary_texts() if not 400 <= r[0] < 500]):  # with and without handles
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: r["s"] for r in pii.find_spans(df).select("doc_id", pii.joined(F.col("spans")).alias("s")).collect()}
+        assert {got[500 + i] for i in range(5)} == {""}
+        assert got[600] == "email:9:32" and got[601] == "email:3:22"
+        assert all(got.get(400 + i, "") == "" for i in range(30))
+    assert pii.common_endings(df, "text") == ["com", "org"]
+
+
+def plain_proposals(text, endings):
+    """(start, end, generator, base, offered, features) by another regular expression engine."""
+    import regex
+
+    out = []
+    for g, (kind, pattern, needs, _) in pii.GENERATORS.items():
+        if not text or not regex.search(needs, text):
+            continue
+        for m in regex.finditer(pattern, text):
+            v, left, right = m[0], text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 1]
+            prior = [x.end() for x in regex.finditer(pattern, text) if x.end() <= m.start()]
+            left = left[-(m.start() - max(prior, default=0)) :] if m.start() > max(prior, default=0) else ""
+            nxt = [x.start() for x in regex.finditer(pattern, text) if x.start() >= m.end()]
+            right = right if not nxt or min(nxt) > m.end() else ""
+            body = v.lstrip("+")
+            digits = re.sub("[^0-9]", "", body)
+            groups = [x for x in re.split("[^0-9]+", body) if x]
+            octets = bool(re.fullmatch(rf"{pii._OCTET}(?:\.{pii._OCTET}){{3}}", body))
+            ending = kind == 0 and g != "handle" and (re.search("([A-Za-z0-9-]+)$", v) or [""])[0].lower() in endings
+            base = {"email": True, "ip": octets, "card": luhn(digits), "phone": 9 <= len(digits) <= 15}.get(g, False)
+            values = (kind, len(body), len(digits), len(groups), max(map(len, groups), default=0), body.count(" "), body.count("."), body.count("-"),
+                      sum(map(body.count, "()")), 12 <= len(digits) <= 19 and luhn(digits), octets, len(re.findall("[A-Za-z]", body)),
+                      bool(regex.search(r"\p{L}$", left)), bool(regex.search(r"\p{L}", right)), bool(re.search(pii.CUES, left)), ending)
+            offered = ending if g == "spelled_email" else g not in ("number", "handle")
+            out.append((m.start(), m.end(), kind, base, offered, [float(x) for x in values]))
+    return out
+
+
+def plain_score(model, f):
+    def walk(lines):
+        line = lines.pop(0).strip()
+        if line.startswith("Predict:"):
+            return float(line.split(":")[1])
+        at, limit = re.match(r"If \(feature (\d+) <= ([-\d.E]+)\)", line).groups()
+        low = walk(lines)
+        lines.pop(0)
+        high = walk(lines)
+        return low if f[int(at)] <= float(limit) else high
+
+    total = sum(w * walk([x for x in t.splitlines() if x.strip()][1:]) for w, t in model.trees)
+    return 1 / (1 + math.exp(-2 * total))
+
+
+def test_added_spans_equal_plain_generators_and_trees(spark):
+    rng = random.Random(11)
+    rows = ordinary_texts() + [(700 + i, t) for i, t in enumerate(HARD) if t is None or len(t) < 3000]
+    for i in range(200):
+        d = "".join(rng.choice("0123456789") for _ in range(16))
+        rows.append((900 + i, f"call 555-{i:03d}-{i:04d} or +1 (555) 555-{i:04d}, card {d} / {d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}, v1.{i}.3 10.0.{i}.7 300.1.1.{i}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df, "text", "doc_id", 5000, 6, 3, 0.99)
+    added = 0
+    for r in pii.find_spans(df).collect():
+        found = plain_proposals(r["text"], model.endings)
+        base = sorted({(a, k, b) for a, b, k, is_base, _, _ in found if is_base})
+        assert [tuple(s) for s in r["base_spans"]] == base
+        more = set()
+        for a, b, k, is_base, offered, f in found:
+            limit = model.thresholds[k]
+            if not is_base and offered and limit is not None and plain_score(model, f) >= limit - 1e-12 and not any(x < b and a < y for x, _, y in base):
+                more.add((a, k, b))
+        assert [tuple(s) for s in r["spans"]] == sorted({*base, *more}), r["text"]
+        added += len(more)
+    assert added >= 2
