@@ -7,11 +7,19 @@ by the words that follow, packed several to a 64-bit key. Every suffix of
 every benchmark item is binary-searched in every shard. A hit is a run of
 ``window`` equal words, or a whole item of fewer; hits on the same diagonal
 join to the longest verbatim matches, each with its place in the item and
-in the document. Positions where too few words of the benchmark follow each
-other are left out of the array, since no match starts there.
+in the document. The array is ordered by the first ``window`` words of a
+suffix alone, and positions where too few words of the benchmark follow each
+other are left out, since no match starts there; the diagonal join finds how
+far a match goes on.
 
-The benchmark is the small side: it is read in blocks of at most
-``block_bytes`` of text, each broadcast on its own, and the documents meet
+Where a passage repeats, hits times places could be far more than there are
+matches. So only the ends of matches are laid out: a hit and a place begin a
+match unless the windows before both are equal, and end one unless those after both are.
+Memory grows with the words, the hits and the matches found.
+
+The benchmark is the small side: tasks build blocks of at most
+``block_bytes`` of text (and one item more), which are stored; the driver
+only hands on a stored block at a time, and the documents meet
 the blocks one after the other. So the work is (documents x blocks), with no
 join and no shuffle, and a hot passage costs one range of the suffix array.
 
@@ -22,6 +30,7 @@ string, and rows that repeat an item_id count as one item.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,6 +40,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from startlens.llm.text import alnum_words, small_batches
+from startlens.operators.stats import prefix_sums
+from startlens.session import materialize
 
 MATCH = "struct<item:string,item_pos:int,doc_pos:int,n_words:int>"
 RESULT = f"struct<n_words:long,n_hit:long,items:array<string>,matches:array<{MATCH}>>"
@@ -41,16 +52,18 @@ class Block:
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.window, self.vocab, self.items = window, {}, []
-        number, at = {}, []  # distinct windows; (window number, item, place)
+        number, at, sizes = {}, [], []  # distinct windows; (window number, item, place); the items' window sizes
         for item, text in items:
             ws = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in alnum_words(text)]
             if not ws:
                 continue
             size = min(window, len(ws))
             self.items.append(item or "")
+            sizes.append(size)
             for j in range(len(ws) - size + 1):
                 k = number.setdefault(tuple(ws[j : j + size]), len(number))
                 at.append((k, len(self.items) - 1, j))
+        self.item_size = np.array(sizes, np.int64)
         self.sizes = np.array([len(w) for w in number], np.int64)
         self.bits = max(1, len(self.vocab).bit_length())
         self.per = 64 // self.bits
@@ -60,7 +73,16 @@ class Block:
             padded[k, : len(w)] = filled[k, : len(w)] = w
         self.low, self.high = self._pack(padded), self._pack(filled)
         at = np.array(sorted(at), np.int64).reshape(-1, 3)
-        self.place_item, self.place_pos = at[:, 1], at[:, 2]
+        # places by window and by the number of the window before (or after) them in their item, -1 for none
+        seq = at[np.lexsort((at[:, 2], at[:, 1]))]
+        same = seq[1:, 1] == seq[:-1, 1]
+        before, after = np.full(len(seq), -1, np.int64), np.full(len(seq), -1, np.int64)
+        before[1:][same], after[:-1][same] = seq[:-1, 0][same], seq[1:, 0][same]
+        self.places = {}
+        for step, near in ((-1, before), (1, after)):
+            key = seq[:, 0] * (len(number) + 1) + near + 1
+            order = np.argsort(key, kind="stable")
+            self.places[step] = key[order], seq[order, 1], seq[order, 2]
         self.place_start = np.searchsorted(at[:, 0], np.arange(len(number) + 1))
 
     def _pack(self, words: np.ndarray) -> list[np.ndarray]:
@@ -99,22 +121,35 @@ class Block:
         inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         return at[first[which] + inside], which
 
+    def _ends(self, pos: np.ndarray, which: np.ndarray, window_at: np.ndarray, step: int) -> np.ndarray:
+        """Rows (item, diagonal, position, place) where matches begin (step -1) or end (1), in that order."""
+        key, item, place = self.places[step]
+        width = len(self.sizes) + 1
+        near = window_at[pos + step + 1]  # one position of padding
+        first, last = self.place_start[which], self.place_start[which + 1]
+        # places whose neighbour is the same window go on with this match
+        lo, hi = np.searchsorted(key, which * width + near + 1, "left"), np.searchsorted(key, which * width + near + 1, "right")
+        none = near < 0
+        lo, hi = np.where(none, first, lo), np.where(none, first, hi)
+        out = []
+        for a, b in ((first, lo), (hi, last)):
+            count = b - a
+            from_hit = np.repeat(np.arange(len(which)), count)
+            at = np.arange(len(from_hit)) - np.repeat(np.cumsum(count) - count, count) + a[from_hit]
+            out.append(np.stack([item[at], pos[from_hit] - place[at], pos[from_hit], place[at]], axis=1))
+        rows = np.concatenate(out)
+        return rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+
     def matches(self, ids: np.ndarray) -> np.ndarray:
         """Rows (position, length, item, place in the item) of the longest verbatim matches."""
         pos, which = self.hits(ids)
-        count = self.place_start[which + 1] - self.place_start[which]
-        from_hit = np.repeat(np.arange(len(which)), count)
-        place = np.arange(len(from_hit)) - np.repeat(np.cumsum(count) - count, count) + self.place_start[which][from_hit]
-        pos, size = pos[from_hit], self.sizes[which][from_hit]
-        item, j = self.place_item[place], self.place_pos[place]
-        by = np.lexsort((pos, pos - j, item))
-        pos, size, item, j = pos[by], size[by], item[by], j[by]
-        # consecutive positions on one diagonal of one item are one match
-        new = np.ones(len(pos), bool)
-        new[1:] = (item[1:] != item[:-1]) | (pos[1:] != pos[:-1] + 1) | (j[1:] != j[:-1] + 1)
-        first = np.flatnonzero(new)
-        run = np.diff(np.append(first, len(pos)))
-        return np.stack([pos[first], size[first] + run - 1, item[first], j[first]], axis=1)
+        # a position has at most one whole window; a shorter item is a single window, without neighbours
+        window_at = np.full(len(ids) + 2, -1, np.int64)
+        whole = self.sizes[which] == self.window if len(which) else np.zeros(0, bool)
+        window_at[pos[whole] + 1] = which[whole]
+        begin, end = self._ends(pos, which, window_at, -1), self._ends(pos, which, window_at, 1)
+        size = self.item_size[begin[:, 0]]
+        return np.stack([begin[:, 2], end[:, 2] - begin[:, 2] + size, begin[:, 0], begin[:, 3]], axis=1)
 
 
 def _bound(keys: list[np.ndarray], asked: list[np.ndarray], right: bool) -> np.ndarray:
@@ -164,16 +199,25 @@ def shard_results(texts: list[str | None], earlier: list[list | None], block: Bl
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Block]:
-    """Blocks of whole items, read without holding the table at once. There is always one."""
-    items, size = [], 0
-    for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        items.append((item, text))
-        size += len(text or "")
-        if size >= block_bytes:
-            yield Block(items, window)
-            items, size = [], 0
-    yield Block(items, window)
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> DataFrame:
+    """Stored table (block, state) of pickled blocks, each built in a task from
+    whole items of ``block_bytes`` of text and at most one item more."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    items = items.withColumns({"size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "at": F.xxhash64("text")})
+    placed = prefix_sums(items, ["item", "at"], ["size"])
+    block = F.floor(F.col("size_before") / F.lit(block_bytes)).cast("long").alias("block")
+
+    def build(table: pa.Table) -> pa.Table:
+        made = Block(list(zip(table["item"].to_pylist(), table["text"].to_pylist())), window)
+        return pa.table({"block": table["block"].slice(0, 1), "state": pa.array([pickle.dumps(made.__dict__)], pa.binary())})
+
+    return materialize(placed.select(block, "item", "text").groupBy("block").applyInArrow(build, "block long, state binary"), "benchmark_blocks")
+
+
+def _block(state: bytes) -> Block:
+    out = Block.__new__(Block)
+    out.__dict__.update(pickle.loads(state))
+    return out
 
 
 def find_matches(
@@ -194,7 +238,7 @@ def find_matches(
     def searcher(shared) -> Column:
         @F.arrow_udf(RESULT)
         def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            block = shared.value
+            block = _block(shared.value)
             for text, earlier in batches:
                 rows, texts, before, size = [], [], [], 0
                 for t, e in zip(text.to_pylist(), earlier.to_pylist()):
@@ -217,7 +261,10 @@ def find_matches(
 
     small_batches(spark)
     earlier = F.lit(None).cast(f"array<{MATCH}>")
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes):
-        docs = docs.withColumn(out_col, searcher(spark.sparkContext.broadcast(block))(F.col(text_col), earlier))
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    numbers = sorted(r["block"] for r in blocks.select("block").collect())  # one number per block_bytes of benchmark
+    for k in numbers or [None]:
+        state = pickle.dumps(Block([], window).__dict__) if k is None else blocks.where(F.col("block") == k).first()["state"]
+        docs = docs.withColumn(out_col, searcher(spark.sparkContext.broadcast(bytes(state)))(F.col(text_col), earlier))
         earlier = F.col(out_col)["matches"]
     return docs

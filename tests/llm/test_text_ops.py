@@ -340,3 +340,45 @@ def test_added_spans_equal_plain_generators_and_trees(spark):
         assert [tuple(s) for s in r["spans"]] == sorted({*base, *more}), r["text"]
         added += len(more)
     assert added >= 2
+
+
+def plain_matches(text_words, items, window):
+    """Maximal runs of equal words on every diagonal, at least a window (or a whole item) long."""
+    out = set()
+    for item, iw in items:
+        size = min(window, len(iw))
+        for d in range(-len(iw) + 1, len(text_words)):
+            k = max(0, d)
+            while k < len(text_words) and k - d < len(iw):
+                j = k
+                while j < len(text_words) and j - d < len(iw) and text_words[j] == iw[j - d]:
+                    j += 1
+                if size and j - k >= size:
+                    out.add((k, j - k, item, k - d))
+                k = max(k + 1, j)
+    return out
+
+
+def test_matches_of_repeating_texts_equal_every_diagonal():
+    rng = random.Random(2)
+    for _ in range(150):
+        vocab = rng.choice(["a", "ab", "abc"])
+        items = [(str(i), [rng.choice(vocab) for _ in range(rng.choice([1, 2, 3, 4, 7, 30]))]) for i in range(rng.randrange(1, 5))]
+        texts = [[rng.choice(vocab + "z" * (rng.random() < 0.3)) for _ in range(rng.randrange(0, 60))] for _ in range(3)]
+        block = suffix_decon.Block([(i, " ".join(w)) for i, w in items], 4)
+        out = suffix_decon.shard_results([" ".join(t) for t in texts], [None] * 3, block)
+        for t, (n, hit, found, matches) in zip(texts, out):
+            want = plain_matches(t, items, 4)
+            assert {(pos, size, item, j) for item, j, pos, size in matches} == want and len(matches) == len(want)
+            assert n == len(t) and hit == len({k for pos, size, _, _ in want for k in range(pos, pos + size)}) and found == sorted({m[2] for m in want})
+
+
+def test_one_word_repeated_needs_little_memory():
+    import tracemalloc
+
+    block = suffix_decon.Block([("x", "spam " * 2000)], 10)
+    tracemalloc.start()
+    ((n, hit, found, matches),) = suffix_decon.shard_results(["spam " * 20_000], [None], block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (n, hit, found) == (20_000, 20_000, ["x"]) and len(matches) == 20_000 + 2000 - 1 - 2 * 9 and peak < 100 << 20
