@@ -9,7 +9,10 @@ are contexts of preceding words (Ron, Singer and Tishby, 1996):
   the training tokens besides; they are 0 unless a caller sets them;
 * a context is retained if its next-symbol distribution diverges from that
   of its longest retained suffix: count times Kullback-Leibler divergence of
-  at least ``cutoff * ln(training tokens)``;
+  at least ``cutoff / 2 * (d + 1) * ln(training tokens)`` with d listed
+  symbols, the Bayesian information criterion's price of that many parameters
+  (Csiszar and Talata, 2006) at ``cutoff`` 1. A bound without d would
+  retain contexts of many followers for their sampling noise alone;
 * all contexts of one and two words are tested. A longer one is tested if its
   suffix, one word shorter, is retained, and the tree ends at the depth where
   none is;
@@ -248,7 +251,8 @@ def train(texts: DataFrame, counts: DataFrame, total: int, distinct: int, min_co
         left, left_parent = 1 - F.col("l") / c, F.greatest(1 - F.col("b"), F.lit(1e-300))
         inner = (F.col("a") - F.col("l") * F.log(c)) / c + F.when(left > 1e-12, left * F.log(left / left_parent)).otherwise(0.0)
         wholes = wholes.where(F.col("c") >= max(2.0, min_context * total))
-        kept = sums.join(wholes, F.col("context") == F.col("w")).where(c * inner >= cutoff * float(np.log(max(total, 2))))
+        needed = cutoff / 2 * (F.col("d") + 1) * float(np.log(max(total, 2)))
+        kept = sums.join(wholes, F.col("context") == F.col("w")).where(c * inner >= needed)
         weight = c + F.col("d") + 1
         kept = materialize(kept.select(F.col("context").alias("w"), ((c - F.col("l") + F.col("d") + 1) / weight).alias("rest"), weight.alias("weight")), "retained")
         if kept.isEmpty():

@@ -192,7 +192,7 @@ def plain_tree(train, min_context, min_string, cutoff):
             left = 1 - sum(listed.values()) / count
             if left > 1e-12:
                 inner += left * math.log(left / max(1 - sum(parent.values()), 1e-300))
-            if listed and count * inner >= cutoff * math.log(max(total, 2)):
+            if listed and count * inner >= cutoff / 2 * (len(listed) + 1) * math.log(max(total, 2)):
                 new[s] = (count, listed)
         states.update(new)
         previous = {s: c for s, c in seen.items() if n == 1 and s[-1] and c >= min_context * total}
