@@ -39,22 +39,23 @@ not learned from and are scored. Rows that repeat are scored each.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from startlens.llm.text import slices, small_batches, words
+from startlens.llm.text import slices, small_batches
 from startlens.session import materialize
 
-END = b""  # no word is empty
+END = np.uint64(1)  # the end token; no word has this hash
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 BITS = 27
 FLUSH_KEYS = 400_000
-CACHE_WORDS = 300_000
 SLICE = 1 << 18
+SHARD_BYTES = 48 << 20
 
 _MUL = np.uint64(0xFF51AFD7ED558CCD)
 _BACK = np.uint64(0x9E3779B97F4A7C15)
@@ -82,26 +83,60 @@ def rest_key(context: np.ndarray) -> np.ndarray:
     return _mix(context ^ _REST)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, computed once each."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word) or 1
-        return h
-
-
-def hash_tokens(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+class WordHashes:
+    """64-bit hashes of the lower-cased words of byte strings, by numpy.
+
+    A word's hash is the sum of its bytes' fixed random numbers times powers of
+    an odd base, which prefix sums give for all words at once, mixed with its
+    length. Powers are kept up to the longest run of bytes met."""
+
+    BASE = 0x9E3779B97F4A7C15
+    BLOCK = 1 << 19
+
+    def __init__(self):
+        rng = np.random.default_rng(20240311)
+        self.of_byte = rng.integers(0, 2**64, 256, dtype=np.uint64)
+        self.of_byte[65:91] = self.of_byte[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[list(b" \t\n\x0b\x0c\r")] = True
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) <= n:
+            bases = (self.BASE, pow(self.BASE, -1, 1 << 64))
+            self.power, self.inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + n // 4, b, np.uint64)])) for b in bases)
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words and where they start."""
+        hashes, starts, lo = [], [], 0
+        while lo < len(text):
+            hi = min(lo + self.BLOCK, len(text))
+            if hi < len(text):  # a block ends at white space
+                after = WHITE.search(text, hi)
+                hi = after.start() if after else len(text)
+            points = np.frombuffer(text, np.uint8, hi - lo, lo)
+            inside = np.concatenate(([False], ~self.space[points], [False]))
+            first, last = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+            self._powers(len(points))
+            sums = np.concatenate(([np.uint64(0)], np.cumsum(self.of_byte[points] * self.power[: len(points)])))
+            own = (sums[last] - sums[first]) * self.inverse[first]
+            own = _mix(own + (last - first).astype(np.uint64) * _BACK)
+            hashes.append(np.where(own <= 1, own + np.uint64(2), own))
+            starts.append(first + lo)
+            lo = hi
+        return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def hash_tokens(texts: list[str | None], hasher: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens and where each text starts."""
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    parts, sizes = [], []
-    for t in texts:
-        ws = words(t)
-        ws.append(END)
-        sizes.append(len(ws))
-        parts.append(np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws)))
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return ids, np.cumsum([0, *sizes])[:-1]
+    data = [t.encode() if t else b"" for t in texts]
+    own, at = hasher.of(b"\n".join(data))
+    ends = np.cumsum([len(d) + 1 for d in data])
+    sizes = np.diff(np.searchsorted(at, np.concatenate(([0], ends))) if len(data) else [0])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    ids = np.full(len(own) + len(data), END, np.uint64)
+    ids[np.arange(len(own)) + np.repeat(np.arange(len(data)), sizes)] = own
+    return ids, starts
 
 
 def contexts(ids: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -142,10 +177,10 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(key, c) over the tokens of the texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sums = WordHashes(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        hasher, sums = WordHashes(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for b in batches:
             for part in slices(b.column(0).to_pylist(), 4 * SLICE):
-                sums = merge_counts(sums, np.unique(hash_tokens(part, cache)[0], return_counts=True))
+                sums = merge_counts(sums, np.unique(hash_tokens(part, hasher)[0], return_counts=True))
                 if len(sums[0]) > FLUSH_KEYS:
                     yield pa.RecordBatch.from_arrays([_longs(sums[0]), pa.array(sums[1])], ["key", "c"])
                     sums = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -166,10 +201,10 @@ def string_counts(train: DataFrame, depth: int, open_bits) -> DataFrame:
     strings seen twice (depth 2) or the retained contexts one word shorter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        hasher = WordHashes()
         for b in batches:
             for part in slices(b.column(0).to_pylist(), 4 * SLICE):
-                ids, starts = hash_tokens(part, cache)
+                ids, starts = hash_tokens(part, hasher)
                 suffixes = np.zeros(len(ids), np.uint64)
                 for d, (at, context) in enumerate(contexts(ids, starts, depth), 1):
                     if d == depth - 1:
@@ -201,11 +236,11 @@ def open_texts(train: DataFrame, depth: int, open_bits) -> DataFrame:
     """The texts that can hold a retained context of ``depth`` words; no other holds a longer one to test."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        hasher = WordHashes()
         for b in batches:
             keep = []
             for text in b.column(0).to_pylist():
-                ids, starts = hash_tokens([text], cache)
+                ids, starts = hash_tokens([text], hasher)
                 *_, (_, context) = contexts(ids, starts, depth)
                 keep.append(bool(has(open_bits.value, context).any()))
             yield b.filter(pa.array(keep, pa.bool_()))
@@ -276,7 +311,7 @@ def train(texts: DataFrame, counts: DataFrame, total: int, distinct: int, min_co
             bits = bitmap(kept.select(F.col("w").alias("key")))
         open_bits.unpersist()
         open_bits = spark.sparkContext.broadcast(bits)
-        if depth > 2:
+        if depth > 3:  # before, most texts have an open context
             texts = materialize(open_texts(texts, depth, open_bits), f"open_texts_{depth}")
         shorter = own.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("parent"))
     return entries, depth
@@ -296,7 +331,9 @@ def score_texts(
     (doc_id, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:  # by bytes: a shard's texts and answers meet in one task
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        shards = max(1, -(-size // SHARD_BYTES))
     texts = docs.where(learn).select(F.col(text_col).alias("text"))
     counts = materialize(word_counts(texts), "word_counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -307,11 +344,13 @@ def score_texts(
     else:
         table = table.unionByName(entries)
     bits = spark.sparkContext.broadcast(bitmap(entries.select("key")) if depth else None)
-    shard = F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)).cast("int").alias("shard")
+    # rows without an id go by their text
+    place = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
+    shard = F.pmod(place, F.lit(shards)).cast("int").alias("shard")
     dealt = docs.select(shard, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition(shards, "shard")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, own, size = WordHashes(), {}, 0
+        hasher, own, size = WordHashes(), {}, 0
 
         def flush():
             for k, keys in own.items():
@@ -327,7 +366,7 @@ def score_texts(
                 by.setdefault(k, []).append(text)
             for k, texts in by.items():
                 for part in slices(texts, SLICE):
-                    ids, starts = hash_tokens(part, cache)
+                    ids, starts = hash_tokens(part, hasher)
                     asked = [ids]
                     for at, context in contexts(ids, starts, depth):
                         rest = rest_key(context)
@@ -347,7 +386,7 @@ def score_texts(
     answers = asked.join(table, "key").select("shard", "key", "value")
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        cache = WordHashes()
+        hasher = WordHashes()
         # a key may come twice
         keys, first = np.unique(known["key"].to_numpy().view(np.uint64), return_index=True)
         values = known["value"].to_numpy()[first]
@@ -362,7 +401,7 @@ def score_texts(
 
         out: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
         for part in slices(texts["text"].to_pylist(), SLICE):
-            ids, starts = hash_tokens(part, cache)
+            ids, starts = hash_tokens(part, hasher)
             seen, c = value(ids)
             root = (c + 0.5) / (total + 0.5 * (distinct + 1))
             p = root.copy()
