@@ -39,12 +39,13 @@ not learned from and are scored. Rows that repeat are scored each.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from startlens.llm.text import slices, small_batches
@@ -56,6 +57,9 @@ BITS = 27
 FLUSH_KEYS = 400_000
 SLICE = 1 << 18
 SHARD_BYTES = 48 << 20
+PACK_STRINGS = 1 << 20
+PART_TOKENS = 1 << 20
+BLOBS = ("contexts", "suffixes", "sizes", "symbols", "counts")
 
 _MUL = np.uint64(0xFF51AFD7ED558CCD)
 _BACK = np.uint64(0x9E3779B97F4A7C15)
@@ -194,42 +198,72 @@ def merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return key, np.bincount(at, np.concatenate([a[1], b[1]]), len(key)).astype(np.int64)
 
 
-def string_counts(train: DataFrame, depth: int, open_bits) -> DataFrame:
+def string_counts(train: DataFrame, depth: int, open_bits, parts: int) -> DataFrame:
     """(context, suffix, symbol, n): how often each context of ``depth`` words
-    is followed by each symbol and, from depth 3 on, by any (symbol ``WHOLE``).
+    is followed by each symbol and, from depth 3 on, by any (symbol ``WHOLE``),
+    if twice or more. Tasks add up runs of strings and pack them by part of the
+    strings' hash, so no string or context is hot and little is exchanged.
     ``open_bits`` (broadcast) holds the words seen twice (depth 1), the two-word
     strings seen twice (depth 2) or the retained contexts one word shorter."""
 
+    def strings_of(texts: list, hasher: WordHashes) -> list[np.ndarray]:
+        ids, starts = hash_tokens(texts, hasher)
+        suffixes = np.zeros(len(ids), np.uint64)
+        for d, (at, context) in enumerate(contexts(ids, starts, depth), 1):
+            if d == depth - 1:
+                suffixes[at] = context
+        suffix, symbol = suffixes[at], ids[at]
+        # a string seen twice consists of strings seen twice
+        if depth == 1:
+            listed = has(open_bits.value, context) & has(open_bits.value, symbol)
+        elif depth == 2:
+            listed = has(open_bits.value, context) & has(open_bits.value, longer(symbol, suffix))
+        else:
+            listed = has(open_bits.value, suffix)
+        some = listed if depth > 2 else np.zeros(len(at), bool)
+        return [np.concatenate([x[listed], y[some]]) for x, y in ((context, context), (suffix, suffix), (symbol, np.full(len(at), WHOLE, np.uint64)))]
+
+    def pack(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """A row per part: its distinct contexts with their suffixes and number
+        of symbols, and the symbols with their counts. A string takes little more than its symbol."""
+        context, suffix, symbol = (np.concatenate(x) for x in zip(*found))
+        key = string_key(context, symbol)
+        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        part = (key % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((context[first], part))
+        part, n, first = part[order], n[order], first[order]
+        context, suffix, symbol = context[first], suffix[first], symbol[first]
+        new = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (part[1:] != part[:-1]))))
+        sizes = np.diff(np.append(new, len(part)))
+        for p in np.unique(part):
+            a, b = np.searchsorted(part, [p, p + 1])
+            c, d = np.searchsorted(new, [a, b])
+            blobs = (context[new[c:d]], suffix[new[c:d]], sizes[c:d].astype("<u4"), symbol[a:b], n[a:b].astype("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["part", *BLOBS])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHashes()
+        hasher, found, size = WordHashes(), [], 0
         for b in batches:
             for part in slices(b.column(0).to_pylist(), 4 * SLICE):
-                ids, starts = hash_tokens(part, hasher)
-                suffixes = np.zeros(len(ids), np.uint64)
-                for d, (at, context) in enumerate(contexts(ids, starts, depth), 1):
-                    if d == depth - 1:
-                        suffixes[at] = context
-                suffix, symbol = suffixes[at], ids[at]
-                # a string seen twice consists of strings seen twice
-                if depth == 1:
-                    listed = has(open_bits.value, context) & has(open_bits.value, symbol)
-                elif depth == 2:
-                    listed = has(open_bits.value, context) & has(open_bits.value, longer(symbol, suffix))
-                else:
-                    listed = has(open_bits.value, suffix)
-                some = listed if depth > 2 else np.zeros(len(at), bool)
-                both = [
-                    np.concatenate([x[listed], y[some]])
-                    for x, y in ((context, context), (suffix, suffix), (symbol, np.full(len(at), WHOLE, np.uint64)))
-                ]
-                _, first, n = np.unique(string_key(both[0], both[2]), return_index=True, return_counts=True)
-                for lo in range(0, len(first), 1 << 16):
-                    own = first[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([*(_longs(x[own]) for x in both), pa.array(n[lo : lo + (1 << 16)])], ["context", "suffix", "symbol", "n"])
-
-    found = train.mapInArrow(count, "context long, suffix long, symbol long, n long")
-    # slices are counted already; most strings are rare, so counting a whole task's before the exchange would merge few
-    return found.repartition("context", "suffix", "symbol").groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n"))
+                found.append(strings_of(part, hasher))
+                size += len(found[-1][0])
+                if size >= PACK_STRINGS:
+                    yield from pack(found)
+                    found, size = [], 0
+        if size:
+            yield from pack(found)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        context, suffix, sizes, symbol, n = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in zip(BLOBS, ("<u8", "<u8", "<u4", "<u8", "<u4")))
+        which = np.repeat(np.arange(len(context)), sizes)
+        _, first, at = np.unique(string_key(context[which], symbol), return_index=True, return_inverse=True)
+        total = np.bincount(at, n, len(first)).astype(np.int64)
+        often = total > 1
+        first = first[often]
+        return pa.table({"context": _longs(context[which[first]]), "suffix": _longs(suffix[which[first]]), "symbol": _longs(symbol[first]), "n": pa.array(total[often])})
+
+    packed = train.mapInArrow(count, "part int, " + ", ".join(f"{c} binary" for c in BLOBS))
+    return packed.groupBy("part").applyInArrow(add_up, "context long, suffix long, symbol long, n long")
 
 
 def open_texts(train: DataFrame, depth: int, open_bits) -> DataFrame:
@@ -260,6 +294,17 @@ def _keys(table: DataFrame, make, *cols: str) -> DataFrame:
     return table.mapInArrow(add, f"{kind}, key long")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the exchanges of finished levels now: their
+    results are stored tables, but the driver's garbage collector, which
+    tells it so, may not run for long."""
+    gc.collect()
+    try:
+        spark._jvm.System.gc()
+    except Exception:  # no JVM gateway (Spark Connect)
+        pass
+
+
 def train(texts: DataFrame, counts: DataFrame, total: int, distinct: int, min_context: float, min_string: float, cutoff: float) -> tuple[DataFrame | None, int]:
     """Fit on the ``text`` column of ``texts``, whose word counts are
     ``counts``: the table (key, value) of the retained contexts' weights of P'
@@ -270,10 +315,11 @@ def train(texts: DataFrame, counts: DataFrame, total: int, distinct: int, min_co
     wholes = counts.select(F.col("key").alias("w"), "c")
     # P of the strings one word shorter, under the tree so far
     shorter = counts.select(F.lit(0).cast("long").alias("suffix"), F.col("key").alias("symbol"), ((F.col("c") + 0.5) / (total + 0.5 * (distinct + 1))).alias("parent"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_TOKENS + 1)
     while total:
         depth += 1
         least = F.when(F.col("symbol") == WHOLE, 2.0).otherwise(max(2.0, min_string * total))
-        found = string_counts(texts, depth, open_bits).where(F.col("n") >= least)
+        found = string_counts(texts, depth, open_bits, parts).where(F.col("n") >= least)
         if depth > 2:
             found = materialize(found, f"strings_{depth}")
             wholes = found.where(F.col("symbol") == WHOLE).select(F.col("context").alias("w"), F.col("n").alias("c"))
@@ -313,6 +359,7 @@ def train(texts: DataFrame, counts: DataFrame, total: int, distinct: int, min_co
         open_bits = spark.sparkContext.broadcast(bits)
         if depth > 3:  # before, most texts have an open context
             texts = materialize(open_texts(texts, depth, open_bits), f"open_texts_{depth}")
+        release(spark)
         shorter = own.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("parent"))
     return entries, depth
 
@@ -338,6 +385,7 @@ def score_texts(
     counts = materialize(word_counts(texts), "word_counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     entries, depth = train(texts, counts, total, distinct, min_context, min_string, cutoff)
+    release(spark)
     table = counts.select("key", F.col("c").cast("double").alias("value"))
     if entries is None:
         depth = 0
@@ -352,9 +400,14 @@ def score_texts(
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own, size = WordHashes(), {}, 0
 
+        def compact() -> int:
+            for k in own:
+                own[k] = [np.unique(np.concatenate(own[k]))]
+            return sum(len(x[0]) for x in own.values())
+
         def flush():
-            for k, keys in own.items():
-                keys = np.unique(np.concatenate(keys))
+            compact()
+            for k, (keys,) in own.items():
                 for lo in range(0, len(keys), 1 << 16):
                     part = keys[lo : lo + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), _longs(part)], ["shard", "key"])
@@ -376,7 +429,9 @@ def score_texts(
                     keys = np.unique(np.concatenate(asked))
                     own.setdefault(k, []).append(keys)
                     size += len(keys)
-                    if size > 4 * FLUSH_KEYS:
+                    if size > 8 * FLUSH_KEYS:
+                        size = compact()
+                    if size > 6 * FLUSH_KEYS:
                         yield from flush()
                         size = 0
         yield from flush()
