@@ -15,7 +15,11 @@ are contexts of preceding words (Ron, Singer and Tishby, 1996):
   retain contexts of many followers for their sampling noise alone;
 * all contexts of one and two words are tested. A longer one is tested if its
   suffix, one word shorter, is retained, and the tree ends at the depth where
-  none is;
+  none is. Levels are grown one by one while the retained contexts have many
+  occurrences; once ``LOCAL_TOKENS`` or fewer are left, every retained
+  context's occurrences, with a window of the words before them, go to one
+  task, which grows its whole subtree (a subtree that outgrows the window is grown
+  again with a longer one);
 * distributions are smoothed: under a context of count C whose d listed
   symbols have count L, ``P(x) = (n(x) + (C - L + d + 1) * P'(x)) / (C + d +
   1)``, with n(x) = 0 for an unlisted symbol and P' that of the longest
@@ -58,6 +62,8 @@ FLUSH_KEYS = 400_000
 SLICE = 1 << 18
 SHARD_BYTES = 48 << 20
 PACK_STRINGS = 1 << 20
+LOCAL_TOKENS = 200_000
+WINDOW_WORDS = 32
 PART_TOKENS = 1 << 20
 BLOBS = ("contexts", "suffixes", "sizes", "symbols", "counts")
 
@@ -266,20 +272,79 @@ def string_counts(train: DataFrame, depth: int, open_bits, parts: int) -> DataFr
     return packed.groupBy("part").applyInArrow(add_up, "context long, suffix long, symbol long, n long")
 
 
-def open_texts(train: DataFrame, depth: int, open_bits) -> DataFrame:
-    """The texts that can hold a retained context of ``depth`` words; no other holds a longer one to test."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def subtree(before: list[np.ndarray], symbols: np.ndarray, parents: dict[int, float], key: int, threshold: float,
+            least: tuple[float, float] = (2.0, 2.0)) -> tuple[list, int, bool]:
+    """All states below a retained context, from its occurrences: the words
+    before each (the nearest first) and the symbol after it. ``parents``: P of
+    the listed symbols under the context. Returns (key, value) entries, the
+    number of levels, and whether a state went beyond the words given."""
+    entries, levels, cut = [], 0, False
+    width = max((len(x) for x in before), default=0)
+    words = np.zeros((len(before), width + 1), np.uint64)
+    for k, x in enumerate(before):
+        words[k, : len(x)] = x
+    todo = [(np.arange(len(before)), np.uint64(key), 0, parents)]
+    while todo:
+        members, context, level, parent = todo.pop()
+        own = words[members, level]
+        if level >= width:
+            cut = True
+            continue
+        order = np.argsort(own, kind="stable")
+        for part in np.split(members[order], np.flatnonzero(np.diff(own[order])) + 1):
+            word = words[part[0], level]
+            if not word or len(part) < least[0]:  # no word before, or seen once
+                continue
+            symbol, n = np.unique(symbols[part], return_counts=True)
+            symbol, n = symbol[n >= least[1]], n[n >= least[1]].astype(float)
+            if not len(n):
+                continue
+            c, d, l = float(len(part)), len(n), n.sum()
+            p = np.array([parent[x] for x in symbol.tolist()])
+            left = 1 - l / c
+            inner = (n * np.log(n / c / p)).sum() / c + (left * np.log(left / max(1 - p.sum(), 1e-300)) if left > 1e-12 else 0.0)
+            if c * inner < threshold * (d + 1):
+                continue
+            weight = c + d + 1
+            rest, child = (c - l + d + 1) / weight, longer(np.array([context]), np.array([word]))
+            entries.append((rest_key(child)[0], rest))
+            entries += zip(string_key(np.repeat(child, d), symbol), n / weight)
+            levels = max(levels, level + 1)
+            todo.append((part, child[0], level + 1, dict(zip(symbol.tolist(), (n / weight + rest * p).tolist()))))
+    return entries, levels, cut
+
+
+def deep_levels(texts: DataFrame, own: DataFrame, kept: DataFrame, depth: int, open_bits, threshold: float, window: int, least: tuple[float, float]) -> DataFrame:
+    """(key, value, levels, cut): every state deeper than the retained contexts
+    ``kept`` of ``depth`` words, each context's subtree grown by one task."""
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHashes()
         for b in batches:
-            keep = []
-            for text in b.column(0).to_pylist():
-                ids, starts = hash_tokens([text], hasher)
-                *_, (_, context) = contexts(ids, starts, depth)
-                keep.append(bool(has(open_bits.value, context).any()))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return train.mapInArrow(pick, "text string")
+            for part in slices(b.column(0).to_pylist(), SLICE):
+                ids, starts = hash_tokens(part, hasher)
+                *_, (at, context) = contexts(ids, starts, depth)
+                there = has(open_bits.value, context)
+                at, context = at[there], context[there]
+                first = np.repeat(starts, np.diff(np.append(starts, len(ids))))[at]
+                before = [ids[max(f, i - depth - window) : i - depth][::-1].tobytes() for i, f in zip(at.tolist(), first.tolist())]
+                yield pa.RecordBatch.from_arrays([_longs(context), _longs(ids[at]), pa.array(before, pa.binary())], ["context", "symbol", "before"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        mine, listed = table.filter(table["before"].is_valid()), table.filter(table["p"].is_valid())
+        parents = dict(zip(listed["symbol"].to_numpy().view(np.uint64).tolist(), listed["p"].to_pylist()))
+        before = [np.frombuffer(x, np.uint64) for x in mine["before"].to_pylist()]
+        key = table["context"].to_numpy().view(np.uint64)[0]
+        found, levels, cut = subtree(before, mine["symbol"].to_numpy().view(np.uint64), parents, key, threshold, least)
+        cut = cut and max(map(len, before), default=0) == window
+        keys = np.array([k for k, _ in found] or [0], np.uint64)  # a row at least, for levels and cut
+        values = [v for _, v in found] or [None]
+        return pa.table({"key": _longs(keys), "value": pa.array(values, pa.float64()), "levels": pa.array([levels] * len(keys)), "cut": pa.array([cut] * len(keys))})
+
+    found = texts.mapInArrow(occurrences, "context long, symbol long, before binary")
+    found = found.join(kept.select(F.col("w").alias("context")), "context", "left_semi").withColumn("p", F.lit(None).cast("double"))
+    listed = own.where("value is not null").select("context", "symbol", F.lit(None).cast("binary").alias("before"), "p")
+    return found.unionByName(listed).groupBy("context").applyInArrow(grow, "key long, value double, levels long, cut boolean")
 
 
 def _keys(table: DataFrame, make, *cols: str) -> DataFrame:
@@ -357,9 +422,19 @@ def train(texts: DataFrame, counts: DataFrame, total: int, distinct: int, min_co
             bits = bitmap(kept.select(F.col("w").alias("key")))
         open_bits.unpersist()
         open_bits = spark.sparkContext.broadcast(bits)
-        if depth > 3:  # before, most texts have an open context
-            texts = materialize(open_texts(texts, depth, open_bits), f"open_texts_{depth}")
         release(spark)
+        rest_tokens = kept.agg(F.sum(F.col("weight"))).first()[0] if depth > 2 else None
+        if rest_tokens is not None and rest_tokens <= LOCAL_TOKENS:
+            # few occurrences are left: all deeper levels in one round
+            seen = max(2.0, min_context * total), max(2.0, min_string * total)
+            window, price = WINDOW_WORDS, cutoff / 2 * float(np.log(max(total, 2)))
+            while True:
+                found = materialize(deep_levels(texts, own, kept, depth, open_bits, price, window, seen), "deep_entries")
+                levels, cut = found.agg(F.max("levels"), F.max("cut")).first()
+                if not cut:
+                    break
+                window *= 4
+            return entries.unionByName(found.where("value is not null").select("key", "value")), depth + (levels or 0)
         shorter = own.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("parent"))
     return entries, depth
 
@@ -395,7 +470,7 @@ def score_texts(
     # rows without an id go by their text
     place = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
     shard = F.pmod(place, F.lit(shards)).cast("int").alias("shard")
-    dealt = docs.select(shard, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition(shards, "shard")
+    dealt = docs.select(shard, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition(8 * shards, "shard")  # few shards of one task
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own, size = WordHashes(), {}, 0
@@ -450,9 +525,10 @@ def score_texts(
             """Whether the answers hold the keys, and their values or 0."""
             if not len(keys):
                 return np.zeros(len(asked), bool), np.zeros(len(asked))
-            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            there = keys[at] == asked
-            return there, np.where(there, values[at], 0.0)
+            one, back = np.unique(asked, return_inverse=True)  # sorted questions are found much faster
+            at = np.minimum(np.searchsorted(keys, one), len(keys) - 1)
+            there = keys[at] == one
+            return there[back], np.where(there, values[at], 0.0)[back]
 
         out: list = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
         for part in slices(texts["text"].to_pylist(), SLICE):
@@ -461,7 +537,10 @@ def score_texts(
             root = (c + 0.5) / (total + 0.5 * (distinct + 1))
             p = root.copy()
             for at, context in contexts(ids, starts, depth):
-                there, rest = value(rest_key(context))
+                key = rest_key(context)
+                there = has(bits.value, key)
+                at, context, key = at[there], context[there], key[there]
+                there, rest = value(key)
                 at = at[there]
                 p[at] = value(string_key(context[there], ids[at]))[1] + rest[there] * p[at]
             out[0].append(np.diff(np.append(starts, len(ids))))

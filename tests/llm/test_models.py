@@ -163,39 +163,50 @@ def plain_tree(train, min_context, min_string, cutoff):
     texts = [data.words(t) + [""] for t in train]
     uni = Counter(w for t in texts for w in t)
     total, distinct = sum(uni.values()), len(uni)
-    often = {w for w, c in uni.items() if c >= max(2.0, min_string * total)}
     root = lambda w: (uni[w] + 0.5) / (total + 0.5 * (distinct + 1))
     states = {}
 
-    def prob(history, w):
-        for n in (2, 1):
+    deepest = [0]
+
+    def prob(history, w, most=None):
+        for n in range(min(len(history), deepest[0] if most is None else most), 0, -1):
             s = tuple(history[-n:])
-            if len(history) >= n and s in states:
+            if s in states:
                 count, listed = states[s]
                 rest = (count - sum(listed.values()) + len(listed) + 1) / (count + len(listed) + 1)
-                return listed.get(w, 0) / (count + len(listed) + 1) + rest * prob(history[-n + 1 :] if n > 1 else (), w)
+                return listed.get(w, 0) / (count + len(listed) + 1) + rest * prob(history, w, n - 1)
         return root(w)
 
-    previous = {(w,): uni[w] for w in often if w and uni[w] >= min_context * total}
-    for n in (1, 2):
-        seen = Counter()
+    n, new = 0, {}
+    while n < 2 or new:  # contexts of one and two words, and longer ones while their suffix is retained
+        n += 1
+        counts, seen = Counter(), Counter()
         for t in texts:
             for k in range(n, len(t)):
-                if tuple(t[k - n : k]) in previous and t[k] in often:
-                    seen[(*t[k - n : k], t[k])] += 1
-        seen = {s: c for s, c in seen.items() if c >= max(2.0, min_string * total)}
+                s = tuple(t[k - n : k])
+                if n < 3 or s[1:] in new:
+                    counts[s] += 1
+                    seen[(*s, t[k])] += 1
+        if n == 1:  # a word counts wherever it stands
+            counts = Counter({(w,): uni[w] for w in uni if w})
+        by = {}
+        for s, c in seen.items():
+            if c >= max(2.0, min_string * total):
+                by.setdefault(s[:-1], {})[s[-1]] = c
         new = {}
-        for s, count in previous.items():
-            listed = {x[-1]: c for x, c in seen.items() if x[:-1] == s}
+        for s, listed in by.items():
+            count = counts[s]
+            if count < max(2.0, min_context * total):
+                continue
             parent = {w: prob(s[1:], w) for w in listed}
             inner = sum(c / count * math.log(c / count / parent[w]) for w, c in listed.items())
             left = 1 - sum(listed.values()) / count
             if left > 1e-12:
                 inner += left * math.log(left / max(1 - sum(parent.values()), 1e-300))
-            if listed and count * inner >= cutoff / 2 * (len(listed) + 1) * math.log(max(total, 2)):
+            if count * inner >= cutoff / 2 * (len(listed) + 1) * math.log(max(total, 2)):
                 new[s] = (count, listed)
         states.update(new)
-        previous = {s: c for s, c in seen.items() if n == 1 and s[-1] and c >= min_context * total}
+        deepest[0] = max([deepest[0], *map(len, new)])
     return uni, total, distinct, states, prob
 
 
@@ -205,7 +216,7 @@ def test_tree_scores_equal_plain_version(spark):
     learn = (F.col("doc_id") % 5) != 1
     got = pst.score_texts(df, learn, min_context=1e-3, min_string=1e-3, cutoff=1.0, shards=3).collect()
     uni, total, distinct, states, prob = plain_tree([r[1] for i, r in enumerate(rows) if i % 5 != 1], 1e-3, 1e-3, 1.0)
-    assert {len(s) for s in states} == {1, 2} and len(got) == len(rows)
+    assert {1, 2} <= {len(s) for s in states} and len(got) == len(rows)
     for r in got:
         t = data.words(rows[r["doc_id"]][1]) + [""]
         base = sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in t)
@@ -261,3 +272,30 @@ def test_tree_keeps_rare_and_deep_strings(spark):
         first = math.log10(400.5 / r["train_tokens"])
         # the fourth word has four values after one word, two after two and one after three
         assert r["score"] > first + math.log10(0.5 * 0.5) - 0.1
+
+
+def deep_texts():
+    """Runs of one word, a long shared passage with edits, and texts that five words back decide."""
+    rng = random.Random(6)
+    noise = [" ".join(rng.choice(["n1", "n2", "n3", "n4"]) for _ in range(rng.randrange(3, 40))) for _ in range(60)]
+    runs = ["u " * rng.randrange(1, 60) + "stop" for _ in range(80)]
+    passage = [f"p{k}" for k in range(50)]
+    near = [" ".join(w if rng.random() > 0.05 else rng.choice(passage) for w in passage) for _ in range(40)]
+    # each of the five words before the last halves what it can be
+    far = [" ".join(f"{k}{b}" for k, b in zip("abcde", f"{i:05b}")) + f" y{i}" for i in range(32) for _ in range(36)]
+    return noise + runs + near + far
+
+
+@pytest.mark.parametrize("local, window", [(0, 32), (10**9, 32), (10**9, 1)], ids=["levels", "subtrees", "windows"])
+def test_tree_of_any_depth_equals_plain_version(spark, monkeypatch, local, window):
+    monkeypatch.setattr(pst, "LOCAL_TOKENS", local)
+    monkeypatch.setattr(pst, "WINDOW_WORDS", window)
+    texts = deep_texts()
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    got = pst.score_texts(data.docs_frame(spark, rows), F.col("doc_id") % 7 != 1, shards=3).collect()
+    uni, total, distinct, states, prob = plain_tree([t for i, t in enumerate(texts) if i % 7 != 1], 0.0, 0.0, 2.0)
+    assert max(map(len, states)) >= 5 and len(got) == len(rows)
+    for r in got:
+        t = data.words(texts[r["doc_id"]]) + [""]
+        want = sum(math.log10(prob(tuple(t[:k]), w)) for k, w in enumerate(t))
+        assert r["score"] == pytest.approx(want), texts[r["doc_id"]]
