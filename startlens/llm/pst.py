@@ -169,6 +169,27 @@ def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def states(ids: np.ndarray, starts: np.ndarray, depth: int, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1 to ``depth`` words: the tokens whose context the bitmap can hold as
+    retained, the context and its key. From three words on, the context one
+    word shorter must be one too."""
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    at = np.flatnonzero(place >= 1)
+    context = ids[at - 1]
+    for d in range(1, depth + 1):
+        if d > 1:
+            inside = place[at] >= d
+            at, context = at[inside], context[inside]
+            context = longer(context, ids[at - d])
+        if not len(at):
+            return
+        key = rest_key(context)
+        there = has(bits, key)
+        yield at[there], context[there], key[there]
+        if d > 1:
+            at, context = at[there], context[there]
+
+
 def bitmap(keys: DataFrame) -> np.ndarray:
     """Bitmap of a long column ``key``: 16 MB, whatever the table's size."""
     slot = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))
@@ -314,36 +335,50 @@ def subtree(before: list[np.ndarray], symbols: np.ndarray, parents: dict[int, fl
     return entries, levels, cut
 
 
-def deep_levels(texts: DataFrame, own: DataFrame, kept: DataFrame, depth: int, open_bits, threshold: float, window: int, least: tuple[float, float]) -> DataFrame:
+def deep_levels(texts: DataFrame, own: DataFrame, kept: DataFrame, depth: int, threshold: float, window: int, least: tuple[float, float]) -> DataFrame:
     """(key, value, levels, cut): every state deeper than the retained contexts
     ``kept`` of ``depth`` words, each context's subtree grown by one task."""
 
+    # every retained context occurs twice or more, so these are at most LOCAL_TOKENS / 2 keys
+    open_keys = np.sort(kept.select("w").toArrow()["w"].to_numpy().view(np.uint64))
+    shared = texts.sparkSession.sparkContext.broadcast(open_keys)
+
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHashes()
+        hasher, found = WordHashes(), {}
         for b in batches:
             for part in slices(b.column(0).to_pylist(), SLICE):
                 ids, starts = hash_tokens(part, hasher)
-                *_, (at, context) = contexts(ids, starts, depth)
-                there = has(open_bits.value, context)
+                for at, context in contexts(ids, starts, depth):
+                    pass
+                place = np.minimum(np.searchsorted(shared.value, context), len(shared.value) - 1)
+                there = shared.value[place] == context
                 at, context = at[there], context[there]
                 first = np.repeat(starts, np.diff(np.append(starts, len(ids))))[at]
-                before = [ids[max(f, i - depth - window) : i - depth][::-1].tobytes() for i, f in zip(at.tolist(), first.tolist())]
-                yield pa.RecordBatch.from_arrays([_longs(context), _longs(ids[at]), pa.array(before, pa.binary())], ["context", "symbol", "before"])
+                for i, f, c in zip(at.tolist(), first.tolist(), context.tolist()):
+                    found.setdefault(c, []).append((ids[i], ids[max(f, i - depth - window) : i - depth][::-1]))
+        for c, own in found.items():
+            sizes = np.array([len(x) for _, x in own], "<u4")
+            blobs = (np.array([x for x, _ in own], "<u8"), sizes, np.concatenate([x for _, x in own]).astype("<u8"))
+            yield pa.RecordBatch.from_arrays(
+                [_longs(np.array([c], np.uint64)), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["context", "symbols", "sizes", "words"]
+            )
 
     def grow(table: pa.Table) -> pa.Table:
-        mine, listed = table.filter(table["before"].is_valid()), table.filter(table["p"].is_valid())
+        mine, listed = table.filter(table["symbols"].is_valid()), table.filter(table["p"].is_valid())
         parents = dict(zip(listed["symbol"].to_numpy().view(np.uint64).tolist(), listed["p"].to_pylist()))
-        before = [np.frombuffer(x, np.uint64) for x in mine["before"].to_pylist()]
+        symbols, sizes, words = (np.frombuffer(b"".join(mine[c].to_pylist()), t) for c, t in (("symbols", "<u8"), ("sizes", "<u4"), ("words", "<u8")))
+        before = np.split(words, np.cumsum(sizes)[:-1]) if len(sizes) else []
         key = table["context"].to_numpy().view(np.uint64)[0]
-        found, levels, cut = subtree(before, mine["symbol"].to_numpy().view(np.uint64), parents, key, threshold, least)
+        found, levels, cut = subtree(before, symbols, parents, key, threshold, least)
         cut = cut and max(map(len, before), default=0) == window
         keys = np.array([k for k, _ in found] or [0], np.uint64)  # a row at least, for levels and cut
         values = [v for _, v in found] or [None]
         return pa.table({"key": _longs(keys), "value": pa.array(values, pa.float64()), "levels": pa.array([levels] * len(keys)), "cut": pa.array([cut] * len(keys))})
 
-    found = texts.mapInArrow(occurrences, "context long, symbol long, before binary")
-    found = found.join(kept.select(F.col("w").alias("context")), "context", "left_semi").withColumn("p", F.lit(None).cast("double"))
-    listed = own.where("value is not null").select("context", "symbol", F.lit(None).cast("binary").alias("before"), "p")
+    found = texts.mapInArrow(occurrences, "context long, symbols binary, sizes binary, words binary")
+    found = found.select("*", F.lit(None).cast("long").alias("symbol"), F.lit(None).cast("double").alias("p"))
+    none = F.lit(None).cast("binary")
+    listed = own.where("value is not null").select("context", none.alias("symbols"), none.alias("sizes"), none.alias("words"), "symbol", "p")
     return found.unionByName(listed).groupBy("context").applyInArrow(grow, "key long, value double, levels long, cut boolean")
 
 
@@ -429,7 +464,7 @@ def train(texts: DataFrame, counts: DataFrame, total: int, distinct: int, min_co
             seen = max(2.0, min_context * total), max(2.0, min_string * total)
             window, price = WINDOW_WORDS, cutoff / 2 * float(np.log(max(total, 2)))
             while True:
-                found = materialize(deep_levels(texts, own, kept, depth, open_bits, price, window, seen), "deep_entries")
+                found = materialize(deep_levels(texts, own, kept, depth, price, window, seen), "deep_entries")
                 levels, cut = found.agg(F.max("levels"), F.max("cut")).first()
                 if not cut:
                     break
@@ -496,11 +531,9 @@ def score_texts(
                 for part in slices(texts, SLICE):
                     ids, starts = hash_tokens(part, hasher)
                     asked = [ids]
-                    for at, context in contexts(ids, starts, depth):
-                        rest = rest_key(context)
-                        there = has(bits.value, rest)
-                        string = string_key(context[there], ids[at[there]])
-                        asked += [rest[there], string[has(bits.value, string)]]
+                    for at, context, rest in states(ids, starts, depth, bits.value) if depth else ():
+                        string = string_key(context, ids[at])
+                        asked += [rest, string[has(bits.value, string)]]
                     keys = np.unique(np.concatenate(asked))
                     own.setdefault(k, []).append(keys)
                     size += len(keys)
@@ -536,13 +569,13 @@ def score_texts(
             seen, c = value(ids)
             root = (c + 0.5) / (total + 0.5 * (distinct + 1))
             p = root.copy()
-            for at, context in contexts(ids, starts, depth):
-                key = rest_key(context)
-                there = has(bits.value, key)
-                at, context, key = at[there], context[there], key[there]
+            for at, context, key in states(ids, starts, depth, bits.value) if depth else ():
                 there, rest = value(key)
-                at = at[there]
-                p[at] = value(string_key(context[there], ids[at]))[1] + rest[there] * p[at]
+                at, string = at[there], string_key(context[there], ids[at[there]])
+                held = has(bits.value, string)
+                listed = np.zeros(len(at))
+                listed[held] = value(string[held])[1]
+                p[at] = listed + rest[there] * p[at]
             out[0].append(np.diff(np.append(starts, len(ids))))
             out[1].append(np.add.reduceat(seen.astype(np.int64), starts))
             out[2].append(np.add.reduceat(np.log10(root), starts))
