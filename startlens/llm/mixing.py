@@ -5,21 +5,24 @@ more than ``max_repeat`` times its own size, and what a full source leaves is
 shared among the others by weight, until none is above.
 
 A source at ``f = target / size`` gives every document ``floor(f)`` certain
-whole copies. The rest, a share ``p = f - floor(f)`` of the source's words,
-is one more copy of a sample: documents are ranked by
-``(U / (1 - U)) / (p / (1 - p))``, random odds over inclusion odds (Rosen,
+whole copies. The rest, a share of the source's words, is one more copy of an
+unequal-probability sample: a document of class k has ``2 ** k`` times the
+inclusion odds of one of class 0. By default k is the number of times that 4
+divides into its words, so a document of four times the length has twice the odds.
+The inclusion probabilities are ``p / (1 - p) = 2 ** (level + k)``, at the level
+where the words expected, the sum of ``p * size``, are the rest. Documents are ranked
+by ``(U / (1 - U)) / (p / (1 - p))``, random odds over inclusion odds (Rosen,
 1997), and the first of them whose words come nearest to the rest are taken. U
 is a hash of the doc_id and a seed, so reruns agree. Documents longer than
 ``big_share`` of the rest are sampled first, for their share of it; the others
-then fill what is missing, at an inclusion probability that makes up for the
-words the long ones took too many or too few. So inclusion is unequal between
-sources and between long and short documents, and the sum ends within half a
-short document of the target wherever short documents have the words.
+then fill what is missing, at a level that makes up for the words the long
+ones took too many or too few. So the sum ends within half a short document of
+the target wherever short documents have the words.
 
 The order inside a source is never sorted in one task: documents fall in
-``bins`` fixed ranges of U (which the odds keep in order), word sums per
-(source, bin) find the bin where the rest is reached, and only that bin's
-documents are ordered.
+``bins`` fixed ranges of the ranking ratio, word sums of groups of about
+``sqrt(bins)`` ranges, then of the ranges of one group, find the range where the
+rest is reached, and only that range's documents are ordered.
 
 Null sources are one source, after all others. A null text has size 0. Rows
 that repeat a doc_id are separate rows of equal rank, told apart by size.
@@ -27,6 +30,8 @@ that repeat a doc_id are separate rows of equal rank, told apart by size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,6 +50,23 @@ def uniform(doc_id: str, seed: str) -> Column:
     return (F.conv(h, 16, 10).cast("double") + 0.5) / F.lit(float(2**52 + 1))
 
 
+def size_class(size: str) -> Column:
+    """How often 4 divides into a size, rounding down; 0 for sizes under 4."""
+    return F.shiftright(F.length(F.bin(F.col(size))) - 1, 1)
+
+
+def inclusion_level(classes: str, goal: str) -> Column:
+    """The level at which documents with inclusion odds ``2 ** (level + k)`` are
+    expected to have ``goal`` words; ``classes`` is an array of (k, words)."""
+
+    def expected(level: Column) -> Column:
+        odds = lambda c: F.pow(F.lit(2.0), level + c["k"])
+        return F.aggregate(classes, F.lit(0.0), lambda s, c: s + c["words"] * odds(c) / (1 + odds(c)))
+
+    steps = F.array(*[F.lit(128.0 / 2**i) for i in range(1, 50)])
+    return F.aggregate(steps, F.lit(0.0), lambda x, step: x + F.when(expected(x) < F.col(goal), step).otherwise(-step))
+
+
 def source_targets(sizes: DataFrame, weights: list[float], share: float, max_repeat: float) -> DataFrame:
     """(source, source_size, target) from (source, source_size) rows.
 
@@ -77,9 +99,11 @@ def mix_sources(
     big_share: float = 0.05,
     bins: int = 65536,
     keep_rows: bool = False,
+    odds_class: Column | None = None,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) per row of
-    ``docs``; with ``keep_rows`` all columns of ``docs`` in front of size,
+    ``docs``. ``odds_class`` gives other whole numbers k (held within -30 and
+    30, null as 0) for the inclusion odds, 0 for equal ones. With ``keep_rows`` all columns of ``docs`` in front of size,
     source_size, target, copies and taken, which replace columns so named."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if keep_rows else []
     rows = materialize(
@@ -88,10 +112,13 @@ def mix_sources(
             F.col(source_col).cast("string").alias("source"),
             word_count(text_col).alias("size"),
             uniform(id_col, seed).alias("__u"),
+            *([] if odds_class is None else [odds_class.cast("int").alias("__k")]),
             *row,
         ),
         "mix_rows",
     )
+    k = size_class("size") if odds_class is None else F.coalesce("__k", F.lit(0))
+    rows = rows.withColumn("__k", F.greatest(F.lit(-30), F.least(F.lit(30), k)))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("long")
     targets = source_targets(sizes, list(weights), share, max_repeat).withColumn("__whole", whole)
@@ -128,27 +155,41 @@ def _small(table: DataFrame, name: str, max_bytes: int = 8 << 20) -> DataFrame:
 def _take(rows: DataFrame, goals: DataFrame, bins: int) -> DataFrame:
     """``rows`` with ``__more`` = 1 for the Pareto sample of each source whose
     words come nearest to its goal, 0 for the others."""
-    rows = rows.withColumn("__bin", F.floor(F.col("__u") * bins).cast("int"))
-    binned = rows.groupBy("source", "__bin").agg(F.sum("size").alias("__words"))
-    before = Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    binned = binned.withColumn("__before", F.coalesce(F.sum("__words").over(before), F.lit(0)))
-    binned = binned.withColumn("__all", F.sum("__words").over(Window.partitionBy("source")))
-    goals = goals.select(F.col("source").alias("__s"), "__goal")
-    reached = (F.col("__goal") > 0) & (F.col("__before") <= F.col("__goal")) & (F.col("__before") + F.col("__words") > F.col("__goal"))
+    cols = rows.columns
+    classes = rows.groupBy(F.col("source").alias("__c"), "__k").agg(F.sum("size").alias("words"))
+    classes = classes.groupBy("__c").agg(F.array_sort(F.collect_list(F.struct(F.col("__k").alias("k"), "words"))).alias("__classes"))
+    goals = goals.select(F.col("source").alias("__s"), "__goal").join(classes, F.col("__s").eqNullSafe(F.col("__c")))
+    goals = materialize(goals.select("__s", "__goal", inclusion_level("__classes", "__goal").alias("__level")), "mix_goals")
+    rows = rows.join(_small(goals, "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    # random odds over inclusion odds: the level is one for all of a source, so the
+    # ratio without it has the same order; with it the goal is reached near 1
+    rows = rows.withColumn("__ratio", (F.col("__u") / (1 - F.col("__u"))) / F.pow(F.lit(2.0), F.col("__k")))
+    pareto = F.col("__ratio") / F.pow(F.lit(2.0), F.col("__level"))
+    rows = rows.withColumn("__bin", F.floor((1 - 1 / (1 + pareto)) * bins).cast("int"))  # every step keeps the order
+    binned = materialize(rows.groupBy("source", "__goal", "__bin").agg(F.sum("size").alias("__words")), "mix_bins")
     # the bin in which the goal is reached; none if the goal is 0 or all words
-    edges = binned.join(goals, F.col("source").eqNullSafe(F.col("__s"))).where(reached)
-    edges = edges.select(F.col("source").alias("__e"), F.col("__bin").alias("__edge"), "__before", "__all")
-    goals = materialize(goals.join(edges, F.col("__s").eqNullSafe(F.col("__e")), "left").drop("__e"), "mix_goals")
-    cols = rows.drop("__bin").columns
-    rows = rows.join(_small(goals, "__s"), F.col("source").eqNullSafe(F.col("__s")))
+    side = math.isqrt(bins - 1) + 1
+    group = F.floor(F.col("__bin") / side)
+    groups = binned.groupBy("source", "__goal", group.alias("__group")).agg(F.sum("__words").alias("__words"))
+    groups = _reached(groups, "__group", F.lit(0)).select(F.col("source").alias("__s"), "__group", F.col("__before").alias("__start"))
+    inside = binned.join(groups, F.col("source").eqNullSafe(F.col("__s")) & (group == F.col("__group")))
+    edges = _reached(inside, "__bin", F.col("__start"))
+    edges = materialize(edges.select(F.col("source").alias("__e"), F.col("__bin").alias("__edge"), "__before"), "mix_edges")
+    rows = rows.join(_small(edges, "__e"), F.col("source").eqNullSafe(F.col("__e")), "left")
     at_edge = F.coalesce(F.col("__bin") == F.col("__edge"), F.lit(False))
-    # Pareto order: random odds over inclusion odds
-    p = F.col("__goal") / F.col("__all")
-    edge = rows.where(at_edge).withColumn("__q", (F.col("__u") / (1 - F.col("__u"))) / (p / (1 - p)))
-    inside = Window.partitionBy("source", "__bin").orderBy("__q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "__bin").orderBy("__ratio", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     # the document in which the goal is reached is taken if that brings the sum nearer
-    edge = edge.withColumn("__more", (start + F.col("size") / 2.0 <= F.col("__goal")).cast("long"))
-    taken = (F.col("__goal") > 0) & (F.col("__bin") < F.coalesce(F.col("__edge"), F.lit(bins)))
+    edge = rows.where(at_edge).withColumn("__more", (start + F.col("size") / 2.0 <= F.col("__goal")).cast("long"))
+    taken = (F.col("__goal") > 0) & (F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")))
     other = rows.where(~at_edge).withColumn("__more", taken.cast("long"))
     return edge.select(*cols, "__more").unionByName(other.select(*cols, "__more"))
+
+
+def _reached(sums: DataFrame, place: str, start: Column) -> DataFrame:
+    """Of each source's rows in the order of ``place`` the one in which its words,
+    counted from ``start``, reach the goal, with ``__before``, the words before it."""
+    before = Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", start + F.coalesce(F.sum("__words").over(before), F.lit(0)))
+    reached = (F.col("__before") <= F.col("__goal")) & (F.col("__before") + F.col("__words") > F.col("__goal"))
+    return sums.where((F.col("__goal") > 0) & reached)

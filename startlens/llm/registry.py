@@ -159,6 +159,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370497.0 AS u
   FROM documents),
+q AS (SELECT *, u / (1 - u) / (1::BIGINT << ((length(bin(size)) - 1) // 2))::DOUBLE AS ratio FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s),
 c AS (SELECT *, 2.0 * source_size / w AS full_at,
@@ -169,9 +170,9 @@ l AS (SELECT arg_min((goal - got) / rest, i) FILTER (WHERE full_at >= (goal - go
 t AS (SELECT source, source_size, least(2.0 * source_size, w * level)::DOUBLE AS target FROM k, l),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
 r AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS rest
-  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
+  FROM q d JOIN f ON d.source IS NOT DISTINCT FROM f.source),
 b AS (SELECT *, rest > 0 AND size > 0.05 * rest AS big FROM r),
-g AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, big ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+g AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, big ORDER BY ratio, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
     sum(size) FILTER (WHERE big) OVER (PARTITION BY source) AS long_words FROM b),
 h AS (SELECT *, CASE WHEN big AND start + size / 2.0 <= rest * long_words / source_size THEN 1 ELSE 0 END AS long_more FROM g),
 j AS (SELECT *, greatest(0.0, least(rest - coalesce(sum(size * long_more) OVER (PARTITION BY source), 0),

@@ -86,12 +86,33 @@ def test_token_counts_equal_plain_version(spark):
         assert r["r"]["n_pretokens"] == len(pre) and r["r"]["n_tokens"] == sum(plain_cut(pieces, w) for w in pre)
 
 
-def test_trie_scores_each_prefix_once():
+def test_trie_scores_each_prefix_once(monkeypatch):
     pieces = {bytes([b]): -5.0 for b in range(256)} | {b"ab": -1.0, b"abc": -1.5}
-    trie = token_counts.PieceTrie(pieces)
+    trie, scored = token_counts.PieceTrie(pieces), []
+    extend = trie._extend
+    monkeypatch.setattr(trie, "_extend", lambda word, end, *rest: (scored.append(word[:end]), extend(word, end, *rest)))
     words = [b"ab", b"abc", b"abcd", b"abd", b"b"]
-    assert [trie.count(w) for w in words] == [1, 1, 2, 2, 1]
-    assert trie.nodes == len({w[:k] for w in words for k in range(1, len(w) + 1)})
+    assert [trie.insert(w) for w in words] == [1, 1, 2, 2, 1]
+    # a task's later batches go down the same trie, in any order
+    assert trie.counts({b"abda", b"ab", b"ba", b"a"}) == {b"abda": 3, b"ba": 2, b"a": 1}
+    prefixes = {w[:k] for w in [*words, b"abda", b"ba"] for k in range(1, len(w) + 1)}
+    assert len(trie) == len(prefixes) == len(scored) and set(scored) == prefixes
+    assert trie.terminal == {b"ab": 1, b"abc": 1, b"abcd": 2, b"abd": 2, b"b": 1, b"abda": 3, b"ba": 2, b"a": 1}
+
+
+def test_long_and_many_pre_tokens_equal_plain_cut(monkeypatch):
+    pieces = token_counts.load_pieces(registry.VOCABULARY)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaon inshr") for _ in range(rng.randrange(1, 300))).encode() for _ in range(60)]
+    words += [words[0] * 2, words[0] * 2 + b"x", b"abab" * 80, b""]
+    want = [plain_cut(pieces, w) for w in words]
+    monkeypatch.setattr(token_counts, "SHARED", 150)
+    monkeypatch.setattr(token_counts, "MAX_NODES", 2000)
+    trie = token_counts.PieceTrie(pieces)
+    for w, n in zip(words, want):
+        found = trie.counts({w})
+        assert (found[w] if w in found else trie.terminal[w]) == n and len(trie) <= 2150
+    assert max(map(len, trie.terminal)) <= 150
 
 
 def test_token_counts_whole_long_texts_and_query(spark):

@@ -149,6 +149,52 @@ def test_mix_takes_documents_by_their_odds(spark):
         assert abs(sum(low) / len(low) - sum(high) / len(high)) < 0.1
 
 
+def plain_level(sizes, classes, goal):
+    lo, hi = -200.0, 200.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        have = sum(n * 2 ** (mid + k) / (1 + 2 ** (mid + k)) for n, k in zip(sizes, classes))
+        lo, hi = (mid, hi) if have < goal else (lo, mid)
+    return lo
+
+
+@pytest.mark.parametrize("bins", [7, 64, 65536])
+def test_mix_samples_in_pareto_order_of_unequal_odds(spark, bins):
+    """Copies equal those of the ranking by random odds over inclusion odds, and
+    each size class is taken as often as its inclusion probability says."""
+    lengths = (3, 5, 17, 70)
+    rows = [(i, "w " * lengths[i % 4], "en", "only", 1) for i in range(4000)]
+    df = data.docs_frame(spark, rows)
+    got = mixing.mix_sources(df, bins=bins).collect()
+    sizes = [lengths[i % 4] for i in range(4000)]
+    classes = [{3: 0, 5: 1, 17: 2, 70: 3}[n] for n in sizes]
+    rest = 0.5 * sum(sizes)
+    level = plain_level(sizes, classes, rest)
+    u = {r["doc_id"]: r["u"] for r in df.select("doc_id", mixing.uniform("doc_id", "mix").alias("u")).collect()}
+    p = [2 ** (level + k) / (1 + 2 ** (level + k)) for k in classes]
+    rank = sorted(range(4000), key=lambda i: (u[i] / (1 - u[i])) / (p[i] / (1 - p[i])))
+    more, total = {}, 0
+    for i in rank:
+        more[i] = int(total + sizes[i] / 2 <= rest)
+        total += sizes[i]
+    assert {r["doc_id"]: r["copies"] for r in got} == {i: 1 + more[i] for i in rank}
+    for k in range(4):
+        mine = [i for i in range(4000) if classes[i] == k]
+        assert abs(sum(more[i] for i in mine) / 1000 - p[mine[0]]) < 0.06
+    assert p[0] < p[1] < p[2] < p[3]
+    found = spark.createDataFrame([([(k, 1000 * n) for k, n in enumerate(lengths)], rest)], "c array<struct<k:int,words:long>>, g double")
+    assert found.select(mixing.inclusion_level("c", "g")).first()[0] == pytest.approx(level, abs=1e-6)
+
+
+def test_mix_takes_given_odds(spark):
+    rows = [(i, "three words here", "en", "a", 1) for i in range(2000)]
+    docs = data.docs_frame(spark, rows)
+    odd = F.when(F.col("doc_id") < 1000, F.when(F.col("doc_id") % 2 == 1, 4)).otherwise(F.col("doc_id") % 2 * 400)
+    got = mixing.mix_sources(docs, odds_class=odd).collect()
+    taken = {h: sum(r["copies"] - 1 for r in got if (r["doc_id"] < 1000, r["doc_id"] % 2) == h) for h in [(True, 0), (True, 1), (False, 1)]}
+    assert taken[True, 0] < 200 < 350 < taken[True, 1] < taken[False, 1] == 500 and sum(r["copies"] - 1 for r in got) == 1000
+
+
 def test_mix_empty_and_wordless_tables(spark):
     docs = data.edge_docs(spark)
     assert mixing.mix_sources(docs.limit(0)).count() == 0
