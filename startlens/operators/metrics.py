@@ -83,9 +83,10 @@ def score_histogram(pred: DataFrame, label: str = "label", score: str = "score")
     )
 
 
-def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Exact ROC-AUC (ties count half), one row."""
-    h = prefix_sums(score_histogram(pred, label, score), ["score"], ["pos", "neg"])
+def roc_auc(pred: DataFrame, label: str = "label", score: str = "score", num_partitions: int | None = None) -> DataFrame:
+    """Exact ROC-AUC (ties count half), one row. ``num_partitions``: tasks
+    that order the scores (the session's shuffle partitions)."""
+    h = prefix_sums(score_histogram(pred, label, score), ["score"], ["pos", "neg"], num_partitions=num_partitions)
     one = h.agg(
         F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("__u"),
         F.max("pos_total").alias("n_pos"),
