@@ -123,11 +123,11 @@ def split_limits(train: DataFrame, features: list[tuple], bins: int) -> dict[int
 
 def bootstrap_weights(key: str, trees: int, seed: int) -> Column:
     """Copies of a row in each tree, array<tinyint>."""
-    def draw(t: Column) -> Column:
-        h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), t.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-        return sum((h >= F.lit(x)).cast("byte") for x in POISSON_LIMITS).cast("byte")
-
-    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), draw)
+    # 32 bits as eight hex digits, which order like the number; hashed in an array of their own, since
+    # the draw names them once per limit and a lambda's expressions are evaluated each time
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring(
+        F.md5(F.concat_ws(":", F.col(key).cast("string"), t.cast("string"), F.lit(str(seed)))), 1, 8))
+    return F.transform(hashes, lambda h: sum((h >= F.lit(f"{x:08x}")).cast("byte") for x in POISSON_LIMITS).cast("byte"))
 
 
 def tried_features(tree: int, node: int, n_features: int, seed: int) -> list[int]:
@@ -143,15 +143,17 @@ class _Grown:
         self.feature = np.full((trees, 1 << (max_depth + 1)), -1, np.int16)
         self.bin = np.zeros((trees, 1 << (max_depth + 1)), np.int16)
 
-    def walk(self, bins: np.ndarray, levels: int) -> np.ndarray:
-        """Node of each row (rows) in each tree (columns) after ``levels`` levels at most."""
-        rows, trees = np.arange(len(bins))[:, None], np.arange(len(self.feature))[None, :]
-        node = np.ones((len(bins), len(self.feature)), np.int64)
+    def walk(self, bins: np.ndarray, copies: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, tree, node) of the rows that a tree holds and that are ``levels`` levels deep in it."""
+        row, tree = np.nonzero(copies)
+        node = np.ones(len(row), np.int64)
         for _ in range(levels):
-            f = self.feature[trees, node]
-            right = bins[rows, np.maximum(f, 0)] > self.bin[trees, node]
-            node = np.where(f >= 0, 2 * node + right, node)
-        return node
+            f = self.feature[tree, node]
+            on = f >= 0
+            if not on.all():  # the others ended in a leaf
+                row, tree, node, f = row[on], tree[on], node[on], f[on]
+            node = 2 * node + (bins[row, f] > self.bin[tree, node])
+        return row, tree, node
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -172,24 +174,24 @@ def _level_counts(table: DataFrame, grown: _Grown, level: int, tried: dict[tuple
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at, features, nodes = shared.value
-        sums = np.zeros((2, m, len(nodes) * n_bins), np.int64)
+        sums = np.zeros((m, len(nodes) * n_bins * 2), np.int64)
         for b in batches:
             if not len(b):
                 continue
             bins, copies = _matrix(b.column("bins"), n_features), _matrix(b.column("copies"), trees).astype(np.int64)
             y = b.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-            node = own.walk(bins, level)
-            here = node >= 1 << level
-            slot = np.where(here, at[np.arange(trees)[None, :], np.where(here, node - (1 << level), 0)], -1)
-            row, tree = np.nonzero((slot >= 0) & (copies > 0))
-            slot, n = slot[row, tree], copies[row, tree]
-            for k in range(m):
-                cell = slot * n_bins + bins[row, features[slot, k]]
-                sums[0, k] += np.bincount(cell, n, sums.shape[2]).astype(np.int64)
-                sums[1, k] += np.bincount(cell, n * y[row], sums.shape[2]).astype(np.int64)
-        k, cell = np.nonzero(sums[0])
+            row, tree, node = own.walk(bins, copies, level)
+            slot = at[tree, node - (1 << level)]
+            is_open = slot >= 0
+            row, tree, slot = row[is_open], tree[is_open], slot[is_open].astype(np.int64)
+            n, first = copies[row, tree], slot * (2 * n_bins) + y[row]
+            for k in range(m):  # in place: a batch costs its rows, not all the nodes' cells
+                np.add.at(sums[k], first + 2 * bins[row, features[slot, k]].astype(np.int64), n)
+        by_label = sums.reshape(m, -1, 2)
+        total = by_label.sum(axis=2)
+        k, cell = np.nonzero(total)
         slot = cell // n_bins
-        cols = [nodes[slot, 0], nodes[slot, 1], features[slot, k], cell % n_bins, sums[0, k, cell], sums[1, k, cell]]
+        cols = [nodes[slot, 0], nodes[slot, 1], features[slot, k], cell % n_bins, total[k, cell], by_label[k, cell, 1]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["tree", "node", "feature", "bin", "n", "y"])
 
     part = table.select("bins", "copies", "label").mapInArrow(count, "tree long, node long, feature long, bin long, n long, y long")
